@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merkle, minhash, packing
+from . import chat, decontaminate, licenses, merkle, minhash, packing, token_files
+from .shared import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,19 +22,71 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each conversation from its sorted parts, read back as a stream."""
+    key, state, out = None, None, []
+
+    def row() -> tuple:
+        n, turns, chars, loss, length = state
+        return key, n, turns.hexdigest(), chars, loss.hexdigest(), length
+
+    def table() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    for batch in batches:
+        for conv, formatted, starts, ends, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "token_starts", "token_ends", "loss_mask")), strict=True):
+            if state is None or conv != key:
+                if state is not None:
+                    out.append(row())
+                key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for role, text in chat.parse(formatted):
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            for text in chat.masked_texts(formatted, starts, ends, mask):
+                state[2] += len(text)
+                state[3].update(text.encode("utf-8", "surrogatepass"))
+            state[4] += len(formatted)
+        if len(out) >= 1000:
+            yield table()
+            out = []
+    if state is not None:
+        out.append(row())
+    if out:
+        yield table()
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
+    formatted = chat.format_chat(turns.unionAll(trap))
+    dealt = formatted.select("conv_id", "segment", "part", "formatted", "token_starts", "token_ends", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "segment", "part")
+    return dealt.mapInArrow(_chat_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op6_decontamination": op6_decontamination, "op8_near_dedup": op8_near_dedup, "op10_packing": op10_packing}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_token_output": op4_token_output, "op6_decontamination": op6_decontamination, "op7_chat": op7_chat, "op8_near_dedup": op8_near_dedup, "op9_license": op9_license, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {}
