@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 1 << 64)

@@ -10,9 +10,11 @@
    signatures share, corrected for chance agreement, do not rule it out.
 5. What is left is confirmed on the full sets; links make components.
 6. Members of a bucket that are not yet in one component are compared with each
-   other: block by block in one task per pair of blocks, by packed signatures,
-   and only pairs of different components that pass step 4 leave the task.
-   Confirmed links are merged into the components.
+   other: block by block in one task per pair of blocks, by packed signatures
+   and, for sets of up to ``SKETCH`` shingles, by 32-bit forms of the shingles,
+   which can only overstate what two sets share. One pair for two components
+   that are surely linked, and every pair in doubt, leave the task; they are
+   confirmed on the full sets and merged into the components.
 
 So a group of m near copies costs m candidate pairs for each band, not m**2,
 and no link between different texts is lost except where all bands miss it:
@@ -36,6 +38,10 @@ U64 = np.uint64
 BITS = 8
 #: Members of one block of a bucket; two blocks meet in one task.
 BLOCK = 512
+#: Sets of at most so many shingles go to the blocks in 32-bit form.
+SKETCH = 256
+#: Bits of the filter by which a scan leaves out texts that no pair needs; its size does not follow the data.
+FILTER_BITS = 1 << 23
 
 
 def layout(percent: int, miss: float = 1e-8) -> tuple[int, int]:
@@ -61,7 +67,7 @@ def _multipliers(n: int) -> np.ndarray:
 def _signatures(k: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers(rows * bands)
-        for batch in slices(batches, "t", 2 << 20):
+        for batch in slices(batches, "t"):
             with np.errstate(over="ignore"):
                 sets, off = distinct(*shingles(batch.column("t"), k))
                 n = np.diff(off)
@@ -108,16 +114,35 @@ def _prune(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(k: int, wanted: np.ndarray, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted shingle sets of texts whose id may be wanted: 64-bit, or 32-bit and empty above ``limit``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            sets, off = distinct(*shingles(batch.column("t"), k))
-            data = [sets[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], names=["doc_id", "shingles"])
+        for whole in batches:
+            place = whole.column("place").to_numpy()
+            some = whole.filter(pa.array((wanted[place >> 6] >> (place & 63).astype(U64) & U64(1)).astype(bool)))
+            for batch in slices([some], "t"):
+                sets, off = distinct(*shingles(batch.column("t"), k))
+                if limit is not None:
+                    data = [(sets[x:y] >> U64(32)).astype(np.uint32).tobytes() if y - x <= limit else b"" for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                else:
+                    data = [sets[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
+def _gather(texts: DataFrame, needed: DataFrame, k: int, kind: str, name: str, limit: int | None = None) -> DataFrame:
+    """(doc_id, shingles) of the ids in ``needed`` (d), which are distinct. Texts themselves are never shuffled."""
+    place = F.pmod(F.xxhash64("d"), F.lit(FILTER_BITS))
+    bits = needed.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()  # at most FILTER_BITS / 64 rows
+    wanted = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in bits:
+        wanted[r.w] = r.bits
+    made = texts.withColumn("place", place).mapInArrow(_sets(k, wanted.view(U64), limit), f"doc_id {kind}, shingles binary")
+    return materialize(made.join(needed.withColumnRenamed("d", "doc_id"), "doc_id", "left_semi"), name)
+
+
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +156,7 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _across(percent: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _across(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of different components from two blocks of a bucket that may be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +180,35 @@ def _across(percent: int) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterato
 
 def _compare(key: tuple, parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
     t = pa.Table.from_batches(parts)
-    ids, comp, n, own = (np.array(t.column(c).to_pylist()) for c in ("rep", "comp", "n", "own"))
+    ids, n, own = (np.array(t.column(c).to_pylist()) for c in ("rep", "n", "own"))
+    comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
     sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    sets = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
     left, right = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
     least, a, b = lowest_estimate(percent, sig.shape[1]), [], []
     for i in left.tolist():
         j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (key[2] != key[3])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         if len(j):
             j = j[_similar(sig[j], sig[i]) >= least]
-            a += np.minimum(ids[j], ids[i]).tolist()
-            b += np.maximum(ids[j], ids[i]).tolist()
+        if not len(j):
+            continue
+        sure = np.zeros(len(j), bool)
+        if len(sets[i]):
+            size = np.array([len(sets[x]) for x in j.tolist()])
+            flat = np.concatenate([sets[x] for x in j.tolist()])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)] == flat
+            common = np.diff(np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(size)]])
+            both = n[j] + n[i]
+            sure = (size > 0) & (100 * (common - 2) >= percent * (both - common + 2))
+            maybe = (size == 0) | (100 * common >= percent * (both - common))
+            j, sure = j[maybe], sure[maybe]
+        for x, certain in zip(j.tolist(), sure.tolist(), strict=True):
+            if comp[x] == comp[i]:
+                continue
+            a.append(min(ids[i], ids[x]))
+            b.append(max(ids[i], ids[x]))
+            if certain:
+                comp[comp == comp[x]] = comp[i]
     return pa.RecordBatch.from_arrays([pa.array(a, t.schema.field("rep").type), pa.array(b, t.schema.field("rep").type)], names=["a", "b"])
 
 
@@ -244,7 +288,7 @@ def _linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, k: int, percen
     likely = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = materialize(likely.select("a", "b", "sa", "sb").mapInArrow(_prune(percent), f"a {kind}, b {kind}"), "likely")
     needed = likely.select(F.col("a").alias("d")).unionAll(likely.select(F.col("b").alias("d"))).distinct()
-    sets = materialize(texts.join(needed, "d", "left_semi").mapInArrow(_sets(k), f"doc_id {kind}, shingles binary"), "sets")
+    sets = _gather(texts, materialize(needed, "needed"), k, kind, "sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return materialize(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
@@ -255,11 +299,12 @@ def _rest(members: DataFrame, signs: DataFrame, found: DataFrame, texts: DataFra
     tagged = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("band", "value", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
     mixed = tagged.groupBy("band", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2")
     tagged = tagged.join(mixed.select("band", "value", "size"), ["band", "value"])
+    sketches = _gather(texts, materialize(tagged.select(F.col("rep").alias("d")).distinct(), "needed"), k, kind, "sketches", SKETCH)
     # members go to blocks by a hash, so that no count over the whole bucket is needed; each block meets each
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    tagged = tagged.join(signs, "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tagged = tagged.join(signs, "rep").join(sketches.withColumnRenamed("doc_id", "rep"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", "n", "signature", "own")
+    met = met.select("band", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", "n", "signature", "shingles", "own")
     dealt = met.repartition("band", "value", "x", "y").sortWithinPartitions("band", "value", "x", "y")
     pairs = materialize(dealt.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "across")
     if not pairs.limit(1).count():
