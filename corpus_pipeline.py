@@ -1,19 +1,54 @@
-"""The corpus pipeline: toxicity, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark passages, personal data, packing.
+
+Every stage takes all that the stage before it kept, and all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithos.llm import packing
+from lithos.llm import decontaminate, minhash, packing, pii, toxicity
 from lithos.llm.shared import materialize
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose restored form scores as toxic go."""
+    model = toxicity.char_model(docs)
+    scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), model)
+    return toxicity.without_toxic(docs, model, scorer)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    found = minhash.near_duplicates(docs, k=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every text stays."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document, each a sequence of its own."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("personal data", pii_stage),
+    ("packing", packing_stage),
+]
 
 #: Tokenizers and fitted models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -23,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

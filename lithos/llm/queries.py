@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, merkle, minhash, packing, token_files
+from . import chat, decontaminate, licenses, merkle, minhash, packing, pii, style_tree, token_files, toxicity
 from .shared import new_path
 
 
@@ -17,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.char_model(docs)
+    scored = toxicity.score(docs, model, toxicity.train(docs, _table(spark, sf_dir, "labels"), model))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = merkle.fingerprints(_table(spark, sf_dir, "documents"))
     return prints.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -28,6 +39,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +103,61 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_token_output": op4_token_output, "op6_decontamination": op6_decontamination, "op7_chat": op7_chat, "op8_near_dedup": op8_near_dedup, "op9_license": op9_license, "op10_packing": op10_packing}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_token_output": op4_token_output,
+    "op5_pii": op5_pii,
+    "op6_decontamination": op6_decontamination,
+    "op7_chat": op7_chat,
+    "op8_near_dedup": op8_near_dedup,
+    "op9_license": op9_license,
+    "op10_packing": op10_packing,
+}
+
+# Words of a text for SQL: A-Z lower-cased, runs without blank and the controls 9 to 13.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingle_sql(source: str, key: str, k: int) -> str:
+    """Distinct shingles by key; of fewer words than k, all as one."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {k - 2}), i -> array_to_string(w[i:i + {k - 1}], ' ')) END) AS s
+        FROM (SELECT {key}, {_WORDS} AS w FROM {source})"""
+
+
+_OP6_SQL = f"""
+WITH d AS ({_shingle_sql("documents", "doc_id", decontaminate.WORDS)}),
+b AS ({_shingle_sql("benchmark", "item_id", decontaminate.WORDS)}),
+n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS common_shingles FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, common_shingles, common_shingles / item_shingles AS containment
+FROM c JOIN n USING (item_id) WHERE common_shingles >= {decontaminate.SHARE} * item_shingles - 1e-9
+"""
+
+_OP7_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(role) + len(text) + len(regexp_extract_all(role || chr(0) || text, '<\\*/?s>|\[\\*/?INST\]')) + 17 AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(size) + 3)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_OP8_SQL = f"""
+WITH RECURSIVE s AS ({_shingle_sql("documents", "doc_id", 3)}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y USING (s) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS reached FROM g UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS low FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": _OP6_SQL, "op7_chat": _OP7_SQL, "op8_near_dedup": _OP8_SQL}
