@@ -212,8 +212,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each document's fingerprint, and how like it is to its edited text's and to the next document's.
 
     The edited text is the document's with its last quarter replaced by the
-    start of the next document, in ascending order of id (then text); the last
-    is followed by the first. Returns doc_id, n_chars (code points), text,
+    start of the next document, in ascending order of id; the last is
+    followed by the first. Returns doc_id, n_chars (code points), text,
     edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Texts move once, compressed, to ranges of ids whose bounds are quantiles; a
@@ -222,7 +222,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts are empty; empty ones have the empty tree and are like only
     other empty ones. Null ids come first; rows that repeat an id follow each
-    other in order of text. A single row follows itself. An empty table gives
+    other in an order that only their texts decide. A single row follows itself. An empty table gives
     no rows; other columns are ignored. Ids must be numbers.
     """
     spark = docs.sparkSession

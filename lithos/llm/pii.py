@@ -2,7 +2,7 @@
 
 Generators of high recall propose spans that may overlap. Boosted trees score
 each by its format and context; a calibrated threshold for each kind selects
-redactions, the best first, where nothing selected overlaps. Spans of the fixed
+redactions, of overlapping ones the longest. Spans of the fixed
 base patterns are always kept; the trees decide on everything beside them.
 
 No table here labels spans, so the trees learn from generated candidates: real
@@ -219,9 +219,10 @@ def detect(texts: list[str], fitted: boosting.Boosted, least: tuple[float, ...])
     if asked:
         p = fitted.probability(np.array(rows, float))
         taken: dict[int, list[Span]] = {}
-        for j in np.argsort(-p, kind="stable").tolist():
+        good = [j for j in range(len(asked)) if p[j] >= least[asked[j][1][0]]]
+        for j in sorted(good, key=lambda j: (asked[j][1][1] - asked[j][1][2], -p[j])):
             i, span = asked[j]
-            if p[j] >= least[span[0]] and not any(a < span[2] and span[1] < b for _, a, b in taken.get(i, ())):
+            if not any(a < span[2] and span[1] < b for _, a, b in taken.get(i, ())):
                 taken.setdefault(i, []).append(span)
         for i, more in taken.items():
             out[i] = (out[i][0], sorted(out[i][0] + more, key=lambda s: (s[1], s[0], s[2])))

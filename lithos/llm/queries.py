@@ -123,7 +123,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 def _shingle_sql(source: str, key: str, k: int) -> str:
     """Distinct shingles by key; of fewer words than k, all as one."""
     return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - {k - 2}), i -> array_to_string(w[i:i + {k - 1}], ' ')) END) AS s
+        ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS s
         FROM (SELECT {key}, {_WORDS} AS w FROM {source})"""
 
 
