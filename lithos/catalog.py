@@ -1,11 +1,307 @@
-"""Registered queries of the engine's own operators, and SQL for each."""
+"""Registered queries of the engine's own operators, and SQL for each that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lithos.functions.paths import within
+from lithos.operators import comparison, lines, search, trees
+from lithos.plans import virtual
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "comparison_plan"
+FLAGSHIP = "change_events"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with SQL that DuckDB runs on the same tables."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return virtual.base(docs), virtual.target(docs)
+
+
+_STATUS = f"""WITH {virtual.SQL},
+status AS (SELECT coalesce(b.repo, t.repo) AS repo, coalesce(b.path, t.path) AS path, coalesce(b.language, t.language) AS language,
+    CASE WHEN b.path IS NULL THEN 'new_only' WHEN t.path IS NULL THEN 'old_only' WHEN b.blob_id = t.blob_id THEN 'unchanged' ELSE 'modified' END AS status,
+    b.blob_id AS old_blob, t.blob_id AS new_blob, b.size AS old_size, t.size AS new_size
+    FROM base b FULL JOIN target t ON b.repo = t.repo AND b.path = t.path)"""
+_MOVES = f"""{_STATUS},
+o AS (SELECT repo, language, old_blob AS blob_id, path, old_size AS size, row_number() OVER (PARTITION BY repo, language, old_blob ORDER BY path) AS n FROM status WHERE status = 'old_only'),
+w AS (SELECT repo, language, new_blob AS blob_id, path, new_size AS size, row_number() OVER (PARTITION BY repo, language, new_blob ORDER BY path) AS n FROM status WHERE status = 'new_only'),
+moves AS (SELECT o.repo, o.language, o.blob_id, o.path AS old_path, w.path, w.size FROM o JOIN w USING (repo, language, blob_id, n)),
+old_left AS (SELECT o.* EXCLUDE n FROM o WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE m.repo = o.repo AND m.old_path = o.path)),
+new_left AS (SELECT w.* EXCLUDE n FROM w WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE m.repo = w.repo AND m.path = w.path))"""
+_PAIRS = f"""{_MOVES},
+small AS (SELECT repo FROM (SELECT repo, count(*) AS n FROM old_left GROUP BY repo) x JOIN (SELECT repo, count(*) AS k FROM new_left GROUP BY repo) y USING (repo) WHERE n <= {comparison.SIDE_CAP} AND k <= {comparison.SIDE_CAP}),
+all_pairs AS (SELECT a.repo, a.language, a.path AS old_path, b.path, a.size AS old_size, b.size AS size FROM old_left a JOIN new_left b ON a.repo = b.repo AND a.language = b.language
+    WHERE a.repo IN (SELECT repo FROM small) AND a.size BETWEEN 1 AND {comparison.FILE_CAP} AND b.size BETWEEN 1 AND {comparison.FILE_CAP} AND 2 * least(a.size, b.size) >= greatest(a.size, b.size)),
+pairs AS (SELECT *, CASE WHEN greatest(old_size, size) <= 4096 THEN 'scalar' ELSE 'line' END AS unit_mode FROM all_pairs WHERE repo IN (SELECT repo FROM all_pairs GROUP BY repo HAVING count(*) <= {comparison.PAIR_CAP}))"""
+_UNITS = """CASE WHEN {mode} = 'scalar' THEN string_split({text}, '') ELSE regexp_extract_all({text}, '[^\\n]*\\n|[^\\n]+') END"""
+_BOUNDS = f"""{_PAIRS},
+modes AS (SELECT 'scalar' AS unit_mode UNION ALL SELECT 'line'),
+ou AS (SELECT repo, path, unit_mode, unit, count(*) AS n FROM (SELECT repo, path, unit_mode, unnest({_UNITS.format(mode="unit_mode", text="text")}) AS unit FROM base, modes
+    WHERE (repo, path, unit_mode) IN (SELECT repo, old_path, unit_mode FROM pairs)) WHERE unit <> '' GROUP BY ALL),
+nu AS (SELECT repo, path, unit_mode, unit, count(*) AS n FROM (SELECT repo, path, unit_mode, unnest({_UNITS.format(mode="unit_mode", text="text")}) AS unit FROM target, modes
+    WHERE (repo, path, unit_mode) IN (SELECT repo, path, unit_mode FROM pairs)) WHERE unit <> '' GROUP BY ALL),
+shared AS (SELECT p.repo, p.old_path, p.path, sum(least(ou.n, nu.n) * octet_length(encode(ou.unit))) AS bound FROM pairs p
+    JOIN ou ON ou.repo = p.repo AND ou.path = p.old_path AND ou.unit_mode = p.unit_mode JOIN nu ON nu.repo = p.repo AND nu.path = p.path AND nu.unit_mode = p.unit_mode AND nu.unit = ou.unit GROUP BY ALL),
+bounds AS (SELECT p.repo, p.old_path, p.path, p.old_size, p.size, p.unit_mode, coalesce(bound, 0)::BIGINT AS bound, ((100 * coalesce(bound, 0)::BIGINT) // greatest(p.old_size, p.size))::BIGINT AS ceiling
+    FROM pairs p LEFT JOIN shared s ON s.repo = p.repo AND s.old_path = p.old_path AND s.path = p.path)"""
+_EVENTS = f"""{_MOVES},
+events AS (SELECT repo, 'modified' AS status, path AS old_path, path, language FROM status WHERE status = 'modified'
+    UNION ALL SELECT repo, 'moved', old_path, path, language FROM moves
+    UNION ALL SELECT repo, 'deleted', path, NULL, language FROM old_left UNION ALL SELECT repo, 'added', NULL, path, language FROM new_left)"""
+
+
+@query(f"{_STATUS} SELECT * FROM status")
+def snapshot_status(spark, sf_dir):
+    return comparison.snapshot_status(*sides(spark, sf_dir))
+
+
+@query(f"{_MOVES} SELECT repo, language, blob_id, old_path, path, size FROM moves")
+def exact_moves(spark, sf_dir):
+    return comparison.exact_moves(comparison.snapshot_status(*sides(spark, sf_dir)))
+
+
+def _left(spark, sf_dir):
+    status = comparison.snapshot_status(*sides(spark, sf_dir))
+    return comparison.leftovers(status, comparison.exact_moves(status))
+
+
+@query(f"{_MOVES} SELECT 'old' AS side, repo, language, path, size FROM old_left UNION ALL SELECT 'new', repo, language, path, size FROM new_left")
+def pair_leftovers(spark, sf_dir):
+    old, new = _left(spark, sf_dir)
+    return old.select(F.lit("old").alias("side"), "repo", "language", "path", "size").unionAll(new.select(F.lit("new").alias("side"), "repo", "language", "path", "size"))
+
+
+@query(f"{_PAIRS} SELECT repo, language, old_path, path, old_size, size, unit_mode FROM pairs")
+def fuzzy_eligible_pairs(spark, sf_dir):
+    return comparison.eligible_pairs(*_left(spark, sf_dir)).drop("old_blob", "new_blob")
+
+
+@query(
+    f"""WITH {virtual.SQL}, m AS (SELECT *, CASE WHEN size <= 4096 THEN 'scalar' ELSE 'line' END AS unit_mode FROM base),
+u AS (SELECT repo, path, unit_mode, unit, count(*) AS n FROM (SELECT repo, path, unit_mode, unnest({_UNITS.format(mode="unit_mode", text="text")}) AS unit FROM m) WHERE unit <> '' GROUP BY ALL)
+SELECT repo, path, unit_mode, sum(n)::BIGINT AS units, count(*) AS different, count(*) FILTER (n > 1) AS heavy, sum(n * octet_length(encode(unit)))::BIGINT AS bytes FROM u GROUP BY ALL"""
+)
+def unit_profile(spark, sf_dir):
+    return comparison.unit_profile(sides(spark, sf_dir)[0])
+
+
+def _bounds(spark, sf_dir):
+    base, target = sides(spark, sf_dir)
+    return comparison.frequency_bounds(comparison.eligible_pairs(*_left(spark, sf_dir)), base, target)
+
+
+@query(f"{_BOUNDS} SELECT * FROM bounds")
+def frequency_bound(spark, sf_dir):
+    return _bounds(spark, sf_dir)
+
+
+@query(f"{_BOUNDS} SELECT repo, old_path, path, ceiling FROM bounds WHERE ceiling >= {comparison.LEAST_SCORE}")
+def bounded_candidates(spark, sf_dir):
+    return _bounds(spark, sf_dir).where(F.col("ceiling") >= comparison.LEAST_SCORE).select("repo", "old_path", "path", "ceiling")
+
+
+@query()
+def similarity_scores(spark, sf_dir):
+    return comparison.similarity_scores(_bounds(spark, sf_dir), *sides(spark, sf_dir))
+
+
+@query()
+def greedy_moves(spark, sf_dir):
+    return comparison.greedy_moves(similarity_scores(spark, sf_dir))
+
+
+@query()
+def change_events(spark, sf_dir):
+    return comparison.comparison_plan(*sides(spark, sf_dir))
+
+
+def _events(spark, sf_dir):
+    return comparison.comparison_plan(*sides(spark, sf_dir), fuzzy=False).drop("score")
+
+
+@query(f"{_EVENTS} SELECT * FROM events")
+def exact_events(spark, sf_dir):
+    return _events(spark, sf_dir)
+
+
+@query(f"{_EVENTS} SELECT * FROM events WHERE coalesce(path = 'en' OR starts_with(path, 'en/'), false) OR coalesce(old_path = 'en' OR starts_with(old_path, 'en/'), false)")
+def scoped_events(spark, sf_dir):
+    return comparison.scoped(_events(spark, sf_dir), lambda c: within(c, F.lit("en")))
+
+
+_AREAS = [("english", "en"), ("moved", "moved"), ("romance", "fr"), ("romance", "es"), ("romance", "moved/fr")]
+
+
+@query(
+    f"""{_EVENTS}, areas AS (SELECT * FROM (VALUES {", ".join(map(str, _AREAS))}) v(area, prefix))
+SELECT area, status, count(*) AS events FROM (SELECT DISTINCT area, status, repo, old_path, path FROM events JOIN areas
+    ON coalesce(path = prefix OR starts_with(path, prefix || '/'), false) OR coalesce(old_path = prefix OR starts_with(old_path, prefix || '/'), false)) GROUP BY area, status"""
+)
+def area_rollup(spark, sf_dir):
+    return comparison.area_rollup(_events(spark, sf_dir), spark.createDataFrame(_AREAS, "area string, prefix string"))
+
+
+_NODES = f"""WITH {virtual.SQL}, q AS (SELECT repo, path, string_split(path, '/') AS parts FROM target),
+nodes AS (SELECT repo, path, array_to_string(parts[1:i], '/') AS node, i FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM q))"""
+
+
+@query(f"{_NODES} SELECT repo, node, min(i - 1)::INT AS depth, bool_or(node = path) AS is_file, count(*) AS files FROM nodes GROUP BY repo, node")
+def path_tree(spark, sf_dir):
+    return trees.path_tree(sides(spark, sf_dir)[1], ["repo"])
+
+
+@query(f"{_NODES}, d AS (SELECT DISTINCT repo, node, i FROM nodes) SELECT repo, node, array_to_string(string_split(node, '/')[1:j], '/') AS ancestor, (i - j)::INT AS distance FROM (SELECT *, unnest(range(1, i)) AS j FROM d)")
+def ancestor_closure(spark, sf_dir):
+    return trees.ancestor_closure(sides(spark, sf_dir)[1], ["repo"])
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+u AS (SELECT node, parent AS ancestor, 1 AS distance FROM l UNION ALL SELECT u.node, l.parent, u.distance + 1 FROM u JOIN l ON l.node = u.ancestor) SELECT * FROM u"""
+)
+def geography_closure(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    return trees.closure(c.unionAll(n).withColumn("g", F.lit(0)), ["g"]).drop("g")
+
+
+_FOREST = "SELECT conv_id, role || (turn % 3) AS stable_key, CASE WHEN turn = 0 THEN NULL WHEN turn % 5 = 4 THEN role || (turn % 3) ELSE 'user' || ((turn - 1) % 4) END AS parent_key FROM conversations"
+
+
+@query(
+    f"""WITH RECURSIVE n AS ({_FOREST}), l AS (SELECT DISTINCT conv_id, stable_key AS node, parent_key AS parent FROM n WHERE parent_key IS NOT NULL AND stable_key <> parent_key),
+u AS (SELECT conv_id, node, parent AS top FROM l UNION SELECT u.conv_id, u.node, l.parent FROM u JOIN l ON l.conv_id = u.conv_id AND l.node = u.top)
+SELECT conv_id, stable_key, 'duplicate_key' AS error FROM n GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT DISTINCT conv_id, stable_key, 'self_parent' FROM n WHERE stable_key = parent_key
+UNION ALL SELECT DISTINCT conv_id, stable_key, 'dangling_parent' FROM n WHERE parent_key IS NOT NULL AND (conv_id, parent_key) NOT IN (SELECT conv_id, stable_key FROM n)
+UNION ALL SELECT DISTINCT conv_id, node, 'cyclic_parent' FROM u WHERE node = top"""
+)
+def forest_validation(spark, sf_dir):
+    role, turn = F.col("role"), F.col("turn")
+    own = F.concat(role, (turn % 3).cast("string"))
+    parent = F.when(turn == 0, None).when(turn % 5 == 4, own).otherwise(F.concat(F.lit("user"), ((turn - 1) % 4).cast("string")))
+    return trees.forest_errors(table(spark, sf_dir, "conversations").select("conv_id", own.alias("stable_key"), parent.alias("parent_key")), ["conv_id"])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN n = 0 THEN role ELSE role || '~' || n END AS stable_key FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS n FROM conversations)""")
+def key_ordinals(spark, sf_dir):
+    return trees.allocated_keys(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "stable_key")
+
+
+@query(
+    f"""{_MOVES}, b AS (SELECT b.repo, coalesce(m.path, b.path) AS path, b.text FROM base b LEFT JOIN moves m ON m.repo = b.repo AND m.old_path = b.path),
+x AS (SELECT repo, path, path || '::' || i AS stable_key, CASE WHEN i > 1 THEN path || '::1' END AS parent_key, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, 4)) AS i FROM b) WHERE i <= len(string_split(text, chr(10)))),
+y AS (SELECT repo, path, path || '::' || i AS stable_key, CASE WHEN i > 1 THEN path || '::1' END AS parent_key, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, 4)) AS i FROM target) WHERE i <= len(string_split(text, chr(10)))),
+r AS (SELECT coalesce(x.repo, y.repo) AS repo, coalesce(x.path, y.path) AS path, coalesce(x.stable_key, y.stable_key) AS stable_key, coalesce(y.parent_key, x.parent_key) AS parent_key,
+    CASE WHEN y.text IS NULL THEN 'deleted' WHEN x.text IS NULL THEN 'added' WHEN x.text <> y.text THEN 'changed' END AS status FROM x FULL JOIN y ON x.repo = y.repo AND x.path = y.path AND x.stable_key = y.stable_key)
+SELECT repo, path, stable_key, status FROM r WHERE status IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r c WHERE c.status IS NOT NULL AND c.repo = r.repo AND c.path = r.path AND c.parent_key = r.stable_key)"""
+)
+def stable_key_join(spark, sf_dir):
+    """Declarations stand in as the first three lines of a file, the first being the parent of the others."""
+    base, target = sides(spark, sf_dir)
+
+    def declared(files: DataFrame) -> DataFrame:
+        rows = files.select("repo", "path", F.posexplode(F.slice(F.split("text", "\n", -1), 1, 3)).alias("i", "text"))
+        key = lambda i: F.concat("path", F.lit("::"), i.cast("string"))
+        return rows.select("repo", "path", key(F.col("i") + 1).alias("stable_key"), F.when(F.col("i") > 0, key(F.lit(1))).alias("parent_key"), "text", F.lit(True).alias("retained"))
+
+    moves = comparison.exact_moves(comparison.snapshot_status(base, target))
+    return comparison.declaration_changes(declared(base), declared(target), moves).select("repo", "path", "stable_key", "status")
+
+
+def _modified(spark, sf_dir):
+    base, target = sides(spark, sf_dir)
+    changed = comparison.snapshot_status(base, target).where("status = 'modified'").select("repo", "path")
+    return changed.join(base.select("repo", "path", F.col("text").alias("old_text")), ["repo", "path"]).join(target.select("repo", "path", F.col("text").alias("new_text")), ["repo", "path"])
+
+
+_MODIFIED = f"{_STATUS}, p AS (SELECT b.repo, b.path, b.text AS old_text, t.text AS new_text FROM base b JOIN target t ON b.repo = t.repo AND b.path = t.path WHERE b.blob_id <> t.blob_id)"
+
+
+@query()
+def aligned_lines(spark, sf_dir):
+    return lines.aligned_rows(_modified(spark, sf_dir), ["repo", "path"])
+
+
+@query(
+    f"""{_MODIFIED}, l AS (SELECT repo, path, unnest(string_split(old_text, chr(10))) AS line, -1 AS s FROM p UNION ALL SELECT repo, path, unnest(string_split(new_text, chr(10))), 1 FROM p),
+n AS (SELECT repo, path, line, sum(s) AS net FROM l GROUP BY ALL) SELECT repo, path, sum(greatest(net, 0))::BIGINT AS added, sum(greatest(-net, 0))::BIGINT AS removed FROM n GROUP BY repo, path"""
+)
+def diff_stats(spark, sf_dir):
+    return lines.bag_stats(_modified(spark, sf_dir), ["repo", "path"])
+
+
+@query()
+def unified_diffs(spark, sf_dir):
+    return lines.unified_hunks(_modified(spark, sf_dir), ["repo", "path"])
+
+
+@query(
+    f"""{_MODIFIED}, z AS (SELECT repo, path, string_split(old_text, chr(10)) AS a, string_split(new_text, chr(10)) AS b FROM p),
+r AS (SELECT repo, path, i, a[i + 1] IS DISTINCT FROM b[i + 1] AS changed, greatest(len(a), len(b)) - 1 AS last FROM (SELECT *, unnest(range(0, greatest(len(a), len(b)))) AS i FROM z)),
+c AS (SELECT *, CASE WHEN i - 3 > lag(i) OVER w + 4 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM r WHERE changed WINDOW w AS (PARTITION BY repo, path ORDER BY i)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY repo, path ORDER BY i) AS hunk_no FROM c)
+SELECT repo, path, hunk_no::BIGINT AS hunk_no, greatest(min(i) - 3, 0)::BIGINT AS first_row, least(max(i) + 3, max(last))::BIGINT AS last_row, count(*) AS changes FROM h GROUP BY repo, path, hunk_no"""
+)
+def hunk_windows(spark, sf_dir):
+    return lines.hunk_windows(lines.positional_rows(_modified(spark, sf_dir), ["repo", "path"]), ["repo", "path"])
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id % 100 AS first, event_id % 100 + event_id % 7 AS last FROM events),
+e AS (SELECT user_id, p, sum(d) AS d FROM (SELECT user_id, first AS p, 1 AS d FROM s UNION ALL SELECT user_id, last + 1, -1 FROM s) GROUP BY ALL HAVING sum(d) <> 0),
+r AS (SELECT user_id, p AS start, lead(p) OVER w - 1 AS "end", sum(d) OVER w AS depth FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p))
+SELECT user_id, start::BIGINT AS start, "end"::BIGINT AS "end", depth::BIGINT AS depth FROM r WHERE depth > 0 AND "end" IS NOT NULL"""
+)
+def line_coverage(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 100).alias("first"), (F.col("event_id") % 100 + F.col("event_id") % 7).alias("last"))
+    return trees.line_coverage(spans, ["user_id"])
+
+
+@query(
+    """WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS a FROM documents))
+SELECT doc_id, line_no::INT AS line_no, ((length(line) - length(replace(line, 'and', ''))) // 3)::BIGINT AS matches FROM l WHERE contains(line, 'and')"""
+)
+def text_search(spark, sf_dir):
+    return search.line_matches(table(spark, sf_dir, "documents"), ["doc_id"], "and")
+
+
+@query()
+def fuzzy_rank(spark, sf_dir):
+    return search.fuzzy_rank(table(spark, sf_dir, "part"), "grn", "p_name", "p_partkey")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderkey AS commit, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS position FROM orders)
+SELECT o_custkey, parent::VARCHAR AS parent, commit::VARCHAR AS commit, position FROM c WHERE parent IS NOT NULL"""
+)
+def history_steps(spark, sf_dir):
+    """A customer's orders stand in as commits, each the child of the one before."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    commits = orders.select("o_custkey", F.col("o_orderkey").alias("commit"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
+    ends = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"), F.min("o_orderkey").alias("first"))
+    return trees.history_steps(commits, ["o_custkey"], ends.select("o_custkey", F.col("last").alias("commit")), ends.select("o_custkey", F.col("first").alias("commit")))
