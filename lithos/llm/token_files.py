@@ -85,6 +85,7 @@ def _tokenize(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]
 
 def _counts(dtype: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
             got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype))
@@ -101,6 +102,7 @@ def _ranked(dtype: np.dtype, rank_of: np.ndarray, edges: list[int]) -> Callable[
     """Each document's ranks, compressed, with the range it goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         pack = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "ids", 1 << 20):
             docs = [np.frombuffer(x, dtype) for x in batch.column("ids").to_pylist()]
@@ -115,6 +117,7 @@ def _blocks(dtype: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     names = ["bucket", "before", "doc_ids", "lengths", "control", "codes", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         unpack = zstandard.ZstdDecompressor()
         bucket, before, docs, data, held = None, 0, [], [], 0
 
@@ -178,8 +181,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
 
 def _read(by_rank: np.ndarray, before: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 ids = by_rank[decode(r["control"], r["codes"], r["n_tokens"])].astype("<u4").tobytes()
                 size = np.array(r["lengths"], np.int64)
                 ends = np.cumsum(size)

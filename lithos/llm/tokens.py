@@ -20,7 +20,7 @@ from .batches import _LOWER, _Powers, mix, text_bytes
 
 U64 = np.uint64
 #: Units that one Python worker remembers before it starts afresh.
-UNITS = 3 << 20
+UNITS = 3 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -85,28 +85,37 @@ class Encoder:
             cls._made[path, blank_leads] = cls(path, blank_leads)
         return cls._made[path, blank_leads]
 
+    @classmethod
+    def release(cls) -> None:
+        """Frees what this worker remembers, for tasks of other kinds."""
+        if cls._made:
+            cls._made.clear()
+            pa.default_memory_pool().release_unused()
+
     def __init__(self, path: str, blank_leads: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.blank_leads = blank_leads
-        self.plain = Tokenizer.from_file(resolve(path))
-        self.plain.encode_special_tokens = True
-        self.split = Tokenizer.from_file(resolve(path))
-        added = {t.content: i for i, t in self.split.get_added_tokens_decoder().items() if t.special}
+        self.model = Tokenizer.from_file(resolve(path))
+        added = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = max(added.items(), key=lambda x: x[1])
         self.marks = list(added)
-        self.dtype = np.dtype("<u2") if self.plain.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._forget()
 
     def _forget(self) -> None:
-        self.table = _Table(23)
+        self.table = _Table(22)
         self.n, self.used = 0, 0
         self.start, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
 
     def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Straight from the library, a call for the whole text."""
-        return [np.array(e.ids, self.dtype) for e in self.plain.encode_batch_fast(list(texts), add_special_tokens=False)]
+        self.model.encode_special_tokens = True
+        try:
+            return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
+        finally:
+            self.model.encode_special_tokens = False
 
     def _units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of units, and which texts must go whole."""
@@ -156,7 +165,7 @@ class Encoder:
         flat, sizes = [], []
         for at in range(0, len(units), 512):
             part = units[at : at + 512]
-            ids = np.array(self.split.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.model.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.mark_id)
             if len(cut) != len(part) - 1:
                 raise ValueError("an added token's string was not recognised")
