@@ -97,7 +97,7 @@ def project(path: str, source: str) -> dict[str, list[Item]]:
     starts = [i for i, t in enumerate(found) if t.column == 0 and t.text not in (")", "]", "}")]
     if found and starts[:1] != [0]:
         raise ProjectionError("expected a declaration", *_where(source, found[0].start))
-    declared = [found[a:b] for a, b in zip(starts, [*starts[1:], len(found)], strict=True)]
+    declared = [found[a:b] for a, b in zip(starts, [*starts[1:], len(found)], strict=False)]
     out: dict[str, list[Item]] = {"types": [], "signatures": [], "tests": []}
     module = ""
     annotations: dict[str, list[Token]] = {}

@@ -36,8 +36,8 @@ class Places:
         return (at if self.ascii else len(self.source[:at].encode())), line, column
 
 
-def tokens(source: str, form: re.Pattern, block: tuple[str, str] | None, line: str | None) -> list[Token]:
-    """All tokens of ``form`` (groups string and word, else a sign). Block comments nest; what fits nothing is an error."""
+def tokens(source: str, form: re.Pattern, block: tuple[str, str] | None, line: str | re.Pattern | None, keep: re.Pattern | None = None) -> list[Token]:
+    """All tokens of ``form`` (groups string and word, else a sign). Block comments nest; what fits nothing is an error. ``keep`` finds comments that count as strings."""
     out: list[Token] = []
     at, gap, size = 0, False, len(source)
     line_start = 0
@@ -48,7 +48,11 @@ def tokens(source: str, form: re.Pattern, block: tuple[str, str] | None, line: s
                 line_start = at + 1
             at, gap = at + 1, True
             continue
-        if line and source.startswith(line, at):
+        if keep and (m := keep.match(source, at)):
+            out.append(Token(m[0], at, m.end(), at - line_start, "string", gap))
+            at, gap = m.end(), False
+            continue
+        if line and (source.startswith(line, at) if isinstance(line, str) else line.match(source, at)):
             end = source.find("\n", at)
             at, gap = (size if end < 0 else end), True
             continue

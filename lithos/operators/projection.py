@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.lang import elm, python, rust
+from lithos.lang import elm, haskell, python, rust
 from lithos.lang.items import MODES, Item, ProjectionError, check
 
 Projector = Callable[[str, str], dict[str, list[Item]]]
 #: Projector by language: takes a path and a source, returns the items of every mode.
-PROJECTORS: dict[str, Projector] = {"elm": elm.project, "python": python.project, "rust": rust.project}
+PROJECTORS: dict[str, Projector] = {"elm": elm.project, "haskell": haskell.project, "python": python.project, "rust": rust.project}
 
 _COLUMNS = ["stable_key", "parent_key", "kind", "name", "start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column", "canonical_text"]
 SCHEMA = "mode string, ordinal int, stable_key string, parent_key string, kind string, name string, start_byte int, end_byte int, start_line int, start_column int, end_line int, end_column int, canonical_text string, error string"
