@@ -30,7 +30,7 @@ from .batches import _LOWER, _Powers, mix, slices, text_bytes
 
 U64 = np.uint64
 #: Labelled texts of each class that the fit may use.
-FIT_ROWS = 2500
+FIT_ROWS = 2000
 #: log2 of the number of hashed features; bytes of the prefixes.
 FEATURE_BITS, PREFIXES = 18, (4, 6, 8)
 #: Least score that counts as toxic.
@@ -184,17 +184,17 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 
 
 def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: feature numbers, values, and each text's offsets among them.
+    """Of all texts: the numbers of the features that occur, their shares, and each text's offsets among them.
 
-    A word counts once by itself and once by each prefix that is shorter. Values
-    are 1 for presence, and for numbers in the upper half of the space the
-    logarithm of one plus the feature's share of the text's words in percent.
+    A word counts once by itself and once by each prefix that is shorter. A
+    share is the logarithm of one plus the feature's percentage of the text's
+    words.
     """
     data, off = text_bytes(array)
     n = len(data)
-    half = 1 << (FEATURE_BITS - 1)
+    space = 1 << FEATURE_BITS
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(len(off), np.int64)
     inside = _WORD[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -214,57 +214,96 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             s = start[some]
             e = end[some] if not size else s + size
             h = mix((total[e] - total[s]) * down[s] + U64(kind + 1) * U64(0xA24BAED4963EE407))
-            keys.append((h >> U64(64 - FEATURE_BITS + 1)).astype(np.int64))
+            keys.append((h >> U64(64 - FEATURE_BITS)).astype(np.int64))
             docs.append(doc[some])
-    both = np.concatenate(docs) * half + np.concatenate(keys)
+    both = np.concatenate(docs) * space + np.concatenate(keys)
     both.sort()
     first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
     count = np.diff(np.r_[first, len(both)])
-    d, f = np.divmod(both[first], half)
+    d, f = np.divmod(both[first], space)
     share = np.log1p(100.0 * count / words[d])
-    ends = np.searchsorted(d, np.arange(len(off)))
-    # presence, then share, interleaved so that a text's features stay together
-    return np.stack([f, f + half], 1).ravel(), np.stack([np.ones(len(f)), share], 1).ravel(), 2 * ends
+    return f.astype(np.int32), share.astype(np.float32), np.searchsorted(d, np.arange(len(off)))
 
 
 @dataclass
 class Scorer:
-    """Logistic regression over hashed features."""
+    """Logistic regression over hashed features: a weight for presence and one for the share of each."""
 
-    weights: np.ndarray
+    present: np.ndarray
+    share: np.ndarray
     bias: float
 
     def scores(self, array: pa.Array) -> np.ndarray:
         f, v, off = features(array)
-        z = np.r_[0.0, np.cumsum(self.weights[f] * v)]
+        z = np.r_[0.0, np.cumsum(self.present[f] + self.share[f] * v, dtype=np.float64)]
         return 1 / (1 + np.exp(-np.clip(z[off[1:]] - z[off[:-1]] + self.bias, -35, 35)))
 
 
-def fit(texts: list[str], labels: list[int], odds: float, ridge: float = 1e-4, epochs: int = 90, rate: float = 0.1) -> Scorer:
-    """Fits on restored texts by Adam on all rows at once; ``odds`` of label 1 in the population correct for sampling."""
+def _minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 6) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, slope = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, weights = -slope, []
+        for s, g, rho in reversed(past):
+            a = rho * s.dot(way)
+            weights.append(a)
+            way = way - a * g
+        if past:
+            s, g, rho = past[-1]
+            way *= 1 / (rho * g.dot(g))
+        for (s, g, rho), a in zip(past, reversed(weights), strict=True):
+            way = way + s * (a - rho * g.dot(way))
+        down = slope.dot(way)
+        if down > -1e-12:
+            break
+        size = 1.0 if past else 1 / max(1.0, float(np.abs(slope).sum()))
+        for _ in range(25):
+            new, its = loss(x + size * way)
+            if new <= value + 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            break
+        s, g = size * way, its - slope
+        x, slope = x + s, its
+        if s.dot(g) > 1e-12:
+            past = [*past[1 - memory :], (s, g, 1 / s.dot(g))]
+        if value - new < 1e-7:
+            break
+        value = new
+    return x
+
+
+def fit(texts: list[str], labels: list[int], odds: float, ridge: float = 3e-5, steps: int = 25) -> Scorer:
+    """Fits on restored texts by L-BFGS on all rows at once; ``odds`` of label 1 in the population correct for sampling."""
     y = np.array(labels, float)
-    weights = np.zeros(1 << FEATURE_BITS)
+    present, share = np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32)
     if not len(y) or y.min() == y.max():
-        return Scorer(weights, math.log(max(odds, 1e-6)) if len(y) else 0.0)
-    f, v, off = features(pa.array(texts, pa.string()))
-    row = np.repeat(np.arange(len(y)), np.diff(off))
-    used, f = np.unique(f, return_inverse=True)
-    seen = np.bincount(f)
-    keep = (seen >= 3)[f]
+        return Scorer(present, share, math.log(max(odds, 1e-6)) if len(y) else 0.0)
+    parts = [features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)]
+    row = np.concatenate([np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off)) + np.int32(100 * i) for i, (_, _, off) in enumerate(parts)])
+    f, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    keep = (np.bincount(f, minlength=1 << FEATURE_BITS) >= 4)[f]
     row, f, v = row[keep], f[keep], v[keep]
-    w, b = np.zeros(len(used)), math.log(y.mean() / (1 - y.mean()))
-    m, s, mb, sb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    for t in range(1, epochs + 1):
-        z = np.bincount(row, w[f] * v, len(y)) + b
+    used, f = np.unique(f, return_inverse=True)
+    f = f.astype(np.int32)
+    k = len(used)
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, x[f] + x[k + f] * v, len(y)) + x[-1]
         r = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
-        g, gb = np.bincount(f, r[row] * v, len(used)) + ridge * w, r.sum()
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        a, c = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / a) / (np.sqrt(s / c) + 1e-7)
-        b -= rate * (mb / a) / (math.sqrt(sb / c) + 1e-7)
-    weights[used] = w
-    return Scorer(weights, b + math.log(odds) - math.log(y.mean() / (1 - y.mean())))
+        at = r[row]
+        value = float(np.logaddexp(0, z).mean() - (y * z).mean() + ridge / 2 * (x[:-1] ** 2).sum())
+        return value, np.concatenate([np.bincount(f, at, k) + ridge * x[:k], np.bincount(f, at * v, k) + ridge * x[k:-1], [r.sum()]])
+
+    start = np.zeros(2 * k + 1)
+    start[-1] = math.log(y.mean() / (1 - y.mean()))
+    x = _minimum(loss, start, steps)
+    w, u, b = x[:k], x[k:-1], float(x[-1])
+    present[used], share[used] = w, u
+    return Scorer(present, share, b + math.log(odds) - math.log(y.mean() / (1 - y.mean())))
 
 
 def train(docs: DataFrame, labels: DataFrame, model: CharModel, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
