@@ -127,6 +127,17 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(found, key=lambda r: -r[3])
 
 
+def _gate() -> str:
+    """What a text must hold for any rule to match: a use of a license, a name that counts by itself, or a wording's keyword.
+
+    Keywords such as mit are common words elsewhere, so they only count in such a use.
+    """
+    alone = {word for _, word, _, rank in _NAMES if rank >= 3 or word.startswith("cc by")} | {"freebsd", "0bsd"}
+    uses = [r"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered) (?:freely )?under", "licen[cs]e", "spdx"]
+    words = sorted(alone | {word for _, word, _, _, _ in _WORDINGS}) + [*uses, *PHRASES]
+    return "(?i)(?<![^ ])(?:" + "|".join(words) + ")"
+
+
 def normalised(text: Column) -> Column:
     """Words with single blanks between and around them, in their own case."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _GAP, " ")), F.lit(" "))
@@ -209,10 +220,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     found = rules()
     words = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col).cast("string")).alias("w"))
-    keywords = sorted({r[1] for r in found})
-    # the shortest keywords that cover the others; all stand at the start of a word or are searched anywhere
-    core = [k for k in keywords if not any(o != k and o in k for o in keywords)]
-    gate = F.rlike("w", F.lit("(?i)" + "|".join(core)))
+    gate = F.rlike("w", F.lit(_gate()))
     none = F.array().cast("array<struct<label:string,priority:int,strength:double,start:int,end:int>>")
     gated = words.select("doc_id", word_count(F.col("w")).alias("n_words"), F.when(gate, lowered(F.col("w"))).alias("w"))
     hits = F.when(F.col("w").isNotNull(), F.struct(*[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)], _kept_of(found).alias("detections")))
