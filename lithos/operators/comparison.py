@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lithos.functions import sequences
+from lithos.plans.lineage import cut
 
 #: A side of a repo with more leftovers, or a repo with more eligible pairs, gets no fuzzy pairing.
 SIDE_CAP, PAIR_CAP = 256, 4096
@@ -139,15 +140,17 @@ def comparison_plan(base: DataFrame, target: DataFrame, fuzzy: bool = True) -> D
 
     Every path that is not the same on both sides is in one event.
     """
-    status = snapshot_status(base, target)
-    moves = exact_moves(status)
-    old, new = leftovers(status, moves)
+    # ids and sizes only; what follows reads them many times
+    status = cut(snapshot_status(base, target).where("status <> 'unchanged'"))
+    moves = cut(exact_moves(status))
+    old, new = (cut(side) for side in leftovers(status, moves))
     text = lambda s: F.lit(s).cast("string")
     score = F.lit(None).cast("int").alias("score")
     same = status.where("status = 'modified'").select("repo", text("modified").alias("status"), F.col("path").alias("old_path"), "path", "language", score)
     moved = moves.select("repo", text("moved").alias("status"), "old_path", "path", "language", score)
     if fuzzy:
-        found = greedy_moves(similarity_scores(frequency_bounds(eligible_pairs(old, new), base, target), base, target))
+        bounds = cut(frequency_bounds(cut(eligible_pairs(old, new)), base, target))
+        found = cut(greedy_moves(similarity_scores(bounds, base, target)))
         pairs = found.join(new.select("repo", "path", "language"), ["repo", "path"])
         moved = moved.unionAll(pairs.select("repo", text("moved").alias("status"), "old_path", "path", "language", "score"))
         old = old.join(found.select("repo", F.col("old_path").alias("path")), ["repo", "path"], "left_anti")
@@ -204,7 +207,7 @@ def ancestors(nodes: DataFrame, scope: list[str], start: DataFrame, depth: int =
     level = start.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).distinct()
     found = level
     for _ in range(depth):
-        level = level.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).join(found, [*scope, "stable_key"], "left_anti").distinct().checkpoint()
+        level = cut(level.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).join(found, [*scope, "stable_key"], "left_anti").distinct())
         if level.isEmpty():
             break
         found = found.unionAll(level)

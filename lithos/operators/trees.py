@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.plans.lineage import cut
+
 
 def prefixes(path: Column) -> Column:
     """The path and every directory above it, shortest first."""
@@ -32,12 +34,12 @@ def closure(links: DataFrame, scope: list[str], depth: int = 10_000) -> DataFram
     logarithm of the depth; a node on a cycle is never its own ancestor in the
     result. Rounds are checkpointed, so a lost executor costs one round.
     """
-    found = links.where("parent is not null and node <> parent").select(*scope, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct().checkpoint()
+    found = cut(links.where("parent is not null and node <> parent").select(*scope, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
     reach = 1
     while reach < depth:
         far = found.alias("a").join(found.select(*scope, F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more")), [*scope, "ancestor"])
         more = far.where("node <> top").select(*scope, "node", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        new = found.unionAll(more).groupBy(*scope, "node", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        new = cut(found.unionAll(more).groupBy(*scope, "node", "ancestor").agg(F.min("distance").alias("distance")))
         if new.count() == found.count():
             return new
         found, reach = new, reach * 2

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lithos.functions.paths import display_path
 from lithos.lang.items import MODES, Item, ProjectionError
 from lithos.operators import comparison, folds, lines, projection
+from lithos.plans.lineage import cut
 from lithos.sources import git
 
 #: Largest file of areas that is read.
@@ -143,13 +144,13 @@ class Workspace:
         for g in groups:
             if not self._holds(git.listing(self.root, base) + git.listing(self.root, target), g):
                 raise EngineError(f"nothing at {', '.join(g)} on either side")
-        old, new = self._entries(base), self._entries(target)
-        events = comparison.comparison_plan(old, new)
+        old, new = cut(self._entries(base)), cut(self._entries(target))
+        events = cut(comparison.comparison_plan(old, new))
         if groups:
             from lithos.functions.paths import in_scope
 
             events = comparison.scoped(events, lambda c: in_scope(c, [p for g in groups for p in g]))
-        return projection.project_diff(events, old, new, mode)
+        return cut(projection.project_diff(events, old, new, mode))
 
     def diff_text(self, base: str, target: str, mode: str, **options) -> str:
         events = self.diff(base, target, mode, **options).withColumn("id", F.coalesce("path", "old_path"))
