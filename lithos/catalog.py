@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions.paths import within
 from lithos.operators import comparison, lines, search, trees
 from lithos.plans import virtual
+from lithos.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,8 +83,7 @@ def exact_moves(spark, sf_dir):
 
 
 def _left(spark, sf_dir):
-    status = comparison.snapshot_status(*sides(spark, sf_dir))
-    return comparison.leftovers(status, comparison.exact_moves(status))
+    return comparison.pairing(*sides(spark, sf_dir))[2:]
 
 
 @query(f"{_MOVES} SELECT 'old' AS side, repo, language, path, size FROM old_left UNION ALL SELECT 'new', repo, language, path, size FROM new_left")
@@ -108,7 +108,7 @@ def unit_profile(spark, sf_dir):
 
 def _bounds(spark, sf_dir):
     base, target = sides(spark, sf_dir)
-    return comparison.frequency_bounds(comparison.eligible_pairs(*_left(spark, sf_dir)), base, target)
+    return comparison.frequency_bounds(cut(comparison.eligible_pairs(*_left(spark, sf_dir))), base, target)
 
 
 @query(f"{_BOUNDS} SELECT * FROM bounds")
@@ -123,12 +123,12 @@ def bounded_candidates(spark, sf_dir):
 
 @query()
 def similarity_scores(spark, sf_dir):
-    return comparison.similarity_scores(_bounds(spark, sf_dir), *sides(spark, sf_dir))
+    return comparison.similarity_scores(cut(_bounds(spark, sf_dir)), *sides(spark, sf_dir))
 
 
 @query()
 def greedy_moves(spark, sf_dir):
-    return comparison.greedy_moves(similarity_scores(spark, sf_dir))
+    return comparison.greedy_moves(cut(similarity_scores(spark, sf_dir)))
 
 
 @query()

@@ -74,13 +74,35 @@ def similarity(old: str, new: str) -> int:
     return 100 * sum(len(x[i].encode()) for i, _ in common_units(x, y)) // largest
 
 
+def common_length(old: Sequence[Hashable], new: Sequence[Hashable]) -> int:
+    """Length of a longest common subsequence, without the pairs."""
+    places: dict[Hashable, int] = {}
+    for i, unit in enumerate(old):
+        places[unit] = places.get(unit, 0) | 1 << i
+    full = (1 << len(old)) - 1
+    row = full
+    for unit in new:
+        if hit := row & places.get(unit, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return len(old) - row.bit_count()
+
+
 def similarity_at_least(old: str, new: str, least: int) -> int | None:
-    """The score if it reaches ``least``, with a bound by unit counts first."""
+    """The score if it reaches ``least``; bounds by unit counts and by the length of the subsequence come first."""
     largest = max(len(old.encode()), len(new.encode()))
+    if not largest:
+        return 100
     x, y = units_of(old, new)
     bound = sum(len(u.encode()) * n for u, n in (Counter(x) & Counter(y)).items())
-    if largest and 100 * bound // largest < least:
+    if 100 * bound // largest < least:
+        return None
+    n = common_length(x, y)
+    sizes = [sorted((len(u.encode()) for u in z), reverse=True) for z in (x, y)]
+    most = min(sum(z[:n]) for z in sizes)
+    if 100 * most // largest < least:
         return None
+    if not n or sizes[0][0] == sizes[1][0] == 1:
+        return 100 * n // largest  # no unit has more than one byte
     score = similarity(old, new)
     return score if score >= least else None
 
@@ -91,14 +113,12 @@ def patience(old: Sequence[Hashable], new: Sequence[Hashable]) -> list[tuple[int
     work = [(0, len(old), 0, len(new))]
     while work:
         a0, a1, b0, b1 = work.pop()
-        start = len(out)
         while a0 < a1 and b0 < b1 and old[a0] == new[b0]:
             out.append((a0, b0))
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and old[a1 - 1] == new[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
-        del start
         if a0 == a1 or b0 == b1:
             continue
         count_a, count_b = Counter(old[a0:a1]), Counter(new[b0:b1])

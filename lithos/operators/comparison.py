@@ -107,16 +107,14 @@ def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> Da
     return out.withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
 
 
-@F.pandas_udf(IntegerType())
-def _score(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([sequences.similarity(a, b) for a, b in zip(old, new, strict=True)])
-
-
 def similarity_scores(bounded: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
     """Pairs that reach the least score. Only those whose ceiling reaches it meet their texts."""
     pairs = bounded.where(F.col("ceiling") >= least).select("repo", "old_path", "path")
     texts = pairs.join(base.select("repo", F.col("path").alias("old_path"), F.col("text").alias("old_text")), ["repo", "old_path"]).join(target.select("repo", "path", F.col("text").alias("new_text")), ["repo", "path"])
-    return texts.select("repo", "old_path", "path", _score("old_text", "new_text").alias("score")).where(F.col("score") >= least)
+    score = F.pandas_udf(lambda a, b: pd.Series([sequences.similarity_at_least(x, y, least) for x, y in zip(a, b, strict=True)], dtype="Int32"), IntegerType())
+    # scores cost far more than rows: deal pairs evenly, not by repo
+    dealt = texts.repartition("repo", "old_path", "path")
+    return dealt.select("repo", "old_path", "path", score("old_text", "new_text").alias("score")).where("score is not null")
 
 
 def _assign(frame: pd.DataFrame) -> pd.DataFrame:
@@ -135,15 +133,20 @@ def greedy_moves(scores: DataFrame) -> DataFrame:
     return scores.groupBy("repo").applyInPandas(_assign, scores.schema)
 
 
+def pairing(base: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Status of the paths that differ, exact moves, and what is left on each side; ids and sizes only, lineage cut, as what follows reads them many times."""
+    status = cut(snapshot_status(base, target).where("status <> 'unchanged'"))
+    moves = cut(exact_moves(status))
+    old, new = (cut(side) for side in leftovers(status, moves))
+    return status, moves, old, new
+
+
 def comparison_plan(base: DataFrame, target: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Events: repo, status (added, deleted, modified, moved), old_path, path, language, score (of fuzzy moves).
 
     Every path that is not the same on both sides is in one event.
     """
-    # ids and sizes only; what follows reads them many times
-    status = cut(snapshot_status(base, target).where("status <> 'unchanged'"))
-    moves = cut(exact_moves(status))
-    old, new = (cut(side) for side in leftovers(status, moves))
+    status, moves, old, new = pairing(base, target)
     text = lambda s: F.lit(s).cast("string")
     score = F.lit(None).cast("int").alias("score")
     same = status.where("status = 'modified'").select("repo", text("modified").alias("status"), F.col("path").alias("old_path"), "path", "language", score)

@@ -83,12 +83,20 @@ def history_steps(commits: DataFrame, scope: list[str], target: DataFrame, base:
     """First-parent steps from each scope's target down to its base, newest first: parent, commit, position from 1.
 
     ``commits`` have scope, commit, parent; ``target`` and ``base`` scope and commit. A
-    base that is no ancestor is an error, given as one row without parent.
+    base that is no ancestor is an error, given as one row without parent. Rounds
+    follow the logarithm of the longest chain.
     """
-    links = commits.select(*scope, F.col("commit").alias("node"), "parent")
-    up = closure(links, scope)
-    above = up.join(target.select(*scope, F.col("commit").alias("node")), [*scope, "node"]).select(*scope, F.col("ancestor").alias("commit"), "distance")
-    chain = above.unionAll(target.select(*scope, "commit", F.lit(0).alias("distance")))
+    chain = cut(target.select(*scope, "commit", F.lit(0).cast("long").alias("distance")))
+    jump = cut(commits.where("parent is not null").select(*scope, "commit", F.col("parent").alias("up")))
+    reach = 1
+    while True:
+        # everything within 2 * reach steps, by jumps of reach; rows stay as many as commits
+        more = cut(chain.join(jump, [*scope, "commit"]).select(*scope, F.col("up").alias("commit"), (F.col("distance") + reach).alias("distance")))
+        if more.isEmpty():
+            break
+        chain = chain.unionAll(more)
+        jump = cut(jump.join(jump.select(*scope, F.col("commit").alias("up"), F.col("up").alias("far")), [*scope, "up"]).select(*scope, "commit", F.col("far").alias("up")))
+        reach *= 2
     stop = chain.join(base.select(*scope, "commit"), [*scope, "commit"]).select(*scope, F.col("distance").alias("stop"))
     steps = chain.join(stop, scope).where("distance < stop").join(commits.select(*scope, "commit", "parent"), [*scope, "commit"])
     found = steps.select(*scope, "parent", "commit", (F.col("distance") + 1).cast("long").alias("position"))

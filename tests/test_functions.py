@@ -30,6 +30,14 @@ def test_common_units_are_a_longest_common_subsequence(a, b):
     assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé\n", max_size=30), st.text("abé\n", max_size=30), st.integers(0, 100))
+def test_bounds_never_change_a_score(a, b, least):
+    assert sequences.common_length(a, b) == lcs(a, b)
+    score = sequences.similarity(a, b)
+    assert sequences.similarity_at_least(a, b, least) == (score if score >= least else None)
+
+
 @settings(max_examples=300, deadline=None)
 @given(small, small)
 def test_aligned_rows_give_both_texts_again(a, b):
