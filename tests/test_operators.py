@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lithos.operators import comparison, folds, lines, search, trees
+from lithos.operators import comparison, documents, folds, lines, projection, search, trees
 from lithos.plans import virtual
 
 ENTRY = "repo string, path string, language string, text string"
@@ -133,3 +133,18 @@ def test_search(spark):
     assert search.line_matches(texts, ["id"], "").count() == 0
     names = spark.createDataFrame([("alpha beta", 0), ("ab", 1), ("xyz", 2)], "name string, position int")
     assert [r.name for r in search.fuzzy_rank(names, "ab").collect()] == ["ab", "alpha beta"]
+
+
+def test_json_documents(spark):
+    import json
+
+    def rows(source):
+        return projection.items(spark.createDataFrame([("r", "a.py", "python", source), ("r", "b.py", "python", "")], ENTRY), ["repo", "path"])
+
+    old, new = rows("class A:\n    x: int\n"), rows("class A:\n    y: int\n\ndef f(): ...\n")
+    shown = json.loads(documents.show_document(new, ["repo", "path"], "types", None).first().document)
+    assert [f["path"] for f in shown["files"]] == ["a.py"] and [i["name"] for i in shown["files"][0]["items"]] == ["A", "y"]
+    assert [(o["name"], o["retained_in_mode"]) for o in shown["files"][0]["outline"]] == [("A", True), ("y", True), ("f", False)]
+    events = spark.createDataFrame([("r", "modified", "a.py", "a.py", "python")], "repo string, status string, old_path string, path string, language string")
+    made = json.loads(documents.diff_document(events, old, new, "types", "one", "two").first().document)
+    assert made["files"][0]["base"]["items"][1]["name"] == "x" and made["files"][0]["target"]["items"][1]["name"] == "y" and made["base"] == "one"
