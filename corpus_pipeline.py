@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm import decontaminate, minhash, packing, pii, toxicity
-from lithos.llm.shared import materialize
+from lithos.llm.shared import materialize, tune
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose restored form scores as toxic go."""
+    tune(spark)
     model = toxicity.char_model(docs)
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), model)
     return toxicity.without_toxic(docs, model, scorer)
@@ -22,6 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    tune(spark)
     found = minhash.near_duplicates(docs, k=5, percent=80)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

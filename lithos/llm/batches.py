@@ -6,6 +6,8 @@ bytes; no Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +26,13 @@ _SPACE_WORD = np.ones(256, bool)
 _SPACE_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task should not hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about ``limit`` bytes of text each."""
     for batch in batches:
@@ -36,6 +45,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def _offsets(array: pa.Array) -> np.ndarray:
@@ -65,7 +75,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > cls.size:
-            cls.size = max(n, 2 * cls.size, 1 << 16)
+            cls.size = max(n + n // 8, 1 << 16)
             with np.errstate(over="ignore"):
                 cls.up, cls.down = (np.cumprod(np.r_[U64(1), np.full(cls.size, U64(p), U64)]) for p in (_P, _PINV))
         return cls.up, cls.down

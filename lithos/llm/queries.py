@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, merkle, minhash, packing, pii, style_tree, token_files, toxicity
-from .shared import new_path
+from .shared import new_path, tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

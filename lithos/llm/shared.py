@@ -39,6 +39,13 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tune(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller batches between JVM and Python than Spark's 10,000 rows, as rows are whole texts; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table; results that still read them become invalid."""
     jvm = spark.sparkContext._jvm

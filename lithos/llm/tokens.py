@@ -20,7 +20,7 @@ from .batches import _LOWER, _Powers, mix, text_bytes
 
 U64 = np.uint64
 #: Units that one Python worker remembers before it starts afresh.
-UNITS = 3 << 19
+UNITS = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -105,7 +105,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.table = _Table(22)
+        self.table = _Table(21)
         self.n, self.used = 0, 0
         self.start, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
 
