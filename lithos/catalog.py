@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions.blobs import content_id
 from lithos.functions.paths import within
 from lithos.operators import comparison, lines, search, trees
 from lithos.plans import virtual
@@ -230,6 +231,33 @@ def stable_key_join(spark, sf_dir):
     return comparison.declaration_changes(declared(base), declared(target), moves).select("repo", "path", "stable_key", "status")
 
 
+def declared_lines(files: DataFrame) -> DataFrame:
+    """Every line of a file as a declaration, the first being the parent of the others; its text as a digest, which is all a comparison needs."""
+    rows = files.select("repo", "path", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    key = lambda i: F.concat("path", F.lit("::"), i.cast("string"))
+    return rows.select("repo", "path", key(F.col("i") + 1).alias("stable_key"), F.when(F.col("i") > 0, key(F.lit(1))).alias("parent_key"), content_id(F.col("text")).alias("text"), F.lit(True).alias("retained"))
+
+
+@query(
+    f"""{_MOVES}, b AS (SELECT b.repo, coalesce(m.path, b.path) AS path, b.text FROM base b LEFT JOIN moves m ON m.repo = b.repo AND m.old_path = b.path),
+x AS (SELECT repo, path, generate_subscripts(a, 1) AS i, unnest(a) AS text FROM (SELECT repo, path, string_split(text, chr(10)) AS a FROM b)),
+y AS (SELECT repo, path, generate_subscripts(a, 1) AS i, unnest(a) AS text FROM (SELECT repo, path, string_split(text, chr(10)) AS a FROM target)),
+r AS (SELECT repo, path, i, CASE WHEN y.text IS NULL THEN 'deleted' WHEN x.text IS NULL THEN 'added' WHEN x.text <> y.text THEN 'changed' END AS status FROM x FULL JOIN y USING (repo, path, i))
+SELECT repo, path, path || '::' || i AS stable_key, status FROM r WHERE status IS NOT NULL AND NOT (i = 1 AND EXISTS (SELECT 1 FROM r c WHERE c.status IS NOT NULL AND c.i > 1 AND c.repo = r.repo AND c.path = r.path))"""
+)
+def stable_key_join_lines(spark, sf_dir):
+    """``stable_key_join`` over all lines of every file; that query and its SQL end at the third.
+
+    Files of one content on both sides, in place or moved, have nothing to report and are left out before lines are made.
+    """
+    base, target = sides(spark, sf_dir)
+    status = cut(comparison.snapshot_status(base, target))
+    moves, same = cut(comparison.exact_moves(status)), status.where("status = 'unchanged'").select("repo", "path")
+    old = base.join(same.unionAll(moves.select("repo", F.col("old_path").alias("path"))), ["repo", "path"], "left_anti")
+    new = target.join(same.unionAll(moves.select("repo", "path")), ["repo", "path"], "left_anti")
+    return comparison.declaration_changes(cut(declared_lines(old)), cut(declared_lines(new))).select("repo", "path", "stable_key", "status")
+
+
 def _modified(spark, sf_dir):
     base, target = sides(spark, sf_dir)
     changed = comparison.snapshot_status(base, target).where("status = 'modified'").select("repo", "path")

@@ -85,6 +85,17 @@ def test_moved_declarations_are_rebased(spark):
     assert [(r.stable_key, r.status) for r in found] == [("b.py::class::C::method::m", "changed")]
 
 
+def test_lines_past_the_third_are_declarations(spark, tmp_path):
+    from lithos import catalog
+
+    text = "\n".join(f"line {i}" for i in range(1, 8))
+    docs = [(3, text, "en", "r"), (10, "one", "en", "r"), (7, text, "en", "r"), (4, text + "\nmoved", "en", "r"), (2, text, "en", "r")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.stable_key, r.status) for r in catalog.QUERIES["stable_key_join_lines"](spark, str(tmp_path)).collect()}
+    new = {(f"en/00000007.txt::{i}", "added") for i in range(2, 8)}
+    assert found == {("en/00000003.txt::7", "changed"), ("en/00000010.txt::1", "changed")} | new
+
+
 def test_lines(spark):
     pairs = spark.createDataFrame([(1, "a\nb\nc\n", "a\nx\ny\nc\n"), (2, None, "n"), (3, "", "")], "id long, old_text string, new_text string")
     rows = lines.aligned_rows(pairs, ["id"])
