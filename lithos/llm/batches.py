@@ -91,8 +91,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text with A-Z lower-cased, and each text's offsets among them."""
+def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_WORD, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text with A-Z lower-cased (``fold``), and each text's offsets among them."""
     n = len(data)
     if not n:
         return np.zeros(0, U64), np.zeros(len(off), np.int64)
@@ -107,19 +107,19 @@ def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     up, down = _Powers.get(n)
     total = np.zeros(n + 1, U64)
-    np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
+    np.cumsum(((_LOWER[data] if fold else data).astype(U64) + U64(1)) * up[:n], out=total[1:])
     h = (total[end] - total[start]) * down[start]
     h += (end - start).astype(U64) * U64(0xA24BAED4963EE407)
     return mix(h), np.searchsorted(start, off).astype(np.int64)
 
 
-def shingles(array: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(array: pa.Array, k: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words of each text, and each text's offsets among them.
 
     A text of fewer words has its whole sequence as one shingle; one without
     words or null has none. Repeated shingles stay.
     """
-    words, woff = word_hashes(*text_bytes(array))
+    words, woff = word_hashes(*text_bytes(array), fold=fold)
     count = np.diff(woff)
     with np.errstate(over="ignore"):
         n = max(0, len(words) - k + 1)

@@ -15,9 +15,12 @@ footers, forms, scripts and the like, by tag, role or class, are never content;
 within an ``article`` or ``main`` a branch is removed only if the tree of all
 hosts agrees.
 
-Counting is by (host, path, run of words) with sums made before the shuffle, so
-a large host is no bottleneck. The resulting importances go to the executors if
-they are at most ``SENT_ROWS``; else pages meet them by host and salt.
+All runs of words of every block count. Counting is by (host, path, run of
+words) with sums made before the shuffle, and what is counted is dealt to
+``GROUPS`` by its hash alone, many records packed in one row, so a large host is
+no bottleneck. A host is known by a hash of 63 bits, a run by one of 50. The
+resulting importances go to the executors if they are at most ``SENT_ROWS``;
+else pages meet them by host and salt.
 """
 
 from __future__ import annotations
@@ -27,18 +30,19 @@ import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import U64, mix, shingles, slices, trim
 
 #: Branches below this importance go; hosts of fewer pages use the tree of all hosts.
 LEAST, FEW_PAGES = 0.35, 8
 #: Share of the parent's presentation in a leaf's importance.
 PRESENTATION = 0.1
-#: Words of a run, and runs of a block that count: those with the smallest hashes.
-RUN, RUNS = 4, 2
+#: Words of a run; groups that counted features are dealt to; features that a task holds, and nodes with sums, before it sends them on.
+RUN, GROUPS, HELD, HELD_SUMS = 4, 1 << 10, 1 << 21, 1 << 18
 #: Most rows of (host, path) that are sent to every executor: some 20 MB.
 SENT_ROWS, SALTS = 400_000, 32
 
@@ -156,54 +160,175 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _runs(text: str) -> list[int]:
-    words = text.split()
-    if len(words) <= RUN:
-        return [crc32(text.encode("utf-8", "surrogatepass")) + 1]
-    return sorted({crc32(" ".join(words[i : i + RUN]).encode("utf-8", "surrogatepass")) + 1 for i in range(len(words) - RUN + 1)})[:RUNS]
+def host_key(url: str | None) -> int:
+    """A hash of the url's host, of 63 bits."""
+    host = host_of(url).encode("utf-8", "surrogatepass")
+    return crc32(host) | (crc32(host, 0x5BD1E995) & 0x7FFFFFFF) << 32
+
+
+#: A node of a host's tree with one kind of feature: what 0 is pages with that leaf, 1 runs of words, 2 sequences of children.
+_NODE = np.dtype([("host", np.int64), ("path", np.int64), ("parent", np.int64), ("what", np.int64)])
+
+
+def _packed(features: np.ndarray, nodes: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """How often each feature occurs at each node, a row for each group of features."""
+    place = (features >> U64(40)).astype(np.int64) << 32 | nodes
+    order = np.lexsort((features, place))
+    features, place = features[order], place[order]
+    first = np.flatnonzero(np.r_[True, (features[1:] != features[:-1]) | (place[1:] != place[:-1])])
+    n = np.diff(np.r_[first, len(place)]).astype(np.uint32)
+    features, place = features[first], place[first]
+    low = features.view(np.uint8).reshape(-1, 8)[:, :5]
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # of a node within a group
+    sizes = np.diff(np.r_[start, len(place)]).astype(np.uint32)
+    group = place[start] >> 32
+    edge = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+    rows = []
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        a, b = int(start[i]), int(start[j]) if j < len(start) else len(place)
+        own = known[place[start[i:j]] & 0xFFFFFFFF]
+        head = b"".join([own[k].tobytes() for k in _NODE.names] + [sizes[i:j].tobytes(), n[a:b].tobytes()])
+        rows.append((int(group[i]), j - i, b - a, pa.compress(head, "zstd", asbytes=True), low[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["group", "nodes", "features", "head", "low"])
+
+
+def _unpacked(nodes: int, features: int, head: bytes, low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row's nodes, how many features each has, the features and their counts."""
+    head = pa.decompress(head, (8 * len(_NODE.names) + 4) * nodes + 4 * features, "zstd", asbytes=True)
+    known = np.zeros(nodes, _NODE)
+    for i, k in enumerate(_NODE.names):
+        known[k] = np.frombuffer(head, np.int64, nodes, 8 * nodes * i)
+    at = 8 * nodes * len(_NODE.names)
+    wide = np.zeros((features, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    return known, np.frombuffer(head, np.uint32, nodes, at), wide.view(np.int64).ravel(), np.frombuffer(head, np.uint32, features, at + 4 * nodes)
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, what, feature): what 0 is a page with that leaf, 1 a run of words, 2 a sequence of children."""
+    """What pages hold, packed; a page counts once for each node and feature."""
+    known: dict[tuple[int, int, int, int], int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sent() -> pa.RecordBatch:
+        out = _packed(np.concatenate([f for f, _ in held]), np.concatenate([n for _, n in held]), np.array(list(known), _NODE))
+        known.clear()
+        held.clear()
+        return out
+
     for batch in slices(batches, "html"):
-        counts: dict[tuple[str, int, int, int], int] = {}
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host = host_of(url)
+        single: list[tuple[int, int]] = []  # features that are not runs, and their nodes
+        texts: list[str] = []
+        places: list[int] = []
+        for page_no, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            host = host_key(url)
             blocks, children = parse(page or "")
-            seen = set()
+            leaves = set()
             for b in blocks:
                 if b.noise:
                     continue  # its elements say already that it is none
-                seen.add((host, b.path, 0, b.parent))
-                seen.update((host, b.path, 1, r) for r in _runs(b.text))
-            seen.update((host, p, 2, c) for p, c in children.items())
-            for key in seen:
-                counts[key] = counts.get(key, 0) + 1
-        if counts:
-            hosts, paths, what, feature = zip(*counts, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(what, pa.int32()), pa.array(feature, pa.int64()), pa.array(counts.values(), pa.int64())], names=["host", "path", "what", "feature", "n"])
+                leaves.add((b.path, b.parent))
+                texts.append(b.text)
+                places.append(page_no << 32 | known.setdefault((host, b.path, 0, 1), len(known)))
+            single.extend((path, known.setdefault((host, path, parent, 0), len(known))) for path, parent in leaves)
+            single.extend((c, known.setdefault((host, p, 0, 2), len(known))) for p, c in children.items())
+        if single:
+            f, n = zip(*single, strict=True)
+            held.append((mix(np.array(f, U64)) >> U64(14), np.array(n, np.int64)))
+        if texts:
+            h, off = shingles(pa.array(texts, pa.string()), RUN, fold=False)
+            h, place = h >> U64(14), np.repeat(np.array(places, np.int64), np.diff(off))
+            order = np.lexsort((h, place))
+            h, place = h[order], place[order]
+            keep = np.ones(len(h), bool)
+            keep[1:] = (h[1:] != h[:-1]) | (place[1:] != place[:-1])
+            held.append((h[keep], place[keep] & 0xFFFFFFFF))
+        if sum(len(f) for f, _ in held) >= HELD:
+            yield sent()
+    if held:
+        yield sent()
+
+
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(columns[0]), U64)
+    for c in columns:
+        h = mix(h + c.astype(U64))
+    return h
+
+
+def _sums(known: np.ndarray, count: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same sums with a row for each node; host -1 is all hosts."""
+    _, first, at = np.unique(_keys(known["host"], known["path"], known["what"]), return_index=True, return_inverse=True)
+    return known[first], np.bincount(at, count, len(first)), np.bincount(at, logs, len(first))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of their groups: of each node the sums of n and of n * log(n) over a task's features, of its host (not null) and of all hosts (null)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def close(parts: list[tuple]) -> None:
+        known = np.concatenate([p[0] for p in parts])
+        feature, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
+        sizes = np.concatenate([p[1] for p in parts])
+        for all_hosts in (False, True):
+            if all_hosts:
+                known["host"] = -1
+            _, first, at = np.unique(_keys(known["host"], known["path"], known["what"]), return_index=True, return_inverse=True)
+            node = np.repeat(at, sizes)
+            order = np.lexsort((feature, node))
+            f, d = feature[order], node[order]
+            start = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (d[1:] != d[:-1])])
+            total = np.add.reduceat(n[order], start)
+            held.append((known[first], np.bincount(d[start], total, len(first)), np.bincount(d[start], total * np.log(total), len(first))))
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = _sums(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held[:] = [out]
+        return out
+
+    def sent() -> pa.RecordBatch:
+        known, count, logs = joined()
+        held.clear()
+        host = pa.array(known["host"], mask=known["host"] == -1)
+        return pa.RecordBatch.from_arrays([host, pa.array(known["path"]), pa.array(known["parent"]), pa.array(known["what"].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(logs)], names=["host", "path", "parent", "what", "n", "nlog"])
+
+    group, parts = None, []
+    for batch in batches:
+        for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if g != group and parts:
+                close(parts)
+                parts = []
+                if sum(len(k) for k, _, _ in held) > HELD_SUMS and len(joined()[0]) > HELD_SUMS // 2:
+                    yield sent()
+            group = g
+            parts.append(_unpacked(*row))
+    if parts:
+        close(parts)
+    if held:
+        yield sent()
+    trim()
 
 
 def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, site, all): a leaf's importance in its host's tree (null on hosts of few pages) and in that of all hosts."""
-    seen = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_observe, "host string, path long, what int, feature long, n long")
-    seen = seen.groupBy("host", "path", "what", "feature").agg(F.sum("n").alias("n"))
+    """(host, path, site, all): a leaf's importance in its host's tree (null on hosts of few pages) and in that of all hosts. Hosts are their keys."""
+    from .shared import materialize
+
+    seen = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_observe, "group int, nodes int, features int, head binary, low binary")
+    seen = seen.repartition("group").sortWithinPartitions("group").mapInArrow(_counted, "host long, path long, parent long, what int, n long, nlog double")
+    seen = materialize(seen, "style-counts")
 
     def tree(rows: DataFrame, by: list[str]) -> DataFrame:
         """Pages, mean of 1 - log_m(k) over runs, and the entropy of children, for each node."""
-        log = F.col("n") * F.log("n")
-        is_ = lambda w: F.col("what") == w
+        of = lambda w, c: F.sum(F.when(F.col("what") == w, F.col(c)))
         sums = rows.groupBy(*by, "path").agg(
-            F.max(F.when(is_(0), F.col("feature"))).alias("parent"), F.sum(F.when(is_(0), F.col("n"))).alias("m"),
-            F.sum(F.when(is_(1), F.col("n"))).alias("k"), F.sum(F.when(is_(1), log)).alias("klog"),
-            F.sum(F.when(is_(2), F.col("n"))).alias("c"), F.sum(F.when(is_(2), log)).alias("clog"),
+            F.max(F.when(F.col("what") == 0, F.col("parent"))).alias("parent"), of(0, "n").alias("m"),
+            of(1, "n").alias("k"), of(1, "nlog").alias("klog"), of(2, "n").alias("c"), of(2, "nlog").alias("clog"),
         )
         leaves = sums.where("m is not null").select(*by, "path", "parent", "m", F.when(F.col("m") > 1, 1 - F.least(F.lit(1.0), F.col("klog") / F.col("k") / F.log("m"))).otherwise(1.0).alias("content"))
         inner = sums.where("c is not null").select(*by, F.col("path").alias("parent"), F.when(F.col("c") > 1, (F.log("c") - F.col("clog") / F.col("c")) / F.log("c")).otherwise(1.0).alias("style"))
         return leaves.join(inner, [*by, "parent"], "left").select(*by, "path", "m", (PRESENTATION * F.coalesce("style", F.lit(0.0)) + (1 - PRESENTATION) * F.col("content")).alias("importance"))
 
-    site = tree(seen, ["host"]).select("host", "path", F.when(F.col("m") >= FEW_PAGES, F.col("importance")).alias("site"))
-    every = tree(seen.groupBy("path", "what", "feature").agg(F.sum("n").alias("n")), []).select("path", F.col("importance").alias("every"))
+    site = tree(seen.where("host is not null"), ["host"]).select("host", "path", F.when(F.col("m") >= FEW_PAGES, F.col("importance")).alias("site"))
+    every = tree(seen.where("host is null"), []).select("path", F.col("importance").alias("every"))
     return site.join(every, "path").select("host", "path", "site", F.col("every").alias("all"))
 
 
@@ -221,14 +346,14 @@ def main_text(page: str | None, site: dict[int, float | None], every: dict[int,
     return "\n".join(b.text for b in clean if stays(b))
 
 
-def _extract(known: dict[str, tuple[dict, dict]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _extract(known: dict[int, tuple[dict, dict]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """known: importances by host; else rows bring those of their host as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             urls, pages = batch.column("url"), batch.column("html").to_pylist()
             if known is not None:
-                trees = [known.get(host_of(u), ({}, {})) for u in urls.to_pylist()]
+                trees = [known.get(host_key(u), ({}, {})) for u in urls.to_pylist()]
             else:
                 trees = [({r["path"]: r["site"] for r in x or ()}, {r["path"]: r["all"] for r in x or ()}) for x in batch.column("tree").to_pylist()]
             texts = [main_text(p, *t) for p, t in zip(pages, trees, strict=True)]
@@ -252,13 +377,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long"
     trees = materialize(importances(rows), "style-trees")
     if trees.count() <= sent_rows:
-        known: dict[str, tuple[dict, dict]] = {}
+        known: dict[int, tuple[dict, dict]] = {}
         for r in trees.collect():
             site, every = known.setdefault(r.host, ({}, {}))
             site[r.path], every[r.path] = r.site, r.all
         return rows.mapInArrow(_extract(known), schema)
     by_host = trees.groupBy("host").agg(F.collect_list(F.struct("path", "site", "all")).alias("tree"))  # a host's own paths
     by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    host = F.udf(host_of, "string")
+    host = F.udf(host_key, "long")
     salted = rows.withColumn("host", host("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     return salted.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "tree").mapInArrow(_extract(None), schema)

@@ -441,6 +441,44 @@ def test_style_trees_find_noise_without_telling_names(spark):
     assert {r.page_id: r.text for r in style_tree.extract(table, sent_rows=0).collect()} == found
 
 
+def test_all_runs_of_a_block_count(spark):
+    import math
+
+    stock = " ".join(f"stock{i}" for i in range(20))
+    pages = [f"<body><div class=x><p>{stock} " + " ".join(f"w{i}x{j}" for j in range(60)) + "</p></div><p>short One</p></body>" for i in range(30)]
+    table = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.path: (r.site, r.all) for r in style_tree.importances(table).collect()}
+    runs: dict[int, Counter] = {}
+    for p in pages:
+        for b in style_tree.parse(p)[0]:
+            w = b.text.split()
+            runs.setdefault(b.path, Counter()).update({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))})
+    assert len(runs) == 2 and found.keys() == runs.keys()
+    for path, n in runs.items():  # every page has the same children, so only content counts
+        content = 1 - sum(k * math.log(k) for k in n.values()) / sum(n.values()) / math.log(30)
+        assert found[path] == pytest.approx((0.9 * content, 0.9 * content))
+
+
+def test_counts_do_not_depend_on_how_they_are_sent(monkeypatch):
+    import pyarrow as pa
+
+    rows = [(f"http://{i % 3}.example/", f"<div><p>a b c d e {i % 5} f g</p><p>x y {i}</p></div>") for i in range(40)]
+
+    def counted(size):
+        parts = [b for i in range(0, 40, size) for b in style_tree._observe(iter([pa.RecordBatch.from_pylist([{"url": u, "html": h} for u, h in rows[i : i + size]])]))]
+        one = pa.Table.from_batches(parts).sort_by("group").combine_chunks().to_batches()
+        total: Counter = Counter()
+        for r in pa.Table.from_batches(style_tree._counted(iter(one))).to_pylist():
+            total.update({(r["host"], r["path"], r["what"], k): r[k] for k in ("n", "nlog")})
+        return total
+
+    whole = counted(40)
+    assert whole == pytest.approx(counted(7))
+    monkeypatch.setattr(style_tree, "HELD", 1)
+    monkeypatch.setattr(style_tree, "HELD_SUMS", 2)
+    assert whole == pytest.approx(counted(7))
+
+
 def test_odd_pages(spark):
     shapes = [None, "", "plain text only &amp; more", "<p>unclosed <b>bold<br>line<p>next", "<article><p>A<script>x='</p>'</script> b</p><div class='comments'><p>reader</p></div></article><footer>f</footer>", "<ul><li>one<li>two</ul>", "<!-- <p>no</p> --><p>yes &lt;tag&gt; &eacute;</p>", "<p a=\"x>y\">q</p><", "<main><form><p>f</p></form><p>m</p></main>", "<p>" * 3000 + "deep"]
     rows = [(i, None if i % 2 else "http://a.b/c", h, "z") for i, h in enumerate(shapes)] + [(3, "x", shapes[3], "z")]
