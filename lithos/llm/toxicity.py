@@ -2,7 +2,8 @@
 
 A token that someone may have disguised becomes a lattice: each sign may stand
 for the letters it looks like, a run of one letter for one or two of them, and
-single letters with blanks, dots or the like between them for one word. A
+single letters with blanks, dots or the like between them for one word, however
+long. A
 character language model, counted over the whole corpus, weighs the letters, a
 channel charges for each change, and Viterbi's algorithm finds the likeliest
 reading. A plain token's lattice has one path, the token itself, so only texts
@@ -48,11 +49,20 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _SIGNS = "".join(LOOKS)
 CHANGE, DROP = 1.0, 0.3
 
-_disguised = re.compile(rf"(?<![A-Za-z0-9@$|+])[A-Za-z0-9@$!|+]{{3,20}}(?![A-Za-z0-9@$|+])")
-_spaced = re.compile(rf"(?<![^\W_])(?:[A-Za-z{re.escape(_SIGNS)}]([ .*_-]))(?:[A-Za-z{re.escape(_SIGNS)}]\1){{1,10}}[A-Za-z{re.escape(_SIGNS)}](?![^\W_])")
+_disguised = re.compile(rf"(?<![A-Za-z0-9@$|+])[A-Za-z0-9@$!|+]{{3,}}(?![A-Za-z0-9@$|+])")
+_spaced = re.compile(rf"(?<![^\W_])(?:[A-Za-z{re.escape(_SIGNS)}]([ .*_-]))(?:[A-Za-z{re.escape(_SIGNS)}]\1)+[A-Za-z{re.escape(_SIGNS)}](?![^\W_])")
 _repeat = re.compile(r"([a-z])\1\1")
 
 
+def _spelled(way: tuple) -> str:
+    """The letters along a way, which is the way before and its last letters; so a long token's readings share what they have in common."""
+    out = []
+    while way:
+        way, letters = way
+        out.append(letters)
+    return "".join(reversed(out))
+
+
 @dataclass
 class CharModel:
     """Logarithms of trigram probabilities over 28 classes: 0 boundary, 1-26 letters, 27 any other letter."""
@@ -71,10 +81,10 @@ class CharModel:
     def read(self, options: list[list[tuple[str, float]]]) -> str:
         """The likeliest letters: at each place one of (letters, cost), with a word's boundaries around."""
         logs = self.logs
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for place in options:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (value, text) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (value, before) in states.items():
                 for letters, cost in place:
                     x, y, v = a, b, value - cost
                     for ch in letters:
@@ -82,9 +92,9 @@ class CharModel:
                         v += logs[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or new[x, y][0] < v:
-                        new[x, y] = (v, text + letters)
+                        new[x, y] = (v, (before, letters))
             states = new
-        return max((v + logs[a, b, 0], t) for (a, b), (v, t) in states.items())[1]
+        return max((v + logs[a, b, 0], _spelled(way)) for (a, b), (v, way) in states.items())[1]
 
     def token(self, token: str) -> str:
         """A token restored: its letters, or the token itself where it is no disguise."""

@@ -395,6 +395,18 @@ def test_disguised_words_are_restored(spark, small):
         assert model.restore(plain) == plain
 
 
+def test_disguises_of_any_length_are_restored(spark):
+    model = toxicity.char_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert model.restore("the st" + "u" * 17 + "pid one") == "the stupid one"
+    assert model.restore("the 1d" + "1" * 5000 + "0t one") == "the idiot one"
+    long = "incomprehensibilities"
+    for sep in " .-":
+        assert model.restore(f"an {sep.join(long)}, no") == f"an {long}, no"
+    mixed = "l0s3r" * 4000  # no runs to collapse
+    found = model.restore(f"{mixed} and {' '.join(mixed)}").split(" and ")
+    assert found[0] == found[1] == "loser" * 4000
+
+
 def test_held_out_documents_are_told_apart(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
