@@ -22,8 +22,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row of the smallest id stays.
+
+    Where ids repeat or are null, rows are compared by a key of their own, so of
+    rows with one id or none still one stays; a null counts as the largest id.
+    """
     tune(spark)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
+        keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+        found = minhash.near_duplicates(keyed, k=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+        first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s"))
+        return keyed.join(first.select("s._row"), "_row", "left_semi").select(docs.columns)
     found = minhash.near_duplicates(docs, k=5, percent=80)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -48,6 +48,16 @@ def test_stages(spark, small):
     assert lengths == total
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, two, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "other words that stand here once and nowhere else at all", "a b c d e f g h i j k l m n o p q r s t u v w x y z0"
+    rows = [(3, one), (3, one), (None, one), (5, near), (3, two), (None, two), (None, "text of a null id that has no copy"), (None, ""), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert made.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in made.collect()), key=str)
+    assert found == sorted([(3, one), (3, two), (None, rows[6][1]), (None, ""), (None, ""), (9, None)], key=str)
+
+
 def test_run_is_the_stages_one_after_the_other(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
