@@ -209,6 +209,18 @@ def test_packing(spark, docs, empty):
     assert packing.cuts(4096 * 2 + 5) == [4096, 4096, 4, 1] and packing.cuts(0) == []
 
 
+def test_pieces_leave_in_buckets_of_equal_length(spark, docs):
+    table = spark.createDataFrame(docs + ODD, "doc_id long, text string").repartition(3)
+    found = packing.pack(table).withColumn("task", F.spark_partition_id()).collect()
+    for task in range(3):
+        rows = [(r.seq_len, r.sequence_id) for r in found if r.task == task]
+        assert [n for n, _ in rows] == sorted((n for n, _ in rows), reverse=True) and len({n for n, _ in rows}) > 5
+        for size in {n for n, _ in rows}:
+            ids = [i for n, i in rows if n == size]
+            assert ids == list(range(ids[0], ids[0] + len(ids)))
+    assert len({r.sequence_id for r in found}) == len(found)
+
+
 # -- fingerprints ------------------------------------------------------------
 
 
