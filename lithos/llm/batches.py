@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ U64 = np.uint64
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 
-_P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
-_PINV = pow(_P, -1, 1 << 64)
+_K, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+#: What of eight loaded bytes belongs to a span with so many bytes left.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,19 +72,6 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[int(first) : int(first + off[-1])] if data is not None else np.zeros(0, np.uint8)), off
 
 
-class _Powers:
-    size = 0
-    up = down = np.ones(0, U64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.size:
-            cls.size = max(n + n // 8, 1 << 16)
-            with np.errstate(over="ignore"):
-                cls.up, cls.down = (np.cumprod(np.r_[U64(1), np.full(cls.size, U64(p), U64)]) for p in (_P, _PINV))
-        return cls.up, cls.down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> U64(30))
@@ -91,11 +82,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_WORD, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text with A-Z lower-cased (``fold``), and each text's offsets among them."""
+def loads(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; ``padded`` has eight bytes more than places."""
+    return np.ndarray((len(padded) - 8,), "<u8", padded, 0, (1,))
+
+
+def padded(data: np.ndarray, fold: bool) -> np.ndarray:
+    """A copy with eight zero bytes behind it, A-Z lower-cased if ``fold``."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    out[:-8] = _LOWER[data] if fold else data
+    return out
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of padded bytes, eight bytes at a time.
+
+    Every step is a bijection of what it adds, and none is linear, so no family
+    of texts collides as it would under a polynomial.
+    """
+    eight = loads(data)
+    h = mix((eight[start] & FIRST[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(_K)))
+    more, t = np.flatnonzero(size > 8), 8
+    while len(more) and t < LONG:
+        h[more] = mix(h[more] ^ (eight[start[more] + t] & FIRST[np.minimum(size[more] - t, 8)]))
+        t += 8
+        more = more[size[more] > t]
+    for i in more.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts."""
     n = len(data)
-    if not n:
-        return np.zeros(0, U64), np.zeros(len(off), np.int64)
     inside = is_word[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
@@ -104,13 +123,15 @@ def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_
     edge = off[(off > 0) & (off < n)]
     before[edge] = False
     after[edge - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _Powers.get(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(((_LOWER[data] if fold else data).astype(U64) + U64(1)) * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    h += (end - start).astype(U64) * U64(0xA24BAED4963EE407)
-    return mix(h), np.searchsorted(start, off).astype(np.int64)
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = _SPACE_WORD, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text with A-Z lower-cased (``fold``), and each text's offsets among them."""
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(len(off), np.int64)
+    start, end = spans(data, off, is_word)
+    return span_hashes(padded(data, fold), start, end - start), np.searchsorted(start, off).astype(np.int64)
 
 
 def shingles(array: pa.Array, k: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:

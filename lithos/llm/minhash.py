@@ -9,16 +9,18 @@
 4. A candidate pair goes on if its sizes allow the threshold and if the bits its
    signatures share, corrected for chance agreement, do not rule it out.
 5. What is left is confirmed on the full sets; links make components.
-6. Members of a bucket that are not yet in one component are compared with each
-   other: block by block in one task per pair of blocks, by packed signatures
-   and, for sets of up to ``SKETCH`` shingles, by 32-bit forms of the shingles,
-   which can only overstate what two sets share. One pair for two components
-   that are surely linked, and every pair in doubt, leave the task; they are
-   confirmed on the full sets and merged into the components.
-
-So a group of m near copies costs m candidate pairs for each band, not m**2,
-and no link between different texts is lost except where all bands miss it:
-(1 - s**rows)**bands, below 1e-8 at the threshold.
+6. A bucket whose members are then in several components has a main one, that
+   of most members; its strays, the members of others, are compared with all
+   members: in one task for each pair of a block of strays and a block of
+   members, which carry packed signatures and full sets. Sizes, components, the
+   first band that two members share and signatures leave few pairs for the
+   exact comparison; the task merges what it links at once, so it returns at
+   most one link for two components and never a pair in doubt.
+
+So a group of m near copies costs m candidate pairs for each band and rows in
+proportion to m, not m**2, and no link between different texts is lost except
+where all bands miss it: (1 - s**rows)**bands, below 1e-8 at the threshold if
+minima were independent; a test measures it on pairs near the threshold.
 """
 
 from __future__ import annotations
@@ -31,16 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import distinct, mix, shingles, slices
+from .batches import distinct, mix, shingles, slices, trim
 from .shared import materialize
 
 U64 = np.uint64
 BITS = 8
-#: Members of one block of a bucket; two blocks meet in one task.
-BLOCK = 512
-#: Sets of at most so many shingles go to the blocks in 32-bit form.
-SKETCH = 256
-#: Bits of the filter by which a scan leaves out texts that no pair needs; its size does not follow the data.
+#: Shingles in one block of a bucket's members, 8 MB; a block of strays and a block of members meet in one task.
+BLOCK_SHINGLES = 1 << 20
+#: Bits of the filter by which a scan leaves out texts that no pair needs, where these are at most an eighth as many; else a join does.
 FILTER_BITS = 1 << 23
 
 
@@ -61,7 +61,16 @@ def lowest_estimate(percent: int, minima: int) -> float:
 
 
 def _multipliers(n: int) -> np.ndarray:
-    return (mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    """Two odd numbers for each of ``n`` hash functions."""
+    return ((mix(np.arange(1, 2 * n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32) | np.uint32(1)).reshape(n, 2)
+
+
+def _hashed(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit values that is not linear, one for each pair of multipliers."""
+    z = x * by[0]
+    z ^= z >> np.uint32(15)
+    z *= by[1]
+    return z
 
 
 def _signatures(k: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -80,7 +89,7 @@ def _signatures(k: int, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBa
                     high[some] = mix(np.add.reduceat(mix(sets), at) + n[some].astype(U64))
                     low[some] = mix(np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), at))
                     x = (sets >> U64(32)).astype(np.uint32)
-                    minima = np.stack([np.minimum.reduceat(x * a, at) for a in by])
+                    minima = np.stack([np.minimum.reduceat(_hashed(x, a), at) for a in by])
                     packed = np.ascontiguousarray(((minima * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint8).T)
                     keys = np.zeros((bands, len(some)), U64)
                     for j in range(rows):
@@ -114,32 +123,38 @@ def _prune(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _sets(k: int, wanted: np.ndarray, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted shingle sets of texts whose id may be wanted: 64-bit, or 32-bit and empty above ``limit``."""
+def _sets(k: int, wanted: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted shingle sets of the texts whose id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            place = whole.column("place").to_numpy()
-            some = whole.filter(pa.array((wanted[place >> 6] >> (place & 63).astype(U64) & U64(1)).astype(bool)))
+            some = whole
+            if wanted is not None:
+                place = whole.column("place").to_numpy()
+                some = whole.filter(pa.array((wanted[place >> 6] >> (place & 63).astype(U64) & U64(1)).astype(bool)))
             for batch in slices([some], "t"):
                 sets, off = distinct(*shingles(batch.column("t"), k))
-                if limit is not None:
-                    data = [(sets[x:y] >> U64(32)).astype(np.uint32).tobytes() if y - x <= limit else b"" for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                else:
-                    data = [sets[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                data = [sets[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(data, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
-def _gather(texts: DataFrame, needed: DataFrame, k: int, kind: str, name: str, limit: int | None = None) -> DataFrame:
-    """(doc_id, shingles) of the ids in ``needed`` (d), which are distinct. Texts themselves are never shuffled."""
+def _gather(texts: DataFrame, needed: DataFrame, k: int, kind: str, name: str) -> DataFrame:
+    """(doc_id, shingles) of the ids in ``needed`` (d), which are distinct.
+
+    Few ids go to the scan as a filter of fixed size, so that other texts are
+    neither shingled nor moved; many meet their texts in a join.
+    """
     place = F.pmod(F.xxhash64("d"), F.lit(FILTER_BITS))
+    if needed.count() * 8 > FILTER_BITS:
+        met = texts.join(needed, "d", "left_semi")
+        return materialize(met.select("d", "t").mapInArrow(_sets(k, None), f"doc_id {kind}, shingles binary"), name)
     bits = needed.select(place.alias("p")).groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).collect()  # at most FILTER_BITS / 64 rows
     wanted = np.zeros(FILTER_BITS // 64, np.int64)
     for r in bits:
         wanted[r.w] = r.bits
-    made = texts.withColumn("place", place).mapInArrow(_sets(k, wanted.view(U64), limit), f"doc_id {kind}, shingles binary")
+    made = texts.withColumn("place", place).mapInArrow(_sets(k, wanted.view(U64)), f"doc_id {kind}, shingles binary")
     return materialize(made.join(needed.withColumnRenamed("d", "doc_id"), "doc_id", "left_semi"), name)
 
 
@@ -157,7 +172,7 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _across(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of different components from two blocks of a bucket that may be linked."""
+    """Links of different components, from rows sorted by bucket and pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -174,40 +189,44 @@ def _across(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 parts.append(batch.slice(p, q - p))
         if parts:
             yield _compare(key, parts, percent)
+        trim()
 
     return run
 
 
 def _compare(key: tuple, parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """At most one link for two components, of a block's strays with a block's members, on their full sets."""
     t = pa.Table.from_batches(parts)
-    ids, n, own = (np.array(t.column(c).to_pylist()) for c in ("rep", "n", "own"))
-    comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
+    ids, n, mine, theirs = (np.array(t.column(c).to_pylist()) for c in ("rep", "n", "as_stray", "as_member"))
+    stray = np.array(t.column("stray").to_pylist())
+    comp = np.unique(np.array(t.column("comp").to_pylist()), return_inverse=True)[1]
     sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-    sets = [np.frombuffer(x, np.uint32) for x in t.column("shingles").to_pylist()]
-    left, right = np.flatnonzero(own == key[2]), np.flatnonzero(own == key[3])
-    least, a, b = lowest_estimate(percent, sig.shape[1]), [], []
-    for i in left.tolist():
-        j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (key[2] != key[3])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        if len(j):
-            j = j[_similar(sig[j], sig[i]) >= least]
+    bands = np.array(t.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+    members, least = np.flatnonzero(theirs), lowest_estimate(percent, sig.shape[1])
+    code: np.ndarray | None = None
+    off = mark = np.zeros(0, np.int64)
+    a, b = [], []
+    for i in np.flatnonzero(mine).tolist():
+        # two strays meet twice, and members of several buckets in each; one of these places counts
+        j = members[(comp[members] != comp[i]) & (~stray[members] | (ids[members] > ids[i]))]
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        j = j[(bands[j] == bands[i]).argmax(1) == key[0]] if len(j) else j
+        j = j[_similar(sig[j], sig[i]) >= least] if len(j) else j
         if not len(j):
             continue
-        sure = np.zeros(len(j), bool)
-        if len(sets[i]):
-            size = np.array([len(sets[x]) for x in j.tolist()])
-            flat = np.concatenate([sets[x] for x in j.tolist()])
-            hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)] == flat
-            common = np.diff(np.r_[0, np.cumsum(hit)][np.r_[0, np.cumsum(size)]])
-            both = n[j] + n[i]
-            sure = (size > 0) & (100 * (common - 2) >= percent * (both - common + 2))
-            maybe = (size == 0) | (100 * common >= percent * (both - common))
-            j, sure = j[maybe], sure[maybe]
-        for x, certain in zip(j.tolist(), sure.tolist(), strict=True):
-            if comp[x] == comp[i]:
-                continue
-            a.append(min(ids[i], ids[x]))
-            b.append(max(ids[i], ids[x]))
-            if certain:
+        if code is None:  # shingles as small numbers, so that a set is a mark at each of its own
+            sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
+            off = np.r_[0, np.cumsum([len(x) for x in sets])]
+            known, code = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(known), bool)
+        mark[code[off[i] : off[i + 1]]] = True
+        at = np.concatenate([code[off[x] : off[x + 1]] for x in j.tolist()])
+        common = np.add.reduceat(mark[at].astype(np.int64), np.r_[0, np.cumsum(n[j])[:-1]])
+        mark[code[off[i] : off[i + 1]]] = False
+        for x in j[100 * common >= percent * (n[j] + n[i] - common)].tolist():
+            if comp[x] != comp[i]:
+                a.append(min(ids[i], ids[x]))
+                b.append(max(ids[i], ids[x]))
                 comp[comp == comp[x]] = comp[i]
     return pa.RecordBatch.from_arrays([pa.array(a, t.schema.field("rep").type), pa.array(b, t.schema.field("rep").type)], names=["a", "b"])
 
@@ -264,10 +283,10 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature", "bands"),
         "representatives",
     )
-    entries = reps.select("rep", F.posexplode("bands").alias("band", "value"))
+    entries = reps.select("rep", "n", F.posexplode("bands").alias("band", "value"))
     buckets = materialize(entries.groupBy("band", "value").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    members = materialize(entries.join(buckets, ["band", "value"]).select("band", "value", "rep", "pivot", "members"), "members")
-    signs = reps.select("rep", "n", "signature")
+    members = materialize(entries.join(buckets, ["band", "value"]).select("band", "value", "rep", "n", "pivot", "members"), "members")
+    signs = reps.select("rep", "n", "signature", "bands")
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     linked = _linked(pairs, signs, texts, k, percent, kind)
     # copies of one set hang on its representative as they are
@@ -295,18 +314,23 @@ def _linked(pairs: DataFrame, signs: DataFrame, texts: DataFrame, k: int, percen
 
 
 def _rest(members: DataFrame, signs: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int, kind: str) -> DataFrame | None:
-    """Links between members of a bucket that are not in one component yet; None if there are no such buckets."""
-    tagged = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("band", "value", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
-    mixed = tagged.groupBy("band", "value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high and size > 2")
-    tagged = tagged.join(mixed.select("band", "value", "size"), ["band", "value"])
-    sketches = _gather(texts, materialize(tagged.select(F.col("rep").alias("d")).distinct(), "needed"), k, kind, "sketches", SKETCH)
-    # members go to blocks by a hash, so that no count over the whole bucket is needed; each block meets each
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    tagged = tagged.join(signs, "rep").join(sketches.withColumnRenamed("doc_id", "rep"), "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("band", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", "n", "signature", "shingles", "own")
-    dealt = met.repartition("band", "value", "x", "y").sortWithinPartitions("band", "value", "x", "y")
-    pairs = materialize(dealt.mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "across")
-    if not pairs.limit(1).count():
-        return None
-    return _linked(pairs, signs, texts, k, percent, kind)
+    """Links between members of a bucket that are not in one component yet; None if there are none."""
+    # of two members one is the pivot, so they have been compared
+    tagged = members.where("members > 2").join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("band", "value", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    of_comp = tagged.groupBy("band", "value", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    mixed = of_comp.groupBy("band", "value").agg(F.max(F.struct("size", "comp", "shingles")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("shingles").alias("shingles")).where("comps > 1")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("band", "value", F.col("main.comp").alias("main"), blocks(F.col("shingles") - F.col("main.shingles")).alias("xs"), blocks(F.col("shingles")).alias("ys"))
+    tagged = materialize(tagged.join(mixed, ["band", "value"]), "mixed")
+    sets = _gather(texts, materialize(tagged.select(F.col("rep").alias("d")).distinct(), "needed"), k, kind, "mixed-sets")
+    # a stray meets every block of members, a member every block of strays; blocks are dealt by a hash
+    own = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(c)).cast("int")
+    placed = tagged.withColumn("stray", F.col("comp") != F.col("main")).withColumn("x0", own("xs", 1)).withColumn("y0", own("ys", 2))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    across = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: pair(x, F.col("y0")))
+    along = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: pair(F.col("x0"), y))).otherwise(F.array().cast("array<struct<x:int,y:int>>"))
+    met = placed.withColumn("p", F.explode(F.array_distinct(F.concat(across, along)))).select("band", "value", "p.x", "p.y", "rep", "comp", "n", "stray", (F.col("stray") & (F.col("p.x") == F.col("x0"))).alias("as_stray"), (F.col("p.y") == F.col("y0")).alias("as_member"))
+    full = met.join(signs.drop("n").join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "rep")
+    dealt = full.repartition("band", "value", "x", "y").sortWithinPartitions("band", "value", "x", "y")
+    links = materialize(dealt.mapInArrow(_across(percent), f"a {kind}, b {kind}"), "across")
+    return None if links.isEmpty() else links

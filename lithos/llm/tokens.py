@@ -16,11 +16,11 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 
-from .batches import _LOWER, _Powers, mix, text_bytes
+from .batches import FIRST, LONG, loads, padded, span_hashes, text_bytes
 
 U64 = np.uint64
-#: Units that one Python worker remembers before it starts afresh.
-UNITS = 1 << 20
+#: Units, and their bytes, that one Python worker remembers before it starts afresh.
+UNITS, UNIT_BYTES = 1 << 20, 1 << 25
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -108,6 +108,9 @@ class Encoder:
         self.table = _Table(21)
         self.n, self.used = 0, 0
         self.start, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
+        # the bytes of every unit, by row; units that the table cannot hold are known by their bytes alone
+        self.at, self.size, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 19, np.uint8), 0
+        self.odd: dict[bytes, int] = {}
 
     def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Straight from the library, a call for the whole text."""
@@ -155,7 +158,21 @@ class Encoder:
         keep = ~blank[starts]
         return starts[keep], ends[keep], whole
 
-    def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> None:
+    def _same(self, rows: np.ndarray, starts: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Whether the spans have the very bytes of the units in those rows; spans of at most ``LONG`` bytes."""
+        here, known = loads(data), loads(self.bytes)
+        at, t = self.at[rows], 8
+        out = (here[starts] ^ known[at]) & FIRST[np.minimum(size, 8)] == 0
+        out &= self.size[rows] == size
+        more = np.flatnonzero(out & (size > 8))
+        while len(more):
+            out[more] = (here[starts[more] + t] ^ known[at[more] + t]) & FIRST[np.minimum(size[more] - t, 8)] == 0
+            t += 8
+            more = more[out[more] & (size[more] > t)]
+        return out
+
+    def _learn(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        """Encodes distinct units and returns their rows."""
         raw = data.tobytes()
         units = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         alone = [i for i, u in enumerate(units) if "<" in u and any(m in u for m in self.marks)]
@@ -175,15 +192,55 @@ class Encoder:
         for i in sorted(got):
             ids = np.insert(ids, int(size[:i].sum()), got[i])
             size[i] = len(got[i])
-        while self.n + len(keys) + 1 > len(self.start):
-            self.start = np.r_[self.start, np.zeros_like(self.start)]
+        k, span = len(starts), ends - starts
+        while self.n + k + 1 > len(self.start):
+            self.start, self.at, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.at, self.size))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        total = int(span.sum())
+        while self.filled + total + 8 > len(self.bytes):
+            self.bytes = np.r_[self.bytes, np.zeros_like(self.bytes)]
+        before = np.r_[0, np.cumsum(span)]
+        self.bytes[self.filled : self.filled + total] = folded[np.repeat(starts - before[:-1], span) + np.arange(total)]
+        self.at[self.n : self.n + k], self.size[self.n : self.n + k] = self.filled + before[:-1], span
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + len(keys) + 1] = self.used + np.r_[0, np.cumsum(size)]
-        self.table.put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-        self.n += len(keys)
+        self.start[self.n : self.n + k + 1] = self.used + np.r_[0, np.cumsum(size)]
+        rows = np.arange(self.n, self.n + k, dtype=np.int32)
+        self.n += k
         self.used += len(ids)
+        self.filled += total
+        return rows
+
+    def _rows(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The row of every unit, by its bytes: a hit in the table counts only if all bytes agree."""
+        folded = padded(data, not self.blank_leads)
+        size = ends - starts
+        keys = span_hashes(folded, starts, size) | U64(1)
+        rows = self.table.find(keys)
+        short = size <= LONG
+        new = np.flatnonzero(short & (rows < 0))
+        if len(new):
+            fresh, first = np.unique(keys[new], return_index=True)
+            at = new[first]
+            self.table.put(fresh, self._learn(starts[at], ends[at], data, folded))
+            rows[new] = self.table.find(keys[new])
+        if short.all():
+            good = self._same(rows, starts, size, folded)
+        else:
+            good = short.copy()
+            good[short] = self._same(rows[short], starts[short], size[short], folded)
+        fresh_, place = {}, []
+        rest = np.flatnonzero(~good)
+        for i in rest.tolist():
+            b = folded[starts[i] : ends[i]].tobytes()
+            place.append(b)
+            if b not in self.odd:
+                fresh_.setdefault(b, i)
+        if fresh_:
+            at = np.array(list(fresh_.values()))
+            self.odd.update(zip(fresh_, self._learn(starts[at], ends[at], data, folded).tolist(), strict=True))
+        rows[rest] = [self.odd[b] for b in place]
+        return rows
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after the other, and each text's offsets among them; null texts are empty."""
@@ -192,24 +249,13 @@ class Encoder:
         if not n:
             return np.zeros(0, self.dtype), np.zeros(len(off), np.int64)
         starts, ends, whole = self._units(data, off)
-        up, down = _Powers.get(n)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U64)
-            np.cumsum(((data if self.blank_leads else _LOWER[data]).astype(U64) + U64(1)) * up[:n], out=total[1:])
-            keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)) | U64(1)
         of = np.searchsorted(off, starts, "right") - 1
         if whole.any():
             keep = ~whole[of]
-            starts, ends, keys, of = starts[keep], ends[keep], keys[keep], of[keep]
-        if self.n > UNITS:
+            starts, ends, of = starts[keep], ends[keep], of[keep]
+        if self.n > UNITS or self.filled > UNIT_BYTES:
             self._forget()
-        rows = self.table.find(keys)
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            fresh, first = np.unique(keys[new], return_index=True)
-            at = new[first]
-            self._learn(fresh, starts[at], ends[at], data)
-            rows[new] = self.table.find(keys[new])
+        rows = self._rows(starts, ends, data)
         size = self.start[rows + 1] - self.start[rows]
         before = np.r_[0, np.cumsum(size)]
         ids = self.ids[np.repeat(self.start[rows] - before[:-1], size) + np.arange(before[-1])]

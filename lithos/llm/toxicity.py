@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import _LOWER, _Powers, mix, slices, text_bytes
+from .batches import _LOWER, FIRST, loads, mix, padded, slices, span_hashes, spans, text_bytes
 
 U64 = np.uint64
 #: Labelled texts of each class that the fit may use.
@@ -205,27 +205,17 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = 1 << FEATURE_BITS
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(len(off), np.int64)
-    inside = _WORD[data]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    edge = off[(off > 0) & (off < n)]
-    before[edge] = False
-    after[edge - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _Powers.get(n)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER[data].astype(U64) + U64(1)) * up[:n], out=total[1:])
-        doc = np.searchsorted(off, start, "right") - 1
-        words = np.bincount(doc, minlength=len(off) - 1)
-        keys, docs = [], []
-        for kind, size in enumerate((0, *PREFIXES)):
-            some = np.arange(len(start)) if not size else np.flatnonzero(end - start > size)
-            s = start[some]
-            e = end[some] if not size else s + size
-            h = mix((total[e] - total[s]) * down[s] + U64(kind + 1) * U64(0xA24BAED4963EE407))
-            keys.append((h >> U64(64 - FEATURE_BITS)).astype(np.int64))
-            docs.append(doc[some])
+    start, end = spans(data, off, _WORD)
+    low = padded(data, True)
+    eight = loads(low)[start]
+    doc = np.searchsorted(off, start, "right") - 1
+    words = np.bincount(doc, minlength=len(off) - 1)
+    keys, docs = [], []
+    for kind, size in enumerate((0, *PREFIXES)):
+        some = np.arange(len(start)) if not size else np.flatnonzero(end - start > size)
+        h = span_hashes(low, start, end - start) if not size else mix((eight[some] & FIRST[size]) ^ U64(kind * 0x3243F6A8885A308D & (1 << 64) - 1))
+        keys.append((h >> U64(64 - FEATURE_BITS)).astype(np.int64))
+        docs.append(doc[some])
     both = np.concatenate(docs) * space + np.concatenate(keys)
     both.sort()
     first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)

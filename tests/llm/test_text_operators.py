@@ -54,6 +54,37 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def thue_morse(size):
+    """A text of two letters and its complement, which collide under every polynomial modulo a power of two."""
+    a = "a"
+    while len(a) < size:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_and_units_are_known_by_their_text(spark):
+    for name, leads in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        for size in (32, 64, 1024, 4096):
+            a, b = thue_morse(size)
+            encoder = Encoder(name, leads)
+            got = encoder.encode([a, b, a])
+            assert [list(x) for x in got] == [list(x) for x in encoder.whole([a, b, a])] and list(got[0]) != list(got[1])
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(docs, 3, 85).collect())
+    items = spark.createDataFrame([(9, b)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(docs, items).collect()] == [2]
+
+
+def test_a_unit_under_another_ones_key_is_noticed(monkeypatch):
+    """With a hash of one value for all units, every unit still has its own ids."""
+    from lithos.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, size: np.full(len(start), 77, np.uint64))
+    encoder = Encoder("byte_bpe_50k.json", True)
+    texts = ["some words, and other words", "and words again: a very long one " + "x" * 100, ""]
+    assert [list(x) for x in encoder.encode(texts)] == [list(x) for x in encoder.whole(texts)]
+
+
 # -- near duplicates ---------------------------------------------------------
 
 
@@ -95,18 +126,73 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert minhash.near_duplicates(empty, 3, 85).count() == 0
 
 
-def test_a_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+@pytest.mark.parametrize("bits", [1 << 23, 64])
+def test_a_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)
     base = [f"w{i}" for i in range(120)]
     rng = np.random.default_rng(1)
     rows = []
-    for n in range(90):
+    for n in range(120):
         words = list(base)
-        for i in rng.choice(120, 3, replace=False):
-            words[i] = f"v{n}x{i}"
+        for i in rng.choice(120, 1 + n % 6, replace=False):
+            words[i] = f"v{n % 40}x{i}"
         rows.append((n, " ".join(words)))
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
-    assert {r.doc_id: r.component_id for r in found} == classes(rows, 3, 85)
+    brute = classes(rows, 3, 85)
+    assert 5 < len(set(brute.values())) < 100
+    assert {r.doc_id: r.component_id for r in found} == brute
+
+
+def test_a_group_of_near_copies_gives_few_links():
+    """The rows that leave the comparison follow the components, not the pairs."""
+    import pyarrow as pa
+
+    rows, bands = minhash.layout(85)
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in range(300):
+        words = [f"w{i}" for i in range(200)]
+        for i in rng.choice(200, 7, replace=False):
+            words[i] = f"v{n}"
+        texts.append(" ".join(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["d", "t"])
+    made = pa.Table.from_batches(minhash._signatures(3, rows, bands)([batch])).combine_chunks()
+    sets = pa.Table.from_batches(minhash._sets(3, None)([batch])).combine_chunks()
+    ids = made.column("doc_id")
+    got = minhash._compare((0, 0, 0, 0), [pa.RecordBatch.from_arrays(
+        [ids.combine_chunks(), ids.combine_chunks(), made.column("n_shingles").combine_chunks(), pa.array([True] * 300), pa.array([True] * 300), pa.array([True] * 300), made.column("signature").combine_chunks(), made.column("bands").combine_chunks(), sets.column("shingles").combine_chunks()],
+        names=["rep", "comp", "n", "stray", "as_stray", "as_member", "signature", "bands", "shingles"])], 85)
+    assert got.num_rows < 300
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_near_the_threshold(percent):
+    """Pairs whose similarity is at most two points above the threshold, and how many share a band and pass the signatures."""
+    import pyarrow as pa
+
+    rows, bands = minhash.layout(percent)
+    rng = np.random.default_rng(5)
+    texts, pairs = [], 0
+    while pairs < 400:
+        n, s = int(rng.integers(60, 400)), percent / 100 + 0.01
+        a = [f"w{x}" for x in rng.integers(10**6, size=n).tolist()]
+        b = list(a)
+        for i in rng.choice(n, max(1, round(n * (1 - s) / (1 + s) / 3)), replace=False):
+            b[i] = f"x{rng.integers(10**6)}"
+        x, y = shingle_set(" ".join(a), 3), shingle_set(" ".join(b), 3)
+        if percent <= 100 * len(x & y) / len(x | y) <= percent + 2:
+            texts += [" ".join(a), " ".join(b)]
+            pairs += 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["d", "t"])
+    made = pa.Table.from_batches(minhash._signatures(3, rows, bands)([batch]))
+    keys = np.array(made.column("bands").to_pylist())
+    sig = np.stack([np.frombuffer(x, np.uint8) for x in made.column("signature").to_pylist()])
+    share = (keys[::2] == keys[1::2]).mean(1)
+    assert (share > 0).all()
+    # bands agree as often as independent minima would
+    assert abs(share.mean() - ((percent + 1) / 100) ** rows) < 0.05
+    assert (minhash._similar(sig[::2], sig[1::2]) >= minhash.lowest_estimate(percent, sig.shape[1])).all()
 
 
 def test_components_of_a_long_chain(spark):
