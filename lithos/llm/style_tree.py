@@ -19,14 +19,15 @@ All runs of words of every block count. Counting is by (host, path, run of
 words) with sums made before the shuffle, and what is counted is dealt to
 ``GROUPS`` by its hash alone, many records packed in one row, so a large host is
 no bottleneck. A host is known by a hash of 63 bits, a run by one of 50. The
-resulting importances go to the executors if they are at most ``SENT_ROWS``;
-else pages meet them by host and salt.
+branches that go are sent to the executors if they are at most ``SENT_ROWS``;
+else pages meet them by host and salt, with the same result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -39,7 +40,7 @@ from .batches import U64, mix, shingles, slices, trim
 
 #: Branches below this importance go; hosts of fewer pages use the tree of all hosts.
 LEAST, FEW_PAGES = 0.35, 8
-#: Share of the parent's presentation in a leaf's importance.
+#: Share of the parent's presentation in a leaf's importance: 1 - 0.9, the method's weight for one level.
 PRESENTATION = 0.1
 #: Words of a run; groups that counted features are dealt to; features that a task holds, and nodes with sums, before it sends them on.
 RUN, GROUPS, HELD, HELD_SUMS = 4, 1 << 10, 1 << 21, 1 << 18
@@ -47,7 +48,9 @@ RUN, GROUPS, HELD, HELD_SUMS = 4, 1 << 10, 1 << 21, 1 << 18
 SENT_ROWS, SALTS = 400_000, 32
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-_RAW = frozenset("script style noscript template iframe svg textarea title object canvas math select button datalist noframes audio video map".split())
+#: Elements whose content is no markup, and elements within a line whose content is no text of the page.
+_RAW = frozenset("script style iframe textarea title noframes noembed xmp".split())
+_MUTE = frozenset("noscript template svg object canvas math select button datalist audio video map".split())
 _NOISE_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _NOISE_WORDS = frozenset(
@@ -55,14 +58,88 @@ _NOISE_WORDS = frozenset(
     "sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs topbar footer foot header masthead copyright legal share sharing social comment comments reply replies respond disqus discussion "
     "related recommended recommendations popular trending widget popup modal overlay newsletter subscribe subscription signup login register search pagination pager toolbar skip toc".split()
 )
+#: Words that may stand beside those in a name; with any other word a name tells a topic, and the trees decide.
+_NEUTRAL_WORDS = frozenset("area bar block body bottom box btn button buttons card center column container content fixed form group header inner item items left link links list main module outer overlay panel right section slot space text title top unit widget wrap wrapper zone".split())
 _HOLDS_TEXT = frozenset(("html", "body", "main", "article"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol menu dl table select html body article section div".split())
 
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
-_attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden\b")
+_tag = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_in_tag = re.compile(r"[>\"']")
+_attribute = re.compile(r"(?<![a-zA-Z-])(?:([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|hidden(?![a-zA-Z-]))")
 _word = re.compile(r"[a-z]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
+
+
+class _Tags:
+    """A page's markup in order, each found in time that follows what it passes over.
+
+    A tag ends at the first > outside quotes. Where quotes do not close, it ends
+    at its first >, and so do all behind it; a tag without one is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+        self.final = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the > of a tag that starts before ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        place = at
+        while self.quoted:
+            m = _in_tag.search(self.page, place)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= self.final[m[0]]:
+                self.quoted = False
+            else:
+                place = self.page.index(m[0], m.end()) + 1
+        return self.page.index(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(text before, name or /name or nothing, attributes); the last has the text behind all tags."""
+        page, size = self.page, len(self.page)
+        begin = at = 0
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                break
+            m = _tag.match(page, at + 1)
+            if m:
+                end = self.end(m.end())
+                if end < 0:
+                    at += 1
+                    continue
+                yield page[begin:at], m[0].lower(), page[m.end() : end]
+                at = begin = end + 1
+                if m[0].lower() in _RAW and not page[:end].endswith("/", m.end(), end):
+                    close = _ends[m[0].lower()].search(page, begin)
+                    end = page.find(">", close.end()) if close else -1
+                    at = begin = end + 1 if end >= 0 else size
+            elif page.startswith("!--", at + 1):
+                end = page.find("-->", at + 4)
+                yield page[begin:at], "", ""
+                at = begin = end + 3 if end >= 0 else size
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and at < self.last:
+                end = page.index(">", at)
+                yield page[begin:at], "", ""
+                at = begin = end + 1
+            else:
+                at += 1
+        yield page[begin:], "", ""
+
+
+def _noisy_name(value: str) -> bool:
+    """Whether one of the names says by all its words that this is no content."""
+    for name in value.split():
+        words = _word.findall(_camel.sub(" ", name).lower())
+        if not _NOISE_WORDS.isdisjoint(words) and all(w in _NOISE_WORDS or w in _NEUTRAL_WORDS for w in words):
+            return True
+    return False
 
 
 class Block:
@@ -75,82 +152,106 @@ class Block:
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, int]]:
-    """A page's blocks in order, and the hash of each element path's sequence of children. Never fails: stray markup is passed over."""
+    """A page's blocks in order, and the hash of each element path's sequence of children.
+
+    Never fails: stray markup is passed over. Time follows the page's length.
+    """
     blocks: list[Block] = []
     children: dict[int, int] = {}
-    # open elements: tag, path, noise, inside an article
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # open elements: tag, path, noise, inside an article, mute
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    opened: Counter = Counter()
+    muted: Counter = Counter()  # blocks open inside the innermost mute elements
     text: list[str] = []
-    at, size = 0, len(page)
 
     def flush() -> None:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined:
-                tag, path, noise, inside = stack[-1]
-                blocks.append(Block(path, stack[-2][1] if len(stack) > 1 else 0, joined, noise, inside))
-
-    while at < size:
-        m = _markup.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+                i = len(stack) - 1
+                while stack[i][4]:
+                    i -= 1
+                _, path, noise, inside, _ = stack[i]
+                blocks.append(Block(path, stack[i - 1][1] if i else 0, joined, noise, inside))
+
+    def cut(i: int) -> None:
+        opened.subtract(e[0] for e in stack[i:])
+        del stack[i:]
+
+    for before, name, attributes in _Tags(page):
+        if before and not stack[-1][4]:
+            text.append(before)
         if not name:
             continue
-        tag, closing, attributes = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        closing, tag = name[0] == "/", name.lstrip("/")
         if tag in _RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
             text.append(" ")
             continue
+        if tag in _MUTE:
+            if closing and opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                cut(i)
+                if not stack[-1][4]:
+                    muted.clear()
+            elif not closing and not attributes.endswith("/"):
+                if not stack[-1][4]:
+                    text.append(" ")
+                stack.append((tag, stack[-1][1], True, stack[-1][3], True))
+                opened[tag] += 1
+            continue
         if tag not in _BLOCKS:
-            if tag in ("br", "img", "input", "wbr"):
-                text.append(" " if tag != "wbr" else "")
+            if tag in ("br", "img", "input") and not stack[-1][4]:
+                text.append(" ")
+            continue
+        if stack[-1][4] and (not closing or muted[tag]):
+            muted[tag] += -1 if closing else tag != "hr"
             continue
-        flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            muted.clear()
+            if opened[tag]:
+                flush()
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                cut(i)
+            else:
+                flush()
             continue
-        if stack[-1][0] == "p" or tag in _CLOSES:
-            if stack[-1][0] == "p":
-                stack.pop()
+        flush()
+        if stack[-1][0] == "p":
+            cut(len(stack) - 1)
+        if tag in _CLOSES and any(opened[c] for c in _CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _CLOSES.get(tag, ()):
-                    del stack[i:]
+                if stack[i][0] in _CLOSES[tag]:
+                    cut(i)
                     break
                 if stack[i][0] in _SCOPE:
                     break
         if tag[0] == "h" and stack[-1][0][:1] == "h" and stack[-1][0][1:].isdigit():
-            stack.pop()
-        _, path, noise, inside = stack[-1]
+            cut(len(stack) - 1)
+        _, path, noise, inside, _ = stack[-1]
         sign, noisy, holds = tag, tag in _NOISE_TAGS or tag == "header" and not inside, tag in ("article", "main")
         if attributes.strip():
             for a in _attribute.finditer(attributes):
                 key, value = (a[1] or "hidden").lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
                     sign += "." + re.sub(r"[0-9]{3,}", "", value) if key == "class" else ""
-                    if tag not in _HOLDS_TEXT and not _NOISE_WORDS.isdisjoint(_word.findall(_camel.sub(" ", value).lower())):
-                        noisy = True
+                    noisy |= tag not in _HOLDS_TEXT and _noisy_name(value)
                 elif key == "role":
                     sign += "@" + value
                     noisy |= value.lower() in _NOISE_ROLES
                     holds |= value.lower() in ("main", "article")
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
                     noisy = True
         own = crc32(sign.encode("utf-8", "surrogatepass"), path)
         own |= crc32(sign.encode("utf-8", "surrogatepass"), path ^ 0x5BD1E995) << 31  # 63 bits, not signed
         children[path] = crc32(b"%d" % (own & 0xFFFFFFFF), children.get(path, 0))
         if tag != "hr":
-            stack.append((tag, own & 0x7FFFFFFFFFFFFFFF, noise or noisy, inside or holds))
+            stack.append((tag, own & 0x7FFFFFFFFFFFFFFF, noise or noisy, inside or holds, False))
+            opened[tag] += 1
     flush()
     return blocks, children
 
@@ -332,31 +433,32 @@ def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return site.join(every, "path").select("host", "path", "site", F.col("every").alias("all"))
 
 
-def main_text(page: str | None, site: dict[int, float | None], every: dict[int, float]) -> str:
-    """The page's text without noise and branches of low importance."""
+def main_text(page: str | None, gone: dict[int, int]) -> str:
+    """The page's text without noise and branches of low importance: ``gone`` has 1 for paths that go, 2 for those that go within an article too."""
     blocks, _ = parse(page or "")
-
-    def stays(b: Block) -> bool:
-        own, common = site.get(b.path), every.get(b.path, 1.0)
-        return (common if own is None else max(own, common) if b.inside else own) >= LEAST
-
     clean = [b for b in blocks if not b.noise]
     if any(b.inside for b in clean):
         clean = [b for b in clean if b.inside]
-    return "\n".join(b.text for b in clean if stays(b))
+    return "\n".join(b.text for b in clean if gone.get(b.path, 0) <= b.inside)
+
+
+def low_branches(trees: DataFrame) -> DataFrame:
+    """(host, path, gone) of the paths whose importance is low: 1 outside of articles, 2 everywhere."""
+    low = F.coalesce("site", "all") < LEAST
+    return trees.select("host", "path", F.when(low & (F.greatest("site", "all") < LEAST), 2).when(low, 1).alias("gone")).where("gone is not null")
 
 
-def _extract(known: dict[int, tuple[dict, dict]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """known: importances by host; else rows bring those of their host as arrays."""
+def _extract(known: dict[int, dict[int, int]] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """known: what goes, by host; else rows bring that of their host as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             urls, pages = batch.column("url"), batch.column("html").to_pylist()
             if known is not None:
-                trees = [known.get(host_key(u), ({}, {})) for u in urls.to_pylist()]
+                trees = [known.get(host_key(u), {}) for u in urls.to_pylist()]
             else:
-                trees = [({r["path"]: r["site"] for r in x or ()}, {r["path"]: r["all"] for r in x or ()}) for x in batch.column("tree").to_pylist()]
-            texts = [main_text(p, *t) for p, t in zip(pages, trees, strict=True)]
+                trees = [{r["path"]: r["gone"] for r in x or ()} for x in batch.column("tree").to_pylist()]
+            texts = [main_text(p, t) for p, t in zip(pages, trees, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -375,15 +477,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long"
-    trees = materialize(importances(rows), "style-trees")
+    trees = materialize(low_branches(importances(rows)), "style-trees")
     if trees.count() <= sent_rows:
-        known: dict[int, tuple[dict, dict]] = {}
+        known: dict[int, dict[int, int]] = {}
         for r in trees.collect():
-            site, every = known.setdefault(r.host, ({}, {}))
-            site[r.path], every[r.path] = r.site, r.all
+            known.setdefault(r.host, {})[r.path] = r.gone
         return rows.mapInArrow(_extract(known), schema)
-    by_host = trees.groupBy("host").agg(F.collect_list(F.struct("path", "site", "all")).alias("tree"))  # a host's own paths
+    by_host = trees.groupBy("host").agg(F.collect_list(F.struct("path", "gone")).alias("tree"))  # a host's own paths
     by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    host = F.udf(host_key, "long")
+    host = F.pandas_udf(lambda urls: urls.map(host_key).astype("int64"), "long")
     salted = rows.withColumn("host", host("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     return salted.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "tree").mapInArrow(_extract(None), schema)

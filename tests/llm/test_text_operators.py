@@ -599,6 +599,29 @@ def test_odd_pages(spark):
     assert style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>Hello <button>x</p><p>rest</article>", "Hello\nrest"),
+    ("<article><p>a <button>x</button> b<select><option>1</select> c</p></article>", "a b c"),
+    ("<article><div class=comment-policy-story>one</div><p class='side-effects'>two</p><div class='comment-list'>no</div><div id=shareBar>no</div></article>", "one\ntwo"),
+    ("<p>a<svg><title>t</title><text>no</text></svg>b</p>", "a b"),
+    ("<p>x <a href='>'>y</a> <b title=\"it's\">z</b></p>", "x y z"),
+    ("<p>1 < 2 and <3 <a href=\"u>v", "1 < 2 and <3 v"),
+    ("<div>a<script>b", "a"), ("</p></div>a</span>b", "ab"), ("<button><div>no</div></button><p>yes", "yes"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+])
+def test_page_shapes(page, text):
+    assert style_tree.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("part", ["<a<a", "<div></p>", "<a '", "<a \">\"", "<!-- ", "</script", "<script>", "<svg>", "<dd><blockquote>", "<p a" + "b" * 50 + " ", "<button><div>", "&amp", "<p class='" + "x" * 40, "a=\"", "<![", "</", "<li><div>"])
+def test_a_hostile_page_takes_linear_time(part):
+    import time
+
+    began = time.process_time()
+    style_tree.parse(part * (1_000_000 // len(part)))
+    style_tree.parse("<p " + part.strip("<") * (1_000_000 // len(part)) + ">x")
+    assert time.process_time() - began < 20
+
+
 # -- the registered queries --------------------------------------------------
 
 
