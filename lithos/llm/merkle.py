@@ -1,14 +1,17 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
 
-A section is what blank lines part, a paragraph is a line, and a paragraph's
-pieces are its sentences, cut after ``PIECE`` characters; near the document's
-start pieces are shorter, so that short texts have several. A piece's digest covers its text; every
-node above has the digest of its children's digests in order. Equal roots mean
-equal texts, and descending only where digests differ locates an edit.
-
-A fingerprint is the root's digest and the digests of all pieces with their
-lengths; two fingerprints alone give the share of text that their documents
-have in common.
+A section ends at a blank line, a paragraph at a line end, and a paragraph's
+pieces are its sentences, cut after ``PIECE`` characters; within the document's
+first ``HEAD`` characters they are its words, so that short texts have several.
+A piece's digest covers its text; every node above has the digest of its
+children's digests in order. Equal roots mean equal texts, and descending only
+where digests differ locates an edit.
+
+A fingerprint writes the tree down: the root's digest, and for each section and
+paragraph a short digest, with the pieces' short digests and lengths. Two
+fingerprints alone give the share of text that their documents have in common:
+equal sections count as they are, the rest descends to paragraphs, and what
+differs there to pieces.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 from . import ranges as id_ranges
 from .batches import slices
 
-#: Up to these places of a document pieces are single characters and of 8 at most; behind them, of ``PIECE``.
-SINGLE, HEAD, PIECE = 12, 160, 48
-_head = re.compile(r"[^.!?\n]{1,8}[.!?]*\n*|[.!?]{1,8}\n*|\n+").findall
-_piece = re.compile(r"[^.!?\n]{1,48}[.!?]{0,8}\n?|[.!?]{1,8}\n?|\n+").findall
+#: Up to this place of a document pieces are words, behind it sentences of at most ``PIECE`` characters.
+HEAD, PIECE = 160, 48
+_head = re.compile(r"\S{1,48}[^\S\n]{0,48}\n{0,48}|[^\S\n]{1,48}\n{0,48}|\n{1,48}").findall
+_piece = re.compile(r"[^.!?\n]{1,48}[.!?]{0,8}\n?|[.!?]{1,8}\n?|\n{1,48}").findall
 
 
 @dataclass
@@ -46,7 +49,7 @@ class Node:
 
 def pieces(text: str) -> list[str]:
     """The text cut into its pieces; joined they are the text."""
-    return [*text[:SINGLE], *_head(text[SINGLE:HEAD]), *_piece(text[HEAD:])]
+    return [*_head(text[:HEAD]), *_piece(text[HEAD:])]
 
 
 def _digest(data: bytes) -> bytes:
@@ -99,38 +102,73 @@ def differing(a: Node, b: Node) -> list[tuple[int, int]]:
 
 
 def fingerprint(text: str | None) -> str:
-    """Root digest, a colon, and for each piece six hex digits of its digest and two of its length.
+    """Root digest, a colon, and the sections with semicolons between them.
 
-    The root is that of ``tree``, made here without the nodes.
+    A section is eight hex digits of its digest and its paragraphs, each after a
+    comma; a paragraph is eight digits and for each piece six of its digest and
+    two of its length. The root is that of ``tree``, made here without the nodes.
     """
     text = text or ""
     sha = hashlib.sha256
     out, sections, paragraphs, leaves = [], [], [], []
+    body, lines = [], []  # of the paragraph and of the section at hand
+
+    def close() -> None:
+        digest = sha(b"paragraph\0" + b"".join(leaves)).digest()
+        paragraphs.append(digest)
+        lines.append(digest[:4].hex() + "".join(body))
+        leaves.clear()
+        body.clear()
+
+    def close_section() -> None:
+        digest = sha(b"section\0" + b"".join(paragraphs)).digest()
+        sections.append(digest)
+        out.append(",".join([digest[:4].hex(), *lines]))
+        paragraphs.clear()
+        lines.clear()
+
     for p in pieces(text):
         d = sha(b"piece\0" + p.encode("utf-8", "surrogatepass")).digest()
         leaves.append(d)
-        n = len(p)
-        out.append("%s%02x" % (d[:3].hex(), n if n < 255 else 255))
+        body.append("%s%02x" % (d[:3].hex(), len(p)))
         if p[-1] == "\n":
-            paragraphs.append(sha(b"paragraph\0" + b"".join(leaves)).digest())
-            leaves = []
+            close()
             if p == "\n" or p[-2:] == "\n\n":
-                sections.append(sha(b"section\0" + b"".join(paragraphs)).digest())
-                paragraphs = []
+                close_section()
     if leaves:
-        paragraphs.append(sha(b"paragraph\0" + b"".join(leaves)).digest())
+        close()
     if paragraphs:
-        sections.append(sha(b"section\0" + b"".join(paragraphs)).digest())
-    return sha(b"document\0" + b"".join(sections)).hexdigest() + ":" + "".join(out)
+        close_section()
+    return sha(b"document\0" + b"".join(sections)).hexdigest() + ":" + ";".join(out)
+
+
+def _chars(paragraph: str) -> int:
+    """Characters of a paragraph, from the lengths of its pieces."""
+    return sum(bytes.fromhex(paragraph[8:])[3::4])
 
 
 def likeness(a: str, b: str) -> float:
-    """Twice the characters in pieces that both have, over all characters of both; 1 for equal roots."""
+    """Twice the characters in branches that both have, over all characters of both; 1 for equal roots.
+
+    Sections that both have count whole; of the others, paragraphs that both
+    have; and of those that are left, pieces. What stands at another place
+    counts too.
+    """
     if a[:64] == b[:64]:
         return 1.0
-    x, y = (Counter(map(s[65:].__getitem__, map(slice, range(0, len(s) - 65, 8), range(8, len(s) - 57, 8)))) for s in (a, b))
-    total = sum(int(p[6:], 16) * n for c in (x, y) for p, n in c.items())
-    return 2 * sum(int(p[6:], 16) * n for p, n in (x & y).items()) / total if total else 0.0
+    x, y = (Counter(s[65:].split(";")) for s in (a, b))
+    size = lambda s: sum(map(_chars, s.split(",")[1:]))
+    total = sum(size(s) * n for c in (x, y) for s, n in c.items())
+    if not total:
+        return 0.0
+    same = x & y
+    common = sum(size(s) * n for s, n in same.items())
+    x, y = (Counter(p for s, n in (c - same).items() for p in s.split(",")[1:] for _ in range(n)) for c in (x, y))
+    same = x & y
+    common += sum(_chars(p) * n for p, n in same.items())
+    x, y = (Counter(p[i : i + 8] for p, n in (c - same).items() for i in range(8, len(p), 8) for _ in range(n)) for c in (x, y))
+    common += sum(int(p[6:], 16) * n for p, n in (x & y).items())
+    return 2 * common / total
 
 
 def edited(text: str, following: str) -> str:
