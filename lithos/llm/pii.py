@@ -7,7 +7,8 @@ base patterns are always kept; the trees decide on everything beside them.
 
 No table here labels spans, so the trees learn from generated candidates: real
 forms and look-alikes (order numbers, versions, sums, dates, failing checksums)
-in neutral and telling contexts, ``TRAIN_ROWS`` for a kind from one seed. One
+in neutral and telling contexts, ``TRAIN_ROWS`` for a kind from one seed. A form
+that may be either is so only by its context. One
 part fits the trees, one calibrates them and sets the threshold.
 """
 
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from . import boosting
 from .batches import slices
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, SEED, PRECISION = 3000, 7, 0.99
+TRAIN_ROWS, SEED, PRECISION, TREES, DEPTH = 3000, 7, 0.99, 100, 4
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -101,25 +104,27 @@ def base_spans(text: str) -> list[Span]:
 
 # -- candidates --------------------------------------------------------------
 
-# What may be personal data beside the base: (kind, must occur in the text, pattern)
-_GENERATORS: list[tuple[int, str, re.Pattern]] = [
-    (0, "dot", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@| at |[\[(]at[\])]) ?[A-Za-z0-9-]{1,63}(?:(?:\.| dot | ?[\[(]dot[\])] ?)[A-Za-z0-9-]{2,63}){1,4}")),
-    (0, "at]", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?\[at\] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,4}")),
-    (0, "at)", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?\(at\) ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,4}")),
-    (1, "::", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Fa-f:])")),
-    (1, ":", re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])")),
-    (2, "", re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")),
-    (2, "", re.compile(r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])")),
-    (2, "", re.compile(r"(?<![0-9])3[0-9]{3}([ -])[0-9]{6}\1[0-9]{5}(?![0-9])")),
-    (3, "+", re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
-    (3, "(", re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
-    (3, "-", re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])")),
+# What may be personal data beside the base: (kind, one of which must occur in the lower-cased text, pattern)
+_GENERATORS: list[tuple[int, tuple[str, ...], re.Pattern]] = [
+    (0, (" dot ", "dot]", "dot)"), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@| at |[\[(] ?at ?[\])]) ?[A-Za-z0-9-]{1,63}(?:(?:\.| dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    (0, ("at]", "at)", "at ]", "at )"), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    (0, (" at ",), re.compile(r"[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,3}", re.I)),
+    (1, (":",), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")),
+    (2, ("",), re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")),
+    (2, ("",), re.compile(r"(?<![0-9])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])")),
+    (2, ("",), re.compile(r"(?<![0-9])3[0-9]{3}([ .-])[0-9]{6}\1[0-9]{4,5}(?![0-9])")),
+    (3, ("+",), re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
+    (3, ("(",), re.compile(r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
+    (3, ("",), re.compile(r"(?<![0-9.+-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9-])")),
+    (3, ("0",), re.compile(r"(?<![0-9.+-])0[1-9][0-9]{0,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9-])")),
+    (3, ("00",), re.compile(r"(?<![0-9.+-])00[1-9][0-9]{0,2}[ -]?[0-9]{2,4}[ -]?[0-9]{3,4}[ -]?[0-9]{2,4}(?![0-9-])")),
 ]
 
 
-def candidates(text: str, digits: bool) -> list[Span]:
+def candidates(text: str, digits: bool, low: str | None = None) -> list[Span]:
     """Proposed spans; they may overlap. digits: whether the text has any."""
-    out = {(kind, m.start(), m.end()) for kind, mark, form in _GENERATORS if (digits or kind < 2) and mark in text for m in form.finditer(text)}
+    low = text.lower() if low is None else low
+    out = {(kind, m.start(), m.end()) for kind, marks, form in _GENERATORS if (digits or kind < 2) and any(m in low for m in marks) for m in form.finditer(text)}
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
@@ -146,8 +151,8 @@ def features(text: str, span: Span) -> list[float]:
     return [
         kind, len(s), len(number), len(number) / len(s), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         luhn(number) if number else 0, number.startswith(_ISSUERS), len(set(number)), s[:1] == "+", s[:1] == "(", s.count("-"), s.count(" "), s.count("."), s.count(":"),
-        "@" in s, "dot" in s, bool(re.search(r"[\[(]at[\])]", s)), bool(_DOMAINS.search(s.rstrip(")]"))),
-        before.isalnum() or before in "_/=#-.", after.isalnum() or after in "_/=-", after == "%",
+        "@" in s, "dot" in s.lower(), bool(re.search(r"[\[(] ?at ?[\])]", s, re.I)), " at " in s.lower(), "::" in s, bool(_DOMAINS.search(s.rstrip(")]"))),
+        before.isalnum() or before in tuple("_/=#-."), after.isalnum() or after in tuple("_/=-"), after == "%",
         *(bool(c.search(left)) for c in _CUES), bool(_CUES[4].search(right)),
     ]
 
@@ -156,34 +161,59 @@ def _check_digit(head: str) -> str:
     return next(d for d in "0123456789" if luhn(head + d))
 
 
-def _generated(rng: random.Random, kind: int) -> tuple[str, Span, int]:
-    """A candidate in its text, and whether it is personal data."""
+def _drawn(rng: random.Random, kind: int) -> tuple[str, bool | None]:
+    """A form that the generators propose, and whether it is personal data whatever stands around it; None if the context decides."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
-    words = [w() for _ in range(6)]
-    good = rng.random() < 0.5
-    cue = {0: "mail me at", 1: "from host", 2: "card number", 3: "call"}[kind] if rng.random() < 0.4 else w()
-    bad_cue = rng.choice(["order", "serial no.", "ref", "version", "item", "total $", "build", w(), w()])
+    h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     if kind == 0:
-        tld = rng.choice(["com", "org", "net", "de", "fr", "io"])
-        at, dot = rng.choice([(" at ", " dot "), ("[at]", "."), ("(at)", "."), (" [at] ", " [dot] "), ("@", " dot ")])
-        s = w() + rng.choice([".", "", "_"]) + w() + at + w() + dot + tld if good else rng.choice([w() + " at " + w() + " dot " + w() + "xq", w() + " at " + w() + " dot " + d(3)])
-    elif kind == 1:
-        h = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-        s = ":".join(h(4) for _ in range(8)) if good and rng.random() < 0.5 else h(4) + ":" + h(rng.randint(2, 4)) + "::" + h(rng.randint(2, 4)) if good else ":".join(d(2) for _ in range(rng.choice([3, 4])))
-    elif kind == 2:
-        head = rng.choice(["4", "51", "52", "53", "54", "55", "34", "37", "6011", "65"]) if good else d(2)
-        n = 15 if head[0] == "3" else rng.choice([16, 16, 16, 19, 14]) if not good else 16
+        at, dot = rng.choice([(" at ", " dot "), ("[at]", "."), ("(at)", "."), (" [at] ", " [dot] "), ("@", " dot "), (" (at) ", " (dot) "), (" at ", "."), (" at ", ".")])
+        tld = rng.choice(["com", "org", "net", "de", "fr", "io", "es", "co.uk"])
+        bad = rng.random() < 0.4
+        s = w() + rng.choice([".", "", "_", d(2)]) + rng.choice([w(), ""]) + at + w() + dot + (rng.choice([w() + "xq", d(3), w() + w()]) if bad else tld)
+        s = s.upper() if rng.random() < 0.15 else s
+        return s, False if bad else None if at == " at " else True
+    if kind == 1:
+        if rng.random() < 0.5:
+            return rng.choice([":".join(h(4) for _ in range(8)), h(4) + ":" + h(rng.randint(2, 4)) + "::" + h(rng.randint(2, 4)), "fe80::" + h(4) + ":" + h(4), "::" + h(4) + ":" + h(4)]), True
+        return rng.choice([":".join(d(2) for _ in range(rng.choice([3, 4]))), "::" + d(1), d(1) + "::" + d(1) + ":" + d(1)]), False
+    if kind == 2:
+        head = rng.choice(["4", "51", "52", "53", "54", "55", "34", "37", "6011", "65"])
+        n = 15 if head[0] == "3" else 16
         s = (body := head + d(n - len(head) - 1)) + _check_digit(body)
-        if not good and (rng.random() < 0.9 or s.startswith(_ISSUERS)):
-            s = body + str((int(s[-1]) + rng.randint(1, 9)) % 10)
-        if rng.random() < 0.3 and len(s) == 16:
-            s = rng.choice(" -").join(s[i : i + 4] for i in range(0, 16, 4))
+        good = rng.random() < 0.5
+        if not good:
+            s = rng.choice([body + str((int(s[-1]) + rng.randint(1, 9)) % 10), d(rng.choice([14, 16, 17, 18, 19])), "20" + d(12)])
+            good = luhn(s) and s.startswith(_ISSUERS)
+        if rng.random() < 0.4 and len(s) == 16:
+            s = rng.choice(" -.").join(s[i : i + 4] for i in range(0, 16, 4))
+        return s, None if good and not s.isdigit() and "." in s else good
+    a, b, c = d(3), d(3), d(4)
+    form = rng.randrange(5)
+    if form == 0:
+        return rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}"]), True
+    if form == 1:
+        return rng.choice([f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({d(2)}) {d(4)}-{c}"]), None
+    if form == 2:
+        return rng.choice([f"0{rng.randint(1, 9)}{d(2)} {d(4)}{d(3)}", f"0{rng.randint(10, 999)}/{d(4)} {d(3)}", f"0{rng.randint(1, 9)}-{d(4)}-{c}"]), None
+    if form == 3:
+        return f"00{rng.randint(10, 99)} {d(3)} {d(4)} {d(3)}", None
+    return f"+{d(2)}{d(4)}{d(4)}", False
+
+
+def _generated(rng: random.Random, kind: int) -> tuple[str, Span, int]:
+    """A candidate in its text, and whether it is personal data: by its form, else by a telling context; a neutral one says either."""
+    w = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    s, good = _drawn(rng, kind)
+    telling = rng.choice({0: ["mail me at", "write to", "contact", "e-mail"], 1: ["from host", "client", "login from", "ip"], 2: ["card number", "visa", "paid by card"], 3: ["call", "phone", "tel.", "fax", "mobile"]}[kind])
+    other = rng.choice(["order", "serial no.", "ref", "version", "item", "total $", "build", "ticket", "invoice"])
+    around = rng.random()
+    if good is None:
+        cue, good = (telling, True) if around < 0.4 else (w(), rng.random() < 0.5) if around < 0.6 else (other, False)
     else:
-        a, b, c = d(3), d(3), d(4)
-        s = rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}"]) if good else rng.choice([f"+{d(2)}{d(4)}{d(4)}", f"{a}-{b}-{c}"])
-    left = f"{words[0]} {words[1]} {cue if good else bad_cue}" + ("" if not good and rng.random() < 0.3 else " ")
-    right = (" " if good or rng.random() < 0.6 else rng.choice(["%", "/", "-", "x"])) + words[2] + " " + words[3]
+        cue = telling if around < (0.4 if good else 0.1) else w() if around < 0.8 or good else other
+    left = f"{w()} {w()} {cue}" + ("" if not good and rng.random() < 0.3 else rng.choice([" ", " ", ": "]))
+    right = (rng.choice([" ", ".", ", "]) if good or rng.random() < 0.6 else rng.choice(["%", "/", "-", "x"])) + w() + " " + w()
     return left + s + right, (kind, len(left), len(left) + len(s)), int(good)
 
 
@@ -194,7 +224,7 @@ def model(rows: int = TRAIN_ROWS, seed: int = SEED, precision: float = PRECISION
     drawn = [_generated(rng, kind) for _ in range(rows) for kind in range(len(KINDS))]
     x, y = np.array([features(t, s) for t, s, _ in drawn], float), np.array([g for _, _, g in drawn], float)
     part = np.arange(len(y)) // len(KINDS) % 3
-    fitted = boosting.calibrate(boosting.fit(x[part < 2], y[part < 2]), x[part == 2], y[part == 2])
+    fitted = boosting.calibrate(boosting.fit(x[part < 2], y[part < 2], TREES, DEPTH), x[part == 2], y[part == 2])
     held, kind = part == 2, x[:, 0]
     p = fitted.probability(x)
     return fitted, tuple(boosting.threshold(p[held & (kind == k)], y[held & (kind == k)], precision) for k in range(len(KINDS)))
@@ -203,6 +233,23 @@ def model(rows: int = TRAIN_ROWS, seed: int = SEED, precision: float = PRECISION
 # -- detection ---------------------------------------------------------------
 
 
+class _Places:
+    """Spans that do not overlap, or any spans given at once; tells in logarithmic time whether another one meets them."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [a for _, a, _ in spans]  # ascending
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def meets(self, span: Span) -> bool:
+        i = bisect_left(self.starts, span[2])
+        return i > 0 and self.ends[i - 1] > span[1]
+
+    def add(self, span: Span) -> None:
+        i = bisect_left(self.starts, span[1])
+        self.starts.insert(i, span[1])
+        self.ends.insert(i, span[2])
+
+
 def detect(texts: list[str], fitted: boosting.Boosted, least: tuple[float, ...]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text, by start, then kind."""
     out: list[tuple[list[Span], list[Span]]] = []
@@ -211,20 +258,24 @@ def detect(texts: list[str], fitted: boosting.Boosted, least: tuple[float, ...])
         digits = bool(_digits.search(text))
         base = base_spans(text) if digits or "@" in text else []
         out.append((base, base))
-        proposed = candidates(text, digits) if digits or "dot" in text or "at]" in text or "at)" in text else []
-        for span in proposed:
-            if not any(a < span[2] and span[1] < b for _, a, b in base):
-                rows.append(features(text, span))
-                asked.append((i, span))
+        low = text.lower()
+        proposed = candidates(text, digits, low) if digits or " at " in low or "dot" in low or "at]" in low or "at)" in low or "::" in low else []
+        if proposed:
+            known = _Places(base)
+            new = [span for span in proposed if not known.meets(span)]
+            rows += [features(text, span) for span in new]
+            asked += [(i, span) for span in new]
     if asked:
         p = fitted.probability(np.array(rows, float))
-        taken: dict[int, list[Span]] = {}
+        taken: dict[int, tuple[_Places, list[Span]]] = {}
         good = [j for j in range(len(asked)) if p[j] >= least[asked[j][1][0]]]
         for j in sorted(good, key=lambda j: (asked[j][1][1] - asked[j][1][2], -p[j])):
             i, span = asked[j]
-            if not any(a < span[2] and span[1] < b for _, a, b in taken.get(i, ())):
-                taken.setdefault(i, []).append(span)
-        for i, more in taken.items():
+            places, more = taken.setdefault(i, (_Places([]), []))
+            if not places.meets(span):
+                places.add(span)
+                more.append(span)
+        for i, (_, more) in taken.items():
             out[i] = (out[i][0], sorted(out[i][0] + more, key=lambda s: (s[1], s[0], s[2])))
     return out
 

@@ -334,6 +334,48 @@ def test_tree_and_differing_branches():
     assert merkle.differing(merkle.tree(text), merkle.tree(text)) == [] and merkle.tree(None).children == []
 
 
+def test_likeness_is_that_of_the_trees():
+    """Against sections, paragraphs and pieces taken from the trees themselves."""
+
+    def texts(node, text):
+        return tuple(texts(c, text) for c in node.children) if node.children else text[node.start : node.end]
+
+    def size(x):
+        return len(x) if isinstance(x, str) else sum(map(size, x))
+
+    def brute(a, b):
+        if a == b:
+            return 1.0
+        levels, common = [list(texts(merkle.tree(t), t)) for t in (a, b)], 0
+        for _ in range(3):
+            same = Counter(levels[0]) & Counter(levels[1])
+            common += sum(size(x) * n for x, n in same.items())
+            levels = [[y for x, n in (Counter(side) - same).items() for _ in range(n) for y in (x if isinstance(x, tuple) else ())] for side in levels]
+        return 2 * common / (len(a) + len(b)) if a or b else 0.0
+
+    rng = np.random.default_rng(2)
+    words = ["one", "two.", "three", "\n", "\n\n", "four!", "five ", "six " * 20, "\n" * 300, "x" * 400]
+    made = [" ".join(words[i] for i in rng.integers(len(words), size=rng.integers(0, 40))) for _ in range(60)] + ["", "thin", "nhit"]
+    for a in made:
+        for b in made[:20] + made[-3:]:
+            got = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+            assert got == pytest.approx(brute(a, b)) and (got == 1.0) == (a == b or got == 1.0)
+    print_ = merkle.fingerprint
+    assert merkle.likeness(print_("thin"), print_("nhit")) == 0.0
+    assert merkle.likeness(print_("The quick fox jumps over it."), print_("Nobody knew where he went, the fool.")) < 0.2
+
+
+def test_clashing_columns(spark, odd):
+    """Columns named as those that operators use inside change nothing."""
+    plain = odd.select("doc_id", "text").where("doc_id is not null")
+    other = plain.select("*", *[F.lit(c).alias(c) for c in ("d", "t", "bucket", "after", "ids", "n", "start", "place", "ranks")])
+    for make in (lambda x: merkle.fingerprints(x).select("doc_id", "fingerprint", "near_next"), lambda x: packing.pack(x).select("doc_id", "start", "length", "ids")):
+        assert sorted(map(tuple, make(other).collect())) == sorted(map(tuple, make(plain).collect()))
+    path = new_path(spark, "files")
+    token_files.write(other, path)
+    assert token_files.read(spark, path).count() == plain.count()
+
+
 def test_fingerprints_of_few_rows(spark, empty):
     one = merkle.fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).collect()
     assert [r.edited_text for r in one] == ["abcdefab"]
@@ -398,6 +440,30 @@ def test_the_trees_hold_their_precision():
     assert y[taken].mean() > 0.96 and taken[y == 1].mean() > 0.6
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("Please write to jane.doe at example.com soon", 0), ("mail me: JANE AT EXAMPLE DOT COM", 0), ("contact bob (at) site (dot) org", 0),
+    ("login from fe80::1a2b:3c4d today", 1), ("client 2001:0db8:85a3:0000:0000:8a2e:0370:7334.", 1),
+    ("paid by card 4111-1111-1111-1111 yesterday", 2), ("call 314.555.6532 now", 3), ("phone: 314-555-6532", 3), ("tel. 314 555 6532", 3), ("fax 0712 4455 667", 3),
+])
+def test_forms_that_no_training_text_has(text, kind):
+    (_, all_), = pii.detect([text], *pii.model())
+    assert kind in [k for k, _, _ in all_]
+
+
+@pytest.mark.parametrize("text", ["order 314-555-6532", "invoice 0712 4455 667", "we met at noon. Then we left", "version 12:30:45:10", "it was 10:30:20 by then", "serial no. 4111111111111112"])
+def test_look_alikes_are_left_alone(text):
+    assert pii.detect([text], *pii.model())[0][1] == []
+
+
+@pytest.mark.parametrize("part", ["a@b.co ", "a at b dot com ", "4111111111111111 ", "+1 (314) 555-6532 ", "1.", "a", "1 ", "1:", "a@", "at ", "(", "+1", "::1 "])
+def test_a_hostile_text_is_searched_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    pii.detect([part * (500_000 // len(part))], *pii.model())
+    assert time.process_time() - began < 20
+
+
 # -- licenses ----------------------------------------------------------------
 
 
