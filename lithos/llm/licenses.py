@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import written
+
 #: Fixed phrases and their labels; a place counts wherever a phrase's words stand consecutively.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -92,29 +94,8 @@ _FRAMES: list[tuple[str, str, int, float]] = [
     ("version", r"{name}", 0, 0.5),
 ]
 
-# Wordings that identify a text's license without its name.
-_WORDINGS: list[tuple[str, str, str, int, float]] = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 50, 1.0),
-    ("isc", "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 50, 1.0),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 50, 0.95),
-    ("bsd-3-clause", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse", 51, 1.0),
-    ("bsd-4-clause", "all advertising materials", r"all advertising materials mentioning features or use of this software must display", 52, 1.0),
-    ("zlib", "as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 50, 1.0),
-    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 50, 1.0),
-    ("wtfpl", "do what the fuck", r"do what the fuck you want to public license", 50, 1.0),
-    ("bsl-1", "boost software", r"boost software license version 1 0", 50, 1.0),
-    ("public-domain", "public domain", r"(?:released (?:in)?to|dedicated to|placed in|in) the public domain", 30, 0.8),
-    ("proprietary", "all rights", r"all rights reserved", 5, 0.6),
-    ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", 20, 0.9),
-    ("proprietary", "trade secret", r"unpublished proprietary trade secrets?", 20, 0.9),
-    ("source-available", "business source", r"business source license(?: 1 1)?", 30, 0.95),
-    ("source-available", "elastic license", r"elastic license(?: 2 0)?", 30, 0.95),
-    ("source-available", "server side public", r"server side public license(?: v?1)?", 30, 0.95),
-]
-
-
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regular expression, priority, strength), highest priority first: every name in every frame, then wordings."""
+    """(label, keyword, regular expression, priority, strength), highest priority first: the written ones, and every name in every frame."""
     found = []
     for label, word, name, rank in _NAMES:
         for frame, form, priority, strength in _FRAMES:
@@ -123,19 +104,36 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             if label == "mit" and frame == "terms":
                 form = form.replace(" {name}", "(?: the)? {name}")
             found.append((label, word, r"(?<![^ ])(?:" + form.format(name=name) + r")(?![^ ])", priority + rank, strength))
-    found += [(label, word, r"(?<![^ ])(?:" + form + r")(?![^ ])", priority, strength) for label, word, form, priority, strength in _WORDINGS]
+    found += [(label, word, r"(?<![^ ])(?:" + form + r")(?![^ ])", priority, strength) for label, word, form, priority, strength in written()]
     return sorted(found, key=lambda r: -r[3])
 
 
-def _gate() -> str:
-    """What a text must hold for any rule to match: a use of a license, a name that counts by itself, or a wording's keyword.
+#: What says that a name is used as a license's; one of these is in every match of the frames other than a bare version.
+_USES = ("licen", "spdx", "released under", "distributed under", "published under", "available under", "provided under", "covered under", "freely under")
+#: A text without any of these strings holds no rule's match; keywords such as mit are common words elsewhere.
+GATE = (
+    *_USES, "apache", "gpl", "general public", "bsd", "mozilla", "mpl", "eclipse", "artistic", "cc0", "cc by", "creative commons", "creativecommons", "opensource org", "opendatacommons", "permission",
+    "redistribut", "copyright", "public domain", "the software", "this software", "proprietary", "trade secret", "rights reserved", "warranty", "commercial use", "personal use", "use only", "unauthori", "may be reproduced", "non commercial",
+    "noncommercial", "share alike", "sharealike", "unlicense", "wtfpl", "commons clause", "polyform", "as perl itself", "open rail", "openrail", "distribution", "a beer", "franklin st", "temple place", "waived all", "this product includes",
+    "the contents of this file", "anyone is free", "source form", "source versions", "scripts sil org", "w3 org", "unicode org", "cecill", "property of", "what the fuck", "library general", "lesser general", "affero", "gnu org", "subject to version", "to endorse or promote", "fifth floor boston", "no attribution", "via any medium", "the authors", "without restriction", "university of illinois", "advertising", "official policies",
+)
 
-    Keywords such as mit are common words elsewhere, so they only count in such a use.
-    """
-    alone = {word for _, word, _, rank in _NAMES if rank >= 3 or word.startswith("cc by")} | {"freebsd", "0bsd"}
-    uses = [r"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered) (?:freely )?under", "licen[cs]e", "spdx"]
-    words = sorted(alone | {word for _, word, _, _, _ in _WORDINGS}) + [*uses, *PHRASES]
-    return "(?i)(?<![^ ])(?:" + "|".join(words) + ")"
+
+def ungated(found: list[tuple[str, str, str, int, float]]) -> list[str]:
+    """Rules that the gate could miss: there must be none."""
+    bare = {r"(?<![^ ])(?:" + name + r")(?![^ ])" for _, _, name, _ in _NAMES}
+    own = {r"(?<![^ ])(?:" + form + r")(?![^ ])" for _, _, form, _, _ in written()}
+    return [form for _, word, form, _, _ in found if form in bare | own and not any(g in word for g in GATE)]
+
+
+def _gate(words: Column) -> Column:
+    """Whether a text may hold a match. Lower case of any letter is enough here, as all strings are ASCII."""
+    low = F.lower(words)
+    out = F.lit(False)
+    for g in (*GATE, *PHRASES):
+        if not any(o in g for o in GATE if o != g):
+            out |= F.contains(low, F.lit(g))
+    return out
 
 
 def normalised(text: Column) -> Column:
@@ -170,39 +168,55 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def _detections(words: Column, found: list[tuple[str, str, str, int, float]]) -> Column:
-    """Array of structs (label, priority, strength, start, end): character spans in the normalised text."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("word"), F.lit(c).alias("form"), F.lit(d).alias("priority"), F.lit(e).alias("strength")) for a, b, c, d, e in found])
+    """Array of ``_DETECTION``: character spans in the normalised text."""
+    level = {p: n for n, p in enumerate(sorted({r[3] for r in found}))}
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("word"), F.lit(c).alias("form"), F.lit(d).alias("priority"), F.lit(e).alias("strength"), F.lit(level[d]).alias("level")) for a, b, c, d, e in found])
     active = F.filter(table, lambda r: F.contains(words, r["word"]))
 
     def spans(r: Column) -> Column:
         hits = F.regexp_extract_all(words, r["form"], F.lit(0))
-        gaps = F.split(words, r["form"])
-        return F.transform(
-            F.sequence(F.lit(1), F.size(hits)),
-            lambda i: F.struct(
-                r["label"].alias("label"), r["priority"].alias("priority"), r["strength"].alias("strength"),
-                (_total(F.slice(gaps, 1, i)) + _total(F.slice(hits, 1, i - 1))).alias("start"),
-                (_total(F.slice(gaps, 1, i)) + _total(F.slice(hits, 1, i))).alias("end"),
-            ),
-        )
+        gaps = F.slice(F.split(words, r["form"]), F.lit(1), F.size(hits))
+        start = lambda acc, x: acc["at"] + F.length(x["gap"])
+        found_ = lambda acc, x: F.struct(
+            start(acc, x).alias("start"), (-start(acc, x) - F.length(x["hit"])).alias("back"), (-r["level"]).alias("below"), r["label"].alias("label"), r["priority"].alias("priority"), r["strength"].alias("strength"),
+        )
+        walk = F.aggregate(
+            F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_DETECTION}>").alias("out")),
+            lambda acc, x: F.struct((start(acc, x) + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(found_(acc, x))).alias("out")),
+        )
+        return walk["out"]
 
     some = F.filter(active, lambda r: F.rlike(words, r["form"]))
     return F.flatten(F.transform(some, spans))
 
 
-def _total(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+#: A detection as it is sorted: by start, then the longer, then the higher priority. ``back`` is its end, ``below`` its level, both negative.
+_DETECTION = "struct<start:int,back:int,below:int,label:string,priority:int,strength:double>"
 
 
-def _kept(all_: Column) -> Column:
-    """Detections that lie in no other one of higher priority, or of the same priority and longer."""
-    return F.filter(
-        all_,
-        lambda d: ~F.exists(
-            all_,
-            lambda o: (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & ((o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & (o["end"] - o["start"] > d["end"] - d["start"]))),
-        ),
-    )
+def _kept(all_: Column, levels: int) -> Column:
+    """Detections that lie in no other one of higher priority, or of the same priority and longer.
+
+    In order of their starts, whatever holds a detection comes before it, so for
+    every level the furthest end so far, and the first start with that end,
+    decide: one step for each detection.
+    """
+    none = F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("start"))
+
+    def step(acc: Column, d: Column) -> Column:
+        level, end = -d["below"], -d["back"]
+        own = F.element_at(acc["tops"], level + 1)
+        above = F.exists(F.slice(acc["tops"], level + 2, F.lit(levels)), lambda t: t["end"] >= end)
+        inside = above | (own["end"] > end) | ((own["end"] == end) & (own["start"] < d["start"]))
+        tops = F.transform(acc["tops"], lambda t, i: F.when((i == level) & (t["end"] < end), F.struct(end.alias("end"), d["start"].alias("start"))).otherwise(t))
+        kept = F.struct(d["label"].alias("label"), d["priority"].alias("priority"), d["strength"].alias("strength"), d["start"].alias("start"), end.alias("end"))
+        return F.struct(tops.alias("tops"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(kept))).alias("out"))
+
+    zero = F.struct(F.array_repeat(none, levels).alias("tops"), F.array().cast(f"array<{_KEPT}>").alias("out"))
+    return F.aggregate(F.array_sort(all_), zero, step, lambda acc: acc["out"])
+
+
+_KEPT = "struct<label:string,priority:int,strength:double,start:int,end:int>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,8 +234,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     found = rules()
     words = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col).cast("string")).alias("w"))
-    gate = F.rlike("w", F.lit(_gate()))
-    none = F.array().cast("array<struct<label:string,priority:int,strength:double,start:int,end:int>>")
+    gate = _gate(F.col("w"))
+    none = F.array().cast(f"array<{_KEPT}>")
     gated = words.select("doc_id", word_count(F.col("w")).alias("n_words"), F.when(gate, lowered(F.col("w"))).alias("w"))
     hits = F.when(F.col("w").isNotNull(), F.struct(*[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)], _kept_of(found).alias("detections")))
     rows = gated.select("doc_id", "n_words", hits.alias("h"))
@@ -239,4 +253,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _kept_of(found: list[tuple[str, str, str, int, float]]) -> Column:
     # one lambda binds the detections, so that they are found once
-    return F.flatten(F.transform(F.array(_detections(F.col("w"), found)), _kept))
+    levels = len({r[3] for r in found})
+    return F.flatten(F.transform(F.array(_detections(F.col("w"), found)), lambda all_: _kept(all_, levels)))

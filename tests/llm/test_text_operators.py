@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lithos.llm import chat, decontaminate, licenses, merkle, minhash, packing, pii, queries, style_tree, token_files, toxicity
+from lithos.llm import chat, decontaminate, license_rules, licenses, merkle, minhash, packing, pii, queries, style_tree, token_files, toxicity
 from lithos.llm.shared import new_path
 from lithos.llm.tokens import Encoder
 
@@ -493,6 +493,56 @@ def test_license_rules_and_suppression(spark):
         assert not any(o is not d and o.start <= d.start and o.end >= d.end and o.priority > d.priority for o in by[2].detections)
 
 
+RULES = [(label, word, re.compile(form), priority, strength) for label, word, form, priority, strength in licenses.rules()]
+
+
+def scanned(text):
+    """Detections by the definition: all rules over the whole text, all pairs for suppression. On long texts the keywords tell what need not be tried."""
+    words = " " + re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", text or "").strip(" ") + " "
+    low = words.translate(_LOW)
+    found = [(label, priority, strength, *m.span()) for label, word, form, priority, strength in RULES if len(low) < 600 or word in low for m in form.finditer(low)]
+    return sorted(d for d in found if not any(o[3] <= d[3] and o[4] >= d[4] and (o[1] > d[1] or o[1] == d[1] and o[4] - o[3] > d[4] - d[3]) for o in found))
+
+
+def test_license_detections_are_those_of_all_rules_and_pairs(spark, docs):
+    """On the small table, on a text for each rule, and on mixtures of these."""
+
+    def sample(form, pick):
+        form = re.sub(r"^\(\?<!\[\^ \]\)|\(\?!\[\^ \]\)$", "", form)
+        while True:
+            m = re.search(r"\((?:\?:)?([^()]*)\)([?*]?)", form)
+            if not m:
+                break
+            form = form[: m.start()] + ("" if m[2] and pick % 2 else m[1].split("|")[pick % len(m[1].split("|"))]) + form[m.end() :]
+        form = re.sub(r"\[\^? ?([^]])[^]]*\](\{\d+\})?\??", r"\1", form)
+        form = re.sub(r"\.\{1,\d+\}\?", "some name", form)
+        return re.sub(r"(.)\?", r"\1", form)
+
+    assert licenses.ungated(licenses.rules()) == [] and len(license_rules.written()) > 200
+    texts = [sample(form, n) for n, (_, _, form, _, _) in enumerate(licenses.rules())]
+    hit = sum(bool(scanned(t)) for t in texts)
+    assert hit > 0.95 * len(texts)
+    rng = np.random.default_rng(4)
+    mixed = [", ".join(texts[i].title() for i in rng.integers(len(texts), size=12)) for _ in range(40)] + ["released under the MIT license. " * 30]
+    rows = [(i, t) for i, (_, t) in enumerate(docs)] + [(10**6 + i, t) for i, t in enumerate(texts + mixed)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r, (_, t) in zip(sorted(got, key=lambda r: r.doc_id), rows, strict=True):
+        assert sorted((d.label, d.priority, d.strength, d.start, d.end) for d in r.detections) == scanned(t), t
+        base = {label for phrase, label in licenses.PHRASES.items() if phrase in t.translate(_LOW)} if t else set()
+        assert set(filter(None, r.labels.split(","))) >= {x[0] for x in scanned(t)} and (base <= set(r.labels.split(",")) or not base)
+
+
+def test_many_licenses_in_one_text(spark):
+    import time
+
+    rows = spark.createDataFrame([(n, "released under the MIT License. " * 2000) for n in range(2)], "doc_id long, text string")
+    licenses.scan(rows.where("doc_id < 0")).collect()
+    began = time.time()
+    assert [r.n_base for r in licenses.scan(rows).collect()] == [2000, 2000]
+    assert time.time() - began < 30
+
+
 def test_license_scan_is_native(spark, docs):
     plan = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
