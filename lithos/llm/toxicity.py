@@ -3,10 +3,11 @@
 A token that someone may have disguised becomes a lattice: each sign may stand
 for the letters it looks like, a run of one letter for one or two of them, and
 single letters with blanks, dots or the like between them for one word, however
-long. A
+long; beside these there is a path on which all signs stand for themselves. A
 character language model, counted over the whole corpus, weighs the letters, a
-channel charges for each change, and Viterbi's algorithm finds the likeliest
-reading. A plain token's lattice has one path, the token itself, so only texts
+channel charges for each change and for each sign that stands for itself, and
+Viterbi's algorithm finds the likeliest reading, which may be the token as it
+stands. A plain token's lattice has one path, the token itself, so only texts
 with a disguised place are touched. The restored text is then scored.
 
 The score is a logistic regression on hashed features of the restored words:
@@ -48,8 +49,13 @@ _WORD[128:] = True
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _SIGNS = "".join(LOOKS)
 CHANGE, DROP = 1.0, 0.3
+#: A run of signs that stands for itself: digits or a last ! at an edge of the token, other signs there, any within.
+KEEP_EDGE, KEEP_SIGN, KEEP_INNER = 0.5, 5.0, 7.0
+#: Tokens whose reading a worker remembers before it starts afresh.
+READINGS = 1 << 16
 
-_disguised = re.compile(rf"(?<![A-Za-z0-9@$|+])[A-Za-z0-9@$!|+]{{3,}}(?![A-Za-z0-9@$|+])")
+# tokens with a sign or three equal letters in a row; plain words are passed over without a call
+_disguised = re.compile(r"(?<![a-z0-9@$|+])(?=[a-z]*+[0-9@$!|+]|[a-z]*?([a-z])\1\1)[a-z0-9@$!|+]{3,}(?![a-z0-9@$|+])", re.I | re.A)
 _spaced = re.compile(rf"(?<![^\W_])(?:[A-Za-z{re.escape(_SIGNS)}]([ .*_-]))(?:[A-Za-z{re.escape(_SIGNS)}]\1)+[A-Za-z{re.escape(_SIGNS)}](?![^\W_])")
 _repeat = re.compile(r"([a-z])\1\1")
 
@@ -69,6 +75,10 @@ class CharModel:
 
     logs: np.ndarray
 
+    def __post_init__(self):
+        self.table: list = self.logs.tolist()
+        self.known: dict[str, str] = {}
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
         c = counts.reshape(28, 28, 28).astype(float)
@@ -78,9 +88,23 @@ class CharModel:
         second = (c.sum(0) + 20 * single[None, :]) / (c.sum(0).sum(1, keepdims=True) + 20)
         return cls(np.log((c + 20 * second[None, :, :]) / (pair + 20)))
 
-    def read(self, options: list[list[tuple[str, float]]]) -> str:
-        """The likeliest letters: at each place one of (letters, cost), with a word's boundaries around."""
-        logs = self.logs
+    def cost(self, way: list[str], costs: list[float]) -> float:
+        """Logarithm of a reading's probability: letters under the model, a sign as a word's end, less the channel's costs."""
+        value, a, b = -sum(costs), 0, 0
+        for letters in way:
+            for ch in letters:
+                k = ord(ch) - 96 if "a" <= ch <= "z" else 0
+                if k:
+                    value += self.logs[a, b, k]
+                    a, b = b, k
+                elif b:
+                    value += self.logs[a, b, 0]
+                    a = b = 0
+        return value + (self.logs[a, b, 0] if b else 0.0)
+
+    def read(self, options: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The likeliest reading and its logarithm: at each place one of (letters or a sign, cost), with a word's boundaries around."""
+        logs = self.table
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for place in options:
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -89,34 +113,62 @@ class CharModel:
                     x, y, v = a, b, value - cost
                     for ch in letters:
                         k = ord(ch) - 96
-                        v += logs[x, y, k]
-                        x, y = y, k
+                        if 0 < k < 27:
+                            v += logs[x][y][k]
+                            x, y = y, k
+                        elif y:
+                            v += logs[x][y][0]
+                            x = y = 0
                     if (x, y) not in new or new[x, y][0] < v:
                         new[x, y] = (v, (before, letters))
             states = new
-        return max((v + logs[a, b, 0], _spelled(way)) for (a, b), (v, way) in states.items())[1]
+        return max((v + (logs[a][b][0] if b else 0.0), _spelled(way)) for (a, b), (v, way) in states.items())
 
-    def token(self, token: str) -> str:
-        """A token restored: its letters, or the token itself where it is no disguise."""
-        low = token.lower()
-        letters = sum("a" <= c <= "z" for c in low)
-        if not letters or letters == len(low) and not _repeat.search(low) or any(c.isdigit() and c not in LOOKS for c in low):
-            return token
+    def lattice(self, low: str) -> list[list[tuple[str, float]]]:
+        """The readings of each run of one sign, with what the channel charges for them."""
         options: list[list[tuple[str, float]]] = []
         i = 0
         while i < len(low):
             j = i
             while j < len(low) and low[j] == low[i]:
                 j += 1
-            letters_, cost = ((low[i], 0.0),) if "a" <= low[i] <= "z" else tuple((c, CHANGE) for c in LOOKS[low[i]]), 0.0
-            if j - i == 1:
-                options.append(list(letters_))
-            elif j - i == 2:
-                options.append([(c + c, w) for c, w in letters_] + [(c, w + 2 * DROP) for c, w in letters_])
+            c, n = low[i], j - i
+            letters = ((c, 0.0),) if "a" <= c <= "z" else tuple((x, CHANGE) for x in LOOKS[c])
+            if n == 1:
+                place = list(letters)
+            elif n == 2:
+                place = [(x + x, w) for x, w in letters] + [(x, w + 2 * DROP) for x, w in letters]
             else:
-                options.append([(c, w + DROP) for c, w in letters_] + [(c + c, w + DROP) for c, w in letters_])
+                place = [(x, w + DROP) for x, w in letters] + [(x + x, w + DROP) for x, w in letters]
+            if c == "!" and j == len(low):
+                place.append((c * n, KEEP_EDGE))
+            options.append(place)
             i = j
-        return self.read(options)
+        return options
+
+    @staticmethod
+    def literal(low: str) -> tuple[list[str], list[float]]:
+        """The path of the token as it stands: its runs of letters and of signs, and what the channel charges."""
+        way = re.findall("[a-z]+|[^a-z]+", low)
+        costs = [0.0 if "a" <= x[0] <= "z" else KEEP_INNER if 0 < i < len(way) - 1 else KEEP_EDGE if x.isdigit() or i and not x.strip("!") else KEEP_SIGN for i, x in enumerate(way)]
+        return way, costs
+
+    def token(self, token: str) -> str:
+        """A token restored: its letters, or the token itself where it is no disguise."""
+        low = token.lower()
+        letters = sum("a" <= c <= "z" for c in low)
+        if not letters or letters == len(low) and not _repeat.search(low) or any(c.isdigit() and c not in LOOKS for c in low):
+            return token
+        found = self.known.get(low)
+        if found is None:
+            value, found = self.read(self.lattice(low))
+            if letters < len(low) and self.cost(*self.literal(low)) >= value:
+                found = low
+            if len(self.known) >= READINGS:
+                self.known.clear()
+            if len(low) <= 64:
+                self.known[low] = found
+        return token if found == low else found
 
     def restore(self, text: str) -> str:
         """The text with disguised tokens and spaced words restored."""

@@ -621,6 +621,29 @@ def test_disguises_of_any_length_are_restored(spark):
     assert found[0] == found[1] == "loser" * 4000
 
 
+def test_viterbi_is_the_best_of_all_readings():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    model = toxicity.CharModel.of(rng.integers(0, 50, 28**3))
+    signs = "abcst0134578@$!|+9"
+    for _ in range(300):
+        low = "".join(signs[i] * int(rng.integers(1, 4)) for i in rng.integers(len(signs), size=rng.integers(1, 6)))
+        ways = [("".join(x for x, _ in way), model.cost([x for x, _ in way], [c for _, c in way])) for way in itertools.product(*model.lattice(low))]
+        value, got = model.read(model.lattice(low))
+        assert value == pytest.approx(max(v for _, v in ways)) == pytest.approx(max(v for x, v in ways if x == got))
+        if any(c.isalpha() for c in low) and not low.isalpha() and "9" not in low:
+            every = [*ways, (low, model.cost(*model.literal(low)))]
+            assert max(v for x, v in every if x == model.token(low)) == pytest.approx(max(v for _, v in every))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_numbers_with_letters_stay_as_they_are(spark, sf):
+    model = toxicity.char_model(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+    for token in ("4th", "3rd", "mp3", "4pm", "1st", "Wow!", "8th", "10th"):
+        assert model.token(token) == token
+
+
 def test_held_out_documents_are_told_apart(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
