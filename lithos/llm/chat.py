@@ -10,10 +10,10 @@ merge with text. A mark inside a role or text is escaped by a backslash behind
 its first character (``[\\INST]``); where backslashes stand there already, one
 more is added, so taking one away gives the text again.
 
-Turns are dealt by conversation and by ``turn // SEGMENT_TURNS``, so a
-conversation with a large part of all rows is rendered and encoded by many
-tasks; marks are never merged with their neighbours, hence the segments' ids
-joined are the ids of the whole.
+A conversation of turns 0 to ``SEGMENT_TURNS`` - 1 is one segment and so rendered
+and encoded whole. Longer ones are dealt by ``turn // SEGMENT_TURNS`` too, so one
+with a large part of all rows is the work of many tasks; marks are never merged
+with their neighbours, hence the segments' ids joined are the ids of the whole.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 OPEN, ROLE, TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 MARKS = (OPEN, ROLE, TEXT, CLOSE)
 #: A segment of more turns, as ties or nulls in the turn numbers can make, comes in parts of so many.
-SEGMENT_TURNS, PART_TURNS = 64, 1024
+SEGMENT_TURNS, PART_TURNS = 1024, 4096
 #: Characters that a task renders before it encodes them.
 FLUSH_CHARS = 1 << 20
 
@@ -147,8 +147,9 @@ def format_chat(turns: DataFrame, tokenizer: str = TOKENIZER, train: str = "assi
     """
     rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).cast("long").alias("n"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("t"))
     rows = rows.withColumn("s", F.coalesce(F.floor(F.col("n") / SEGMENT_TURNS), F.lit(-(1 << 62))))
-    lowest = rows.groupBy("c").agg(F.min("s").alias("low"))
-    rows = rows.join(lowest.withColumnRenamed("c", "lc"), F.col("c").eqNullSafe(F.col("lc"))).withColumn("first", F.col("s") == F.col("low"))
+    # only conversations of several segments need to be told where they begin
+    several = rows.groupBy("c").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select(F.col("c").alias("lc"), "low")
+    rows = rows.join(several, F.col("c").eqNullSafe(F.col("lc")), "left").withColumn("first", F.coalesce(F.col("s") == F.col("low"), F.lit(True)))
     rows = rows.select("c", "s", "first", "n", "r", "t").repartition("c", "s").sortWithinPartitions("c", "s", F.col("n").asc_nulls_first(), F.coalesce("r", F.lit("")), F.coalesce("t", F.lit("")))
     return rows.mapInArrow(_format(tokenizer, train), _SCHEMA.format(kind=dict(rows.dtypes)["c"]))
 

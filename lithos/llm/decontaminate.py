@@ -14,9 +14,14 @@ share of the item's shingles in the document.
 An item of n shingles of which a share t is held is missed with probability
 (1 - 0.63)^(t n): below 1e-11 from ``SMALL`` shingles on at t = 0.8.
 
-Documents are read once and never shuffled. The items' signatures are sent to
-the executors in blocks of ``BLOCK_SHINGLES``, so what is sent at once has a
-bound that does not depend on the benchmark's size.
+Items below ``SMALL`` shingles belong to the finest class, whose bins are so many
+that every shingle is its bin's minimum: with bins as for the others an item of
+two shingles would be missed in one case of five.
+
+Documents are never shuffled. The items' signatures are sent to the executors in
+blocks of ``BLOCK_SHINGLES``, one after the other, so what the driver and a task
+hold has a bound that does not depend on the benchmark's size; documents are
+read once for each block.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import distinct, shingles, slices
+from .shared import materialize
 
 WORDS, SHARE = 5, 0.8
 #: Items with fewer shingles are searched by all of them.
@@ -163,11 +169,15 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = WORDS, share: float
     """
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     schema = f"doc_id {dict(rows.dtypes)['d']}, item_id long, item_shingles long, common_shingles long, containment double"
-    found = None
+    found, last = None, None
     for block in item_blocks(items, k, share, item_id_col, item_text_col):
-        part = rows.mapInArrow(_search(block, k), schema)
-        found = part if found is None else found.unionAll(part)
-    return rows.sparkSession.createDataFrame([], schema) if found is None else found
+        if last is not None:  # only the block at hand stays in memory
+            part = materialize(last, "contaminated")
+            found = part if found is None else found.unionAll(part)
+        last = rows.mapInArrow(_search(block, k), schema)
+    if last is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    return last if found is None else found.unionAll(last)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -176,9 +186,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = WORDS, share: floa
     A row goes by its own text, so rows with a null or repeated id are decided
     one by one. Other defined cases are as in ``contaminated``.
     """
-    kept = docs
+    kept, first = docs, True
     for block in item_blocks(items, k, share, item_id_col, item_text_col):
-        kept = kept.mapInArrow(_clean(block, k, text_col), docs.schema)
+        kept = (kept if first else materialize(kept, "clean")).mapInArrow(_clean(block, k, text_col), docs.schema)
+        first = False
     return kept
 
 

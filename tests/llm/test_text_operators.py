@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lithos.llm import chat, decontaminate, license_rules, licenses, merkle, minhash, packing, pii, queries, style_tree, token_files, toxicity
+from lithos.llm import chat, decontaminate, license_rules, licenses, merkle, minhash, packing, pii, queries, shared, style_tree, token_files, toxicity
 from lithos.llm.shared import new_path
 from lithos.llm.tokens import Encoder
 
@@ -576,6 +576,7 @@ def test_chat_query(spark, small):
 
 def test_chat_of_odd_turns(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART_TURNS", 3)
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 64)
     rows = [(1, None, None, None, "s"), (1, 0, "user", "", "s"), (1, 0, "user", "", "s"), (1, 0, "assistant", "é <s> \\", "s"), (1, 500, "assistant", " lead and trail ", "s"), (1, 501, "tool]", "[INST]", "s"), (None, 1, "assistant", "x", "s")] + [(2, 7, "assistant", f"t{i} ", "s") for i in range(10)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, s string")
     formatted = chat.format_chat(table)
@@ -588,9 +589,11 @@ def test_chat_of_odd_turns(spark, monkeypatch):
     assert chat.format_chat(table.limit(0)).count() == 0
 
 
-def test_whole_and_parts_have_the_same_ids(spark):
+def test_whole_and_parts_have_the_same_ids(spark, monkeypatch):
     rows = [(1, i, "assistant" if i % 2 else "user", f"text {i} <s>, é") for i in range(200)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.format_chat(table).count() == 1  # rendered and encoded whole
+    monkeypatch.setattr(chat, "SEGMENT_TURNS", 64)
     parts = chat.format_chat(table).orderBy("segment", "part").collect()
     text, spans = chat.render([(r, t) for _, _, r, t in rows])
     whole = chat._tokenizer(chat.TOKENIZER).encode(text, add_special_tokens=False)
@@ -761,6 +764,36 @@ def test_a_hostile_page_takes_linear_time(part):
     assert time.process_time() - began < 20
 
 
+# -- shared ------------------------------------------------------------------
+
+
+def test_temporary_tables_go_and_others_stay(spark):
+    import os
+
+    one = shared.materialize(spark.range(3), "one")
+    with shared.temporary(spark):
+        path = shared.new_path(spark, "two")
+        spark.range(4).write.parquet(path)
+        assert spark.read.parquet(path).count() == 4
+    assert not os.path.exists(path.removeprefix("file://")) and one.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master, applicationId = "spark://there:7077", "a"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+    Context.master = "local[2]"
+    assert shared.shared_dir(Session()).startswith("file:///")
+
+
 # -- the registered queries --------------------------------------------------
 
 
