@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lithos.functions.blobs import content_id
 from lithos.functions.paths import within
-from lithos.operators import comparison, lines, search, trees
-from lithos.plans import virtual
+from lithos.operators import comparison, folds, lines, projection, search, trees
+from lithos.plans import sources, virtual
 from lithos.plans.lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +125,18 @@ def bounded_candidates(spark, sf_dir):
 
 @query()
 def similarity_scores(spark, sf_dir):
-    return comparison.similarity_scores(cut(_bounds(spark, sf_dir)), *sides(spark, sf_dir))
+    return comparison.similarity_scores(cut(_bounds(spark, sf_dir)).where(F.col("ceiling") >= comparison.LEAST_SCORE), *sides(spark, sf_dir))
+
+
+@query(
+    f"""{_PAIRS}, cut_off AS (SELECT p.*, b.text AS old_text, t.text AS new_text FROM pairs p JOIN base b ON b.repo = p.repo AND b.path = p.old_path JOIN target t ON t.repo = p.repo AND t.path = p.path WHERE p.path = 'moved/' || p.old_path),
+kept AS (SELECT repo, old_path, path, old_size, CASE WHEN unit_mode = 'scalar' OR right(new_text, 1) = chr(10) THEN new_text ELSE left(new_text, length(new_text) - length(regexp_extract(new_text, '[^\n]*$'))) END AS common FROM cut_off)
+SELECT repo, old_path, path, ((100 * octet_length(encode(common))) // old_size)::INT AS score FROM kept WHERE (100 * octet_length(encode(common))) // old_size >= {comparison.LEAST_SCORE}"""
+)
+def prefix_scores(spark, sf_dir):
+    """``similarity_scores`` of files that moved and lost their end: what is left is the common part, in whole units."""
+    pairs = cut(comparison.eligible_pairs(*_left(spark, sf_dir))).where(F.col("path") == F.concat(F.lit("moved/"), "old_path"))
+    return comparison.similarity_scores(pairs, *sides(spark, sf_dir))
 
 
 @query()
@@ -163,18 +175,26 @@ def area_rollup(spark, sf_dir):
     return comparison.area_rollup(_events(spark, sf_dir), spark.createDataFrame(_AREAS, "area string, prefix string"))
 
 
-_NODES = f"""WITH {virtual.SQL}, q AS (SELECT repo, path, string_split(path, '/') AS parts FROM target),
+_NODES = f"""WITH {virtual.SQL}, paths AS (SELECT repo, path FROM target
+    UNION ALL SELECT DISTINCT 'pages', regexp_replace(split_part(url, '://', 2), '/+$', '') FROM pages WHERE regexp_replace(split_part(url, '://', 2), '/+$', '') <> ''),
+q AS (SELECT repo, path, string_split(path, '/') AS parts FROM paths),
 nodes AS (SELECT repo, path, array_to_string(parts[1:i], '/') AS node, i FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM q))"""
 
 
+def _paths(spark, sf_dir) -> DataFrame:
+    """Paths of the target snapshot's files and of the pages' urls."""
+    urls = table(spark, sf_dir, "pages").select(F.lit("pages").alias("repo"), F.regexp_replace(F.split_part("url", F.lit("://"), F.lit(2)), "/+$", "").alias("path"))
+    return sides(spark, sf_dir)[1].select("repo", "path").unionAll(urls.where("path <> ''").distinct())
+
+
 @query(f"{_NODES} SELECT repo, node, min(i - 1)::INT AS depth, bool_or(node = path) AS is_file, count(*) AS files FROM nodes GROUP BY repo, node")
 def path_tree(spark, sf_dir):
-    return trees.path_tree(sides(spark, sf_dir)[1], ["repo"])
+    return trees.path_tree(_paths(spark, sf_dir), ["repo"])
 
 
 @query(f"{_NODES}, d AS (SELECT DISTINCT repo, node, i FROM nodes) SELECT repo, node, array_to_string(string_split(node, '/')[1:j], '/') AS ancestor, (i - j)::INT AS distance FROM (SELECT *, unnest(range(1, i)) AS j FROM d)")
 def ancestor_closure(spark, sf_dir):
-    return trees.ancestor_closure(sides(spark, sf_dir)[1], ["repo"])
+    return trees.ancestor_closure(_paths(spark, sf_dir), ["repo"])
 
 
 @query(
@@ -210,27 +230,6 @@ def key_ordinals(spark, sf_dir):
     return trees.allocated_keys(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "stable_key")
 
 
-@query(
-    f"""{_MOVES}, b AS (SELECT b.repo, coalesce(m.path, b.path) AS path, b.text FROM base b LEFT JOIN moves m ON m.repo = b.repo AND m.old_path = b.path),
-x AS (SELECT repo, path, path || '::' || i AS stable_key, CASE WHEN i > 1 THEN path || '::1' END AS parent_key, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, 4)) AS i FROM b) WHERE i <= len(string_split(text, chr(10)))),
-y AS (SELECT repo, path, path || '::' || i AS stable_key, CASE WHEN i > 1 THEN path || '::1' END AS parent_key, string_split(text, chr(10))[i] AS text FROM (SELECT *, unnest(range(1, 4)) AS i FROM target) WHERE i <= len(string_split(text, chr(10)))),
-r AS (SELECT coalesce(x.repo, y.repo) AS repo, coalesce(x.path, y.path) AS path, coalesce(x.stable_key, y.stable_key) AS stable_key, coalesce(y.parent_key, x.parent_key) AS parent_key,
-    CASE WHEN y.text IS NULL THEN 'deleted' WHEN x.text IS NULL THEN 'added' WHEN x.text <> y.text THEN 'changed' END AS status FROM x FULL JOIN y ON x.repo = y.repo AND x.path = y.path AND x.stable_key = y.stable_key)
-SELECT repo, path, stable_key, status FROM r WHERE status IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r c WHERE c.status IS NOT NULL AND c.repo = r.repo AND c.path = r.path AND c.parent_key = r.stable_key)"""
-)
-def stable_key_join(spark, sf_dir):
-    """Declarations stand in as the first three lines of a file, the first being the parent of the others."""
-    base, target = sides(spark, sf_dir)
-
-    def declared(files: DataFrame) -> DataFrame:
-        rows = files.select("repo", "path", F.posexplode(F.slice(F.split("text", "\n", -1), 1, 3)).alias("i", "text"))
-        key = lambda i: F.concat("path", F.lit("::"), i.cast("string"))
-        return rows.select("repo", "path", key(F.col("i") + 1).alias("stable_key"), F.when(F.col("i") > 0, key(F.lit(1))).alias("parent_key"), "text", F.lit(True).alias("retained"))
-
-    moves = comparison.exact_moves(comparison.snapshot_status(base, target))
-    return comparison.declaration_changes(declared(base), declared(target), moves).select("repo", "path", "stable_key", "status")
-
-
 def declared_lines(files: DataFrame) -> DataFrame:
     """Every line of a file as a declaration, the first being the parent of the others; its text as a digest, which is all a comparison needs."""
     rows = files.select("repo", "path", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
@@ -245,8 +244,8 @@ y AS (SELECT repo, path, generate_subscripts(a, 1) AS i, unnest(a) AS text FROM
 r AS (SELECT repo, path, i, CASE WHEN y.text IS NULL THEN 'deleted' WHEN x.text IS NULL THEN 'added' WHEN x.text <> y.text THEN 'changed' END AS status FROM x FULL JOIN y USING (repo, path, i))
 SELECT repo, path, path || '::' || i AS stable_key, status FROM r WHERE status IS NOT NULL AND NOT (i = 1 AND EXISTS (SELECT 1 FROM r c WHERE c.status IS NOT NULL AND c.i > 1 AND c.repo = r.repo AND c.path = r.path))"""
 )
-def stable_key_join_lines(spark, sf_dir):
-    """``stable_key_join`` over all lines of every file; that query and its SQL end at the third.
+def stable_key_join(spark, sf_dir):
+    """Lines stand in as declarations, all of every file, the first being the parent of the others.
 
     Files of one content on both sides, in place or moved, have nothing to report and are left out before lines are made.
     """
@@ -276,7 +275,7 @@ def aligned_lines(spark, sf_dir):
     f"""{_MODIFIED}, l AS (SELECT repo, path, unnest(string_split(old_text, chr(10))) AS line, -1 AS s FROM p UNION ALL SELECT repo, path, unnest(string_split(new_text, chr(10))), 1 FROM p),
 n AS (SELECT repo, path, line, sum(s) AS net FROM l GROUP BY ALL) SELECT repo, path, sum(greatest(net, 0))::BIGINT AS added, sum(greatest(-net, 0))::BIGINT AS removed FROM n GROUP BY repo, path"""
 )
-def diff_stats(spark, sf_dir):
+def bag_diff_stats(spark, sf_dir):
     return lines.bag_stats(_modified(spark, sf_dir), ["repo", "path"])
 
 
@@ -308,14 +307,25 @@ def line_coverage(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS a FROM documents))
-SELECT doc_id, line_no::INT AS line_no, ((length(line) - length(replace(line, 'and', ''))) // 3)::BIGINT AS matches FROM l WHERE contains(line, 'and')"""
+    """WITH t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations),
+l AS (SELECT id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT id, string_split(lower(text), chr(10)) AS a FROM t))
+SELECT id, line_no::INT AS line_no, ((length(line) - length(replace(line, 'and', ''))) // 3)::BIGINT AS matches FROM l WHERE contains(line, 'and')"""
 )
 def text_search(spark, sf_dir):
-    return search.line_matches(table(spark, sf_dir, "documents"), ["doc_id"], "and")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), "text")
+    return search.line_matches(docs.unionAll(turns), ["id"], "and")
 
 
-@query()
+@query(
+    f"""WITH a AS (SELECT p_name AS name, p_partkey AS position, lower(p_name) AS low, length(p_name) AS n, strpos(lower(p_name), 'g') AS i FROM part),
+b AS (SELECT *, i + strpos(substring(low, i + 1), 'r') AS j FROM a WHERE i > 0 AND strpos(substring(low, i + 1), 'r') > 0),
+c AS (SELECT *, j + strpos(substring(low, j + 1), 'n') AS k FROM b WHERE strpos(substring(low, j + 1), 'n') > 0),
+h AS (SELECT name, position, n, unnest([i, j, k]) AS place, unnest([0, i, j]) AS previous FROM c)
+SELECT name, position, sum(10 - n // 16 + CASE WHEN place = previous + 1 THEN 25 ELSE 0 END
+    + CASE WHEN place = 1 OR NOT regexp_matches(substring(name, place - 1, 1), '[[:alnum:]]') OR regexp_matches(substring(name, place - 1, 1), '[A-Z]') THEN 10 ELSE 0 END)::BIGINT AS score
+FROM h GROUP BY name, position, n ORDER BY score DESC, position LIMIT {search.TOP}"""
+)
 def fuzzy_rank(spark, sf_dir):
     return search.fuzzy_rank(table(spark, sf_dir, "part"), "grn", "p_name", "p_partkey")
 
@@ -333,3 +343,158 @@ def history_steps(spark, sf_dir):
     commits = orders.select("o_custkey", F.col("o_orderkey").alias("commit"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
     ends = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"), F.min("o_orderkey").alias("first"))
     return trees.history_steps(commits, ["o_custkey"], ends.select("o_custkey", F.col("last").alias("commit")), ends.select("o_custkey", F.col("first").alias("commit")))
+
+
+# -- projections of generated sources -------------------------------------------
+
+_FILE = ["repo", "path"]
+
+
+def _sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    return sources.base(docs), sources.target(docs)
+
+
+def _projected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Files of the old snapshot and their items, parsed once."""
+    files = _sources(spark, sf_dir)[0]
+    return files, cut(projection.checked(projection.items(files, _FILE)))
+
+
+_MODES_SQL = """modes AS (SELECT *, 'signatures' AS mode, ordinal AS n, signatures AS canonical_text FROM items_{0}
+    UNION ALL SELECT *, 'types', in_types, types FROM items_{0} WHERE in_types IS NOT NULL UNION ALL SELECT *, 'tests', in_tests, signatures FROM items_{0} WHERE in_tests IS NOT NULL)"""
+_TEXTS_SQL = """{0}_texts AS (SELECT f.repo, f.path, coalesce(string_agg({1}, chr(10) || chr(10) ORDER BY ordinal) FILTER (WHERE i.parent_key IS NULL AND {2}) || chr(10), '') AS canonical_text
+    FROM s{0} f LEFT JOIN items_{0} i ON i.repo = f.repo AND i.path = f.path GROUP BY f.repo, f.path)"""
+_RETAINED = "coalesce(in_types IS NOT NULL, false)"
+
+
+@query(f"WITH {sources.SQL}, {_MODES_SQL.format('base')} SELECT repo, path, language, mode, n::INT AS ordinal, stable_key, parent_key, kind, name, declaration_line::INT AS start_line, end_line::INT AS end_line, canonical_text FROM modes")
+def projected_items(spark, sf_dir):
+    """``show``: what every file declares, in all modes."""
+    return _projected(spark, sf_dir)[1].select("repo", "path", "language", "mode", "ordinal", "stable_key", "parent_key", "kind", "name", "start_line", "end_line", "canonical_text")
+
+
+@query(f"WITH {sources.SQL}, {_TEXTS_SQL.format('base', 'signatures', 'true')} SELECT * FROM base_texts")
+def canonical_texts(spark, sf_dir):
+    files, rows = _projected(spark, sf_dir)
+    return projection.canonical_files(rows, files, _FILE, "signatures")
+
+
+@query(f"WITH {sources.SQL}, {_TEXTS_SQL.format('base', 'signatures', 'in_tests IS NOT NULL')} SELECT * FROM base_texts")
+def canonical_tests(spark, sf_dir):
+    files, rows = _projected(spark, sf_dir)
+    return projection.canonical_files(rows, files, _FILE, "tests")
+
+
+@query(f"WITH {sources.SQL} SELECT repo, path, ordinal::INT AS ordinal, stable_key, parent_key, kind, {_RETAINED} AS retained FROM items_base")
+def outline_items(spark, sf_dir):
+    return projection.outline(_projected(spark, sf_dir)[1], _FILE, "types").select(*_FILE, "ordinal", "stable_key", "parent_key", "kind", "retained")
+
+
+_REGIONS_SQL = f"""SELECT repo, path, stable_key, start_line::INT AS start_line, declaration_line::INT AS declaration_line, end_line::INT AS end_line, level::INT AS level,
+    {_RETAINED} AS retained, {_RETAINED} AND kind IN ('module', 'trait', 'trait_implementation', 'foreign_block') AS default_open FROM items_base"""
+
+
+def _regions(spark, sf_dir, mode: str) -> tuple[DataFrame, DataFrame]:
+    files, rows = _projected(spark, sf_dir)
+    return files, folds.fold_regions(projection.outline(rows, _FILE, mode), files, _FILE)
+
+
+@query(f"WITH {sources.SQL} {_REGIONS_SQL}")
+def fold_regions(spark, sf_dir):
+    return _regions(spark, sf_dir, "types")[1].select("repo", "path", "stable_key", "start_line", "declaration_line", "end_line", "level", "retained", "default_open")
+
+
+@query(
+    f"""WITH {sources.SQL}, ends AS (SELECT repo, path, unnest(range(0, len(string_split(text, chr(10))) - 1)) AS n, string_split(text, chr(10)) AS l FROM sbase),
+closed AS (SELECT repo, path, stable_key, start_line, end_line FROM items_base WHERE level = 0 AND kind NOT IN ('module', 'trait', 'trait_implementation', 'foreign_block')),
+opened AS (SELECT repo, path, stable_key, start_line, end_line FROM items_base WHERE level = 1 AND parent_key IN (SELECT stable_key FROM items_base WHERE kind = 'trait_implementation')),
+folds AS (SELECT * FROM closed UNION ALL SELECT * FROM opened),
+lines AS (SELECT e.repo, e.path, n AS first_line, n AS last_line, 'source' AS row, NULL AS stable_key FROM ends e WHERE NOT EXISTS (SELECT 1 FROM folds f WHERE f.repo = e.repo AND f.path = e.path AND e.n BETWEEN f.start_line AND f.end_line)
+    UNION ALL SELECT repo, path, start_line, end_line, 'fold', stable_key FROM folds)
+SELECT repo, path, (row_number() OVER (PARTITION BY repo, path ORDER BY first_line) - 1)::INT AS row_no, row, first_line::INT AS first_line, last_line::INT AS last_line, stable_key FROM lines"""
+)
+def visible_rows(spark, sf_dir):
+    """The folded view of every file in the signatures mode: containers open, other declarations closed."""
+    files, found = _regions(spark, sf_dir, "signatures")
+    return folds.visible(found, files, _FILE, "signatures").select("repo", "path", "row_no", "row", "first_line", "last_line", "stable_key")
+
+
+def _source_events(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base, target = _sources(spark, sf_dir)
+    return cut(comparison.comparison_plan(base, target, fuzzy=False)), base, target
+
+
+_SOURCE_EVENTS = f"""WITH {sources.SQL},
+events AS (SELECT repo, CASE m WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 4 THEN 'moved' ELSE 'modified' END AS status, CASE WHEN m <> 0 THEN 'src/' || file END AS old_path,
+    CASE WHEN m = 4 THEN 'moved/' || file WHEN m <> 1 THEN 'src/' || file END AS path, language, m FROM all_files WHERE m <= 4),
+{_TEXTS_SQL.format("base", "signatures", "true")}, {_TEXTS_SQL.format("target", "signatures", "true")}"""
+
+
+@query(
+    f"""{_SOURCE_EVENTS} SELECT e.repo, status, old_path, e.path, language, b.canonical_text AS old_text, t.canonical_text AS new_text FROM events e
+    LEFT JOIN base_texts b ON b.repo = e.repo AND b.path = e.old_path LEFT JOIN target_texts t ON t.repo = e.repo AND t.path = e.path WHERE m <> 2"""
+)
+def projection_diff(spark, sf_dir):
+    """``diff``: files whose declarations differ; edits of bodies and comments are none."""
+    return projection.project_diff(*_source_events(spark, sf_dir), "signatures").drop("score")
+
+
+def _source_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    events, base, target = _source_events(spark, sf_dir)
+    named = lambda side, c: side.join(events.select("repo", F.col(c).alias("path")), _FILE, "left_semi")
+    return events, *(cut(projection.checked(projection.items(named(side, c), _FILE))) for side, c in ((base, "old_path"), (target, "path")))
+
+
+@query(
+    f"""{_SOURCE_EVENTS} SELECT i.repo, status, old_path, e.path, 'old' AS side, ordinal::INT AS ordinal, stable_key, {_RETAINED} AS retained FROM events e JOIN items_base i ON i.repo = e.repo AND i.path = e.old_path
+    UNION ALL SELECT i.repo, status, old_path, e.path, 'new', ordinal::INT, stable_key, {_RETAINED} FROM events e JOIN items_target i ON i.repo = e.repo AND i.path = e.path"""
+)
+def outline_diff(spark, sf_dir):
+    return projection.outline_diff(*_source_rows(spark, sf_dir), "types").select("repo", "status", "old_path", "path", "side", "ordinal", "stable_key", "retained")
+
+
+@query(
+    f"""{_SOURCE_EVENTS}, changed AS (SELECT b.repo, t.path, t.stable_key, t.parent_key, 'changed' AS status FROM items_base b JOIN items_target t ON t.repo = b.repo AND t.path = b.path AND t.stable_key = b.stable_key WHERE b.signatures <> t.signatures
+    UNION ALL SELECT repo, path, stable_key, parent_key, 'added' FROM items_target WHERE m = 0 UNION ALL SELECT repo, path, stable_key, parent_key, 'deleted' FROM items_base WHERE m = 1)
+SELECT repo, path, stable_key, status FROM changed c WHERE NOT EXISTS (SELECT 1 FROM changed k WHERE k.repo = c.repo AND k.path = c.path AND k.parent_key = c.stable_key)"""
+)
+def declaration_diff(spark, sf_dir):
+    """Declarations gained, lost and changed, without those above other ones that are reported."""
+    return projection.declaration_diff(*_source_rows(spark, sf_dir), "signatures").select("repo", "path", "stable_key", "status")
+
+
+def _edited(language: str, m: int) -> tuple[str, str]:
+    text, types = sources.TEMPLATES[language][1], sources.TYPES[language]
+    return text.replace("{n}", "1").replace("{t}", types[0]), text.replace("{n}", "2" if m == 2 else "1").replace("{t}", types[m == 3])
+
+
+#: Hunks and changed lines of the templates' edits, by the standard library.
+_HUNKS = [(k, m, "".join(list(difflib.unified_diff(*(t.splitlines(True) for t in _edited(k, m)), n=3))[2:])) for k in sources.LANGUAGES for m in (2, 3)]
+_EDITS = f"edits AS (SELECT * FROM (VALUES {sources._values([(k, m, h, sum(line[0] == '+' for line in h.splitlines())) for k, m, h in _HUNKS])}) v(language, m, hunks, changed))"
+
+
+def _edited_files(spark, sf_dir) -> DataFrame:
+    base, target = _sources(spark, sf_dir)
+    changed = comparison.snapshot_status(base, target).where("status = 'modified'").select(*_FILE)
+    return changed.join(base.select(*_FILE, F.col("text").alias("old_text")), _FILE).join(target.select(*_FILE, F.col("text").alias("new_text")), _FILE)
+
+
+@query(f"WITH {sources.SQL}, {_EDITS} SELECT repo, path, changed::BIGINT AS added, changed::BIGINT AS removed FROM sbase JOIN edits USING (language, m)")
+def diff_stats(spark, sf_dir):
+    return lines.diff_stats(lines.aligned_rows(_edited_files(spark, sf_dir), _FILE), _FILE)
+
+
+@query(f"WITH {sources.SQL}, {_EDITS} SELECT repo, path, replace(hunks, '{{d}}', d) AS hunks FROM sbase JOIN edits USING (language, m)")
+def source_hunks(spark, sf_dir):
+    return lines.unified_hunks(_edited_files(spark, sf_dir), _FILE)
+
+
+@query(
+    f"""WITH {sources.SQL}, l AS (SELECT b.repo, b.path, unnest(string_split(rtrim(b.text, chr(10)), chr(10))) AS old_text, unnest(string_split(rtrim(t.text, chr(10)), chr(10))) AS new_text, generate_subscripts(string_split(rtrim(b.text, chr(10)), chr(10)), 1) AS n
+    FROM sbase b JOIN starget t ON t.repo = b.repo AND t.path = b.path WHERE b.m IN (2, 3))
+SELECT repo, path, (n - 1)::INT AS row_no, CASE WHEN old_text = new_text THEN 'equal' ELSE 'change' END AS kind, n::INT AS old_no, old_text, n::INT AS new_no, new_text FROM l"""
+)
+def source_rows(spark, sf_dir):
+    """Aligned lines of edited sources; no line came or went, so the i-th stands beside the i-th."""
+    return lines.aligned_rows(_edited_files(spark, sf_dir), _FILE)

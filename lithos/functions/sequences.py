@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Hashable, Sequence
+from collections.abc import Hashable, Iterable, Sequence
+from itertools import accumulate
 
 #: Both texts of at most so many bytes are compared by code points, others by lines.
 SCALAR_BYTES = 4096
@@ -17,6 +18,23 @@ def line_units(text: str) -> list[str]:
     return _lines(text)
 
 
+#: Bits of rows that an alignment keeps at once; larger blocks are divided.
+ROW_BITS = 1 << 28
+
+
+def _prefix_lengths(old: Sequence[Hashable], new: Sequence[Hashable]) -> list[int]:
+    """Length of the longest common subsequence of ``new`` with every prefix of ``old``; one row of bits."""
+    places: dict[Hashable, int] = {}
+    for i, unit in enumerate(old):
+        places[unit] = places.get(unit, 0) | 1 << i
+    full = (1 << len(old)) - 1
+    row = full
+    for unit in new:
+        if hit := row & places.get(unit, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return [0, *accumulate(bit == "0" for bit in reversed(format(row, f"0{len(old)}b")))] if old else [0]
+
+
 def common_units(old: Sequence[Hashable], new: Sequence[Hashable]) -> list[tuple[int, int]]:
     """Index pairs of one longest common subsequence, ascending.
 
@@ -35,6 +53,13 @@ def common_units(old: Sequence[Hashable], new: Sequence[Hashable]) -> list[tuple
     x, y = old[a : n - b], new[a : m - b]
     if not x or not y:
         return head + tail
+    if len(x) * len(y) > ROW_BITS and len(y) > 1:
+        # halve the new units and part the old ones where the lengths of both sides' subsequences are greatest together
+        half = len(y) // 2
+        before, after = _prefix_lengths(x, y[:half]), _prefix_lengths(x[::-1], y[half:][::-1])[::-1]
+        cut = max(range(len(x) + 1), key=lambda i: before[i] + after[i])
+        left, right = common_units(x[:cut], y[:half]), common_units(x[cut:], y[half:])
+        return head + [(a + i, a + j) for i, j in left] + [(a + cut + i, a + half + j) for i, j in right] + tail
     places: dict[Hashable, int] = {}
     for i, unit in enumerate(x):
         places[unit] = places.get(unit, 0) | 1 << i
@@ -87,6 +112,37 @@ def common_length(old: Sequence[Hashable], new: Sequence[Hashable]) -> int:
     return len(old) - row.bit_count()
 
 
+def _counted(texts: Iterable[str | None], mode: str, known: dict[tuple[str, str], Counter]) -> list[Counter]:
+    out = []
+    for t in texts:
+        if (mode, t or "") not in known:
+            known[mode, t or ""] = Counter((t or "") if mode == "scalar" else line_units(t or ""))
+        out.append(known[mode, t or ""])
+    return out
+
+
+def shared_bytes(old: Sequence[str | None], new: Sequence[str | None], modes: Sequence[str]) -> list[int]:
+    """For each pair the most bytes that units can share by their counts; a text that several pairs name is counted once."""
+    known: dict[tuple[str, str], Counter] = {}
+    out = []
+    for a, b, mode in zip(old, new, modes, strict=True):
+        x, y = _counted((a, b), mode, known)
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        out.append(sum(len(u.encode()) * min(n, large[u]) for u, n in small.items() if u in large))
+    return out
+
+
+def scores_at_least(old: Sequence[str | None], new: Sequence[str | None], least: int) -> list[int | None]:
+    """``similarity_at_least`` of every pair; equal pairs of texts are scored once."""
+    known: dict[tuple[str, str], int | None] = {}
+    out = []
+    for pair in zip((a or "" for a in old), (b or "" for b in new), strict=True):
+        if pair not in known:
+            known[pair] = similarity_at_least(*pair, least)
+        out.append(known[pair])
+    return out
+
+
 def similarity_at_least(old: str, new: str, least: int) -> int | None:
     """The score if it reaches ``least``; bounds by unit counts and by the length of the subsequence come first."""
     largest = max(len(old.encode()), len(new.encode()))

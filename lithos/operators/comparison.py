@@ -7,6 +7,9 @@ sizes; texts join only the pairs that a score needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,14 @@ SIDE_CAP, PAIR_CAP = 256, 4096
 FILE_CAP, LEAST_SCORE = 256 * 1024, 50
 
 
+@dataclass
+class Lazy:
+    """A snapshot's entries without text, and what reads the texts of some of them."""
+
+    entries: DataFrame
+    read: Callable[[DataFrame], DataFrame]
+
+
 def snapshot_status(base: DataFrame, target: DataFrame) -> DataFrame:
     """One row for each path of either side: repo, path, status, base and target ids and sizes. A full outer join."""
     old = base.select("repo", "path", F.col("language").alias("old_language"), F.col("blob_id").alias("old_blob"), F.col("size").alias("old_size"))
@@ -91,29 +102,27 @@ def unit_profile(files: DataFrame) -> DataFrame:
     return out
 
 
+def _with_texts(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
+    """Pairs with both texts, dealt evenly: what is done with a pair costs far more than its row."""
+    old = base.select("repo", F.col("path").alias("old_path"), F.col("text").alias("old_text"))
+    new = target.select("repo", "path", F.col("text").alias("new_text"))
+    return pairs.join(old, ["repo", "old_path"]).join(new, ["repo", "path"]).repartition("repo", "old_path", "path")
+
+
 def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs with the most bytes that units can share by their counts, and the score's ceiling from it."""
-    key = ["repo", "old_path", "path", "old_size", "size"]
-    out = None
-    for mode in ("scalar", "line"):
-        own = pairs.where(F.col("unit_mode") == mode)
-        old = unit_counts(base.join(own.select("repo", F.col("old_path").alias("path")).distinct(), ["repo", "path"], "left_semi"), mode)
-        new = unit_counts(target.join(own.select("repo", "path").distinct(), ["repo", "path"], "left_semi"), mode)
-        both = own.select(*key).join(old.select("repo", F.col("path").alias("old_path"), "unit", F.col("n").alias("a"), "bytes"), ["repo", "old_path"])
-        both = both.join(new.select("repo", "path", "unit", F.col("n").alias("b")), ["repo", "path", "unit"])
-        shared = both.groupBy(*key).agg(F.sum(F.col("bytes") * F.least("a", "b")).alias("bound"))
-        part = own.join(shared, key, "left").select(*key, "unit_mode", F.coalesce("bound", F.lit(0)).alias("bound"))
-        out = part if out is None else out.unionAll(part)
-    return out.withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
+    """Pairs with the most bytes that units can share by their counts, and the score's ceiling from it.
+
+    Both texts meet in the pair's row, so no row is made for a unit.
+    """
+    bound = F.pandas_udf(lambda a, b, mode: pd.Series(sequences.shared_bytes(a, b, mode), dtype="int64"), "long")
+    found = _with_texts(pairs, base, target).withColumn("bound", bound("old_text", "new_text", "unit_mode"))
+    return found.select("repo", "old_path", "path", "old_size", "size", "unit_mode", "bound").withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
 
 
-def similarity_scores(bounded: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """Pairs that reach the least score. Only those whose ceiling reaches it meet their texts."""
-    pairs = bounded.where(F.col("ceiling") >= least).select("repo", "old_path", "path")
-    texts = pairs.join(base.select("repo", F.col("path").alias("old_path"), F.col("text").alias("old_text")), ["repo", "old_path"]).join(target.select("repo", "path", F.col("text").alias("new_text")), ["repo", "path"])
-    score = F.pandas_udf(lambda a, b: pd.Series([sequences.similarity_at_least(x, y, least) for x, y in zip(a, b, strict=True)], dtype="Int32"), IntegerType())
-    # scores cost far more than rows: deal pairs evenly, not by repo
-    dealt = texts.repartition("repo", "old_path", "path")
+def similarity_scores(pairs: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """Pairs that reach the least score; a pair whose unit counts rule it out is not aligned, equal pairs of contents once in a batch."""
+    score = F.pandas_udf(lambda a, b: pd.Series(sequences.scores_at_least(a, b, least), dtype="Int32"), IntegerType())
+    dealt = _with_texts(pairs.select("repo", "old_path", "path"), base, target)
     return dealt.select("repo", "old_path", "path", score("old_text", "new_text").alias("score")).where("score is not null")
 
 
@@ -141,19 +150,26 @@ def pairing(base: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, D
     return status, moves, old, new
 
 
-def comparison_plan(base: DataFrame, target: DataFrame, fuzzy: bool = True) -> DataFrame:
+def comparison_plan(base: DataFrame | Lazy, target: DataFrame | Lazy, fuzzy: bool = True) -> DataFrame:
     """Events: repo, status (added, deleted, modified, moved), old_path, path, language, score (of fuzzy moves).
 
-    Every path that is not the same on both sides is in one event.
+    Every path that is not the same on both sides is in one event. Texts are
+    read for pairs that need a score only; one that is not UTF-8 (null) is no
+    fuzzy partner.
     """
+    read_base, read_target = (side.read if isinstance(side, Lazy) else lambda wanted: wanted for side in (base, target))
+    base, target = (side.entries if isinstance(side, Lazy) else side for side in (base, target))
     status, moves, old, new = pairing(base, target)
     text = lambda s: F.lit(s).cast("string")
     score = F.lit(None).cast("int").alias("score")
     same = status.where("status = 'modified'").select("repo", text("modified").alias("status"), F.col("path").alias("old_path"), "path", "language", score)
     moved = moves.select("repo", text("moved").alias("status"), "old_path", "path", "language", score)
     if fuzzy:
-        bounds = cut(frequency_bounds(cut(eligible_pairs(old, new)), base, target))
-        found = cut(greedy_moves(similarity_scores(bounds, base, target)))
+        maybe = cut(eligible_pairs(old, new))
+        # each text that a pair names is read once
+        named = lambda side, c: side.join(maybe.select("repo", F.col(c).alias("path")).distinct(), ["repo", "path"], "left_semi")
+        was, now = (cut(read(named(side, c)).where("text is not null").select("repo", "path", "text")) for side, c, read in ((base, "old_path", read_base), (target, "path", read_target)))
+        found = cut(greedy_moves(similarity_scores(maybe, was, now)))
         pairs = found.join(new.select("repo", "path", "language"), ["repo", "path"])
         moved = moved.unionAll(pairs.select("repo", text("moved").alias("status"), "old_path", "path", "language", "score"))
         old = old.join(found.select("repo", F.col("old_path").alias("path")), ["repo", "path"], "left_anti")
@@ -204,14 +220,11 @@ def declaration_changes(base: DataFrame, target: DataFrame, renames: DataFrame |
     return reported.join(above, ["repo", "path", "stable_key"], "left_anti").select("repo", "path", "stable_key", "status", "base_text", "target_text")
 
 
-def ancestors(nodes: DataFrame, scope: list[str], start: DataFrame, depth: int = 64) -> DataFrame:
-    """Keys above the starting ones, within a scope; parents of parents by one join for each level that occurs."""
+def ancestors(nodes: DataFrame, scope: list[str], start: DataFrame) -> DataFrame:
+    """Keys above the starting ones, within a scope; parents of parents by one join for each level that occurs, however many."""
     links = nodes.where("parent_key is not null").select(*scope, "stable_key", "parent_key").distinct()
-    level = start.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).distinct()
-    found = level
-    for _ in range(depth):
+    level = found = cut(start.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).distinct())
+    while not level.isEmpty():
         level = cut(level.join(links, [*scope, "stable_key"]).select(*scope, F.col("parent_key").alias("stable_key")).join(found, [*scope, "stable_key"], "left_anti").distinct())
-        if level.isEmpty():
-            break
-        found = found.unionAll(level)
-    return found.distinct()
+        found = cut(found.unionAll(level))
+    return found

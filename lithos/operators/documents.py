@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.operators.projection import outline
+from lithos.operators.projection import canonical_files, outline
 
 SHOW, DIFF = "show.v1", "diff.v2"
 
@@ -20,21 +20,26 @@ def _ordered(*columns: Column | str) -> Column:
 
 
 def file_structs(rows: DataFrame, key: list[str], mode: str) -> DataFrame:
-    """(key, path, language, file): the projection in one mode and the outline of each file, as a struct."""
+    """(key, path, language, file): the projection in one mode, text and items, and the outline of each file, as a struct."""
     by = list(dict.fromkeys([*key, "path"]))
     own = rows.where((F.col("mode") == mode) & F.col("error").isNull()).groupBy(*by).agg(_ordered("stable_key", "parent_key", "kind", "name", _span(), "canonical_text").alias("items"))
     marked = outline(rows, key, mode).groupBy(*by).agg(F.first("language").alias("language"), _ordered("stable_key", "parent_key", "kind", "name", _span(), F.col("canonical_text").alias("signature"), F.col("retained").alias("retained_in_mode")).alias("outline"))
-    both = marked.join(own, by, "left")
-    return both.select(*by, "language", F.struct("path", "language", F.coalesce("items", F.array()).alias("items"), "outline").alias("file"))
-
-
-def show_document(rows: DataFrame, key: list[str], mode: str, revision: str | None) -> DataFrame:
-    """One document for each of ``key``: its files in order of path."""
-    files = file_structs(rows, key, mode)
-    group = [k for k in key if k != "path"]
+    texts = canonical_files(rows, marked, key, mode)
+    both = marked.join(own, by, "left").join(texts, by, "left")
+    shown = F.struct(F.col("canonical_text").alias("text"), F.coalesce("items", F.array()).alias("items")).alias("projection")
+    return both.select(*by, "language", F.struct("path", "language", shown, "outline").alias("file"))
+
+
+def show_document(rows: DataFrame, files: DataFrame, mode: str, revision: str | None) -> DataFrame:
+    """(repo, document) of every repo: its files, also those that declare nothing, in order of path."""
+    made = file_structs(rows, ["repo", "path"], mode)
+    nothing = F.struct("path", "language", F.struct(F.lit("").alias("text"), F.array().alias("items")).alias("projection"), F.array().alias("outline"))
+    every = files.select("repo", "path", "language").join(made.select("repo", "path", "file"), ["repo", "path"], "left")
+    shown = every.withColumn("file", F.coalesce(F.to_json("file"), F.to_json(nothing)))
+    # a file's object is text by now, so the document is put together and not built anew
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.encode("path", "UTF-8").alias("k"), "file"))), lambda x: x["file"])
-    head = [F.lit(SHOW).alias("schema"), F.lit(revision).cast("string").alias("revision"), F.lit(mode).alias("mode")]
-    return files.groupBy(*group).agg(F.to_json(F.struct(*head, ordered.alias("files"))).alias("document"))
+    head = F.to_json(F.struct(F.lit(SHOW).alias("schema"), F.lit("revision" if revision else "files").alias("input"), F.lit(revision).cast("string").alias("revision"), F.lit(mode).alias("mode")))
+    return shown.groupBy("repo").agg(F.concat(F.rtrim(head, F.lit("}")), F.lit(',"files":['), F.array_join(ordered, ","), F.lit("]}")).alias("document"))
 
 
 def diff_document(events: DataFrame, base: DataFrame, target: DataFrame, mode: str, base_id: str, target_id: str) -> DataFrame:

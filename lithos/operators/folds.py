@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,9 @@ CONTAINERS = frozenset("module trait trait_implementation foreign_block".split()
 
 _LINE = ("//", "--", "#")
 _BLOCKS = (("/*", "*/"), ("{-", "-}"), ("#![", "]"), ("#[", "]"))
-_literals = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'")
-_forward = re.compile(r"\s*(?:///|//!|/\*\*|#!?\[|@|\{-#|\{-\s*\||--\s*[|^])")
+_literals = re.compile(r"""('[A-Za-z_]\w*(?!['\w]))|(?:br|rb|r)(#*)(["']).*?(?:\3\2|$)|"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)""")
+#: Comments and marks that belong to what follows them.
+_forward = re.compile(r"\s*(?:///|//!|/\*\*|/\*!|#!?\[|@|\{-#|\{-\|)")
 
 
 @dataclass
@@ -35,8 +37,8 @@ class Region:
 
 
 def _bare(line: str) -> str:
-    """The line with string and character literals blanked."""
-    return _literals.sub(lambda m: " " * len(m[0]), line)
+    """The line with string and character literals blanked, also those that its end cuts off; lifetimes stay."""
+    return _literals.sub(lambda m: m[0] if m[1] else " " * len(m[0]), line)
 
 
 def _line_comment(line: str) -> bool:
@@ -53,25 +55,16 @@ def _block_start(lines: list[str], end: int) -> int | None:
         return None
     if _line_comment(line):
         return end
-    for open_, close in _BLOCKS:
-        if close in _bare(line):
-            depth = 0
-            pair = ("[", "]") if close == "]" else (open_, close)
-            for i in range(end, -1, -1):
-                b = _bare(lines[i])
-                depth += b.count(pair[1]) - b.count(pair[0])
-                if open_ in b and depth <= 0:
-                    return i if b.lstrip().startswith(open_) else None
-                if not b.strip() and close == "]":
-                    break
-    depth = 0
-    for i in range(end, -1, -1):
-        b = _bare(lines[i])
-        depth += sum(b.count(c) for c in ")]}") - sum(b.count(c) for c in "([{")
-        if b.lstrip().startswith("@"):
-            return i if depth == 0 else None
-        if depth <= 0 or not b.strip():
-            return None
+    marks = [("(", ")", "@"), *((o, c, o) for o, c in _BLOCKS if c in _bare(line))]
+    for open_, close, lead in marks:
+        depth = 0
+        for i in range(end, -1, -1):
+            b = _bare(lines[i])
+            depth += b.count(close) - b.count(open_)
+            if depth <= 0:
+                if depth == 0 and lines[i].lstrip().startswith(lead):
+                    return i
+                break
     return None
 
 
@@ -103,11 +96,27 @@ def regions(items: list[dict], source: str) -> list[Region]:
             at = parents.get(at)
         return out
 
+    # a line's innermost declarations by a sweep: those that cover it and are not above the one at hand
+    starts = sorted((i["start_line"], i["end_line"], n) for n, i in enumerate(items))
+    first = [s for s, _, _ in starts]
     out = []
     for i in items:
         up = above(i["stable_key"])
-        other = [j for j in items if j["stable_key"] != i["stable_key"] and j["stable_key"] not in up]
-        start = fold_start(lines, i["start_line"], lambda line, other=other: any(j["start_line"] <= line <= j["end_line"] for j in other))
+        skip = {i["stable_key"], *up}
+
+        def other(line: int, skip=skip) -> bool:
+            # declarations nest, so those that cover a line stand close before it; parents bound the walk
+            n = bisect_right(first, line) - 1
+            while n >= 0:
+                _, end, k = starts[n]
+                if end >= line and items[k]["stable_key"] not in skip:
+                    return True
+                if items[k]["parent_key"] is None:
+                    return False
+                n -= 1
+            return False
+
+        start = fold_start(lines, i["start_line"], other)
         out.append(Region(i["stable_key"], i["parent_key"], i["kind"], i["retained"], start, i["start_line"], i["end_line"], len(up), bool(i["retained"]) and i["kind"] in CONTAINERS))
     return out
 
@@ -151,6 +160,38 @@ def visible_rows(found: list[Region], lines: int, mode: str, overrides: dict[str
     return out
 
 
+_ROW = "row_no int, row string, first_line int, last_line int, stable_key string, text string"
+
+
+def visible(found: DataFrame, sources: DataFrame, key: list[str], mode: str, overrides: dict[str, bool] | None = None) -> DataFrame:
+    """The rows of every file's folded view: the key, row_no from 0, row (source or fold), first and last line, the fold's key, the first line's text.
+
+    ``found`` are regions as ``fold_regions`` gives them, in the outline's order;
+    ``overrides`` open or close regions by key. A file's regions meet its text
+    in one row.
+    """
+    by = list(dict.fromkeys([*key, "path"]))
+    fields = [f.split(" ")[0] for f in _REGION.split(", ")]
+    listed = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start_line", "level", *(f for f in fields if f not in ("start_line", "level"))))).alias("regions"))
+    joined = sources.select(*by, F.col("text").alias("_text")).join(listed, by, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (listed_, source) in enumerate(zip(batch.column("regions").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+                own = [Region(r["stable_key"], r["parent_key"], r["kind"], r["retained"], r["start_line"], r["declaration_line"], r["end_line"], r["level"], r["default_open"]) for r in listed_ or ()]
+                lines = (source or "").split("\n")
+                if lines[-1] == "":
+                    lines.pop()
+                rows = visible_rows(own, len(lines), mode, overrides)
+                if rows:
+                    columns = list(zip(*((i, kind, a, b, k, lines[a]) for i, (kind, a, b, k) in enumerate(rows)), strict=True))
+                    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([*batch.select(by).take(pa.array([n] * len(rows), pa.int64())).columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*by, *(c.split(" ")[0] for c in _ROW.split(", "))])
+
+    schema = ", ".join(f"`{c}` {dict(joined.dtypes)[c]}" for c in by) + ", " + _ROW
+    return joined.select(*by, "regions", "_text").mapInArrow(run, schema)
+
+
 _REGION = "stable_key string, parent_key string, kind string, retained boolean, start_line int, declaration_line int, end_line int, level int, default_open boolean"
 
 

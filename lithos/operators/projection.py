@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +46,7 @@ def items(files: DataFrame, key: list[str], path: str = "path", language: str =
             for n, (p, lang, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "_content")), strict=True)):
                 rows: list[tuple] = []
                 try:
-                    for mode, found in project_source(p, source or "", lang).items():
+                    for mode, found in project_source(p, "" if source is None else source, lang).items():
                         rows += [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for i, item in enumerate(found)]
                 except (ProjectionError, RecursionError) as e:
                     rows = [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
@@ -105,17 +105,52 @@ def suppress_equal(diffs: DataFrame) -> DataFrame:
     return diffs.where(F.when(F.col("status") == "moved", (old != "") | (new != "")).otherwise(old != new))
 
 
-def project_diff(events: DataFrame, base: DataFrame, target: DataFrame, mode: str) -> DataFrame:
+def project_diff(events: DataFrame, base: DataFrame, target: DataFrame, mode: str, rows: Sequence[DataFrame] | None = None) -> DataFrame:
     """Events with the canonical texts of both sides, equal ones left out. Sides are entries with text.
 
-    Only files that events name are parsed, each content once for its path.
+    Only files that events name are parsed. ``rows`` are the items of both
+    sides' files where the caller has them, and has seen that none failed; here
+    a file that fails makes the whole comparison fail.
     """
 
-    def side(files: DataFrame, path: str, name: str) -> DataFrame:
+    def side(files: DataFrame, path: str, name: str, own: DataFrame | None) -> DataFrame:
         wanted = events.where(F.col(path).isNotNull()).select("repo", F.col(path).alias("path")).distinct()
         used = files.join(wanted, ["repo", "path"], "left_semi")
-        texts = canonical_files(items(used, ["repo", "path"]), used, ["repo", "path"], mode)
+        found = checked(items(used, ["repo", "path"])) if own is None else own
+        texts = canonical_files(found, used, ["repo", "path"], mode)
         return texts.select("repo", F.col("path").alias(path), F.col("canonical_text").alias(name))
 
-    both = events.join(side(base, "old_path", "old_text"), ["repo", "old_path"], "left").join(side(target, "path", "new_text"), ["repo", "path"], "left")
+    old, new = rows or (None, None)
+    both = events.join(side(base, "old_path", "old_text", old), ["repo", "old_path"], "left").join(side(target, "path", "new_text", new), ["repo", "path"], "left")
     return suppress_equal(both.select("repo", "status", "old_path", "path", "language", "score", "old_text", "new_text"))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Item rows; one that carries an error fails the query."""
+    message = F.concat_ws(": ", "path", "error")
+    return rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(message)).cast("string"))
+
+
+def _sides(events: DataFrame, base: DataFrame, target: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Outlines of the files that events name, each with its event's status and both paths."""
+    out = []
+    for rows, path in ((base, "old_path"), (target, "path")):
+        named = events.where(F.col(path).isNotNull()).select("repo", F.col(path).alias("at"), "status", F.col("old_path").alias("from_path"), F.col("path").alias("to_path"))
+        marked = outline(rows, ["repo", "path"], mode).withColumnRenamed("path", "at")
+        out.append(marked.join(named, ["repo", "at"]))
+    return out[0], out[1]
+
+
+def outline_diff(events: DataFrame, base: DataFrame, target: DataFrame, mode: str) -> DataFrame:
+    """Both outlines of every event: repo, status, old_path, path, side (old or new), ordinal, the item, retained. Sides are item rows."""
+    columns = ["ordinal", "stable_key", "parent_key", "kind", "name", "start_line", "end_line", "canonical_text", "retained"]
+    old, new = (rows.select("repo", "status", F.col("from_path").alias("old_path"), F.col("to_path").alias("path"), F.lit(name).alias("side"), *columns) for rows, name in zip(_sides(events, base, target, mode), ("old", "new"), strict=True))
+    return old.unionAll(new)
+
+
+def declaration_diff(events: DataFrame, base: DataFrame, target: DataFrame, mode: str) -> DataFrame:
+    """Declarations that the files of events gained, lost and changed: repo, path, stable_key, status, base_text, target_text."""
+    from lithos.operators.comparison import declaration_changes
+
+    old, new = (rows.select("repo", F.col("at").alias("path"), "stable_key", "parent_key", F.col("canonical_text").alias("text"), "retained") for rows in _sides(events, base, target, mode))
+    return declaration_changes(old, new, events.where("status = 'moved'").select("repo", "old_path", "path"))

@@ -27,7 +27,7 @@ def ancestor_closure(files: DataFrame, scope: list[str], path: str = "path") ->
     return above.where("distance > 0").select(*scope, "node", "ancestor", "distance")
 
 
-def closure(links: DataFrame, scope: list[str], depth: int = 10_000) -> DataFrame:
+def closure(links: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, node, ancestor, distance) of child-to-parent links (scope, node, parent), by doubling.
 
     After round r all ancestors within 2**r are known, so rounds grow with the
@@ -35,15 +35,13 @@ def closure(links: DataFrame, scope: list[str], depth: int = 10_000) -> DataFram
     result. Rounds are checkpointed, so a lost executor costs one round.
     """
     found = cut(links.where("parent is not null and node <> parent").select(*scope, "node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
-    reach = 1
-    while reach < depth:
+    while True:
         far = found.alias("a").join(found.select(*scope, F.col("node").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more")), [*scope, "ancestor"])
         more = far.where("node <> top").select(*scope, "node", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
         new = cut(found.unionAll(more).groupBy(*scope, "node", "ancestor").agg(F.min("distance").alias("distance")))
         if new.count() == found.count():
             return new
-        found, reach = new, reach * 2
-    return found
+        found = new
 
 
 def forest_errors(nodes: DataFrame, scope: list[str]) -> DataFrame:

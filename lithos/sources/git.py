@@ -8,6 +8,7 @@ folder must be where every executor finds it.
 from __future__ import annotations
 
 import os
+import re
 import stat
 import subprocess
 from collections.abc import Iterator
@@ -62,6 +63,17 @@ def resolve_commit(root: str, spec: str) -> str:
     return git(root, "rev-parse", "--verify", "--end-of-options", f"{spec}^{{commit}}").decode().strip()
 
 
+def exists(root: str, spec: str, path: str) -> bool:
+    """Whether a snapshot has anything at a path, of whatever kind and language."""
+    if spec == ":empty" or spec in EMPTY_TREES:
+        return False
+    if spec in (":worktree", ":files"):
+        return os.path.lexists(os.path.join(root, path))
+    if spec == ":index":
+        return bool(git(root, "--literal-pathspecs", "ls-files", "-z", "--", path))
+    return bool(git(root, "--literal-pathspecs", "ls-tree", "-z", "--full-tree", resolve_commit(root, spec), "--", path))
+
+
 def merge_base(root: str, a: str, b: str) -> str:
     return git(root, "merge-base", resolve_commit(root, a), resolve_commit(root, b)).decode().split("\n")[0]
 
@@ -94,6 +106,12 @@ def _regular(root: str, path: bytes) -> os.stat_result | None:
     return found if stat.S_ISREG(found.st_mode) and inside else None
 
 
+def blob_id(data: bytes, algorithm: str) -> str:
+    import hashlib
+
+    return hashlib.new(algorithm, b"blob %d\0" % len(data) + data).hexdigest()
+
+
 def _hash_file(root: str, path: bytes, size: int, algorithm: str) -> str:
     """The blob id of a file's bytes, read in pieces; an error if its size changes meanwhile."""
     import hashlib
@@ -109,20 +127,26 @@ def _hash_file(root: str, path: bytes, size: int, algorithm: str) -> str:
     return h.hexdigest()
 
 
-def listing(root: str, spec: str) -> list[tuple[bytes, str, str | None, int | None, bool]]:
-    """Entries of a snapshot: regular files of known languages, by raw path. Specs are a revision, :index, :worktree, :empty, or :files for a directory without Git."""
-    out: dict[bytes, tuple] = {}
+Entry = tuple[bytes, str, str | None, int | None, bool]
+
+
+def listing(root: str, spec: str, hashed: bool = True) -> list[Entry]:
+    """Entries of a snapshot: regular files of known languages, by raw path. Specs are a revision, :index, :worktree, :empty, or :files for a directory without Git.
+
+    Files on disk have no id unless ``hashed``: reading them is work for the executors.
+    """
+    out: dict[bytes, Entry] = {}
     if spec == ":empty" or spec in EMPTY_TREES:
         return []
     if spec in (":worktree", ":files"):
         if spec == ":worktree":
             paths = set(git(root, "ls-files", "-z").split(b"\0")) | set(git(root, "ls-files", "-o", "--exclude-standard", "-z").split(b"\0"))
-            algorithm = git(root, "rev-parse", "--show-object-format").decode().strip()
         else:
-            paths, algorithm = _walk(root), "sha1"
+            paths = _walk(root)
+        algorithm = algorithm_of(root, spec)
         for p in paths - {b""}:
             if (lang := language_of(p)) and (state := _regular(root, p)):
-                out[p] = (p, lang, _hash_file(root, p, state.st_size, algorithm), state.st_size, bool(state.st_mode & 0o111))
+                out[p] = (p, lang, _hash_file(root, p, state.st_size, algorithm) if hashed else None, state.st_size, bool(state.st_mode & 0o111))
     elif spec == ":index":
         ids = []
         for line in git(root, "ls-files", "-s", "-z").split(b"\0"):
@@ -133,7 +157,7 @@ def listing(root: str, spec: str) -> list[tuple[bytes, str, str | None, int | No
                     ids.append(blob)
                     out[p] = (p, lang, blob, None, mode == "100755")
         sizes = git(root, "cat-file", "--batch-check=%(objectsize)", data="\n".join(ids).encode()).decode().split()
-        out = {p: (*e[:3], int(s), e[4]) for (p, e), s in zip(out.items(), sizes, strict=True)}
+        out = {p: (*e[:3], int(n), e[4]) for (p, e), n in zip(out.items(), sizes, strict=True)}
     else:
         for line in git(root, "ls-tree", "-r", "-z", "--long", "--full-tree", resolve_commit(root, spec)).split(b"\0"):
             if line:
@@ -144,20 +168,79 @@ def listing(root: str, spec: str) -> list[tuple[bytes, str, str | None, int | No
     return [out[p] for p in sorted(out)]
 
 
-def _walk(root: str) -> set[bytes]:
-    """Files below a directory; ``.git``, links, and what simple lines of ``.gitignore`` files name are left out."""
-    from fnmatch import fnmatch
+def algorithm_of(root: str, spec: str) -> str:
+    """The hash of blob ids."""
+    return "sha1" if spec == ":files" else git(root, "rev-parse", "--show-object-format").decode().strip()
+
+
+class Ignored:
+    """Rules of ignore files: ``!`` takes back, a slash anchors, a last slash means folders, ``*`` stops at slashes and ``**`` does not; later rules win."""
+
+    def __init__(self) -> None:
+        self.rules: list[tuple[str, re.Pattern, bool, bool]] = []  # folder of the file, pattern, folders only, ignored
+
+    def add(self, folder: str, text: str) -> None:
+        for line in text.splitlines():
+            rule = line.rstrip() if not line.endswith("\\ ") else line
+            if not rule or rule.startswith("#"):
+                continue
+            ignored = not rule.startswith("!")
+            rule = rule[0 if ignored else 1 :].removeprefix("\\") if rule[:2] in ("\\!", "\\#") or not ignored else rule
+            only = rule.endswith("/")
+            rule = rule.rstrip("/")
+            anchored = "/" in rule
+            self.rules.append((folder, re.compile(("" if anchored else "(?:.*/)?") + _glob(rule.lstrip("/"))), only, ignored))
+
+    def has(self, path: str, is_folder: bool) -> bool:
+        """Whether a path below the root is ignored by its own name; its folders are asked before."""
+        for folder, pattern, only, ignored in reversed(self.rules):
+            inside = path[len(folder) + 1 :] if folder and path.startswith(folder + "/") else path if not folder else None
+            if inside is not None and (is_folder or not only) and pattern.fullmatch(inside):
+                return ignored
+        return False
+
+
+def _glob(rule: str) -> str:
+    """The regular expression of one ignore rule."""
+    out, i = [], 0
+    while i < len(rule):
+        c = rule[i]
+        if rule.startswith("**/", i):
+            out.append("(?:.*/)?")
+            i += 3
+        elif rule.startswith("**", i):
+            out.append(".*")
+            i += 2
+        elif c == "*":
+            out.append("[^/]*")
+            i += 1
+        elif c == "?":
+            out.append("[^/]")
+            i += 1
+        elif c == "[" and "]" in rule[i + 2 :]:
+            end = rule.index("]", i + 2)
+            inner = rule[i + 1 : end]
+            out.append("[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]")
+            i = end + 1
+        else:
+            i += c == "\\" and i + 1 < len(rule)
+            out.append(re.escape(rule[i]))
+            i += 1
+    return "".join(out)
+
 
+def _walk(root: str) -> set[bytes]:
+    """Files below a directory; ``.git``, links, and what ``.gitignore`` files name are left out."""
     found: set[bytes] = set()
-    rules: dict[str, list[str]] = {}
+    ignored = Ignored()
     for folder, folders, files in os.walk(root):
-        above = rules.get(os.path.dirname(folder), [])
-        own = []
+        here = os.path.relpath(folder, root)
+        here = "" if here == "." else here
         if ".gitignore" in files:
-            own = [x.strip().strip("/") for x in Path(folder, ".gitignore").read_text(errors="replace").splitlines() if x.strip() and x[0] not in "#!"]
-        rules[folder] = above + own
-        folders[:] = [d for d in folders if d != ".git" and not any(fnmatch(d, r) for r in rules[folder])]
-        found.update(os.fsencode(os.path.relpath(os.path.join(folder, f), root)) for f in files if not any(fnmatch(f, r) for r in rules[folder]))
+            ignored.add(here, Path(folder, ".gitignore").read_text(errors="replace"))
+        at = lambda name, here=here: f"{here}/{name}" if here else name
+        folders[:] = sorted(d for d in folders if d != ".git" and not ignored.has(at(d), True))
+        found.update(os.fsencode(at(f)) for f in files if not ignored.has(at(f), False))
     return found
 
 
@@ -166,31 +249,45 @@ class _Part(InputPartition):
         self.rows = rows
 
 
+def _read(root: str, on_disk: bool, rows: list[Entry]) -> list[bytes]:
+    """Contents of entries, each blob id read once. A file on disk whose size is no longer the stated one is an error."""
+    if on_disk:
+        out = [Path(os.fsdecode(os.path.join(os.fsencode(root), r[0]))).read_bytes() for r in rows]
+        for r, c in zip(rows, out, strict=True):
+            if len(c) != r[3]:
+                raise GitError(f"{os.fsdecode(r[0])} changed while it was read")
+        return out
+    ids = list(dict.fromkeys(r[2] for r in rows))
+    raw, known, at = git(root, "cat-file", "--batch", data="\n".join(ids).encode()), {}, 0
+    for blob in ids:
+        end = raw.index(b"\n", at)
+        head = raw[at:end].split(b" ")
+        if len(head) < 3:
+            raise GitError(f"no object {blob}")
+        size = int(head[2])
+        known[blob] = raw[end + 1 : end + 1 + size]
+        at = end + 2 + size
+    return [known[r[2]] for r in rows]
+
+
 class _BlobReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.spec, self.batch = options["path"], options["spec"], int(options.get("batch", "256"))
 
     def partitions(self) -> list[InputPartition]:
-        rows = listing(self.root, self.spec)
+        rows = listing(self.root, self.spec, hashed=False)
         return [_Part(rows[i : i + self.batch]) for i in range(0, len(rows), self.batch)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        if not partition.rows:
+        rows = partition.rows
+        if not rows:
             return
-        if self.spec in (":worktree", ":files"):
-            contents = [Path(os.fsdecode(os.path.join(os.fsencode(self.root), r[0]))).read_bytes() for r in partition.rows]
-            for r, c in zip(partition.rows, contents, strict=True):
-                if len(c) != r[3]:
-                    raise GitError(f"{os.fsdecode(r[0])} changed while it was read")
-        else:
-            raw, contents = git(self.root, "cat-file", "--batch", data="\n".join(r[2] for r in partition.rows).encode()), []
-            at = 0
-            for r in partition.rows:
-                end = raw.index(b"\n", at)
-                size = int(raw[at:end].split(b" ")[2])
-                contents.append(raw[end + 1 : end + 1 + size])
-                at = end + 2 + size
-        columns = list(zip(*partition.rows, strict=True))
+        on_disk = self.spec in (":worktree", ":files")
+        contents = _read(self.root, on_disk, rows)
+        if on_disk:
+            algorithm = algorithm_of(self.root, self.spec)
+            rows = [(*r[:2], blob_id(c, algorithm), *r[3:]) for r, c in zip(rows, contents, strict=True)]
+        columns = list(zip(*rows, strict=True))
         kinds = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(contents, pa.binary())], names=["path", "language", "blob_id", "size", "executable", "content"])
 
@@ -209,9 +306,44 @@ class GitTree(DataSource):
         return _BlobReader(self.options)
 
 
+#: Files that one task hashes, or blobs that one task reads.
+BATCH = 256
+
+
+def _dealt(spark: SparkSession, rows: list[Entry], schema: str) -> DataFrame:
+    """Rows in partitions of ``BATCH``."""
+    df = spark.createDataFrame(rows, schema)
+    return df.repartition(max(1, -(-len(rows) // BATCH)))
+
+
 def entries(spark: SparkSession, root: str, spec: str) -> DataFrame:
-    """A snapshot's entries without contents."""
-    return spark.createDataFrame(listing(root, spec), ENTRIES)
+    """A snapshot's entries without contents; files on disk are hashed by the executors."""
+    rows = listing(root, spec, hashed=False)
+    if spec not in (":worktree", ":files"):
+        return spark.createDataFrame(rows, ENTRIES)
+    algorithm = algorithm_of(root, spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_hash_file(root, p, n, algorithm) for p, n in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+            yield batch.set_column(2, "blob_id", pa.array(ids, pa.string()))
+
+    return _dealt(spark, rows, ENTRIES).mapInArrow(run, ENTRIES)
+
+
+def contents_of(wanted: DataFrame, root: str, spec: str) -> DataFrame:
+    """``wanted`` entries with their content, read by the executors in batches; a blob that several of a batch share is read once."""
+    on_disk = spec in (":worktree", ":files")
+    names = [c.split(" ")[0] for c in ENTRIES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                data = _read(root, on_disk, list(zip(*(batch.column(c).to_pylist() for c in names), strict=True)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, "content"])
+
+    return wanted.select(*names).mapInArrow(run, ENTRIES + ", content binary")
 
 
 def contents(spark: SparkSession, root: str, spec: str) -> DataFrame:

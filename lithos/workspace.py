@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.functions.paths import display_path
+from lithos.functions.paths import display_path, in_scope
 from lithos.lang.items import MODES, Item, ProjectionError
-from lithos.operators import comparison, folds, lines, projection
+from lithos.operators import comparison, documents, folds, lines, projection
 from lithos.plans.lineage import cut
 from lithos.sources import git
 
@@ -55,14 +56,33 @@ def normalize(path: str) -> str:
 
 
 class Workspace:
-    """``folder`` is a Git repository, any folder in one, or a plain directory that all executors see."""
+    """``folder`` is a Git repository, any folder in one, or a plain directory that all executors see.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    Paths are relative to ``cwd``, the root unless given, or absolute below the root.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, cwd: str | None = None):
         self.spark = spark
         self.root, self.is_git = git.discover(folder)
+        self.cwd = cwd or self.root
 
     # -- scope -----------------------------------------------------------------
 
+    def select(self, path: str) -> str:
+        """A path below the root, by its text alone; '' is the root. One that leads out of it is refused."""
+        parts = [] if path.startswith("/") else [p for p in self.cwd.split("/") if p]
+        for p in path.split("/"):
+            if p == "..":
+                if not parts:
+                    raise EngineError(f"path leaves the root: {path}")
+                parts.pop()
+            elif p not in ("", "."):
+                parts.append(p)
+        root = [p for p in self.root.split("/") if p]
+        if parts[: len(root)] != root:
+            raise EngineError(f"path leaves the root: {path}")
+        return "/".join(parts[len(root) :])
+
     def scope(self, paths: tuple[str, ...] = (), areas: tuple[str, ...] = (), config: str | None = None) -> list[list[str]]:
         """Groups of prefixes: one for each path, one for each area. Paths and areas exclude each other."""
         if paths and areas:
@@ -73,24 +93,42 @@ class Workspace:
             if missing:
                 raise EngineError(f"unknown areas: {', '.join(missing)}")
             return [known[a] for a in dict.fromkeys(areas)]
-        groups = [[normalize(p)] for p in dict.fromkeys(paths)]
+        groups = [[self.select(p)] for p in dict.fromkeys(paths)]
         return [] if [""] in groups else groups
 
-    @staticmethod
-    def _holds(listing: list[tuple], group: list[str]) -> bool:
-        prefixes = [p.encode() for p in group]
-        return any(e[0] == p or e[0].startswith(p + b"/") for e in listing for p in prefixes)
+    def _check_scope(self, groups: list[list[str]], *specs: str) -> None:
+        """Every group must hold something on one of the sides, of whatever kind."""
+        for group in groups:
+            if not any(git.exists(self.root, spec, p) for spec in specs for p in group):
+                raise EngineError(f"nothing at {', '.join(group)} in {' or '.join(specs)}")
 
     def _entries(self, spec: str) -> DataFrame:
-        rows = git.contents(self.spark, self.root, spec)
-        shown = rows.select(F.lit(self.root).alias("repo"), display_path("path").alias("path"), F.col("path").alias("raw_path"), "language", "blob_id", "size", "content")
-        return shown.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))).drop("content")
+        """Entries without contents: repo, path as displayed and raw, language, blob_id, size."""
+        rows = git.entries(self.spark, self.root, spec)
+        return rows.withColumnRenamed("path", "raw_path").select(F.lit(self.root).alias("repo"), display_path("raw_path").alias("path"), "raw_path", "language", "blob_id", "size", "executable")
 
-    def _scoped(self, files: DataFrame, groups: list[list[str]]) -> DataFrame:
-        from lithos.functions.paths import in_scope
+    def _read(self, wanted: DataFrame, spec: str) -> DataFrame:
+        """Entries with content, and text where that is UTF-8."""
+        rows = git.contents_of(wanted.withColumn("path", F.col("raw_path")), self.root, spec).withColumnRenamed("path", "raw_path")
+        shown = rows.select(F.lit(self.root).alias("repo"), display_path("raw_path").alias("path"), "raw_path", "language", "blob_id", "size", "content")
+        return shown.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
 
+    @staticmethod
+    def _scoped(files: DataFrame, groups: list[list[str]]) -> DataFrame:
         return files.where(in_scope(F.col("path"), [p for g in groups for p in g]))
 
+    @staticmethod
+    def _mode(mode: str) -> None:
+        if mode not in MODES:
+            raise UsageError(f"mode must be one of {', '.join(MODES)}")
+
+    @staticmethod
+    def _no_failures(*sides: DataFrame) -> None:
+        """An error for the first file, by path, that does not parse or is not UTF-8."""
+        bad = sorted(tuple(r) for rows in sides for r in projection.failures(rows, []).orderBy("path").limit(1).collect())
+        if bad:
+            raise EngineError(f"{bad[0][0]}: {bad[0][1]}")
+
     # -- show ------------------------------------------------------------------
 
     def show(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
@@ -103,9 +141,15 @@ class Workspace:
         return found[0].document if found else ""
 
     def show_json(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """One JSON object for each file; ``show_document`` has the whole snapshot's."""
         rows, _ = self._items(mode, revision, paths, areas)
         return projection.show_json(rows, ["repo", "path"], mode, revision)
 
+    def show_document(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """(repo, document): the JSON document of a snapshot, with every file's projection text, items and outline."""
+        rows, files = self._items(mode, revision, paths, areas)
+        return documents.show_document(rows, files, mode, revision and self.snapshot_id(revision))
+
     def outline(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
         rows, _ = self._items(mode, revision, paths, areas)
         return projection.outline(rows, ["repo", "path"], mode)
@@ -114,55 +158,87 @@ class Workspace:
         rows, files = self._items(mode, revision, paths, areas)
         return folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
 
+    def visible(self, mode: str, revision: str | None = None, overrides: dict[str, bool] | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """The rows of the folded view of every file in scope."""
+        rows, files = self._items(mode, revision, paths, areas)
+        found = folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
+        return folds.visible(found, files, ["repo", "path"], mode, overrides)
+
+    def snapshot_id(self, spec: str) -> str:
+        """The commit's id, or the name of a snapshot that is none."""
+        return spec if spec.startswith(":") or spec in git.EMPTY_TREES else git.resolve_commit(self.root, spec)
+
     def _items(self, mode, revision, paths, areas) -> tuple[DataFrame, DataFrame]:
-        if mode not in MODES:
-            raise UsageError(f"mode must be one of {', '.join(MODES)}")
+        self._mode(mode)
         spec = revision or (":worktree" if self.is_git else ":files")
         groups = self.scope(paths, areas)
-        listing = git.listing(self.root, spec)
-        for g in groups:
-            if not self._holds(listing, g):
-                raise EngineError(f"nothing at {', '.join(g)} in {spec}")
-        files = self._scoped(self._entries(spec), groups)
-        rows = projection.items(files, ["repo", "path"])
-        bad = projection.failures(rows, ["repo"]).orderBy("path").limit(1).collect()
-        if bad:
-            raise EngineError(f"{bad[0].path}: {bad[0].error}")
+        self._check_scope(groups, spec)
+        files = cut(self._read(self._scoped(self._entries(spec), groups), spec))
+        rows = cut(projection.items(files, ["repo", "path"], content="content"))
+        self._no_failures(rows)
         return rows, files
 
     # -- diff ------------------------------------------------------------------
 
-    def diff(self, base: str, target: str, mode: str, merge_base: bool = False, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
-        """Events of two snapshots whose projections differ, with both canonical texts. Pairs are found before the scope applies."""
-        if mode not in MODES:
-            raise UsageError(f"mode must be one of {', '.join(MODES)}")
+    def _compared(self, base: str, target: str, mode: str, merge_base: bool, paths, areas) -> tuple[DataFrame, DataFrame, DataFrame, str, str]:
+        """Events in scope with both canonical texts, and the items of the files they name on either side."""
+        self._mode(mode)
         if merge_base:
             if any(s.startswith(":") or s in git.EMPTY_TREES for s in (base, target)):
                 raise UsageError("a merge base needs two commits")
             base = git.merge_base(self.root, base, target)
         groups = self.scope(paths, areas)
-        for g in groups:
-            if not self._holds(git.listing(self.root, base) + git.listing(self.root, target), g):
-                raise EngineError(f"nothing at {', '.join(g)} on either side")
+        self._check_scope(groups, base, target)
+        # ids and sizes decide what is read
         old, new = cut(self._entries(base)), cut(self._entries(target))
-        events = cut(comparison.comparison_plan(old, new))
+        lazy = [comparison.Lazy(side, lambda wanted, spec=spec: self._read(wanted, spec)) for side, spec in ((old, base), (new, target))]
+        events = cut(comparison.comparison_plan(*lazy))
         if groups:
-            from lithos.functions.paths import in_scope
-
             events = comparison.scoped(events, lambda c: in_scope(c, [p for g in groups for p in g]))
-        return cut(projection.project_diff(events, old, new, mode))
+        named = lambda side, c: side.join(events.where(F.col(c).isNotNull()).select("repo", F.col(c).alias("path")).distinct(), ["repo", "path"], "left_semi")
+        files = [cut(self._read(named(side, c), spec)) for side, c, spec in ((old, "old_path", base), (new, "path", target))]
+        rows = [cut(projection.items(f, ["repo", "path"], content="content")) for f in files]
+        self._no_failures(*rows)
+        return cut(projection.project_diff(events, *files, mode, rows)), *rows, base, target
+
+    def diff(self, base: str, target: str, mode: str, merge_base: bool = False, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """Events of two snapshots whose projections differ, with both canonical texts. Pairs are found before the scope applies.
+
+        A file that an event in scope names and that does not parse is an error; unchanged files are not read.
+        """
+        return self._compared(base, target, mode, merge_base, paths, areas)[0]
 
     def diff_text(self, base: str, target: str, mode: str, **options) -> str:
         events = self.diff(base, target, mode, **options).withColumn("id", F.coalesce("path", "old_path"))
         found = lines.diff_document(events, ["id"]).orderBy("id").collect()
         return "\n".join(r.document for r in found)
 
+    def diff_document(self, base: str, target: str, mode: str, merge_base: bool = False, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """(repo, document): the JSON document of the differences."""
+        events, old, new, low, high = self._compared(base, target, mode, merge_base, paths, areas)
+        return documents.diff_document(events, old, new, mode, self.snapshot_id(low), self.snapshot_id(high))
+
+    def diff_outlines(self, base: str, target: str, mode: str, merge_base: bool = False, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """The outlines of both sides of every file whose projection differs: side, status, old_path, path and the items with ``retained``."""
+        events, old, new, _, _ = self._compared(base, target, mode, merge_base, paths, areas)
+        return projection.outline_diff(events, old, new, mode)
+
+    def declarations(self, base: str, target: str, mode: str, merge_base: bool = False, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """Declarations added, deleted and changed in files whose projection differs, keys of moved files rebased."""
+        events, old, new, _, _ = self._compared(base, target, mode, merge_base, paths, areas)
+        return projection.declaration_diff(events, old, new, mode)
+
     def history(self, base: str, target: str) -> list[tuple[str, str, str]]:
         """(parent, commit, subject) of every first-parent step, newest first."""
         if any(s.startswith(":") for s in (base, target)):
             raise UsageError("history needs two commits")
         return git.first_parent_steps(self.root, base, target)
 
+    def history_diffs(self, base: str, target: str, mode: str, **options) -> Iterator[tuple[str, str, str, DataFrame]]:
+        """(parent, commit, subject, events) of every step, newest first, each compared when it is asked for."""
+        for parent, commit, subject in self.history(base, target):
+            yield parent, commit, subject, self.diff(parent, commit, mode, **options)
+
 
 def project_source(path: str, data: bytes | str, mode: str) -> list[Item]:
     """Items of one source, its language by extension."""

@@ -91,7 +91,7 @@ def test_lines_past_the_third_are_declarations(spark, tmp_path):
     text = "\n".join(f"line {i}" for i in range(1, 8))
     docs = [(3, text, "en", "r"), (10, "one", "en", "r"), (7, text, "en", "r"), (4, text + "\nmoved", "en", "r"), (2, text, "en", "r")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {(r.stable_key, r.status) for r in catalog.QUERIES["stable_key_join_lines"](spark, str(tmp_path)).collect()}
+    found = {(r.stable_key, r.status) for r in catalog.QUERIES["stable_key_join"](spark, str(tmp_path)).collect()}
     new = {(f"en/00000007.txt::{i}", "added") for i in range(2, 8)}
     assert found == {("en/00000003.txt::7", "changed"), ("en/00000010.txt::1", "changed")} | new
 
@@ -137,6 +137,50 @@ def test_folds():
     assert folds.visible_rows(found, 13, "tests") == [("fold", 2, 7, "f"), ("fold", 10, 11, "g")]
 
 
+def test_annotations_above_declarations():
+    def start(source, line):
+        return folds.fold_start(source.split("\n"), line, lambda n: n == 0)
+
+    assert start("x\n/*! inner\n doc */\nf", 3) == 1 and start("x\n/* plain\n end */\nf", 3) == 3  # a plain comment stays with what is above it
+    assert start("x\n-- | doc\nf", 2) == 2 and start("x\n{-| doc -}\nf", 2) == 1
+    assert start("x\n@wrap(a[0],\n\n  ')')\nf", 4) == 1 and start("x\n#[doc = \")]\"]\nf", 2) == 1
+    assert start("#!/bin/sh\nf", 1) == 1
+
+
+def test_folds_of_many_items_in_linear_time():
+    import time
+
+    items = [{"stable_key": f"f{n}", "parent_key": None, "kind": "function", "start_line": 2 * n, "end_line": 2 * n, "retained": True} for n in range(20000)]
+    began = time.process_time()
+    assert len(folds.regions(items, "def f(): ...\n# note\n" * 20000)) == 20000 and time.process_time() - began < 10
+
+
+def test_large_alignments_are_divided(monkeypatch):
+    import random
+
+    from lithos.functions import sequences
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        monkeypatch.setattr(sequences, "ROW_BITS", 1 << 28)
+        whole = sequences.common_units(a, b)
+        monkeypatch.setattr(sequences, "ROW_BITS", 16)
+        parts = sequences.common_units(a, b)
+        assert len(parts) == len(whole) == sequences.common_length(a, b)
+        assert all(a[i] == b[j] for i, j in parts) and all(x < y for p, q in zip(parts, parts[1:]) for x, y in zip(p, q))
+
+
+def test_visible_rows_of_files(spark):
+    source = "class A:\n    def f(self): ...\n\n\nx = 1\n"
+    files = spark.createDataFrame([("r", "a.py", "python", source), ("r", "b.py", "python", "")], ENTRY)
+    found = folds.fold_regions(projection.outline(projection.items(files, ["repo", "path"]), ["repo", "path"], "signatures"), files, ["repo", "path"])
+    rows = folds.visible(found, files, ["repo", "path"], "signatures").orderBy("row_no").collect()
+    assert [(r.path, r.row, r.first_line, r.last_line) for r in rows][0] == ("a.py", "fold", 0, 1) and rows[-1].row in ("fold", "source") and rows[0].text == "class A:"
+    opened = folds.visible(found, files, ["repo", "path"], "signatures", {"a.py::class::A": True}).orderBy("row_no").collect()
+    assert len(opened) >= len(rows)
+
+
 def test_search(spark):
     texts = spark.createDataFrame([(1, "Aa a\nb\nÉa"), (2, None)], "id long, text string")
     assert [(r.line_no, r.matches) for r in search.line_matches(texts, ["id"], "A").orderBy("line_no").collect()] == [(0, 3), (2, 1)]
@@ -153,9 +197,11 @@ def test_json_documents(spark):
         return projection.items(spark.createDataFrame([("r", "a.py", "python", source), ("r", "b.py", "python", "")], ENTRY), ["repo", "path"])
 
     old, new = rows("class A:\n    x: int\n"), rows("class A:\n    y: int\n\ndef f(): ...\n")
-    shown = json.loads(documents.show_document(new, ["repo", "path"], "types", None).first().document)
-    assert [f["path"] for f in shown["files"]] == ["a.py"] and [i["name"] for i in shown["files"][0]["items"]] == ["A", "y"]
+    files = spark.createDataFrame([("r", "a.py", "python"), ("r", "b.py", "python")], "repo string, path string, language string")
+    shown = json.loads(documents.show_document(new, files, "types", None).first().document)
+    assert [f["path"] for f in shown["files"]] == ["a.py", "b.py"] and [i["name"] for i in shown["files"][0]["projection"]["items"]] == ["A", "y"]
+    assert shown["files"][0]["projection"]["text"] == "class A:\n    y: int\n" and shown["files"][1]["projection"] == {"text": "", "items": []} and shown["mode"] == "types"
     assert [(o["name"], o["retained_in_mode"]) for o in shown["files"][0]["outline"]] == [("A", True), ("y", True), ("f", False)]
     events = spark.createDataFrame([("r", "modified", "a.py", "a.py", "python")], "repo string, status string, old_path string, path string, language string")
     made = json.loads(documents.diff_document(events, old, new, "types", "one", "two").first().document)
-    assert made["files"][0]["base"]["items"][1]["name"] == "x" and made["files"][0]["target"]["items"][1]["name"] == "y" and made["base"] == "one"
+    assert made["files"][0]["base"]["projection"]["items"][1]["name"] == "x" and made["files"][0]["target"]["projection"]["items"][1]["name"] == "y" and made["base"] == "one"

@@ -123,6 +123,74 @@ def test_plain_folder_and_broken_sources(spark, tmp_path):
         w.show("signatures")
 
 
+def test_broken_files_fail_comparisons_that_name_them(spark, tmp_path):
+    run(tmp_path, "init", "-q")
+    put(tmp_path, "a.py", "def f(a: int): ...\n")
+    put(tmp_path, "old.py", "def (:\n")
+    put(tmp_path, "docs/readme.txt", "no source\n")
+    (tmp_path / "b.rs").write_bytes(b"pub fn f() {}\n")
+    run(tmp_path, "add", "-A")
+    run(tmp_path, "commit", "-qm", "one")
+    run(tmp_path, "tag", "one")
+    put(tmp_path, "c.py", "def g(): ...\n")
+    run(tmp_path, "add", "-A")
+    run(tmp_path, "commit", "-qm", "fine")
+    run(tmp_path, "tag", "fine")
+    put(tmp_path, "a.py", "def f(a: int:\n")
+    run(tmp_path, "commit", "-qam", "broken")
+    run(tmp_path, "tag", "broken")
+    put(tmp_path, "a.py", "def f(a: str): ...\n")
+    (tmp_path / "b.rs").write_bytes(b"pub fn \xff() {}\n")
+    run(tmp_path, "commit", "-qam", "bytes")
+    w = Workspace(spark, str(tmp_path))
+    assert [r.path for r in w.diff("one", "fine", "signatures").collect()] == ["c.py"]  # old.py is broken on both sides and the same
+    with pytest.raises(EngineError, match="a.py"):
+        w.diff("fine", "broken", "signatures")
+    with pytest.raises(EngineError, match="b.rs: not UTF-8"):
+        w.diff("fine", "HEAD", "signatures")
+    with pytest.raises(EngineError, match="b.rs: not UTF-8"):
+        w.show("signatures", "HEAD", paths=("b.rs",))
+    assert [r.path for r in w.diff("fine", "HEAD", "signatures", paths=("a.py",)).collect()] == ["a.py"]
+    # a path is there whatever it holds
+    assert w.show_text("signatures", "HEAD", paths=("docs",)) == "" and w.diff("one", "fine", "types", paths=("docs/readme.txt",)).count() == 0
+    with pytest.raises(EngineError):
+        w.show("signatures", "HEAD", paths=("doc",))
+    assert [s for _, _, s in w.history("one", "HEAD")] == ["bytes", "broken", "fine"]
+    steps = w.history_diffs("one", "fine", "signatures")
+    assert [(s, d.count()) for _, _, s, d in steps] == [("fine", 1)]
+
+
+def test_paths_against_a_folder(spark, repo):
+    w = Workspace(spark, str(repo), cwd=str(repo / "src"))
+    assert [w.select(p) for p in ("keep.py", "../lib.rs", "./x//y", str(repo / "lib.rs"), "..")] == ["src/keep.py", "lib.rs", "src/x/y", "lib.rs", ""]
+    assert w.scope(("..", "keep.py")) == []
+    with pytest.raises(EngineError):
+        w.select("../../x")
+
+
+def test_outlines_and_declarations_of_a_comparison(spark, repo):
+    import json
+
+    w = Workspace(spark, str(repo))
+    changes = {(r.path, r.stable_key.rsplit("::", 1)[-1], r.status) for r in w.declarations("one", "HEAD", "signatures").collect()}
+    assert changes == {("src/gone.py", "Gone", "deleted"), ("src/keep.py", "keep", "changed"), ("src/add.py", "VALUE", "added")}
+    found = {(r.status, r.side, r.stable_key) for r in w.diff_outlines("one", "HEAD", "signatures").collect()}
+    assert {(s, side) for s, side, _ in found} == {("deleted", "old"), ("added", "new"), ("modified", "old"), ("modified", "new"), ("moved", "old"), ("moved", "new")}
+    doc = json.loads(w.diff_document("one", "HEAD", "signatures").first().document)
+    assert [f["status"] for f in doc["files"]] == ["added", "deleted", "modified", "moved"] and doc["target"] == git.resolve_commit(str(repo), "HEAD")
+    shown = json.loads(w.show_document("signatures", "HEAD").first().document)
+    assert [f["path"] for f in shown["files"]] == sorted(f["path"] for f in shown["files"]) and shown["revision"] == doc["target"]
+    assert {r.path for r in w.visible("signatures", "HEAD").collect()} == {f["path"] for f in shown["files"]}
+
+
+def test_ignore_rules(tmp_path):
+    for path in ("a.py", "b/c.py", "b/keep.py", "b/d/e.py", "out/x.py", "deep/out/y.py", "z[1].py", "log/f.py", "src/gen/a/b.py"):
+        put(tmp_path, path, "")
+    put(tmp_path, ".gitignore", "# note\n/out/\nb/*.py\n!b/keep.py\nz\\[1].py\nlog\nsrc/**/b.py\n")
+    put(tmp_path, "b/.gitignore", "e.py\n")
+    assert {p.decode() for p in git._walk(str(tmp_path)) if p.endswith(b".py")} == {"a.py", "b/keep.py", "deep/out/y.py"}
+
+
 def test_areas(tmp_path):
     file = tmp_path / "areas.toml"
     file.write_text('[areas]\napi = ["src/api/", "./lib"]\nui = "web"\n')
