@@ -327,16 +327,14 @@ def _minimum(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarr
     return x
 
 
-def fit(texts: list[str], labels: list[int], odds: float, ridge: float = 3e-5, steps: int = 25) -> Scorer:
-    """Fits on restored texts by L-BFGS on all rows at once; ``odds`` of label 1 in the population correct for sampling."""
+def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: float, ridge: float = 3e-5, steps: int = 25) -> Scorer:
+    """Fits on each text's features and shares by L-BFGS on all rows at once; ``odds`` of label 1 in the population correct for sampling."""
     y = np.array(labels, float)
     present, share = np.zeros(1 << FEATURE_BITS, np.float32), np.zeros(1 << FEATURE_BITS, np.float32)
     if not len(y) or y.min() == y.max():
         return Scorer(present, share, math.log(max(odds, 1e-6)) if len(y) else 0.0)
-    parts = [features(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)]
-    row = np.concatenate([np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off)) + np.int32(100 * i) for i, (_, _, off) in enumerate(parts)])
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(f) for f, _ in parts])
     f, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts
     keep = (np.bincount(f, minlength=1 << FEATURE_BITS) >= 4)[f]
     row, f, v = row[keep], f[keep], v[keep]
     used, f = np.unique(f, return_inverse=True)
@@ -358,24 +356,40 @@ def fit(texts: list[str], labels: list[int], odds: float, ridge: float = 3e-5, s
     return Scorer(present, share, b + math.log(odds) - math.log(y.mean() / (1 - y.mean())))
 
 
+def _featured(model: CharModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Labelled texts as the features of what they are restored to; equal rows have equal bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            f, v, off = features(restored(batch.column("t"), model))
+            ends = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("y"), pa.array([f[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([v[a:b].tobytes() for a, b in ends], pa.binary())], names=["d", "y", "f", "v"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, model: CharModel, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """A scorer from the labelled texts outside the held-out quarter (crc32 of the id as text, mod 4, is 2).
 
-    At most ``rows`` ids of each class are drawn, so they may be broadcast;
-    ids that repeat or have both labels count as each row says.
+    At most ``rows`` ids of each class are drawn, so they may be broadcast. Of
+    an id whose rows repeat, one text counts for each label it has. Texts are
+    restored where they lie; their features, at most 2 * ``rows`` rows, reach
+    the driver.
     """
     usable = labels.select(F.col(id_col).alias("d"), F.col(label_col).cast("int").alias("y")).where("d is not null and y in (0, 1)").where(~held_out(F.col("d")))
     order = F.xxhash64(F.col("d"), F.lit(11))
     counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = usable.where("y = 1").orderBy(order, "d").limit(rows).unionAll(usable.where("y = 0").orderBy(order, "d").limit(rows)).collect()  # at most 2 * rows
+    distinct = usable.distinct()
+    drawn = distinct.where("y = 1").orderBy(order, "d").limit(rows).unionAll(distinct.where("y = 0").orderBy(order, "d").limit(rows)).collect()  # at most 2 * rows
     if not drawn:
         return fit([], [], 1.0)
     spark = docs.sparkSession
     ids = spark.createDataFrame(drawn, usable.schema)
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "d").select("d", "y", "t")
-    found = sorted(((r.d, r.y, r.t or "") for r in texts.collect()), key=lambda r: r)
-    ready = restored(pa.array([t for _, _, t in found], pa.string()), model).to_pylist()
-    return fit(ready, [y for _, y, _ in found], max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5))
+    made = texts.mapInArrow(_featured(model), f"d {dict(texts.dtypes)['d']}, y int, f binary, v binary")
+    found = sorted(made.groupBy("d", "y").agg(F.min(F.struct("f", "v")).alias("x")).collect(), key=lambda r: (r.d, r.y))
+    parts = [(np.frombuffer(r.x.f, np.int32), np.frombuffer(r.x.v, np.float32)) for r in found]
+    return fit(parts, [r.y for r in found], max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5))
 
 
 def held_out(id_: F.Column) -> F.Column:

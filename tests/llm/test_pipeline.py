@@ -65,3 +65,23 @@ def test_run_is_the_stages_one_after_the_other(spark, small):
     key = lambda r: (r.doc_id, r.start, r.length, bytes(r.ids))
     assert sorted(map(key, corpus_pipeline.run(spark, small).collect())) == sorted(map(key, docs.collect()))
     assert re.fullmatch(r"[a-z ]+", corpus_pipeline.STAGES[0][0])
+
+
+def test_stages_of_odd_rows_and_of_none(spark, small):
+    """Nulls, empty and blank texts, repeats, ties and columns with clashing names."""
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n", "en"), (4, "one two three four five six seven", "en"), (4, "one two three four five six seven", "en"), (None, "some other words that stand here alone", "en"), (5, "mail a@b.co " + "word " * 3000, None)]
+    names = ["_row", "gone", "component_id", "t", "d", "place", "score"]
+    table = spark.createDataFrame([(*r, "s", 1, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    kept = {name: corpus_pipeline.STAGES[n][1](spark, table, small) for n, (name, _) in enumerate(corpus_pipeline.STAGES)}
+    for name, found in kept.items():
+        if name != "packing":
+            assert found.columns == table.columns
+    texts = lambda name: sorted((r.text or "") for r in kept[name].collect())
+    every = sorted((t or "") for _, t, _ in rows)
+    assert len(texts("toxicity")) <= len(rows) and texts("benchmark decontamination") == every
+    assert texts("near duplicates") == sorted([every[0], *every[1:3], *sorted(set(every[3:]))])
+    assert sum(t.startswith("mail <EMAIL> ") for t in texts("personal data")) == 1 and len(texts("personal data")) == len(rows)
+    pieces = kept["packing"].collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows) and {r.doc_tokens for r in pieces if r.doc_id in (1, 2, 3)} == {1}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), small).count() == 0

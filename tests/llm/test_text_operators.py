@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -44,10 +45,15 @@ def shingle_set(text, k):
     return {tuple(words)} if 0 < len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def library_ids(name, text, end):
+@lru_cache
+def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return t
+
+
+def library_ids(name, text, end):
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -797,6 +803,85 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 # -- the registered queries --------------------------------------------------
 
 
+def _rows(spark, small, name, key="doc_id"):
+    found = queries.QUERIES[name](spark, small)
+    return found.columns, {r[key]: r for r in found.collect()}
+
+
+def test_query_of_pages(spark, small):
+    columns, found = _rows(spark, small, "op1_html_extraction", "page_id")
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()}
+    assert columns[:4] == ["page_id", "url", "text", "n_chars"] and {i: r.url for i, r in found.items()} == pages
+    assert all(r.n_chars == len(r.text) and "\n\n" not in r.text and r.text == r.text.strip() for r in found.values())
+
+
+def test_query_of_toxicity(spark, small, docs):
+    columns, found = _rows(spark, small, "op2_toxicity")
+    assert columns == ["doc_id", "held_out", "score", "predicted"] and found.keys() == {i for i, _ in docs}
+    for i, r in found.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+
+
+def test_query_of_fingerprints(spark, small, docs):
+    columns, found = _rows(spark, small, "op3_fingerprints")
+    assert columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    ordered = sorted(docs)
+    for n, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(n + 1) % len(ordered)][1] or ""
+        cut = len(t) // 4
+        changed = t[: len(t) - cut] + after[:cut]
+        assert found[i].n_chars == len(t) and found[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert found[i].edited_fingerprint == merkle.fingerprint(changed) and 0 <= found[i].near_next <= 1
+    assert np.mean([r.near_edited - r.near_next for r in found.values()]) > 0.4
+
+
+def test_query_of_token_files(spark, small, docs):
+    columns, found = _rows(spark, small, "op4_token_output")
+    assert columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    at = 0
+    for i, t in sorted(docs):
+        ids = library_ids("byte_bpe_50k.json", t, 0)
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+
+
+def test_query_of_personal_data(spark, small, docs):
+    columns, found = _rows(spark, small, "op5_pii")
+    assert columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    for i, t in docs:
+        base = pii.base_spans(t or "")
+        written = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert found[i].base_sha256 == hashlib.sha256(written.encode()).hexdigest() and set(filter(None, written.split(","))) <= set(found[i].spans.split(","))
+        assert [found[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == n for s in base) for n in range(4)]
+
+
+def test_query_of_licenses(spark, small, docs):
+    columns, found = _rows(spark, small, "op9_license")
+    assert columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    for i, t in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(_LOW))
+        places = [(n, label) for phrase, label in licenses.PHRASES.items() for n in range(len(words)) if words[n : n + len(phrase.split())] == phrase.split()]
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min((n for n, _ in places), default=None), max((n for n, _ in places), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and r.labels == ",".join(sorted({x for _, x in places} | {d[0] for d in scanned(t)})) and 0 <= r.score <= 1
+
+
+def test_query_of_packing(spark, small, docs):
+    found = queries.QUERIES["op10_packing"](spark, small)
+    assert found.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    pieces: dict[int, list] = {}
+    rows = found.collect()
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length & (r.length - 1) == 0 for r in rows)
+    for i, t in docs:
+        ids, at = library_ids("word_bpe_49k.json", t, 2), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, small, name):
     import duckdb
