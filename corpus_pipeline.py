@@ -14,7 +14,12 @@ from lithos.llm.shared import delete, materialize, new_path, temporary, tune
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose restored form scores as toxic go."""
+    """Texts whose restored form scores as toxic go.
+
+    Null and empty texts score as texts without words; repeated rows and ids, or
+    null ids, are decided row by row; of an empty table nothing stays. Columns
+    come back as they are, whatever their names.
+    """
     tune(spark)
     model = toxicity.char_model(docs)
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), model)
@@ -26,6 +31,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Where ids repeat or are null, rows are compared by a key of their own, so of
     rows with one id or none still one stays; a null counts as the largest id.
+    Null, empty and blank texts are like nothing and all stay. Columns come back
+    as they are; an empty table gives no rows.
     """
     tune(spark)
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count():
@@ -39,17 +46,30 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold a benchmark item go."""
+    """Texts that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; rows are decided one by one, so
+    repeated or null ids are no matter; without items, or without rows, nothing
+    changes.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every text stays."""
+    """Personal data is replaced by its kind; every row stays, null texts as null.
+
+    ``n_chars`` is counted again where a text changed; rows are redacted one by
+    one; an empty table gives no rows.
+    """
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of every document, each a sequence of its own."""
+    """Power-of-two pieces of every document, each a sequence of its own.
+
+    Null and empty texts give one piece, the end id; rows are packed one by one,
+    so repeated or null ids give pieces for each; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
