@@ -25,7 +25,7 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Hand-written names of licenses: label, keyword, name (a regular expression over normalised words).
 # Priorities: 3 for a version stated, 2 for a family with a mark of its own, 1 for a bare family.
 _NAMES: list[tuple[str, str, str, int]] = [
-    ("mit", "mit", r"(?:the )?mit(?: expat)?", 2),
+    ("mit", " mit", r"(?:the )?mit(?: expat)?", 2),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)? (?:license )?(?:version )?1 1", 3),
     ("apache-2", "apache", r"(?:the )?apache(?: software)? (?:license )?(?:version |v)?2(?: 0)?", 3),
     ("gpl-2", "gpl", r"(?:the )?(?:gnu )?gpl (?:version |v)?2(?: 0)?", 3),
@@ -45,7 +45,7 @@ _NAMES: list[tuple[str, str, str, int]] = [
     ("bsd-4-clause", "bsd", r"(?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", 3),
     ("0bsd", "bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause)", 3),
     ("bsd", "bsd", r"(?:the )?bsd(?: style)?", 1),
-    ("isc", "isc", r"(?:the )?isc", 2),
+    ("isc", " isc", r"(?:the )?isc", 2),
     ("mpl-1.1", "mozilla", r"(?:the )?mozilla public license (?:version |v)?1 1", 3),
     ("mpl-2", "mozilla", r"(?:the )?mozilla public license (?:version |v)?2(?: 0)?", 3),
     ("mpl-2", "mpl", r"(?:the )?mpl (?:version |v)?2(?: 0)?", 3),
@@ -85,26 +85,26 @@ _NAMES: list[tuple[str, str, str, int]] = [
     ("cc-by-nc-nd", "creative commons", r"(?:the |a )?creative commons attribution non ?commercial no ?deriv(?:ative|atives|s)(?: [1-4] [05])?", 3),
 ]
 
-# How a name is used; the frame adds to the name's priority. Strength is how sure such a use is.
+# How a name is used: what every match holds, the form, what it adds to the name's priority, and how sure such a use is.
 _FRAMES: list[tuple[str, str, int, float]] = [
-    ("grant", r"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|made available) (?:freely )?under(?: the terms of)?(?: version [0-9] of)? {name}(?: licen[cs]e)?", 30, 0.95),
-    ("spdx", r"spdx license identifier {name}", 40, 1.0),
-    ("terms", r"(?:subject to|governed by|under)(?: the terms(?: and conditions)? of)? {name} licen[cs]e", 20, 0.9),
-    ("mention", r"{name} licen[cs]e", 10, 0.7),
-    ("version", r"{name}", 0, 0.5),
+    ("under", r"(?:re)?(?:licen[cs]ed|released|distributed|published|available|provided|covered|made available) (?:freely )?under(?: the terms of)?(?: version [0-9] of)? {name}(?: licen[cs]e)?", 30, 0.95),
+    ("spdx license identifier", r"spdx license identifier {name}", 40, 1.0),
+    ("licen", r"(?:subject to|governed by|under)(?: the terms(?: and conditions)? of)? {name} licen[cs]e", 20, 0.9),
+    ("licen", r"{name} licen[cs]e", 10, 0.7),
+    ("", r"{name}", 0, 0.5),
 ]
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regular expression, priority, strength), highest priority first: the written ones, and every name in every frame."""
+def rules() -> list[tuple[str, tuple[str, str], str, int, float]]:
+    """(label, two keywords, regular expression, priority, strength), highest priority first: the written ones, and every name in every frame."""
     found = []
     for label, word, name, rank in _NAMES:
         for frame, form, priority, strength in _FRAMES:
-            if frame == "version" and rank < 3 and not word.startswith("cc by"):
+            if not frame and rank < 3 and not word.startswith("cc by"):
                 continue  # a bare family name alone says nothing
-            if label == "mit" and frame == "terms":
+            if label == "mit" and priority == 20:
                 form = form.replace(" {name}", "(?: the)? {name}")
-            found.append((label, word, r"(?<![^ ])(?:" + form.format(name=name) + r")(?![^ ])", priority + rank, strength))
-    found += [(label, word, r"(?<![^ ])(?:" + form + r")(?![^ ])", priority, strength) for label, word, form, priority, strength in written()]
+            found.append((label, (word, frame), r"(?<![^ ])(?:" + form.format(name=name) + r")(?![^ ])", priority + rank, strength))
+    found += [(label, (word, ""), r"(?<![^ ])(?:" + form + r")(?![^ ])", priority, strength) for label, word, form, priority, strength in written()]
     return sorted(found, key=lambda r: -r[3])
 
 
@@ -119,20 +119,30 @@ GATE = (
 )
 
 
-def ungated(found: list[tuple[str, str, str, int, float]]) -> list[str]:
+def ungated(found: list[tuple[str, tuple[str, str], str, int, float]]) -> list[str]:
     """Rules that the gate could miss: there must be none."""
     bare = {r"(?<![^ ])(?:" + name + r")(?![^ ])" for _, _, name, _ in _NAMES}
     own = {r"(?<![^ ])(?:" + form + r")(?![^ ])" for _, _, form, _, _ in written()}
-    return [form for _, word, form, _, _ in found if form in bare | own and not any(g in word for g in GATE)]
+    return [form for _, (word, _), form, _, _ in found if form in bare | own and not any(g in word for g in GATE)]
 
 
-def _gate(words: Column) -> Column:
-    """Whether a text may hold a match. Lower case of any letter is enough here, as all strings are ASCII."""
-    low = F.lower(words)
+#: Stems that several strings of the gate share; where a stem is missing, these need not be looked for.
+_STEMS = ("under", "general", "commons", " org", "commercial", "software", "permi", "apache", "public", "rights", "use only")
+
+
+def _gate(low: Column) -> Column:
+    """Whether a text in lower case may hold a match. Lower case of any letter is enough here, as all strings are ASCII."""
+    strings = [g for g in (*GATE, *PHRASES) if not any(o in g for o in GATE if o != g)]
+    groups: dict[str, list[str]] = {}
+    for g in strings:
+        groups.setdefault(next((x for x in _STEMS if x in g), g), []).append(g)
     out = F.lit(False)
-    for g in (*GATE, *PHRASES):
-        if not any(o in g for o in GATE if o != g):
-            out |= F.contains(low, F.lit(g))
+    for stem, own in groups.items():
+        any_ = F.lit(False)
+        for g in own:
+            if g != stem:
+                any_ |= F.contains(low, F.lit(g))
+        out |= F.contains(low, F.lit(stem)) & (F.lit(True) if stem in own else any_)
     return out
 
 
@@ -167,11 +177,11 @@ def _places(words: Column, phrase: str) -> Column:
     return F.struct(count.cast("long").alias("n"), F.when(count > 0, first).alias("first"), F.when(count > 0, last).alias("last"))
 
 
-def _detections(words: Column, found: list[tuple[str, str, str, int, float]]) -> Column:
+def _detections(words: Column, found: list[tuple[str, tuple[str, str], str, int, float]]) -> Column:
     """Array of ``_DETECTION``: character spans in the normalised text."""
     level = {p: n for n, p in enumerate(sorted({r[3] for r in found}))}
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("word"), F.lit(c).alias("form"), F.lit(d).alias("priority"), F.lit(e).alias("strength"), F.lit(level[d]).alias("level")) for a, b, c, d, e in found])
-    active = F.filter(table, lambda r: F.contains(words, r["word"]))
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b[0]).alias("word"), F.lit(b[1]).alias("with"), F.lit(c).alias("form"), F.lit(d).alias("priority"), F.lit(e).alias("strength"), F.lit(level[d]).alias("level")) for a, b, c, d, e in found])
+    active = F.filter(table, lambda r: F.contains(words, r["word"]) & F.contains(words, r["with"]))
 
     def spans(r: Column) -> Column:
         hits = F.regexp_extract_all(words, r["form"], F.lit(0))
@@ -234,8 +244,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     found = rules()
     words = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col).cast("string")).alias("w"))
-    gate = _gate(F.col("w"))
+    gate = _gate(F.col("low"))
     none = F.array().cast(f"array<{_KEPT}>")
+    # a column of its own, as a branch would lower the text anew for each string
+    words = words.select("doc_id", "w", F.lower("w").alias("low"))
     gated = words.select("doc_id", word_count(F.col("w")).alias("n_words"), F.when(gate, lowered(F.col("w"))).alias("w"))
     hits = F.when(F.col("w").isNotNull(), F.struct(*[_places(F.col("w"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)], _kept_of(found).alias("detections")))
     rows = gated.select("doc_id", "n_words", hits.alias("h"))
@@ -251,7 +263,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _kept_of(found: list[tuple[str, str, str, int, float]]) -> Column:
+def _kept_of(found: list[tuple[str, tuple[str, str], str, int, float]]) -> Column:
     # one lambda binds the detections, so that they are found once
     levels = len({r[3] for r in found})
     return F.flatten(F.transform(F.array(_detections(F.col("w"), found)), lambda all_: _kept(all_, levels)))

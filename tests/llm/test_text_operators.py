@@ -506,7 +506,7 @@ def scanned(text):
     """Detections by the definition: all rules over the whole text, all pairs for suppression. On long texts the keywords tell what need not be tried."""
     words = " " + re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", text or "").strip(" ") + " "
     low = words.translate(_LOW)
-    found = [(label, priority, strength, *m.span()) for label, word, form, priority, strength in RULES if len(low) < 600 or word in low for m in form.finditer(low)]
+    found = [(label, priority, strength, *m.span()) for label, word, form, priority, strength in RULES if len(low) < 600 or word[0] in low and word[1] in low for m in form.finditer(low)]
     return sorted(d for d in found if not any(o[3] <= d[3] and o[4] >= d[4] and (o[1] > d[1] or o[1] == d[1] and o[4] - o[3] > d[4] - d[3]) for o in found))
 
 
