@@ -180,8 +180,14 @@ def _places(words: Column, phrase: str) -> Column:
 def _detections(words: Column, found: list[tuple[str, tuple[str, str], str, int, float]]) -> Column:
     """Array of ``_DETECTION``: character spans in the normalised text."""
     level = {p: n for n, p in enumerate(sorted({r[3] for r in found}))}
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b[0]).alias("word"), F.lit(b[1]).alias("with"), F.lit(c).alias("form"), F.lit(d).alias("priority"), F.lit(e).alias("strength"), F.lit(level[d]).alias("level")) for a, b, c, d, e in found])
-    active = F.filter(table, lambda r: F.contains(words, r["word"]) & F.contains(words, r["with"]))
+    groups: dict[str, list[Column]] = {}
+    for label, (word, other), form, priority, strength in found:
+        rule = F.struct(F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(other).alias("with"), F.lit(form).alias("form"), F.lit(priority).alias("priority"), F.lit(strength).alias("strength"), F.lit(level[priority]).alias("level"))
+        groups.setdefault(next((g for g in (*GATE[1:], GATE[0]) if g in word), word), []).append(rule)  # licen, the commonest, last
+    # a string that many keywords hold is looked for once
+    table = F.array(*[F.struct(F.lit(g).alias("part"), F.array(*own).alias("rules")) for g, own in groups.items()])
+    near = F.filter(table, lambda g: F.contains(words, g["part"]))
+    active = F.flatten(F.transform(near, lambda g: F.filter(g["rules"], lambda r: F.contains(words, r["word"]) & F.contains(words, r["with"]))))
 
     def spans(r: Column) -> Column:
         hits = F.regexp_extract_all(words, r["form"], F.lit(0))
