@@ -133,24 +133,32 @@ def shared_bytes(old: Sequence[str | None], new: Sequence[str | None], modes: Se
 
 
 def scores_at_least(old: Sequence[str | None], new: Sequence[str | None], least: int) -> list[int | None]:
-    """``similarity_at_least`` of every pair; equal pairs of texts are scored once."""
+    """``similarity_at_least`` of every pair; equal pairs of texts are scored once, and a text that several pairs name is counted once."""
     known: dict[tuple[str, str], int | None] = {}
+    sizes: dict[str, int] = {}
+    counts: dict[tuple[str, str], Counter] = {}
     out = []
-    for pair in zip((a or "" for a in old), (b or "" for b in new), strict=True):
-        if pair not in known:
-            known[pair] = similarity_at_least(*pair, least)
-        out.append(known[pair])
+    for a, b in zip((a or "" for a in old), (b or "" for b in new), strict=True):
+        if (a, b) not in known:
+            for t in (a, b):
+                if t not in sizes:
+                    sizes[t] = len(t.encode())
+            largest = max(sizes[a], sizes[b])
+            mode = "scalar" if largest <= SCALAR_BYTES else "line"
+            x, y = _counted((a, b), mode, counts)
+            bound = sum(len(u.encode()) * min(n, y[u]) for u, n in x.items() if u in y)
+            known[a, b] = None if largest and 100 * bound // largest < least else similarity_at_least(a, b, least, bounded=True)
+        out.append(known[a, b])
     return out
 
 
-def similarity_at_least(old: str, new: str, least: int) -> int | None:
-    """The score if it reaches ``least``; bounds by unit counts and by the length of the subsequence come first."""
+def similarity_at_least(old: str, new: str, least: int, bounded: bool = False) -> int | None:
+    """The score if it reaches ``least``; bounds by unit counts (unless ``bounded`` says that it was met) and by the length of the subsequence come first."""
     largest = max(len(old.encode()), len(new.encode()))
     if not largest:
         return 100
     x, y = units_of(old, new)
-    bound = sum(len(u.encode()) * n for u, n in (Counter(x) & Counter(y)).items())
-    if 100 * bound // largest < least:
+    if not bounded and 100 * sum(len(u.encode()) * n for u, n in (Counter(x) & Counter(y)).items()) // largest < least:
         return None
     n = common_length(x, y)
     sizes = [sorted((len(u.encode()) for u in z), reverse=True) for z in (x, y)]

@@ -7,13 +7,13 @@ sizes; texts join only the pairs that a score needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from lithos.functions import sequences
 from lithos.plans.lineage import cut
@@ -103,10 +103,11 @@ def unit_profile(files: DataFrame) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs with both texts, dealt evenly: what is done with a pair costs far more than its row."""
+    """Pairs with both texts, dealt evenly to a stated number of tasks: what is done with a pair costs far more than its row, so few bytes are no reason to join tasks."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     old = base.select("repo", F.col("path").alias("old_path"), F.col("text").alias("old_text"))
     new = target.select("repo", "path", F.col("text").alias("new_text"))
-    return pairs.join(old, ["repo", "old_path"]).join(new, ["repo", "path"]).repartition("repo", "old_path", "path")
+    return pairs.join(old, ["repo", "old_path"]).join(new, ["repo", "path"]).repartition(tasks, "repo", "old_path", "path")
 
 
 def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
@@ -114,16 +115,29 @@ def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> Da
 
     Both texts meet in the pair's row, so no row is made for a unit.
     """
-    bound = F.pandas_udf(lambda a, b, mode: pd.Series(sequences.shared_bytes(a, b, mode), dtype="int64"), "long")
-    found = _with_texts(pairs, base, target).withColumn("bound", bound("old_text", "new_text", "unit_mode"))
-    return found.select("repo", "old_path", "path", "old_size", "size", "unit_mode", "bound").withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = sequences.shared_bytes(*(batch.column(c).to_pylist() for c in ("old_text", "new_text", "unit_mode")))
+            yield batch.select(names).append_column("bound", pa.array(bounds, pa.int64()))
+
+    names = ["repo", "old_path", "path", "old_size", "size", "unit_mode"]
+    met = _with_texts(pairs, base, target)
+    # not a function over columns: a filter on its result would run it again, and before the pairs are dealt
+    schema = ", ".join(f"{n} {dict(met.dtypes)[n]}" for n in names) + ", bound long"
+    return met.select(*names, "old_text", "new_text").mapInArrow(run, schema).withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
 
 
 def similarity_scores(pairs: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
     """Pairs that reach the least score; a pair whose unit counts rule it out is not aligned, equal pairs of contents once in a batch."""
-    score = F.pandas_udf(lambda a, b: pd.Series(sequences.scores_at_least(a, b, least), dtype="Int32"), IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array(sequences.scores_at_least(batch.column("old_text").to_pylist(), batch.column("new_text").to_pylist(), least), pa.int32())
+            yield batch.select(["repo", "old_path", "path"]).append_column("score", scores).filter(scores.is_valid())
+
     dealt = _with_texts(pairs.select("repo", "old_path", "path"), base, target)
-    return dealt.select("repo", "old_path", "path", score("old_text", "new_text").alias("score")).where("score is not null")
+    return dealt.select("repo", "old_path", "path", "old_text", "new_text").mapInArrow(run, "repo string, old_path string, path string, score int")
 
 
 def _assign(frame: pd.DataFrame) -> pd.DataFrame:
