@@ -498,3 +498,90 @@ SELECT repo, path, (n - 1)::INT AS row_no, CASE WHEN old_text = new_text THEN 'e
 def source_rows(spark, sf_dir):
     """Aligned lines of edited sources; no line came or went, so the i-th stands beside the i-th."""
     return lines.aligned_rows(_edited_files(spark, sf_dir), _FILE)
+
+
+# -- views: widths, folds, matches ----------------------------------------------
+
+_SOURCE_LINES = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no"
+
+
+@query(
+    f"""WITH {sources.SQL}, n AS (SELECT repo, path, len(string_split(text, chr(10))) - 1 AS n FROM sbase WHERE m IN (2, 3)) SELECT repo, path, length(n::VARCHAR)::INT AS old_width, length(n::VARCHAR)::INT AS new_width FROM n"""
+)
+def gutter_widths(spark, sf_dir):
+    return lines.gutter_widths(lines.aligned_rows(_edited_files(spark, sf_dir), _FILE), _FILE)
+
+
+@query("""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::INT AS lines, list_max(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(x)))::INT AS width FROM documents""")
+def line_widths(spark, sf_dir):
+    return lines.line_widths(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query(
+    f"""WITH {sources.SQL}, l AS (SELECT b.repo, b.path, unnest(string_split(rtrim(b.text, chr(10)), chr(10))) AS a, unnest(string_split(rtrim(t.text, chr(10)), chr(10))) AS b, generate_subscripts(string_split(rtrim(b.text, chr(10)), chr(10)), 1) - 1 AS n
+    FROM sbase b JOIN starget t ON t.repo = b.repo AND t.path = b.path WHERE b.m IN (2, 3)),
+w AS (SELECT *, greatest(1, ceil(length(a) / 24)::INT, ceil(length(b) / 24)::INT) AS k FROM l)
+SELECT repo, path, n::INT AS row_no, CASE WHEN a = b THEN 'equal' ELSE 'change' END AS kind, array_to_string(list_transform(range(0, k), lambda i: substring(a, 24 * i + 1, 24)), '|') AS left_side,
+    array_to_string(list_transform(range(0, k), lambda i: substring(b, 24 * i + 1, 24)), '|') AS right_side FROM w"""
+)
+def side_by_side(spark, sf_dir):
+    rows = lines.side_by_side(lines.aligned_rows(_edited_files(spark, sf_dir), _FILE), _FILE, 24)
+    return rows.select(*_FILE, "row_no", "kind", F.array_join("left", "|").alias("left_side"), F.array_join("right", "|").alias("right_side"))
+
+
+@query(
+    f"""{_NODES}, p AS (SELECT DISTINCT repo, path, string_split(path, '/') AS a FROM paths), s AS (SELECT *, lag(a) OVER (PARTITION BY repo ORDER BY path) AS b FROM p)
+SELECT repo, path, coalesce(len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])), 0)::INT AS shared FROM s"""
+)
+def shared_prefixes(spark, sf_dir):
+    return trees.shared_prefixes(_paths(spark, sf_dir), ["repo"])
+
+
+@query(f"{_NODES} SELECT repo, node, min(i - 1)::INT AS depth, bool_or(node = path) AS is_file, count(*) AS files FROM nodes WHERE NOT starts_with(node, 'en/') AND NOT starts_with(node, 'moved/fr/') GROUP BY repo, node")
+def collapsed_tree(spark, sf_dir):
+    nodes = trees.path_tree(_paths(spark, sf_dir), ["repo"])
+    closed = nodes.where(F.col("node").isin("en", "moved/fr")).select("repo", "node")
+    return trees.collapsed(nodes, ["repo"], closed)
+
+
+@query(f"WITH {sources.SQL}, l AS (SELECT repo, path, level, unnest(range(start_line, end_line + 1)) AS line_no FROM items_base) SELECT repo, path, line_no::INT AS line_no, max(level + 1)::INT AS fold_level FROM l GROUP BY repo, path, line_no")
+def fold_levels(spark, sf_dir):
+    return folds.fold_levels(_regions(spark, sf_dir, "types")[1], _FILE)
+
+
+@query(
+    """WITH l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS a FROM documents)), h AS (SELECT doc_id, line_no FROM l WHERE contains(line, 'and'))
+SELECT doc_id, line_no::INT AS line_no, coalesce(lead(line_no) OVER w, min(line_no) OVER (PARTITION BY doc_id))::INT AS next_line, coalesce(lag(line_no) OVER w, max(line_no) OVER (PARTITION BY doc_id))::INT AS previous_line FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"""
+)
+def match_steps(spark, sf_dir):
+    return search.match_steps(search.line_matches(table(spark, sf_dir, "documents"), ["doc_id"], "and"), ["doc_id"])
+
+
+@query(
+    f"""WITH {sources.SQL}, l AS (SELECT repo, path, {_SOURCE_LINES} FROM sbase)
+SELECT repo, path, line_no::INT AS line_no, ((length(line) - length(replace(lower(line), 'impl', ''))) // 4)::BIGINT AS matches FROM l WHERE contains(lower(line), 'impl')"""
+)
+def visible_matches(spark, sf_dir):
+    """Lines that hold ``impl``: containers are open, so their heads are shown."""
+    files, found = _regions(spark, sf_dir, "signatures")
+    rows = folds.visible(found, files, _FILE, "signatures")
+    return search.visible_matches(search.line_matches(files, _FILE, "impl"), rows, _FILE)
+
+
+@query(
+    f"""WITH {sources.SQL}, l AS (SELECT b.repo, b.path, unnest(string_split(rtrim(b.text, chr(10)), chr(10))) AS a, unnest(string_split(rtrim(t.text, chr(10)), chr(10))) AS b, generate_subscripts(string_split(rtrim(b.text, chr(10)), chr(10)), 1) - 1 AS n
+    FROM sbase b JOIN starget t ON t.repo = b.repo AND t.path = b.path WHERE b.m IN (2, 3)),
+c AS (SELECT repo, path, n, (length(a) - length(replace(lower(a), 'int', ''))) // 3 AS x, (length(b) - length(replace(lower(b), 'int', ''))) // 3 AS y, a = b AS same FROM l)
+SELECT repo, path, n::INT AS row_no, (CASE WHEN same THEN y ELSE x + y END)::BIGINT AS matches FROM c WHERE (CASE WHEN same THEN y ELSE x + y END) > 0"""
+)
+def diff_matches(spark, sf_dir):
+    return search.diff_matches(lines.aligned_rows(_edited_files(spark, sf_dir), _FILE), _FILE, "int")
+
+
+@query(
+    f"""WITH {virtual.SQL}, m AS (SELECT *, CASE WHEN size <= 4096 THEN 'scalar' ELSE 'line' END AS unit_mode FROM base),
+u AS (SELECT repo, unit_mode, unnest({_UNITS.format(mode="unit_mode", text="text")}) AS unit FROM m)
+SELECT repo, unit_mode, octet_length(encode(unit))::BIGINT AS bytes, count(*) AS units FROM u WHERE unit <> '' GROUP BY ALL"""
+)
+def unit_histogram(spark, sf_dir):
+    return comparison.unit_histogram(sides(spark, sf_dir)[0])

@@ -102,6 +102,16 @@ def unit_profile(files: DataFrame) -> DataFrame:
     return out
 
 
+def unit_histogram(files: DataFrame) -> DataFrame:
+    """How many units of each length in bytes the files of a repo have: repo, unit_mode, bytes, units. The mode is that of the file's own size."""
+    out = None
+    for mode, fits in (("scalar", f"size <= {sequences.SCALAR_BYTES}"), ("line", f"size > {sequences.SCALAR_BYTES}")):
+        lengths = files.where(fits).select("repo", F.explode(F.transform(F.filter(units(mode, F.col("text")), lambda u: u != ""), lambda u: F.octet_length(u).cast("long"))).alias("bytes"))
+        part = lengths.groupBy("repo", "bytes").agg(F.count(F.lit(1)).alias("units")).select("repo", F.lit(mode).alias("unit_mode"), "bytes", "units")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def _with_texts(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
     """Pairs with both texts, dealt evenly to a stated number of tasks: what is done with a pair costs far more than its row, so few bytes are no reason to join tasks."""
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

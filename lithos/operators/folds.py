@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithos.plans.lineage import cut
+
 #: Kinds whose regions start open where they are retained.
 CONTAINERS = frozenset("module trait trait_implementation foreign_block".split())
 
@@ -218,11 +220,14 @@ def fold_regions(outline: DataFrame, sources: DataFrame, key: list[str]) -> Data
 
 
 def subtree_keys(found: DataFrame, key: list[str], root: str) -> DataFrame:
-    """Keys below a region, itself left out."""
-    from .trees import closure
-
-    links = found.select(*key, F.col("stable_key").alias("node"), F.col("parent_key").alias("parent"))
-    return closure(links, key).where(F.col("ancestor") == root).select(*key, F.col("node").alias("stable_key"))
+    """Keys below a region, itself left out: a join for each level that occurs, from the region downwards."""
+    links = found.where("parent_key is not null and parent_key <> stable_key").select(*key, "stable_key", "parent_key")
+    level = below = cut(links.where(F.col("parent_key") == root).select(*key, "stable_key"))
+    while not level.isEmpty():
+        under = links.join(level.withColumnRenamed("stable_key", "parent_key"), [*key, "parent_key"]).select(*key, "stable_key")
+        level = cut(under.join(below, [*key, "stable_key"], "left_anti").where(F.col("stable_key") != root))
+        below = cut(below.unionAll(level))
+    return below
 
 
 def deepest_at(found: DataFrame, key: list[str], line: int) -> DataFrame:
@@ -236,3 +241,10 @@ def neighbours(found: DataFrame, key: list[str]) -> DataFrame:
 
     order = Window.partitionBy(*key).orderBy("start_line", F.desc("level"), "stable_key")
     return found.select(*key, "stable_key", F.lead("stable_key").over(order).alias("next_key"), F.lag("stable_key").over(order).alias("previous_key"))
+
+
+def fold_levels(found: DataFrame, key: list[str]) -> DataFrame:
+    """The depth of folds at every line that a region covers: the key, line_no, fold_level from 1."""
+    by = list(dict.fromkeys([*key, "path"]))
+    lines = found.select(*by, "level", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    return lines.groupBy(*by, "line_no").agg((F.max("level") + 1).alias("fold_level"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import sequences
@@ -100,3 +100,28 @@ def show_document(files: DataFrame, by: list[str]) -> DataFrame:
     """One text for each group of files (path, canonical_text): a header and the text of each, in order of path, a blank line between."""
     section = F.concat(F.lit("== "), "path", F.lit(" ==\n"), "canonical_text")
     return files.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.encode("path", "UTF-8").alias("k"), section.alias("s")))), lambda x: x["s"]), "\n").alias("document"))
+
+
+def gutter_widths(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Digits of the largest line number on either side of aligned rows, 1 at least: what a view reserves for numbers."""
+    digits = lambda c: F.greatest(F.lit(1), F.coalesce(F.length(F.max(c).cast("string")), F.lit(1))).cast("int")
+    return rows.groupBy(*key).agg(digits("old_no").alias("old_width"), digits("new_no").alias("new_width"))
+
+
+def line_widths(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """Lines of each text and the code points of its longest one; null texts have one empty line."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    return texts.select(*key, F.size(parts).alias("lines"), F.array_max(F.transform(parts, F.length)).alias("width"))
+
+
+def side_by_side(rows: DataFrame, key: list[str], width: int) -> DataFrame:
+    """Aligned rows as two columns of ``width`` code points: the key, row_no, kind, left and right, each wrapped into an array of equal length."""
+
+    def wrapped(c: str) -> Column:
+        text = F.coalesce(F.col(c), F.lit(""))
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / width).cast("int") - 1)), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+
+    made = rows.select(*key, "row_no", "kind", wrapped("old_text").alias("l"), wrapped("new_text").alias("r"))
+    most = F.greatest(F.size("l"), F.size("r"))
+    fill = lambda c: F.concat(F.col(c), F.array_repeat(F.lit(""), most - F.size(c)))
+    return made.select(*key, "row_no", "kind", fill("l").alias("left"), fill("r").alias("right"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import sequences
@@ -48,3 +48,26 @@ def fuzzy_rank(names: DataFrame, needle: str, name: str = "name", order: str = "
     """The best names by subsequence score, then by position; a top-k report, so each task keeps its own best first."""
     score = F.pandas_udf(lambda s: s.map(lambda x: sequences.fuzzy(needle, x or "")).astype("Int64"), "long")
     return names.select(F.col(name).alias("name"), F.col(order).alias("position"), score(name).alias("score")).where("score is not null").orderBy(F.desc("score"), "position").limit(top)
+
+
+def match_steps(matches: DataFrame, key: list[str]) -> DataFrame:
+    """Each matching line with the next and the previous one of its text; the last is followed by the first."""
+    order = Window.partitionBy(*key).orderBy("line_no")
+    whole = Window.partitionBy(*key)
+    following = F.coalesce(F.lead("line_no").over(order), F.min("line_no").over(whole))
+    before = F.coalesce(F.lag("line_no").over(order), F.max("line_no").over(whole))
+    return matches.select(*key, "line_no", following.alias("next_line"), before.alias("previous_line"))
+
+
+def visible_matches(matches: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Matches on lines that a folded view shows as source."""
+    shown = rows.where("row = 'source'").select(*key, F.col("first_line").alias("line_no"))
+    return matches.join(shown, [*key, "line_no"], "left_semi")
+
+
+def diff_matches(rows: DataFrame, key: list[str], needle: str) -> DataFrame:
+    """Aligned rows that hold ``needle`` on either side, without regard to case: the key, row_no, matches; an equal row counts once."""
+    small = needle.lower()
+    count = lambda c: F.coalesce((F.length(c) - F.length(F.replace(F.lower(c), F.lit(small), F.lit("")))) / len(small), F.lit(0)).cast("long")
+    both = F.when(F.col("kind") == "equal", count("new_text")).otherwise(count("old_text") + count("new_text"))
+    return rows.select(*key, "row_no", both.alias("matches")).where("matches > 0")

@@ -110,3 +110,19 @@ def merge_base(commits: DataFrame, left: str, right: str) -> DataFrame:
     both = reach(left).intersect(reach(right))
     older = up.join(both.select(F.col("commit").alias("node")), "node").join(both.select(F.col("commit").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("commit")).distinct()
     return both.join(older, "commit", "left_anti")
+
+
+def shared_prefixes(files: DataFrame, scope: list[str], path: str = "path") -> DataFrame:
+    """Each path with how many leading components it shares with the path before it, in order of bytes: what a tree need not draw again."""
+    parts = files.select(*scope, F.col(path).alias("path"), F.split(path, "/").alias("a")).distinct()
+    seen = parts.withColumn("b", F.lag("a").over(Window.partitionBy(*scope).orderBy("path")))
+    least = F.least(F.size("a"), F.size("b"))
+    same = F.filter(F.sequence(F.lit(1), least), lambda i: F.slice("a", 1, i) == F.slice("b", 1, i))
+    return seen.select(*scope, "path", F.when(F.col("b").isNull(), 0).otherwise(F.size(same)).alias("shared"))
+
+
+def collapsed(nodes: DataFrame, scope: list[str], closed: DataFrame) -> DataFrame:
+    """Rows of a path tree that stay when the folders in ``closed`` (scope, node) are shut: those below none of them."""
+    above = nodes.select(*scope, "node", F.explode(prefixes(F.col("node"))).alias("up")).where("up <> node")
+    hidden = above.join(closed.select(*scope, F.col("node").alias("up")), [*scope, "up"], "left_semi").select(*scope, "node").distinct()
+    return nodes.join(hidden, [*scope, "node"], "left_anti")

@@ -11,6 +11,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there; a folder of its own only where that is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lithos-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = folder or tempfile.mkdtemp(prefix="lithos-")
         context.setCheckpointDir(folder)
     return df.checkpoint()

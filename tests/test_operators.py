@@ -205,3 +205,24 @@ def test_json_documents(spark):
     events = spark.createDataFrame([("r", "modified", "a.py", "a.py", "python")], "repo string, status string, old_path string, path string, language string")
     made = json.loads(documents.diff_document(events, old, new, "types", "one", "two").first().document)
     assert made["files"][0]["base"]["projection"]["items"][1]["name"] == "x" and made["files"][0]["target"]["projection"]["items"][1]["name"] == "y" and made["base"] == "one"
+
+
+def test_subtrees(spark):
+    rows = [("r", "a", None), ("r", "a.b", "a"), ("r", "a.b.c", "a.b"), ("r", "x", None), ("q", "a", None), ("q", "a.z", "a"), ("r", "loop", "pool"), ("r", "pool", "loop")]
+    nodes = spark.createDataFrame(rows, "repo string, stable_key string, parent_key string")
+    assert {tuple(r) for r in folds.subtree_keys(nodes, ["repo"], "a").collect()} == {("r", "a.b"), ("r", "a.b.c"), ("q", "a.z")}
+    assert {tuple(r) for r in folds.subtree_keys(nodes, ["repo"], "loop").collect()} == {("r", "pool")}
+
+
+def test_widths_and_columns(spark):
+    pairs = spark.createDataFrame([(1, "a\n" * 9, "a\n" * 10 + "bbbbbb"), (2, None, "n")], "id long, old_text string, new_text string")
+    rows = lines.aligned_rows(pairs, ["id"])
+    assert {tuple(r) for r in lines.gutter_widths(rows, ["id"]).collect()} == {(1, 1, 2), (2, 1, 1)}
+    last = lines.side_by_side(rows.where("id = 1"), ["id"], 4).orderBy(F.desc("row_no")).first()
+    assert (last.left, last.right) == (["", ""], ["bbbb", "bb"])
+    assert [tuple(r) for r in lines.line_widths(pairs, ["id"], "old_text").orderBy("id").collect()] == [(1, 10, 1), (2, 1, 0)]
+
+
+def test_matches_step_around(spark):
+    hits = search.line_matches(spark.createDataFrame([(1, "a\nb\na\na"), (2, "a")], "id long, text string"), ["id"], "a")
+    assert {tuple(r) for r in search.match_steps(hits, ["id"]).collect()} == {(1, 0, 2, 3), (1, 2, 3, 0), (1, 3, 0, 2), (2, 0, 0, 0)}
