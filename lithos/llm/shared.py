@@ -70,11 +70,14 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def tune(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller batches between JVM and Python than Spark's 10,000 rows, as rows are whole texts; a setting of the session's own stays. It holds for the session, as plans run later."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) in (None, "10000"):
-        spark.conf.set(key, str(rows))
+def tune(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Smaller batches between JVM and Python, by rows and by bytes, as rows are whole texts or sets of them.
+
+    A setting of the session's own stays. It holds for the session, as plans run later.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1), size)):
+        if spark.conf.get(key, None) in (None, default):
+            spark.conf.set(key, str(value))
 
 
 def release(spark: SparkSession) -> None:
