@@ -1,4 +1,4 @@
-"""The thin queries over the ten operators, and SQL where it can express them."""
+"""The thin queries over the operators, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, merkle, minhash, packing, pii, style_tree, token_files, toxicity
+from . import bpe, chat, decontaminate, lexical, licenses, manifest, merkle, minhash, packing, pii, style_tree, token_files, toxicity
 from .shared import new_path, tune
 
 
@@ -104,6 +104,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = F.when(tampered, manifest.digest_of([*map(F.col, fields[:-1]), manifest.ascii_lower(F.col("text"))]))
+    checked = manifest.verify(manifest.manifest(_table(spark, sf_dir, "documents"), fields, changed=changed))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    return read_back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -115,6 +132,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_license": op9_license,
     "op10_packing": op10_packing,
+    "op11_dataset_manifest": op11_dataset_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 # Words of a text for SQL: A-Z lower-cased, runs without blank and the controls 9 to 13.
@@ -161,4 +181,61 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low, d.doc_id) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": _OP6_SQL, "op7_chat": _OP7_SQL, "op8_near_dedup": _OP8_SQL}
+# -- op 11: trees of up to 16**_LEVELS nodes, level by level ----------------------
+
+_LEVELS = 6
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The unsigned CRC-32 of doc_id's digits: a byte goes in, then eight shifts.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str) -> str:
+    """From {name}0 (g, i, d): levels {name}1 and up, and each level's runs {name}r0 and up (g, p, kids, c)."""
+    out = ""
+    for at in range(_LEVELS):
+        out += f""",
+{name}r{at} AS MATERIALIZED (SELECT g, i // 16 AS p, list(d ORDER BY i) AS kids, max(c) AS c FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}{at}) GROUP BY g, i // 16),
+{name}{at + 1} AS MATERIALIZED (SELECT g, p AS i, CASE WHEN c = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS d FROM {name}r{at})"""
+    return out
+
+
+def _path_sql(source: str, name: str) -> str:
+    """Rows of ``source`` (g, i, proof, node) with the siblings of all levels behind proof, and node folded up."""
+    for at in range(_LEVELS):
+        run, slot = f"(i // {16 ** (at + 1)})", f"((i // {16**at}) % 16)::INT"
+        source = f"""(SELECT s.* EXCLUDE (proof, node), CASE WHEN c = 1 THEN proof ELSE proof || array_to_string(kids[1:{slot}], '') || array_to_string(kids[{slot} + 2:], '') END AS proof,
+            CASE WHEN c = 1 THEN node ELSE sha256(array_to_string(kids[1:{slot}], '') || node || array_to_string(kids[{slot} + 2:], '')) END AS node FROM {source} s JOIN {name}r{at} r ON r.g = s.g AND r.p = {run})"""
+    return source
+
+
+_OP11_SQL = f"""
+WITH l AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '') AS g, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql(_LOWER)} END AS changed FROM documents),
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+a0 AS MATERIALIZED (SELECT g, i, leaf AS d FROM x){_tree_sql("a")},
+b0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, d, g AS source FROM a{_LEVELS}){_tree_sql("b")},
+low AS MATERIALIZED (SELECT doc_id, leaf, g AS source, proof, node FROM {_path_sql("(SELECT *, '' AS proof, coalesce(changed, leaf) AS node FROM x)", "a")}),
+high AS (SELECT * FROM {_path_sql("(SELECT low.*, b0.g, b0.i, b0.d AS subroot FROM low JOIN b0 USING (source))", "b")})
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = d AS verified FROM high, (SELECT d FROM b{_LEVELS})
+"""
+
+# -- op 13 ----------------------------------------------------------------------
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+_OP13_SQL = f"""
+WITH t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} AS term FROM documents) GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))))::BIGINT AS score
+    FROM q JOIN t USING (term) JOIN w USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": _OP6_SQL, "op7_chat": _OP7_SQL, "op8_near_dedup": _OP8_SQL, "op11_dataset_manifest": _OP11_SQL, "op13_lexical_search": _OP13_SQL}
