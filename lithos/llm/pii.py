@@ -52,6 +52,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _at_most_255(digits: str) -> bool:
+    """Whether a number, of whatever length, is at most 255."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or len(value) == 3 and value <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base patterns, by start, then kind. Linear in the text for any text.
 
@@ -80,7 +86,7 @@ def base_spans(text: str) -> list[Span]:
         i, n = 0, len(runs)
         while i + 3 < n:
             if all(runs[j + 1][0] == runs[j][1] + 1 and text[runs[j][1]] == "." for j in range(i, i + 3)):
-                if all(e - s < 4 and int(text[s:e]) < 256 or (e - s >= 4 and not text[s:e].lstrip("0")[3:] and int(text[s:e]) < 256) for s, e in runs[i : i + 4]):
+                if all(_at_most_255(text[s:e]) for s, e in runs[i : i + 4]):
                     found.append((1, runs[i][0], runs[i + 3][1]))
                 i += 4
             else:
@@ -104,11 +110,33 @@ def base_spans(text: str) -> list[Span]:
 
 # -- candidates --------------------------------------------------------------
 
-# What may be personal data beside the base: (kind, one of which must occur in the lower-cased text, pattern)
+# An address whose at, or some of whose dots, are spelled out
+_at = re.compile(r" ?(?:@| at |[\[(] ?at ?[\])]) ?", re.I)
+_spelled_domain = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{2,})+", re.I)
+_AT_MARKS, _DOT_MARKS = (" at ", "at]", "at)", "at ]", "at )"), (" dot ", "dot]", "dot)", "dot ]", "dot )")
+
+
+def _spelled(text: str, low: str) -> list[Span]:
+    """Addresses of any length around each sign that may be an at; the sign is found first, so long runs of letters take linear time."""
+    dots = any(m in low for m in _DOT_MARKS)
+    if not (dots and "@" in low or any(m in low for m in _AT_MARKS)):
+        return []
+    found: list[Span] = []
+    floor, m = 0, _at.search(text)
+    while m:
+        a, after = m.start(), m.start() + 1
+        if m[0] != "@" or dots:
+            while a > floor and text[a - 1] in _local:
+                a -= 1
+            if a < m.start() and (domain := _spelled_domain.match(text, m.end())):
+                found.append((0, a, domain.end()))
+                floor = after = domain.end()
+        m = _at.search(text, after)
+    return found
+
+
+# What else may be personal data beside the base: (kind, one of which must occur in the lower-cased text, pattern)
 _GENERATORS: list[tuple[int, tuple[str, ...], re.Pattern]] = [
-    (0, (" dot ", "dot]", "dot)"), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@| at |[\[(] ?at ?[\])]) ?[A-Za-z0-9-]{1,63}(?:(?:\.| dot | ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]{2,63}){1,4}", re.I)),
-    (0, ("at]", "at)", "at ]", "at )"), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,4}", re.I)),
-    (0, (" at ",), re.compile(r"[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){1,3}", re.I)),
     (1, (":",), re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")),
     (2, ("",), re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")),
     (2, ("",), re.compile(r"(?<![0-9])[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])")),
@@ -125,6 +153,7 @@ def candidates(text: str, digits: bool, low: str | None = None) -> list[Span]:
     """Proposed spans; they may overlap. digits: whether the text has any."""
     low = text.lower() if low is None else low
     out = {(kind, m.start(), m.end()) for kind, marks, form in _GENERATORS if (digits or kind < 2) and any(m in low for m in marks) for m in form.finditer(text)}
+    out.update(_spelled(text, low))
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
@@ -259,7 +288,7 @@ def detect(texts: list[str], fitted: boosting.Boosted, least: tuple[float, ...])
         base = base_spans(text) if digits or "@" in text else []
         out.append((base, base))
         low = text.lower()
-        proposed = candidates(text, digits, low) if digits or " at " in low or "dot" in low or "at]" in low or "at)" in low or "::" in low else []
+        proposed = candidates(text, digits, low) if digits or "::" in low or any(m in low for m in (*_AT_MARKS, *_DOT_MARKS)) else []
         if proposed:
             known = _Places(base)
             new = [span for span in proposed if not known.meets(span)]

@@ -424,6 +424,26 @@ def test_base_spans_stay_linear():
         pii.detect([text], *pii.model())
 
 
+@pytest.mark.parametrize("place", range(4))
+def test_numbers_of_any_length_are_no_crash(place):
+    """Zeros in front of a part change nothing, and a part of thousands of digits is only too large."""
+    for part, good in (("0" * 5000, True), ("0" * 5000 + "255", True), ("0" * 5000 + "256", False), ("9" * 5000, False), ("00", True), ("255", True), ("300", False)):
+        parts = ["1"] * 4
+        parts[place] = part
+        text = "x " + ".".join(parts) + " y"
+        assert [s for s in pii.base_spans(text) if s[0] == 1] == ([(1, 2, len(text) - 2)] if good else [])
+        pii.detect([text], *pii.model())
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 66, 1000, 100_000])
+def test_spelled_addresses_of_any_length(size):
+    """The whole local part and domain are proposed, and redacted whole if at all."""
+    for text, span in ((f"mail {'a' * size} at example.com now", (5, 5 + size + 15)), (f"({'b.' * size}c[at]{'d' * size}.org)", (1, 3 * size + 10)), (f"{'x' * size}@site dot net", (0, size + 13))):
+        assert (0, *span) in pii.candidates(text, False), text[:80]
+        (_, found), = pii.detect([text], *pii.model())
+        assert not found or found == [(0, *span)]
+
+
 def test_the_method_adds_what_base_patterns_miss(spark, odd, empty):
     both = pii.detect([ODD[9][1]], *pii.model())[0]
     assert both[0] == [] and [s[0] for s in both[1]] == [3, 2]
@@ -461,7 +481,7 @@ def test_look_alikes_are_left_alone(text):
     assert pii.detect([text], *pii.model())[0][1] == []
 
 
-@pytest.mark.parametrize("part", ["a@b.co ", "a at b dot com ", "4111111111111111 ", "+1 (314) 555-6532 ", "1.", "a", "1 ", "1:", "a@", "at ", "(", "+1", "::1 "])
+@pytest.mark.parametrize("part", ["a@b.co ", "a at b dot com ", "4111111111111111 ", "+1 (314) 555-6532 ", "1.", "a", "1 ", "1:", "a@", "at ", "(", "+1", "::1 ", "0", "1.1.1.0", " at ", "a at ", " at a.b", "[at]", "x[at]y.zz", "x at y dot ", "@ dot ", "a@b dot "])
 def test_a_hostile_text_is_searched_in_linear_time(part):
     import time
 
