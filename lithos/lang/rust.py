@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from lithos.functions.layout import LINE, SOFT, Doc, broken, concat, flat_width, group, indent, listing, render, reserve, text
 
@@ -197,6 +198,21 @@ class _Projector:
             at += 1
         return end
 
+    def body_or_end(self, at: int, end: int) -> int:
+        """The brace or semicolon that ends an item's head, where ``<`` and ``>`` are brackets of types."""
+        depth = 0
+        while at < end:
+            t = self.found[at]
+            if t.kind == "sign":
+                if t.text in ("{", ";") and not depth:
+                    return at
+                if t.text in ("(", "[", "{"):
+                    at = closing(self.found, at)
+                else:
+                    depth += (t.text == "<") - (t.text == ">")
+            at += 1
+        return end
+
     def skip(self, at: int, end: int) -> int:
         stop = self.until(at, end, (";", "{"))
         if stop < end and self.found[stop].text == "{":
@@ -271,7 +287,7 @@ class _Projector:
         words = self.found
         name = words[at + 1].text
         key = self.keys.new(f"{container}::type::{name}")
-        stop = self.until(at + 2, end, (";", "{"))
+        stop = self.body_or_end(at + 2, end)
         first, clause = self.where(words[start:stop])
         modes = {"types": True, "signatures": True}
         if word == "struct" and (stop >= end or words[stop].text == ";"):
@@ -292,7 +308,7 @@ class _Projector:
                 if doc is not None:
                     head.attributes.append(doc)
                 at = close + 1
-            depth, stop = 0, at
+            depth, stop, value = 0, at, False
             while stop < end:
                 t = self.found[stop]
                 if t.kind == "sign":
@@ -300,8 +316,12 @@ class _Projector:
                         break
                     if t.text in ("(", "[", "{"):
                         stop = closing(self.found, stop)
-                    elif t.text in ("<", ">"):
-                        depth += 1 if t.text == "<" else -1
+                    elif t.text == "=" and not depth:
+                        value = True  # from here on < and > compare and shift, but for a path's types
+                    elif t.text == "<":
+                        depth += not value or depth > 0 or self.found[stop - 1].text == "::"
+                    elif t.text == ">" and depth:
+                        depth -= 1
                 stop += 1
             if stop > at:
                 out.append((head, at, stop))
@@ -327,6 +347,8 @@ class _Projector:
         return out
 
     def variant(self, a: int, b: int) -> Doc:
+        if a + 1 < b and self.found[a + 1].text == "=":
+            return text(join(_shifts(self.found[a:b])))
         if a + 1 < b and self.found[a + 1].text == "{":
             close = closing(self.found, a + 1)
             inner = [concat(*h.lines(), type_doc(self.found[x:y])) for h, x, y in self.parts(a + 2, close)]
@@ -338,7 +360,7 @@ class _Projector:
 
     def members(self, start, at, end, container, parent, head, word):
         words = self.found
-        stop = self.until(at + 1, end, ("{", ";"))
+        stop = self.body_or_end(at + 1, end)
         if stop >= end or words[stop].text == ";":
             return stop + 1, None
         close = closing(words, stop)
@@ -367,7 +389,7 @@ class _Projector:
         if open_ >= end or words[open_].text != "(":
             raise self.fail(words[min(open_, end - 1)], "parameters")
         close = closing(words, open_)
-        stop = self.until(close + 1, end, (";", "{"))
+        stop = self.body_or_end(close + 1, end)
         last = closing(words, stop) if stop < end and words[stop].text == "{" else min(stop, end - 1)
         after, clause = self.where(words[close + 1 : stop])
         returns = concat(" ", type_doc(after)) if after else concat()
@@ -402,6 +424,23 @@ class _Projector:
         return stop + 1, self.leaf(words[start], words[min(stop, end - 1)], container, parent, kind, token, words[at + 1].text, modes, doc)
 
 
+def _shifts(found: list[Token]) -> list[Token]:
+    """Two angle brackets of one kind without a gap, outside a path's types, are one sign."""
+    out: list[Token] = []
+    depth = 0
+    for t in found:
+        before = out[-1] if out else None
+        if t.text == "<" and (depth or before is not None and before.text == "::"):
+            depth += 1
+        elif t.text == ">" and depth:
+            depth -= 1
+        elif t.text in ("<", ">") and before is not None and before.text == t.text and not t.gap:
+            out[-1] = replace(before, text=2 * t.text, end=t.end)
+            continue
+        out.append(t)
+    return out
+
+
 def _clause(found: list[Token]) -> list[Doc | str]:
     return [LINE, join(found).rstrip(",")] if found else []
 

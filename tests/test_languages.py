@@ -354,3 +354,24 @@ def test_structure_checks():
             check(bad)
     keys = Keys()
     assert [keys.new("k") for _ in range(3)] == ["k", "k~1", "k~2"] and canonical_text([]) == ""
+
+
+def test_rust_values_and_const_braces():
+    """Shifts and comparisons in discriminants are no brackets, and braces of const generics no bodies."""
+    source = """
+enum E { A = 1 << 2, B { x: u8 }, C(u8), D = f::<u8, 3>() >> 1, F = (1 < 2) as isize, G(Vec<(u8, u8)>) }
+struct S<const N: usize = { 3 }> { a: [u8; N], b: HashMap<u8, [u8; { N + 1 }]> }
+struct T<const N: usize = { 1 + 2 }>(u8);
+impl Foo<{ N }> { pub fn get(&self) -> Bar<{ N }> { 1 } }
+impl<const N: usize> Kept for Foo<{ N }> { type X = Vec<Vec<u8>>; }
+fn free<T: Fn(u8) -> u8>(a: A<{ 3 }>) -> B<{ 4 }> {}
+trait Q<const N: u8 = { 1 }> { fn m(&self); }
+"""
+    items = {i.stable_key: i.canonical_text for i in rust.project("p", source)["signatures"]}
+    assert [k for k in items if "::variant::" in k] == [f"p::type::E::variant::{v}" for v in "ABCDFG"]
+    assert items["p::type::E::variant::A"] == "A = 1 << 2" and items["p::type::E::variant::D"] == "D = f::<u8, 3>() >> 1" and items["p::type::E::variant::G"] == "G(Vec<(u8, u8)>)"
+    assert [k for k in items if "::field::" in k] == ["p::type::S::field::a", "p::type::S::field::b"]
+    assert items["p::type::T"] == "struct T<const N: usize = { 1 + 2 }>(u8);"
+    assert items["impl Foo<{ N }>::method::get"] == "pub fn get(&self) -> Bar<{ N }>;"
+    assert items["impl Kept for Foo<{ N }>::assoc_type::X"] == "type X = Vec<Vec<u8>>;"
+    assert items["p::fn::free"] == "fn free<T: Fn(u8) -> u8>(a: A<{ 3 }>) -> B<{ 4 }>;" and "p::trait::Q::method::m" in items
