@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions.blobs import content_id
 from lithos.functions.paths import within
-from lithos.operators import comparison, folds, lines, projection, search, trees
+from lithos.operators import comparison, folds, lines, nested, projection, search, trees
 from lithos.plans import sources, virtual
 from lithos.plans.lineage import cut
 
@@ -585,3 +585,65 @@ SELECT repo, unit_mode, octet_length(encode(unit))::BIGINT AS bytes, count(*) AS
 )
 def unit_histogram(spark, sf_dir):
     return comparison.unit_histogram(sides(spark, sf_dir)[0])
+
+
+# -- nested sets ------------------------------------------------------------------
+
+_LOG = """
+o AS (SELECT o_custkey % 50 AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS r FROM orders),
+nodes AS (SELECT g, o_orderkey, r, CASE WHEN r - 1 - r % 3 >= 1 THEN r - 1 - r % 3 END AS up FROM o)"""
+_WALK = f"""WITH RECURSIVE {_LOG},
+up AS (SELECT g, r, r AS top, 0 AS far, up AS next FROM nodes UNION ALL SELECT u.g, u.r, u.next, u.far + 1, n.up FROM up u JOIN nodes n ON n.g = u.g AND n.r = u.next),
+road AS (SELECT g, r, list(top ORDER BY far DESC) AS road, max(far) AS depth FROM up GROUP BY g, r),
+size AS (SELECT g, top AS r, count(*) AS n FROM up GROUP BY g, top),
+walk AS (SELECT g, r, o_orderkey, up, depth, n, row_number() OVER (PARTITION BY g ORDER BY road) - 1 AS pre FROM nodes JOIN road USING (g, r) JOIN size USING (g, r)),
+sets AS (SELECT w.g, 'o' || w.o_orderkey AS stable_key, 'o' || p.o_orderkey AS parent_key, 2 * w.pre - w.depth AS enter_no, 2 * w.pre - w.depth + 2 * w.n - 1 AS exit_no, w.depth::INT AS depth, w.r
+    FROM walk w LEFT JOIN nodes p ON p.g = w.g AND p.r = w.up)"""
+
+
+def _log_index(spark, sf_dir) -> DataFrame:
+    """Orders of fifty groups of customers as forests: an order's parent is one to three places before it, so depth is half of the group's size."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("g"), "o_orderkey")
+    ranked = cut(orders.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")).cast("long")))
+    key = F.concat(F.lit("o"), "o_orderkey")
+    parents = ranked.select("g", F.col("r").alias("up"), key.alias("parent_key"))
+    linked = ranked.withColumn("up", F.expr("r - 1 - r % 3")).join(parents, ["g", "up"], "left")
+    return nested.nested_sets(linked.select("g", key.alias("stable_key"), "parent_key", "r"), ["g"], ["r"])
+
+
+@query(f"{_WALK} SELECT * EXCLUDE r FROM sets")
+def nested_sets(spark, sf_dir):
+    return _log_index(spark, sf_dir)
+
+
+@query(
+    f"""{_WALK}, given AS (SELECT g, r, o_orderkey % 2 = 0 AS is_open FROM nodes WHERE o_orderkey % 7 = 0)
+SELECT s.g, s.stable_key, arg_min(given.is_open, u.far) AS is_open FROM sets s JOIN up u ON u.g = s.g AND u.r = s.r LEFT JOIN given ON given.g = u.g AND given.r = u.top GROUP BY s.g, s.stable_key"""
+)
+def inherited_overrides(spark, sf_dir):
+    """Every seventh order opens or closes itself and what is under it, unless a nearer one says otherwise."""
+    index = cut(_log_index(spark, sf_dir))
+    number = F.expr("bigint(substring(stable_key, 2))")
+    return nested.inherited(index, ["g"], index.where(number % 7 == 0).select("g", "stable_key", (number % 2 == 0).alias("is_open")), "is_open")
+
+
+@query(f"{_WALK} SELECT DISTINCT s.g, s.stable_key FROM sets s JOIN up u ON u.g = s.g AND u.r = s.r JOIN nodes n ON n.g = u.g AND n.r = u.top WHERE u.far > 0 AND n.o_orderkey % 11 = 0")
+def subtree_members(spark, sf_dir):
+    index = cut(_log_index(spark, sf_dir))
+    return nested.below(index, ["g"], index.where(F.expr("bigint(substring(stable_key, 2)) % 11 = 0")).select("g", "stable_key"))
+
+
+@query(f"{_WALK} SELECT p.g, p.line_no, arg_max(x.stable_key, x.depth) AS stable_key FROM (SELECT g, enter_no + 1 AS line_no FROM sets WHERE enter_no % 3 = 0) p JOIN sets x ON x.g = p.g AND p.line_no BETWEEN x.enter_no AND x.exit_no GROUP BY p.g, p.line_no")
+def deepest_items(spark, sf_dir):
+    """The innermost node at the place behind every entry whose number is divisible by three."""
+    index = cut(_log_index(spark, sf_dir))
+    return nested.items_at(index, index.where("enter_no % 3 = 0").select("g", (F.col("enter_no") + 1).alias("line_no")), ["g"], "enter_no", "exit_no")
+
+
+@query(f"WITH {sources.SQL} SELECT repo, path, stable_key, level::INT AS depth, ordinal::BIGINT AS row_no FROM items_base")
+def outline_rows(spark, sf_dir):
+    items = _projected(spark, sf_dir)[1].where("mode = 'signatures'").select(*_FILE, "stable_key", "parent_key", "ordinal")
+    found = nested.outline_rows(nested.nested_sets(items, _FILE, ["ordinal"]), items, _FILE)
+    return found.select(*_FILE, "stable_key", "depth", "row_no")

@@ -138,16 +138,53 @@ def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> Da
     return met.select(*names, "old_text", "new_text").mapInArrow(run, schema).withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
 
 
-def similarity_scores(pairs: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """Pairs that reach the least score; a pair whose unit counts rule it out is not aligned, equal pairs of contents once in a batch."""
+def content_scores(pairs: DataFrame, old_texts: DataFrame, new_texts: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """(old_blob, new_blob, score) of distinct pairs of contents (old_blob, new_blob) that reach the least score; sides are (blob_id, text), each content once.
+
+    A pair whose unit counts rule it out is not aligned. Scoring costs far more
+    than a pair's row, so pairs are dealt evenly to a stated number of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(sequences.scores_at_least(batch.column("old_text").to_pylist(), batch.column("new_text").to_pylist(), least), pa.int32())
-            yield batch.select(["repo", "old_path", "path"]).append_column("score", scores).filter(scores.is_valid())
+            yield batch.select(["old_blob", "new_blob"]).append_column("score", scores).filter(scores.is_valid())
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    old = old_texts.where("text is not null").select(F.col("blob_id").alias("old_blob"), F.col("text").alias("old_text"))
+    new = new_texts.where("text is not null").select(F.col("blob_id").alias("new_blob"), F.col("text").alias("new_text"))
+    dealt = pairs.join(old, "old_blob").join(new, "new_blob").repartition(tasks, "old_blob", "new_blob")
+    return dealt.select("old_blob", "new_blob", "old_text", "new_text").mapInArrow(run, "old_blob string, new_blob string, score int")
 
-    dealt = _with_texts(pairs.select("repo", "old_path", "path"), base, target)
-    return dealt.select("repo", "old_path", "path", "old_text", "new_text").mapInArrow(run, "repo string, old_path string, path string, score int")
+
+def content_pairs(pairs: DataFrame) -> DataFrame:
+    """The distinct contents that pairs of paths compare; what two contents score is the same wherever they stand."""
+    return pairs.select("old_blob", "new_blob").distinct()
+
+
+def similarity_scores(pairs: DataFrame, base: DataFrame, target: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """(repo, old_path, path, score) of pairs that reach the least score.
+
+    Equal contents are compared once, however many paths, repos and tasks have
+    them: texts join distinct pairs of contents, and scores join the paths.
+    """
+    if "old_blob" not in pairs.columns:
+        old = base.select("repo", F.col("path").alias("old_path"), F.col("blob_id").alias("old_blob"))
+        pairs = pairs.join(old, ["repo", "old_path"]).join(target.select("repo", "path", F.col("blob_id").alias("new_blob")), ["repo", "path"])
+    pairs = cut(pairs.select("repo", "old_path", "path", "old_blob", "new_blob"))
+    asked = cut(content_pairs(pairs))
+    scores = content_scores(asked, _texts(asked, "old_blob", base), _texts(asked, "new_blob", target), least)
+    return pairs.join(scores, ["old_blob", "new_blob"]).select("repo", "old_path", "path", "score")
+
+
+def _texts(asked: DataFrame, blob: str, side: DataFrame) -> DataFrame:
+    """(blob_id, text) of the contents that are asked for, each once."""
+    return _named(asked, blob, side).select("blob_id", "text")
+
+
+def _named(asked: DataFrame, blob: str, side: DataFrame) -> DataFrame:
+    """An entry for each content that is asked for."""
+    return side.join(asked.select(F.col(blob).alias("blob_id")).distinct(), "blob_id", "left_semi").dropDuplicates(["blob_id"])
 
 
 def _assign(frame: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +205,12 @@ def greedy_moves(scores: DataFrame) -> DataFrame:
 
 def pairing(base: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Status of the paths that differ, exact moves, and what is left on each side; ids and sizes only, lineage cut, as what follows reads them many times."""
-    status = cut(snapshot_status(base, target).where("status <> 'unchanged'"))
+    return paired(snapshot_status(base, target).where("status <> 'unchanged'"))
+
+
+def paired(status: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``pairing`` of paths that differ, as ``snapshot_status`` gives them."""
+    status = cut(status)
     moves = cut(exact_moves(status))
     old, new = (cut(side) for side in leftovers(status, moves))
     return status, moves, old, new
@@ -178,28 +220,33 @@ def comparison_plan(base: DataFrame | Lazy, target: DataFrame | Lazy, fuzzy: boo
     """Events: repo, status (added, deleted, modified, moved), old_path, path, language, score (of fuzzy moves).
 
     Every path that is not the same on both sides is in one event. Texts are
-    read for pairs that need a score only; one that is not UTF-8 (null) is no
+    read for contents that need a score only; one that is not UTF-8 (null) is no
     fuzzy partner.
     """
-    read_base, read_target = (side.read if isinstance(side, Lazy) else lambda wanted: wanted for side in (base, target))
+    read = [side.read if isinstance(side, Lazy) else lambda wanted: wanted for side in (base, target)]
     base, target = (side.entries if isinstance(side, Lazy) else side for side in (base, target))
-    status, moves, old, new = pairing(base, target)
-    text = lambda s: F.lit(s).cast("string")
+    text = lambda side, i: lambda asked, blob: read[i](_named(asked, blob, side))
+    return events_of(snapshot_status(base, target).where("status <> 'unchanged'"), *((text(base, 0), text(target, 1)) if fuzzy else (None, None)))
+
+
+def events_of(status: DataFrame, old_texts: Callable[[DataFrame, str], DataFrame] | None, new_texts: Callable[[DataFrame, str], DataFrame] | None) -> DataFrame:
+    """Events of paths that differ. The readers take distinct pairs of contents and the name of a side's column, and give (blob_id, text); without them no move is fuzzy."""
+    status, moves, old, new = paired(status)
+    name = lambda s: F.lit(s).cast("string")
     score = F.lit(None).cast("int").alias("score")
-    same = status.where("status = 'modified'").select("repo", text("modified").alias("status"), F.col("path").alias("old_path"), "path", "language", score)
-    moved = moves.select("repo", text("moved").alias("status"), "old_path", "path", "language", score)
-    if fuzzy:
+    same = status.where("status = 'modified'").select("repo", name("modified").alias("status"), F.col("path").alias("old_path"), "path", "language", score)
+    moved = moves.select("repo", name("moved").alias("status"), "old_path", "path", "language", score)
+    if old_texts and new_texts:
         maybe = cut(eligible_pairs(old, new))
-        # each text that a pair names is read once
-        named = lambda side, c: side.join(maybe.select("repo", F.col(c).alias("path")).distinct(), ["repo", "path"], "left_semi")
-        was, now = (cut(read(named(side, c)).where("text is not null").select("repo", "path", "text")) for side, c, read in ((base, "old_path", read_base), (target, "path", read_target)))
-        found = cut(greedy_moves(similarity_scores(maybe, was, now)))
+        asked = cut(content_pairs(maybe))
+        scores = content_scores(asked, old_texts(asked, "old_blob").select("blob_id", "text"), new_texts(asked, "new_blob").select("blob_id", "text"))
+        found = cut(greedy_moves(maybe.join(scores, ["old_blob", "new_blob"]).select("repo", "old_path", "path", "score")))
         pairs = found.join(new.select("repo", "path", "language"), ["repo", "path"])
-        moved = moved.unionAll(pairs.select("repo", text("moved").alias("status"), "old_path", "path", "language", "score"))
+        moved = moved.unionAll(pairs.select("repo", name("moved").alias("status"), "old_path", "path", "language", "score"))
         old = old.join(found.select("repo", F.col("old_path").alias("path")), ["repo", "path"], "left_anti")
         new = new.join(found.select("repo", "path"), ["repo", "path"], "left_anti")
-    gone = old.select("repo", text("deleted").alias("status"), F.col("path").alias("old_path"), F.lit(None).cast("string").alias("path"), "language", score)
-    come = new.select("repo", text("added").alias("status"), F.lit(None).cast("string").alias("old_path"), "path", "language", score)
+    gone = old.select("repo", name("deleted").alias("status"), F.col("path").alias("old_path"), F.lit(None).cast("string").alias("path"), "language", score)
+    come = new.select("repo", name("added").alias("status"), F.lit(None).cast("string").alias("old_path"), "path", "language", score)
     return same.unionAll(moved).unionAll(gone).unionAll(come)
 
 

@@ -34,31 +34,49 @@ def project_source(path: str, content: bytes | str, language: str, mode: str | N
     return items if mode is None else items[mode]
 
 
+#: Rows of one Arrow batch of items.
+BATCH_ROWS = 4096
+
+
 def items(files: DataFrame, key: list[str], path: str = "path", language: str = "language", content: str = "text") -> DataFrame:
     """One row per item and mode: the key, path, language and the item; a file that fails has one row with only ``error``.
 
-    Equal (path, content) should be given once; the parse is the cost. Files of
-    languages without a projector are left out.
+    Equal (path, content) should be given once, as ``store`` does; the parse is
+    the cost, so files are dealt to all tasks before it, however they lie. Files
+    of languages without a projector are left out.
     """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
+            of: list[int] = []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                own = batch.select(own_names).take(pa.array(of, pa.int64()))
+                out = pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True))], names=[*own_names, *names])
+                rows.clear()
+                of.clear()
+                return out
+
             for n, (p, lang, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "_content")), strict=True)):
-                rows: list[tuple] = []
                 try:
-                    for mode, found in project_source(p, "" if source is None else source, lang).items():
-                        rows += [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for i, item in enumerate(found)]
+                    found = project_source(p, "" if source is None else source, lang)
+                    mine = [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for mode, own in found.items() for i, item in enumerate(own)]
                 except (ProjectionError, RecursionError) as e:
-                    rows = [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
-                if rows:
-                    own = batch.select(own_names).take(pa.array([n] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True))], names=[*own_names, *names])
+                    mine = [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
+                rows += mine
+                of += [n] * len(mine)
+                if len(rows) >= BATCH_ROWS:
+                    yield made()
+            if rows:
+                yield made()
 
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     own_names = [*key, "_path", "_language"]
     chosen = files.where(F.col(language).isin(list(PROJECTORS))).select(*key, F.col(path).alias("_path"), F.col(language).alias("_language"), F.col(content).alias("_content"))
     schema = ", ".join(f"`{n}` {dict(chosen.dtypes)[n]}" for n in own_names) + ", " + SCHEMA
-    found = chosen.mapInArrow(run, schema)
+    found = chosen.repartition(tasks, *(F.col(c) for c in key), "_path").mapInArrow(run, schema)
     return found.withColumnRenamed("_path", "path").withColumnRenamed("_language", "language") if "path" not in key else found.drop("_path").withColumnRenamed("_language", "language")
 
 
