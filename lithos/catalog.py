@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lithos.functions.blobs import content_id
 from lithos.functions.paths import within
-from lithos.operators import comparison, folds, lines, nested, projection, search, trees
+from lithos.operators import comparison, folds, history, lines, nested, projection, search, trees
+from lithos.operators.store import ProjectionStore
 from lithos.plans import sources, virtual
-from lithos.plans.lineage import cut
+from lithos.plans.lineage import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,3 +648,79 @@ def outline_rows(spark, sf_dir):
     items = _projected(spark, sf_dir)[1].where("mode = 'signatures'").select(*_FILE, "stable_key", "parent_key", "ordinal")
     found = nested.outline_rows(nested.nested_sets(items, _FILE, ["ordinal"]), items, _FILE)
     return found.select(*_FILE, "stable_key", "depth", "row_no")
+
+
+# -- histories, contents that repeat ----------------------------------------------
+
+_HISTORY = """e AS (SELECT 'c' || o_custkey AS repo, o.n - 1 AS position, l_linenumber % 4 || '/' || l_suppkey % 5 AS path, 'en' AS language, 'b' || min(l_partkey % 3) AS blob_id, (min(l_partkey % 3) + 1)::BIGINT AS size
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+ends AS (SELECT 'c' || o_custkey AS repo, count(*) - 1 AS last FROM orders GROUP BY o_custkey),
+old AS (SELECT repo, position + 1 AS step, path, blob_id, size FROM e JOIN ends USING (repo) WHERE position < last),
+new AS (SELECT repo, position AS step, path, blob_id, size FROM e WHERE position > 0),
+deltas AS (SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.step, n.step) AS step, coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new_only' WHEN n.path IS NULL THEN 'old_only' ELSE 'modified' END AS status,
+    o.blob_id AS old_blob, n.blob_id AS new_blob, o.size AS old_size, n.size AS new_size FROM old o FULL JOIN new n ON o.repo = n.repo AND o.step = n.step AND o.path = n.path WHERE o.blob_id IS DISTINCT FROM n.blob_id)"""
+
+
+def _log_deltas(spark, sf_dir) -> DataFrame:
+    """A customer's orders stand in as snapshots, what their lines name as files."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("repo"), "o_orderkey")
+    ranked = orders.withColumn("position", (F.row_number().over(Window.partitionBy("repo").orderBy("o_orderkey")) - 1).cast("long"))
+    lines_ = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat_ws("/", F.col("l_linenumber") % 4, F.col("l_suppkey") % 5).alias("path"), (F.col("l_partkey") % 3).alias("b"))
+    files = ranked.join(lines_, "o_orderkey").groupBy("repo", "position", "path").agg(F.min("b").alias("b"))
+    entries = files.select("repo", "position", "path", F.lit("en").alias("language"), F.concat(F.lit("b"), "b").alias("blob_id"), (F.col("b") + 1).cast("long").alias("size"))
+    return history.snapshot_deltas(entries, orders.groupBy("repo").agg((F.count(F.lit(1)) - 1).alias("last")))
+
+
+@query(f"WITH {_HISTORY} SELECT * FROM deltas")
+def history_deltas(spark, sf_dir):
+    return _log_deltas(spark, sf_dir).drop("language")
+
+
+@query(
+    f"""WITH {_HISTORY},
+o AS (SELECT repo, step, old_blob AS blob_id, path, row_number() OVER (PARTITION BY repo, step, old_blob ORDER BY path) AS n FROM deltas WHERE status = 'old_only'),
+w AS (SELECT repo, step, new_blob AS blob_id, path, row_number() OVER (PARTITION BY repo, step, new_blob ORDER BY path) AS n FROM deltas WHERE status = 'new_only'),
+m AS (SELECT o.repo, o.step, o.path AS old_path, w.path FROM o JOIN w USING (repo, step, blob_id, n))
+SELECT repo, step, 'modified' AS status, path AS old_path, path FROM deltas WHERE status = 'modified' UNION ALL SELECT repo, step, 'moved', old_path, path FROM m
+UNION ALL SELECT repo, step, 'deleted', path, NULL FROM o WHERE (repo, step, path) NOT IN (SELECT repo, step, old_path FROM m)
+UNION ALL SELECT repo, step, 'added', NULL, path FROM w WHERE (repo, step, path) NOT IN (SELECT repo, step, path FROM m)"""
+)
+def history_events(spark, sf_dir):
+    """Every step of every customer's history, compared in one plan."""
+    return history.step_events(_log_deltas(spark, sf_dir)).select("repo", "step", "status", "old_path", "path")
+
+
+@query(
+    f"""WITH {sources.SQL}, {_MODES_SQL.format("base")}, {_MODES_SQL.format("target").replace("modes AS", "new_modes AS")},
+k AS (SELECT unnest(['', 'a/', 'b/']) AS k), both_sides AS (SELECT 'old' AS side, * FROM modes UNION ALL SELECT 'new', * FROM new_modes)
+SELECT side, repo, k || path AS path, mode, n::INT AS ordinal, replace(stable_key, path, k || path) AS stable_key, replace(parent_key, path, k || path) AS parent_key, canonical_text FROM both_sides, k"""
+)
+def stored_projections(spark, sf_dir):
+    """Every file of both snapshots at three paths, each content parsed once."""
+    store = ProjectionStore(spark, new_path(spark, "projections"))
+    out = None
+    for side, files in zip(("old", "new"), _sources(spark, sf_dir), strict=True):
+        copies = files.withColumn("path", F.explode(F.transform(F.array(*map(F.lit, ("", "a/", "b/"))), lambda k: F.concat(k, "path"))))
+        store.fill(copies, lambda wanted: wanted.withColumnRenamed("text", "content"))
+        found = projection.checked(store.items(copies, _FILE)).select(F.lit(side).alias("side"), *_FILE, "mode", "ordinal", "stable_key", "parent_key", "canonical_text")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+@query(
+    f"""WITH {virtual.SQL}, k AS (SELECT unnest(range(3)) AS k),
+c AS (SELECT b.repo, b.path, b.size AS old_size, t.size, b.text AS old_text, t.text AS new_text FROM base b JOIN target t ON t.repo = b.repo AND t.path = 'moved/' || b.path WHERE b.blob_id <> t.blob_id
+    AND b.size BETWEEN 1 AND {comparison.FILE_CAP} AND t.size BETWEEN 1 AND {comparison.FILE_CAP} AND 2 * t.size >= b.size),
+kept AS (SELECT *, CASE WHEN old_size <= 4096 OR right(new_text, 1) = chr(10) THEN new_text ELSE left(new_text, length(new_text) - length(regexp_extract(new_text, '[^\n]*$'))) END AS common FROM c)
+SELECT repo || '/' || path AS repo, x.k || '/' || path AS old_path, y.k || '/moved/' || path AS path, ((100 * octet_length(encode(common))) // old_size)::INT AS score FROM kept, k x, k y WHERE (100 * octet_length(encode(common))) // old_size >= {comparison.LEAST_SCORE}"""
+)
+def copied_scores(spark, sf_dir):
+    """Files that moved and lost their end, three copies of each before and after: nine pairs of paths, one of contents."""
+    old, new = sides(spark, sf_dir)
+    cut_off = new.where("startswith(path, 'moved/')").withColumn("was", F.expr("substring(path, 7)")).alias("n").join(old.alias("o"), F.expr("n.repo = o.repo and n.was = o.path and n.blob_id <> o.blob_id"))
+    cut_off = cut(cut_off.select(F.concat_ws("/", "o.repo", "o.path").alias("repo"), "o.language", F.struct("o.path", "o.blob_id", "o.size", "o.text").alias("o"), F.struct("n.path", "n.blob_id", "n.size", "n.text").alias("n")))
+    number = F.explode(F.array(*(F.lit(str(i)) for i in range(3)))).alias("k")
+    base, target = (cut(cut_off.select("repo", "language", s, number).select("repo", "language", F.concat_ws("/", "k", f"{s}.path").alias("path"), f"{s}.blob_id", f"{s}.size", f"{s}.text")) for s in ("o", "n"))
+    return comparison.similarity_scores(comparison.eligible_pairs(*comparison.pairing(base, target)[2:]), base, target)

@@ -38,9 +38,11 @@ def project_source(path: str, content: bytes | str, language: str, mode: str | N
 BATCH_ROWS = 4096
 
 
-def items(files: DataFrame, key: list[str], path: str = "path", language: str = "language", content: str = "text") -> DataFrame:
+def items(files: DataFrame, key: list[str], path: str = "path", language: str = "language", content: str = "text", marked: bool = False) -> DataFrame:
     """One row per item and mode: the key, path, language and the item; a file that fails has one row with only ``error``.
 
+    ``marked`` gives a file without items a row that says nothing else.
+
     Equal (path, content) should be given once, as ``store`` does; the parse is
     the cost, so files are dealt to all tasks before it, however they lie. Files
     of languages without a projector are left out.
@@ -65,6 +67,8 @@ def items(files: DataFrame, key: list[str], path: str = "path", language: str =
                     mine = [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for mode, own in found.items() for i, item in enumerate(own)]
                 except (ProjectionError, RecursionError) as e:
                     mine = [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
+                if marked and not mine:
+                    mine = [(None,) * (len(_COLUMNS) + 3)]
                 rows += mine
                 of += [n] * len(mine)
                 if len(rows) >= BATCH_ROWS:

@@ -16,6 +16,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -357,3 +358,42 @@ def commits(spark: SparkSession, root: str, target: str) -> DataFrame:
     lines = git(root, "log", "--first-parent", "--format=%H%x00%P%x00%s", resolve_commit(root, target)).decode(errors="replace").splitlines()
     rows = [(c, p.split(" ")[0] or None, s, i) for i, (c, p, s) in enumerate(line.split("\0") for line in lines)]
     return spark.createDataFrame(rows, "commit_id string, parent_id string, subject string, position int")
+
+
+DELTAS = "step long, path binary, language string, status string, old_blob string, new_blob string, old_size long, new_size long"
+
+
+def _step_deltas(root: str, parent: str, commit: str) -> list[tuple[bytes, str, str | None, str | None]]:
+    """(path, language, old and new blob id) of regular files of known languages that two commits have differently."""
+    fields = git(root, "diff-tree", "-r", "-z", "--no-renames", "--full-index", "--no-abbrev", parent, commit).split(b"\0")
+    out = []
+    for head, path in zip(fields[0::2], fields[1::2], strict=False):
+        was, now, old, new, _ = head.decode().lstrip(":").split(" ")
+        a, b = old if was in ("100644", "100755") else None, new if now in ("100644", "100755") else None
+        if a != b and (lang := language_of(path)):
+            out.append((path, lang, a, b))
+    return out
+
+
+def step_deltas(spark: SparkSession, root: str, steps: list[tuple[int, str, str]]) -> DataFrame:
+    """What each step (number, parent, commit) changes, by the executors, a batch of steps to a task: rows follow changes, not trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, *d) for n, p, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for d in _step_deltas(root, p, c)]
+            ids = list(dict.fromkeys(b for r in rows for b in r[3:] if b))
+            sizes = dict(zip(ids, map(int, git(root, "cat-file", "--batch-check=%(objectsize)", data="\n".join(ids).encode()).split()), strict=True)) if ids else {}
+            status = ["new_only" if a is None else "old_only" if b is None else "modified" for *_, a, b in rows]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            made = [*columns[:3], status, *columns[3:], [sizes.get(a) for a in columns[3]], [sizes.get(b) for b in columns[4]]]
+            kinds = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], names=[c.split(" ")[0] for c in DELTAS.split(", ")])
+
+    given = spark.createDataFrame(steps, "step long, parent string, commit string")
+    return given.repartition(max(1, -(-len(steps) // 16))).mapInArrow(run, DELTAS)
+
+
+def blobs(wanted: DataFrame, root: str) -> DataFrame:
+    """Rows of distinct ``wanted`` (blob_id) with their content, read by the executors."""
+    rows = wanted.select(F.lit(b"").alias("path"), F.lit("").alias("language"), "blob_id", F.lit(0).cast("long").alias("size"), F.lit(False).alias("executable"))
+    return wanted.join(contents_of(rows, root, "").select("blob_id", "content"), "blob_id")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lithos.functions.paths import display_path, in_scope
 from lithos.lang.items import MODES, Item, ProjectionError
-from lithos.operators import comparison, documents, folds, lines, projection
-from lithos.plans.lineage import cut
+from lithos.operators import comparison, documents, folds, history, lines, projection
+from lithos.operators.store import ProjectionStore
+from lithos.plans.lineage import cut, new_path
 from lithos.sources import git
 
 #: Largest file of areas that is read.
@@ -59,12 +60,15 @@ class Workspace:
     """``folder`` is a Git repository, any folder in one, or a plain directory that all executors see.
 
     Paths are relative to ``cwd``, the root unless given, or absolute below the root.
+    ``store`` is the folder of a ``ProjectionStore`` that outlives the workspace;
+    else the workspace has one of its own. Every content is parsed once in a store.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, cwd: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str, cwd: str | None = None, store: str | None = None):
         self.spark = spark
         self.root, self.is_git = git.discover(folder)
         self.cwd = cwd or self.root
+        self.store = ProjectionStore(spark, store or new_path(spark, "projections"))
 
     # -- scope -----------------------------------------------------------------
 
@@ -155,12 +159,12 @@ class Workspace:
         return projection.outline(rows, ["repo", "path"], mode)
 
     def folds(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
-        rows, files = self._items(mode, revision, paths, areas)
+        rows, files = self._items(mode, revision, paths, areas, texts=True)
         return folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
 
     def visible(self, mode: str, revision: str | None = None, overrides: dict[str, bool] | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
         """The rows of the folded view of every file in scope."""
-        rows, files = self._items(mode, revision, paths, areas)
+        rows, files = self._items(mode, revision, paths, areas, texts=True)
         found = folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
         return folds.visible(found, files, ["repo", "path"], mode, overrides)
 
@@ -168,15 +172,17 @@ class Workspace:
         """The commit's id, or the name of a snapshot that is none."""
         return spec if spec.startswith(":") or spec in git.EMPTY_TREES else git.resolve_commit(self.root, spec)
 
-    def _items(self, mode, revision, paths, areas) -> tuple[DataFrame, DataFrame]:
+    def _items(self, mode, revision, paths, areas, texts: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Items of every file in scope, and the files, with their text if asked for. Contents that the store knows are not read for their items."""
         self._mode(mode)
         spec = revision or (":worktree" if self.is_git else ":files")
         groups = self.scope(paths, areas)
         self._check_scope(groups, spec)
-        files = cut(self._read(self._scoped(self._entries(spec), groups), spec))
-        rows = cut(projection.items(files, ["repo", "path"], content="content"))
+        files = cut(self._scoped(self._entries(spec), groups))
+        self.store.fill(files, lambda wanted: self._read(wanted, spec))
+        rows = cut(self.store.items(files, ["repo", "path"]))
         self._no_failures(rows)
-        return rows, files
+        return rows, cut(self._read(files, spec)) if texts else files
 
     # -- diff ------------------------------------------------------------------
 
@@ -196,8 +202,11 @@ class Workspace:
         if groups:
             events = comparison.scoped(events, lambda c: in_scope(c, [p for g in groups for p in g]))
         named = lambda side, c: side.join(events.where(F.col(c).isNotNull()).select("repo", F.col(c).alias("path")).distinct(), ["repo", "path"], "left_semi")
-        files = [cut(self._read(named(side, c), spec)) for side, c, spec in ((old, "old_path", base), (new, "path", target))]
-        rows = [cut(projection.items(f, ["repo", "path"], content="content")) for f in files]
+        files, rows = [], []
+        for side, c, spec in ((old, "old_path", base), (new, "path", target)):
+            files.append(cut(named(side, c)))
+            self.store.fill(files[-1], lambda wanted, spec=spec: self._read(wanted, spec))
+            rows.append(cut(self.store.items(files[-1], ["repo", "path"])))
         self._no_failures(*rows)
         return cut(projection.project_diff(events, *files, mode, rows)), *rows, base, target
 
@@ -234,10 +243,55 @@ class Workspace:
             raise UsageError("history needs two commits")
         return git.first_parent_steps(self.root, base, target)
 
+    def history_events(self, base: str, target: str) -> DataFrame:
+        """Events of every first-parent step from ``base`` to ``target``, in one plan: step (1 is the oldest), parent, commit, subject, status, old_path, path, language, score."""
+        deltas, names = self._deltas(base, target)
+        return names.join(history.step_events(deltas, self._blob_texts).drop("repo"), "step")
+
+    def _deltas(self, base: str, target: str) -> tuple[DataFrame, DataFrame]:
+        """What each step changes, paths as displayed, and the steps' names."""
+        steps = [(n, *s) for n, s in enumerate(reversed(self.history(base, target)), 1)]
+        names = self.spark.createDataFrame(steps, "step long, parent string, commit string, subject string")
+        found = git.step_deltas(self.spark, self.root, [s[:3] for s in steps]).withColumn("path", display_path("path"))
+        return cut(found.withColumn("repo", F.lit(self.root))), names
+
+    def _blob_texts(self, wanted: DataFrame) -> DataFrame:
+        text = F.col("content").cast("string")
+        return git.blobs(wanted, self.root).select("blob_id", F.when(F.is_valid_utf8(text), text).alias("text"))
+
+    def history_diff(self, base: str, target: str, mode: str, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
+        """``diff`` of every first-parent step in one plan: ``history_events`` in scope whose projections differ, with old_text and new_text.
+
+        Contents are parsed once for all steps. A file that an event in scope
+        names and that does not parse is an error.
+        """
+        self._mode(mode)
+        groups = self.scope(paths, areas)
+        self._check_scope(groups, base, target)
+        deltas, names = self._deltas(base, target)
+        events = cut(history.step_events(deltas, self._blob_texts))
+        if groups:
+            events = comparison.scoped(events, lambda c: in_scope(c, [p for g in groups for p in g]))
+        step = F.col("step").cast("string").alias("repo")  # a step is a repo of its own
+        events = cut(events.withColumn("repo", step))
+        files = []
+        for path, blob in (("old_path", "old_blob"), ("path", "new_blob")):
+            own = deltas.where(F.col(blob).isNotNull()).select(step, "path", "language", F.col(blob).alias("blob_id"))
+            files.append(cut(own.join(events.where(F.col(path).isNotNull()).select("repo", F.col(path).alias("path")).distinct(), ["repo", "path"], "left_semi")))
+        both = files[0].unionAll(files[1])
+        self.store.fill(both, lambda wanted: git.blobs(wanted.select("blob_id", "language"), self.root))
+        rows = [cut(self.store.items(f, ["repo", "path"])) for f in files]
+        self._no_failures(*rows)
+        found = projection.project_diff(events, *files, mode, rows)
+        return names.join(found.withColumn("step", F.col("repo").cast("long")).drop("repo"), "step")
+
     def history_diffs(self, base: str, target: str, mode: str, **options) -> Iterator[tuple[str, str, str, DataFrame]]:
-        """(parent, commit, subject, events) of every step, newest first, each compared when it is asked for."""
-        for parent, commit, subject in self.history(base, target):
-            yield parent, commit, subject, self.diff(parent, commit, mode, **options)
+        """(parent, commit, subject, events) of every step, newest first, out of one ``history_diff``."""
+        steps = self.history(base, target)
+        if steps:
+            found = cut(self.history_diff(base, target, mode, **options))
+            for parent, commit, subject in steps:
+                yield parent, commit, subject, found.where(F.col("commit") == commit).drop("step", "parent", "commit", "subject")
 
 
 def project_source(path: str, data: bytes | str, mode: str) -> list[Item]:
