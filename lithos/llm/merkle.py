@@ -1,11 +1,15 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
+"""Document fingerprints: a Merkle tree over sections and paragraphs, with the pieces that a paragraph has.
 
-A section ends at a blank line, a paragraph at a line end, and a paragraph's
-pieces are its sentences, cut after ``PIECE`` characters; within the document's
-first ``HEAD`` characters they are its words, so that short texts have several.
-A piece's digest covers its text; every node above has the digest of its
-children's digests in order. Equal roots mean equal texts, and descending only
-where digests differ locates an edit.
+A section ends at a blank line and a paragraph at a line end. A paragraph's
+digest covers its text, and every node above has the digest of its children's
+digests in order: equal roots mean equal texts, and descending only where
+digests differ locates an edit.
+
+A paragraph's pieces are cut by content: behind a character where a hash of the
+four that end there is small, wherever in the text that is. So a word put in or
+taken out changes the pieces around it and no others, with full stops or
+without, in any script. A piece has at least ``LEAST`` and at most ``MOST``
+characters, but for a paragraph's last.
 
 A fingerprint writes the tree down: the root's digest, and for each section and
 paragraph a short digest, with the pieces' short digests and lengths. Two
@@ -22,18 +26,21 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ranges as id_ranges
-from .batches import slices
+from .batches import mix, slices
 
-#: Up to this place of a document pieces are words, behind it sentences of at most ``PIECE`` characters.
-HEAD, PIECE = 160, 48
-_head = re.compile(r"\S{1,48}[^\S\n]{0,48}\n{0,48}|[^\S\n]{1,48}\n{0,48}|\n{1,48}").findall
-_piece = re.compile(r"[^.!?\n]{1,48}[.!?]{0,8}\n?|[.!?]{1,8}\n?|\n{1,48}").findall
+#: Characters of a piece; one of ``OFTEN`` places can end one.
+LEAST, MOST, OFTEN = 4, 255, 12
+_sections = re.compile(r"[^\n]*(?:\n[^\n]+)*\n*")
+_paragraphs = re.compile(r"[^\n]*\n+|[^\n]+")
+#: Odd factors of the characters of a window, and of its hash.
+_WINDOW, _FACTOR = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), np.uint32(0x165667B1)
 
 
 @dataclass
@@ -47,38 +54,83 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
+def _layout(text: str) -> list[list[tuple[int, int]]]:
+    """The paragraphs' spans, section by section."""
+    out = []
+    for s in _sections.finditer(text):
+        if s[0]:
+            out.append([(s.start() + m.start(), s.start() + m.end()) for m in _paragraphs.finditer(s[0])])
+    return out
+
+
+def _pieces(text: str, ends: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Ends and 64-bit hashes of the pieces, and how many there are up to each paragraph's end."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    h = codes * np.uint32(_WINDOW[0])
+    for back, factor in enumerate(_WINDOW[1:], 1):
+        h[back:] += codes[: len(codes) - back] * np.uint32(factor)
+    h ^= h >> np.uint32(15)
+    h *= _FACTOR
+    h ^= h >> np.uint32(13)
+    places = (np.flatnonzero(h < np.uint32((1 << 32) // OFTEN)) + 1).tolist()
+    cut: list[int] = []
+    upto = []
+    at = i = 0
+    for end in ends:
+        while i < len(places) and (c := places[i]) < end:
+            i += 1
+            if c - at >= LEAST:
+                while c - at > MOST:
+                    at += MOST
+                    cut.append(at)
+                cut.append(c)
+                at = c
+        while end - at > MOST:
+            at += MOST
+            cut.append(at)
+        cut.append(end)
+        at = end
+        upto.append(len(cut))
+    stop = np.array(cut, np.int64)
+    start = np.r_[0, stop[:-1]]
+    inside = (np.arange(len(codes)) - np.repeat(start, stop - start)).astype(np.uint64)
+    return stop, np.add.reduceat(mix(codes.astype(np.uint64) + (inside << np.uint64(32)) + np.uint64(1)), start), upto
+
+
 def pieces(text: str) -> list[str]:
     """The text cut into its pieces; joined they are the text."""
-    return [*_head(text[:HEAD]), *_piece(text[HEAD:])]
+    ends = [b for section in _layout(text) for _, b in section]
+    cut = [0, *_pieces(text, ends)[0].tolist()] if text else [0]
+    return [text[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
+def _own(paragraph: str) -> bytes:
+    return _digest(b"paragraph\0" + paragraph.encode("utf-8", "surrogatepass"))
+
+
 def _parent(kind: str, children: list[Node], start: int) -> Node:
     return Node(kind, children[0].start if children else start, children[-1].end if children else start, _digest(kind.encode() + b"\0" + b"".join(c.digest for c in children)), children)
 
 
 def tree(text: str | None) -> Node:
     """The whole tree; null is as the empty text, a document without sections."""
+    text = text or ""
+    layout = _layout(text)
     sections: list[Node] = []
-    paragraphs: list[Node] = []
-    leaves: list[Node] = []
-    at = 0
-    for p in pieces(text or ""):
-        leaves.append(Node("piece", at, at + len(p), _digest(b"piece\0" + p.encode("utf-8", "surrogatepass"))))
-        at += len(p)
-        if p[-1] == "\n":
-            paragraphs.append(_parent("paragraph", leaves, at))
-            leaves = []
-            if p.endswith("\n\n") or p == "\n":
-                sections.append(_parent("section", paragraphs, at))
-                paragraphs = []
-    if leaves:
-        paragraphs.append(_parent("paragraph", leaves, at))
-    if paragraphs:
-        sections.append(_parent("section", paragraphs, at))
+    if layout:
+        stop, hashes, upto = _pieces(text, [b for section in layout for _, b in section])
+        ends, first, n = stop.tolist(), 0, 0
+        for section in layout:
+            paragraphs = []
+            for a, b in section:
+                spans = zip([a, *ends[first : upto[n] - 1]], ends[first : upto[n]], hashes[first : upto[n]], strict=True)
+                paragraphs.append(Node("paragraph", a, b, _own(text[a:b]), [Node("piece", x, y, h.tobytes()) for x, y, h in spans]))
+                first, n = upto[n], n + 1
+            sections.append(_parent("section", paragraphs, 0))
     return _parent("document", sections, 0)
 
 
@@ -109,36 +161,24 @@ def fingerprint(text: str | None) -> str:
     two of its length. The root is that of ``tree``, made here without the nodes.
     """
     text = text or ""
-    sha = hashlib.sha256
-    out, sections, paragraphs, leaves = [], [], [], []
-    body, lines = [], []  # of the paragraph and of the section at hand
-
-    def close() -> None:
-        digest = sha(b"paragraph\0" + b"".join(leaves)).digest()
-        paragraphs.append(digest)
-        lines.append(digest[:4].hex() + "".join(body))
-        leaves.clear()
-        body.clear()
-
-    def close_section() -> None:
-        digest = sha(b"section\0" + b"".join(paragraphs)).digest()
-        sections.append(digest)
-        out.append(",".join([digest[:4].hex(), *lines]))
-        paragraphs.clear()
-        lines.clear()
-
-    for p in pieces(text):
-        d = sha(b"piece\0" + p.encode("utf-8", "surrogatepass")).digest()
-        leaves.append(d)
-        body.append("%s%02x" % (d[:3].hex(), len(p)))
-        if p[-1] == "\n":
-            close()
-            if p == "\n" or p[-2:] == "\n\n":
-                close_section()
-    if leaves:
-        close()
-    if paragraphs:
-        close_section()
+    sha, out, sections = hashlib.sha256, [], []
+    layout = _layout(text)
+    if layout:
+        stop, hashes, upto = _pieces(text, [b for section in layout for _, b in section])
+        # 24 bits of the hash and 8 of the length, as eight hex digits
+        size = np.diff(stop, prepend=0).astype(np.uint64)
+        written = ((hashes >> np.uint64(40) << np.uint64(8)) | size).astype(">u4").tobytes().hex()
+        first = n = 0
+        for section in layout:
+            digests, lines = [], []
+            for a, b in section:
+                own = _own(text[a:b])
+                digests.append(own)
+                lines.append(own[:4].hex() + written[8 * first : 8 * upto[n]])
+                first, n = upto[n], n + 1
+            digest = sha(b"section\0" + b"".join(digests)).digest()
+            sections.append(digest)
+            out.append(",".join([digest[:4].hex(), *lines]))
     return sha(b"document\0" + b"".join(sections)).hexdigest() + ":" + ";".join(out)
 
 
