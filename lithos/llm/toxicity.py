@@ -2,18 +2,23 @@
 
 A token that someone may have disguised becomes a lattice: each sign may stand
 for the letters it looks like, a run of one letter for one or two of them, and
-single letters with blanks, dots or the like between them for one word, however
+single letters with blanks, dots or the like between them for words, however
 long; beside these there is a path on which all signs stand for themselves. A
 character language model, counted over the whole corpus, weighs the letters, a
 channel charges for each change and for each sign that stands for itself, and
 Viterbi's algorithm finds the likeliest reading, which may be the token as it
-stands. A plain token's lattice has one path, the token itself, so only texts
+stands. What stands between single letters may be nothing or the end of a word,
+so words that are spelled out one after the other are parted by the model. A plain token's lattice has one path, the token itself, so only texts
 with a disguised place are touched. The restored text is then scored.
 
+Letters of other scripts that look like Latin ones count as signs where they
+stand in a word with Latin letters.
+
 The score is a logistic regression on hashed features of the restored words:
 whole words and their first bytes, by presence and by share of the text's
 words. It is fitted on at most ``FIT_ROWS`` labelled texts of each class, those
-with the smallest hash of their id.
+with the smallest hash of their id, and calibrated on what models of most of
+them say of the rest.
 """
 
 from __future__ import annotations
@@ -45,17 +50,29 @@ _WORD[128:] = True
 
 # -- the channel -------------------------------------------------------------
 
-#: What a sign may stand for.
-LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-_SIGNS = "".join(LOOKS)
-CHANGE, DROP = 1.0, 0.3
-#: A run of signs that stands for itself: digits or a last ! at an edge of the token, other signs there, any within.
-KEEP_EDGE, KEEP_SIGN, KEEP_INNER = 0.5, 5.0, 7.0
+#: What a sign may stand for (fixed values).
+LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "(": "c"}
+#: Letters of other scripts and the Latin ones they look like (fixed values).
+ALIKE = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
+_SIGNS, _LETTERS = "".join(LOOKS), "".join(ALIKE)
+LOOKS |= ALIKE
+#: What a change costs, what it costs for signs that are seldom letters, what a repeated letter and a word's end cost.
+CHANGE, SELDOM, DROP, PART = 1.0, {"*": 1.5, "2": 3.0, "(": 6.0}, 0.3, 2.0
+#: Words whose letters are less likely than this, on average, are none that the model knows; where such a word would come out, spelled letters are one word.
+STRANGE = -4.0
+#: Letters of a run that the language model counts, and how many counts the shorter runs weigh.
+ORDER, SMOOTH = 4, 5.0
+#: A run of signs that stands for itself: digits beside one or two letters, digits or a last ! at an edge of the token, other signs there, any within.
+KEEP_COUNT, KEEP_EDGE, KEEP_SIGN, KEEP_INNER = -3.0, 0.5, 5.0, 7.0
 #: Tokens whose reading a worker remembers before it starts afresh.
 READINGS = 1 << 16
 
 # tokens with a sign or three equal letters in a row; plain words are passed over without a call
-_disguised = re.compile(r"(?<![a-z0-9@$|+])(?=[a-z]*+[0-9@$!|+]|[a-z]*?([a-z])\1\1)[a-z0-9@$!|+]{3,}(?![a-z0-9@$|+])", re.I | re.A)
+_disguised = re.compile(r"(?<![a-z0-9@$|+])(?=[a-z]*+[0-9@$!|+*(]|[a-z]*?([a-z])\1\1)(?:[a-z0-9@$!|+]|(?<=[a-z0-9@$!|+])[*(](?=[a-z])){3,}(?![a-z0-9@$|+])", re.I | re.A)
+_foreign = re.compile(rf"(?<!\w)(?=\w*[a-z])(?=\w*[{_LETTERS}])[a-z0-9@$!|+{_LETTERS}]{{3,}}(?!\w)", re.I)
 _spaced = re.compile(rf"(?<![^\W_])(?:[A-Za-z{re.escape(_SIGNS)}]([ .*_-]))(?:[A-Za-z{re.escape(_SIGNS)}]\1)+[A-Za-z{re.escape(_SIGNS)}](?![^\W_])")
 _repeat = re.compile(r"([a-z])\1\1")
 
@@ -71,58 +88,68 @@ def _spelled(way: tuple) -> str:
 
 @dataclass
 class CharModel:
-    """Logarithms of trigram probabilities over 28 classes: 0 boundary, 1-26 letters, 27 any other letter."""
+    """Logarithms of the probabilities of a class after the classes before it, within a word: 0 boundary, 1-26 letters, 27 any other letter."""
 
     logs: np.ndarray
 
     def __post_init__(self):
-        self.table: list = self.logs.tolist()
+        self.contexts = self.logs.size // 28
+        self.table: list[float] = []
         self.known: dict[str, str] = {}
 
+    def __getstate__(self):
+        return {"logs": self.logs}
+
+    def __setstate__(self, state):
+        self.logs = state["logs"]
+        self.__post_init__()
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
-        c = counts.reshape(28, 28, 28).astype(float)
-        pair = c.sum(2, keepdims=True)
-        single = c.sum((0, 1)) + 1.0
-        single /= single.sum()
-        second = (c.sum(0) + 20 * single[None, :]) / (c.sum(0).sum(1, keepdims=True) + 20)
-        return cls(np.log((c + 20 * second[None, :, :]) / (pair + 20)))
+        """From the counts of all runs of classes of one length; each length is smoothed by the one below."""
+        order = round(math.log(counts.size, 28))
+        c = counts.reshape((28,) * order).astype(float)
+        p = c.sum(tuple(range(order - 1))) + 1.0
+        p /= p.sum()
+        for k in range(2, order + 1):
+            own = c.sum(tuple(range(order - k)))
+            p = (own + SMOOTH * p) / (own.sum(-1, keepdims=True) + SMOOTH)
+        return cls(np.log(p).astype(np.float32))
 
     def cost(self, way: list[str], costs: list[float]) -> float:
-        """Logarithm of a reading's probability: letters under the model, a sign as a word's end, less the channel's costs."""
-        value, a, b = -sum(costs), 0, 0
+        """Logarithm of a reading's probability: letters under the model, a sign or blank as a word's end, less the channel's costs."""
+        value, before = -sum(costs), 0
+        flat = self.logs.ravel()
         for letters in way:
             for ch in letters:
                 k = ord(ch) - 96 if "a" <= ch <= "z" else 0
-                if k:
-                    value += self.logs[a, b, k]
-                    a, b = b, k
-                elif b:
-                    value += self.logs[a, b, 0]
-                    a = b = 0
-        return value + (self.logs[a, b, 0] if b else 0.0)
+                if k or before:
+                    value += float(flat[before * 28 + k])
+                before = (before * 28 + k) % self.contexts if k else 0
+        return value + (float(flat[before * 28]) if before else 0.0)
 
     def read(self, options: list[list[tuple[str, float]]]) -> tuple[float, str]:
-        """The likeliest reading and its logarithm: at each place one of (letters or a sign, cost), with a word's boundaries around."""
-        logs = self.table
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        """The likeliest reading and its logarithm: at each place one of (letters, a sign or a blank, cost), with a word's boundaries around."""
+        logs = self.table = self.table or self.logs.ravel().tolist()
+        contexts = self.contexts
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for place in options:
-            new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (value, before) in states.items():
+            new: dict[int, tuple[float, tuple]] = {}
+            for context, (value, before) in states.items():
                 for letters, cost in place:
-                    x, y, v = a, b, value - cost
+                    at, v = context, value - cost
                     for ch in letters:
                         k = ord(ch) - 96
                         if 0 < k < 27:
-                            v += logs[x][y][k]
-                            x, y = y, k
-                        elif y:
-                            v += logs[x][y][0]
-                            x = y = 0
-                    if (x, y) not in new or new[x, y][0] < v:
-                        new[x, y] = (v, (before, letters))
+                            v += logs[at * 28 + k]
+                            at = (at * 28 + k) % contexts
+                        elif at:
+                            v += logs[at * 28]
+                            at = 0
+                    if at not in new or new[at][0] < v:
+                        new[at] = (v, (before, letters))
             states = new
-        return max((v + (logs[a][b][0] if b else 0.0), _spelled(way)) for (a, b), (v, way) in states.items())
+        return max((v + (logs[at * 28] if at else 0.0), _spelled(way)) for at, (v, way) in states.items())
 
     def lattice(self, low: str) -> list[list[tuple[str, float]]]:
         """The readings of each run of one sign, with what the channel charges for them."""
@@ -133,7 +160,7 @@ class CharModel:
             while j < len(low) and low[j] == low[i]:
                 j += 1
             c, n = low[i], j - i
-            letters = ((c, 0.0),) if "a" <= c <= "z" else tuple((x, CHANGE) for x in LOOKS[c])
+            letters = ((c, 0.0),) if "a" <= c <= "z" else tuple((x, SELDOM.get(c, CHANGE)) for x in LOOKS[c])
             if n == 1:
                 place = list(letters)
             elif n == 2:
@@ -150,14 +177,15 @@ class CharModel:
     def literal(low: str) -> tuple[list[str], list[float]]:
         """The path of the token as it stands: its runs of letters and of signs, and what the channel charges."""
         way = re.findall("[a-z]+|[^a-z]+", low)
-        costs = [0.0 if "a" <= x[0] <= "z" else KEEP_INNER if 0 < i < len(way) - 1 else KEEP_EDGE if x.isdigit() or i and not x.strip("!") else KEEP_SIGN for i, x in enumerate(way)]
+        few = sum(len(x) for x in way if "a" <= x[0] <= "z") < 3  # as behind a count or a time of day
+        costs = [0.0 if "a" <= x[0] <= "z" else KEEP_INNER if 0 < i < len(way) - 1 else KEEP_COUNT if few and x.isdigit() else KEEP_EDGE if x.isdigit() or i and not x.strip("!") else KEEP_SIGN for i, x in enumerate(way)]
         return way, costs
 
     def token(self, token: str) -> str:
         """A token restored: its letters, or the token itself where it is no disguise."""
         low = token.lower()
         letters = sum("a" <= c <= "z" for c in low)
-        if not letters or letters == len(low) and not _repeat.search(low) or any(c.isdigit() and c not in LOOKS for c in low):
+        if not letters or letters == len(low) and not _repeat.search(low):
             return token
         found = self.known.get(low)
         if found is None:
@@ -170,9 +198,37 @@ class CharModel:
                 self.known[low] = found
         return token if found == low else found
 
+    def apart(self, signs: str, part: float | None = PART) -> list[list[tuple[str, float]]]:
+        """The readings of signs that stand by themselves, and between each two that a word goes on or, unless ``part`` is None, ends."""
+        options: list[list[tuple[str, float]]] = []
+        for i, c in enumerate(signs):
+            place = [(c, 0.0)] if "a" <= c <= "z" else [(x, SELDOM.get(c, CHANGE)) for x in LOOKS[c]] + [(c, KEEP_INNER)]
+            if i:
+                options.append([("", 0.0)] + ([] if part is None else [(" ", part)]))
+                if 3 * c in signs[max(0, i - 2) : i + 2]:  # one of three or more
+                    place.append(("", DROP))
+            options.append(place)
+        return options
+
+    def spaced(self, run: str) -> str:
+        """Single letters with one kind of sign between them, restored to words; what is best read one by one stays as it is."""
+        signs = run[::2].lower()
+        if not any("a" <= c <= "z" for c in signs):
+            return run
+        _, found = self.read(self.apart(signs))
+        if " " in found and any(self.cost([w], [0.0]) < STRANGE * (len(w) + 1) for w in found.split(" ")):
+            _, found = self.read(self.apart(signs, None))
+        if found == " ".join(signs):
+            return run
+        letters = iter(run[::2])
+        # letters that are all there keep their case
+        return "".join(c if c == " " else next(letters) for c in found) if found.replace(" ", "") == signs else found
+
     def restore(self, text: str) -> str:
         """The text with disguised tokens and spaced words restored."""
-        text = _spaced.sub(lambda m: self.token(re.sub(r"[ .*_-]", "", m[0])), text)
+        text = _spaced.sub(lambda m: self.spaced(m[0]), text)
+        if not text.isascii():
+            text = _foreign.sub(lambda m: self.token(m[0]), text)
         return _disguised.sub(lambda m: self.token(m[0]), text)
 
 
@@ -182,9 +238,15 @@ def _suspicious(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = _LOWER[data]
     letter = _LETTER[data]
     sign = np.isin(data, np.frombuffer(_SIGNS.encode(), np.uint8))
-    late = np.isin(data, np.frombuffer(b"0134578$@9", np.uint8))
+    often = sign & (data != 0x28) & (data != 0x2A)  # parentheses and stars count between letters only
+    late = np.isin(data, np.frombuffer(b"0123456789$@", np.uint8))
     hit = np.zeros(n, bool)
-    hit[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & late[1:])
+    hit[:-1] = (often[:-1] & letter[1:]) | (letter[:-1] & late[1:])
+    hit[:-2] |= letter[2:] & sign[1:-1] & ~often[1:-1] & (letter[:-2] | often[:-2])
+    # Greek and Cyrillic letters have two bytes, the first from 0xCE to 0xD4
+    other = (data >= 0xCE) & (data <= 0xD4)
+    hit[:-1] |= letter[:-1] & other[1:]
+    hit[:-2] |= other[:-2] & letter[2:]
     hit[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
     gap = np.isin(data, np.frombuffer(b" .*_-", np.uint8))
     one = letter | sign
@@ -215,30 +277,33 @@ def restored(array: pa.Array, model: CharModel) -> pa.Array:
 
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of a task's texts, letters and word boundaries only."""
+    """Counts of runs of ``ORDER`` classes in a task's words, boundaries around each word, ends of words once."""
     code = np.zeros(256, np.int64)
     code[97:123] = np.arange(1, 27)
     code[65:91] = np.arange(1, 27)
     code[0xC0:] = 27  # a letter's first byte stands for it
-    total = np.zeros(28**3, np.int64)
+    total = np.zeros(28**ORDER, np.int64)
     for batch in slices(batches, "t"):
         data, off = text_bytes(batch.column("t"))
         keep = (data < 0x80) | (data >= 0xC0)
-        places = np.r_[0, np.cumsum(keep)][off]
-        c = np.insert(code[data[keep]], np.repeat(places, 2), 0)
-        c = c[np.r_[True, True, ~((c[2:] == 0) & (c[1:-1] == 0) & (c[:-2] == 0))]] if len(c) > 2 else c
-        if len(c) > 2:
-            total += np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3)
+        c = np.insert(code[data[keep]], np.r_[0, np.cumsum(keep)][off], 0)
+        c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
+        c = np.repeat(c, np.where(c == 0, ORDER - 1, 1))
+        if len(c) < ORDER:
+            continue
+        run = c[ORDER - 1 :].copy()
+        for back in range(1, ORDER):
+            run += c[ORDER - 1 - back : len(c) - back] * 28**back
+        total += np.bincount(run[(c[ORDER - 1 :] != 0) | (c[ORDER - 2 : -1] != 0)], minlength=28**ORDER)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["g", "n"])
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """The language model of all texts; 28**3 counts reach the driver however many texts there are."""
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_letters, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(28**3, np.int64)
-    for r in rows:
-        counts[r.g] = r.n
+    """The language model of all texts; at most 28**ORDER counts reach the driver, as one Arrow table, however many texts there are."""
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(_letters, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(28**ORDER, np.int64)
+    counts[rows.column("g").to_numpy()] = rows.column("n").to_numpy()
     return CharModel.of(counts)
 
 
@@ -356,6 +421,37 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: flo
     return Scorer(present, share, b + math.log(odds) - math.log(y.mean() / (1 - y.mean())))
 
 
+def calibrated(scorer: Scorer, parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: float, folds: int = 8) -> Scorer:
+    """The scorer with its weights and bias scaled so that its scores are probabilities.
+
+    Scale and bias come from what models of all folds but one say of that one,
+    which a model's words on its own texts cannot tell. Classes weigh as in the
+    population; too few texts of a class leave the scorer as it is.
+    """
+    y = np.array(labels, float)
+    if len(y) < 2 * folds or min(y.sum(), len(y) - y.sum()) < 2 * folds:
+        return scorer
+    z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        rest = np.flatnonzero(fold != k)
+        other = fit([parts[i] for i in rest], y[rest].astype(int).tolist(), odds)
+        for i in np.flatnonzero(fold == k).tolist():
+            f, v = parts[i]
+            z[i] = np.clip(other.present[f].sum(dtype=float) + other.share[f].astype(float).dot(v) + other.bias, -35, 35)
+    share = odds / (1 + odds)
+    w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
+    aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        t = math.exp(x[0]) * z + x[1]
+        r = w * (1 / (1 + np.exp(-np.clip(t, -35, 35))) - aim)
+        return float((w * (np.logaddexp(0, t) - aim * t)).sum() + 1e-3 * x[0] ** 2), np.array([(r * z).sum() * math.exp(x[0]) + 2e-3 * x[0], r.sum()])
+
+    a, b = _minimum(loss, np.zeros(2), 100)
+    scale = math.exp(a)
+    return Scorer((scorer.present * scale).astype(np.float32), (scorer.share * scale).astype(np.float32), scorer.bias * scale + b)
+
+
 def _featured(model: CharModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Labelled texts as the features of what they are restored to; equal rows have equal bytes."""
 
@@ -389,7 +485,8 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, rows: int = FIT_
     made = texts.mapInArrow(_featured(model), f"d {dict(texts.dtypes)['d']}, y int, f binary, v binary")
     found = sorted(made.groupBy("d", "y").agg(F.min(F.struct("f", "v")).alias("x")).collect(), key=lambda r: (r.d, r.y))
     parts = [(np.frombuffer(r.x.f, np.int32), np.frombuffer(r.x.v, np.float32)) for r in found]
-    return fit(parts, [r.y for r in found], max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5))
+    odds, y = max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5), [r.y for r in found]
+    return calibrated(fit(parts, y, odds), parts, y, odds)
 
 
 def held_out(id_: F.Column) -> F.Column:

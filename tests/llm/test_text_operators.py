@@ -673,7 +673,7 @@ def test_disguises_of_any_length_are_restored(spark):
         assert model.restore(f"an {sep.join(long)}, no") == f"an {long}, no"
     mixed = "l0s3r" * 4000  # no runs to collapse
     found = model.restore(f"{mixed} and {' '.join(mixed)}").split(" and ")
-    assert found[0] == found[1] == "loser" * 4000
+    assert found[0] == "loser" * 4000 and found[1] == " ".join(["loser"] * 4000)  # spelled out, words are parted
 
 
 def test_viterbi_is_the_best_of_all_readings():
@@ -692,6 +692,33 @@ def test_viterbi_is_the_best_of_all_readings():
             assert max(v for x, v in every if x == model.token(low)) == pytest.approx(max(v for _, v in every))
 
 
+def test_words_end_where_the_best_of_all_readings_ends_them():
+    """Spelled-out words against every way to part them and every letter that a sign may be."""
+    import itertools
+
+    rng = np.random.default_rng(16)
+    model = toxicity.CharModel.of(rng.integers(0, 50, 28**3))
+    signs = "abcst01369@$*(а"
+    for _ in range(200):
+        word = "".join(signs[i] for i in rng.integers(len(signs), size=rng.integers(3, 6)))
+        options = model.apart(word)
+        ways = [("".join(x for x, _ in way), model.cost([x for x, _ in way], [c for _, c in way])) for way in itertools.product(*options)]
+        value, got = model.read(options)
+        assert value == pytest.approx(max(v for _, v in ways), abs=1e-4) == pytest.approx(max(v for x, v in ways if x == got), abs=1e-4)
+
+
+def test_spelled_words_signs_and_other_scripts(spark):
+    model = toxicity.char_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for disguised, word in (("s t u p i d i d i o t", "stupid idiot"), ("p a t h e t i c l o s e r", "pathetic loser"), ("w-o-r-t-h-l-e-s-s-c-l-o-w-n", "worthless clown"), ("y o u s t u p i d i d i o t", "you stupid idiot"), ("I.d.i.o.t", "Idiot"), ("s t u p 1 d i d i 0 t", "stupid idiot"), ("s t u u u p i d", "stupid")):
+        assert model.restore(f"the {disguised}, so") == f"the {word}, so"
+    for disguised, word in (("stuрid", "stupid"), ("іdіоt", "idiot"), ("m*r*n", "moron"), ("s(um", "scum"), ("paтheтic", "pathetic"), ("tra5h", "trash")):
+        assert model.restore(f"the {disguised} so") == f"the {word} so"
+    for plain in ("привет мир", "Καλημέρα κόσμε", "**bold** text", "(see note)", "a (b) c", "2nd 6th 9pm", "word* and more"):
+        assert model.restore(plain) == plain
+    for text in ("о" * 3000 + "a", "a о" * 3000, "s t u p i d " * 2000, "a*" * 5000, "(a" * 5000, "a" + "*" * 5000 + "b"):
+        model.restore(text)  # odd texts of any length end
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_numbers_with_letters_stay_as_they_are(spark, sf):
     model = toxicity.char_model(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
@@ -716,7 +743,7 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score(odd, model, scorer).count() == len(ODD) and toxicity.score(empty, model, scorer).count() == 0
     kept = toxicity.without_toxic(odd, model, scorer, cut=0.9)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
-    assert toxicity.char_model(empty).logs.shape == (28, 28, 28)
+    assert toxicity.char_model(empty).logs.shape == (28,) * toxicity.ORDER
 
 
 # -- pages -------------------------------------------------------------------
