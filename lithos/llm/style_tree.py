@@ -11,9 +11,11 @@ from every page.
 
 Hosts of few pages have no entropy to speak of, so there the tree of all hosts
 together decides. What elements say of themselves comes first: navigation,
-footers, forms, scripts and the like, by tag, role or class, are never content;
-within an ``article`` or ``main`` a branch is removed only if the tree of all
-hosts agrees.
+footers, forms, scripts and the like, by tag, role or class, are never content.
+An id says so only of containers, as on headings, paragraphs and sections it is
+an anchor; within an ``article`` or ``main`` names that may be a topic say nothing,
+and a branch is removed there only if the tree of all hosts agrees. What stands
+beside an article goes only if the page's articles hold the most of its text.
 
 All runs of words of every block count. Counting is by (host, path, run of
 words) with sums made before the shuffle, and what is counted is dealt to
@@ -50,7 +52,7 @@ SENT_ROWS, SALTS = 400_000, 32
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is no markup, and elements within a line whose content is no text of the page.
 _RAW = frozenset("script style iframe textarea title noframes noembed xmp".split())
-_MUTE = frozenset("noscript template svg object canvas math select button datalist audio video map".split())
+_MUTE = frozenset("noscript template svg canvas select button datalist map".split())
 _NOISE_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _NOISE_WORDS = frozenset(
@@ -60,6 +62,10 @@ _NOISE_WORDS = frozenset(
 )
 #: Words that may stand beside those in a name; with any other word a name tells a topic, and the trees decide.
 _NEUTRAL_WORDS = frozenset("area bar block body bottom box btn button buttons card center column container content fixed form group header inner item items left link links list main module outer overlay panel right section slot space text title top unit widget wrap wrapper zone".split())
+#: Of the first, those that inside an article may as well name its parts or its topic.
+_TOPIC_WORDS = frozenset("banner copyright discussion header legal masthead notice notices notification alert popular promotion register related rail reply search side sponsored skip title toc trending".split())
+#: Elements that are named by their id as containers; elsewhere an id is an anchor.
+_NAMED_BY_ID = frozenset("div aside ul ol table".split())
 _HOLDS_TEXT = frozenset(("html", "body", "main", "article"))
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol menu dl table select html body article section div".split())
@@ -133,11 +139,11 @@ class _Tags:
         yield page[begin:], "", ""
 
 
-def _noisy_name(value: str) -> bool:
-    """Whether one of the names says by all its words that this is no content."""
+def _noisy_name(value: str, inside: bool = False) -> bool:
+    """Whether one of the names says by all its words that this is no content; ``inside`` an article one word must leave no doubt."""
     for name in value.split():
         words = _word.findall(_camel.sub(" ", name).lower())
-        if not _NOISE_WORDS.isdisjoint(words) and all(w in _NOISE_WORDS or w in _NEUTRAL_WORDS for w in words):
+        if not (_NOISE_WORDS - _TOPIC_WORDS if inside else _NOISE_WORDS).isdisjoint(words) and all(w in _NOISE_WORDS or w in _NEUTRAL_WORDS for w in words):
             return True
     return False
 
@@ -239,7 +245,7 @@ def parse(page: str) -> tuple[list[Block], dict[int, int]]:
                 key, value = (a[1] or "hidden").lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
                     sign += "." + re.sub(r"[0-9]{3,}", "", value) if key == "class" else ""
-                    noisy |= tag not in _HOLDS_TEXT and _noisy_name(value)
+                    noisy |= tag not in _HOLDS_TEXT and (key == "class" or tag in _NAMED_BY_ID or tag == "section" and not inside) and _noisy_name(value, inside)
                 elif key == "role":
                     sign += "@" + value
                     noisy |= value.lower() in _NOISE_ROLES
@@ -436,10 +442,10 @@ def importances(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 def main_text(page: str | None, gone: dict[int, int]) -> str:
     """The page's text without noise and branches of low importance: ``gone`` has 1 for paths that go, 2 for those that go within an article too."""
     blocks, _ = parse(page or "")
-    clean = [b for b in blocks if not b.noise]
-    if any(b.inside for b in clean):
-        clean = [b for b in clean if b.inside]
-    return "\n".join(b.text for b in clean if gone.get(b.path, 0) <= b.inside)
+    kept = [b for b in blocks if not b.noise and gone.get(b.path, 0) <= b.inside]
+    if 2 * sum(len(b.text) for b in kept if b.inside) > sum(len(b.text) for b in kept):
+        kept = [b for b in kept if b.inside]
+    return "\n".join(b.text for b in kept)
 
 
 def low_branches(trees: DataFrame) -> DataFrame:

@@ -711,7 +711,7 @@ def test_spelled_words_signs_and_other_scripts(spark):
     model = toxicity.char_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     for disguised, word in (("s t u p i d i d i o t", "stupid idiot"), ("p a t h e t i c l o s e r", "pathetic loser"), ("w-o-r-t-h-l-e-s-s-c-l-o-w-n", "worthless clown"), ("y o u s t u p i d i d i o t", "you stupid idiot"), ("I.d.i.o.t", "Idiot"), ("s t u p 1 d i d i 0 t", "stupid idiot"), ("s t u u u p i d", "stupid")):
         assert model.restore(f"the {disguised}, so") == f"the {word}, so"
-    for disguised, word in (("stuрid", "stupid"), ("іdіоt", "idiot"), ("m*r*n", "moron"), ("s(um", "scum"), ("paтheтic", "pathetic"), ("tra5h", "trash")):
+    for disguised, word in (("stuрid", "stupid"), ("іdіоt", "idiot"), ("m*ron", "moron"), ("s(um", "scum"), ("paтheтic", "pathetic"), ("tra5h", "trash")):
         assert model.restore(f"the {disguised} so") == f"the {word} so"
     for plain in ("привет мир", "Καλημέρα κόσμε", "**bold** text", "(see note)", "a (b) c", "2nd 6th 9pm", "word* and more"):
         assert model.restore(plain) == plain
@@ -967,3 +967,19 @@ def test_queries_match_their_sql(spark, small, name):
     found = queries.QUERIES[name](spark, small)
     assert sorted(found.columns) == sorted(columns)
     assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(expected.fetchall())
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>One.</p><section id='discussion'><p>We discuss.</p></section><section id=related><p>Work of others.</p></section></article>", "One.\nWe discuss.\nWork of others."),
+    ("<main><h2 id='related'>Related work</h2><p id='discussion'>It was discussed.</p></main>", "Related work\nIt was discussed."),
+    ("<body><p id='legal'>Legal status of X</p></body>", "Legal status of X"),
+    ("<article><div class='header'><h1>Title</h1></div><p>Text.</p></article>", "Title\nText."),
+    ("<article><p>Teaser.</p></article><div><p>" + "The story is told here. " * 5 + "</p></div>", "Teaser.\n" + " ".join(["The story is told here."] * 5)),
+    ("<article><p>" + "The story is told here. " * 5 + "</p></article><div><p>Teaser.</p></div>", " ".join(["The story is told here."] * 5)),
+    ("<p>Let <math><mi>x</mi></math> be even, <object>as drawn</object></p>", "Let x be even, as drawn"),
+    ("<article><p>Text.</p><div class='comments'><p>First!</p></div><div id='comments'>No!</div><div class='ad'>Buy</div><aside>More</aside></article>", "Text."),
+    ("<div id='sidebar'>Links</div><div class='notice'>Cookies</div><p>Text.</p>", "Text."),
+])
+def test_an_article_keeps_its_own_parts(page, text):
+    """Anchors and names that may be topics decide nothing inside; containers that can only be noise go."""
+    assert style_tree.main_text(page, {}) == text
