@@ -116,7 +116,16 @@ def _bounds(spark, sf_dir):
 
 @query(f"{_BOUNDS} SELECT * FROM bounds")
 def frequency_bound(spark, sf_dir):
-    return _bounds(spark, sf_dir)
+    return _bounds(spark, sf_dir).drop("matching_pairs")
+
+
+@query(
+    f"""{_BOUNDS} SELECT p.repo, p.old_path, p.path, coalesce(sum(ou.n * nu.n), 0)::BIGINT AS matching_pairs FROM pairs p
+    LEFT JOIN (ou JOIN nu ON ou.repo = nu.repo AND ou.unit_mode = nu.unit_mode AND ou.unit = nu.unit) ON ou.repo = p.repo AND ou.path = p.old_path AND nu.path = p.path AND ou.unit_mode = p.unit_mode GROUP BY ALL"""
+)
+def matching_pairs(spark, sf_dir):
+    """How many places of two files have equal units: what aligning them by their matches would cost."""
+    return _bounds(spark, sf_dir).select("repo", "old_path", "path", "matching_pairs")
 
 
 @query(f"{_BOUNDS} SELECT repo, old_path, path, ceiling FROM bounds WHERE ceiling >= {comparison.LEAST_SCORE}")

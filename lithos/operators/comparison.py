@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions import sequences
+from lithos.operators import profiles
 from lithos.plans.lineage import cut
 
 #: A side of a repo with more leftovers, or a repo with more eligible pairs, gets no fuzzy pairing.
@@ -112,30 +113,17 @@ def unit_histogram(files: DataFrame) -> DataFrame:
     return out
 
 
-def _with_texts(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs with both texts, dealt evenly to a stated number of tasks: what is done with a pair costs far more than its row, so few bytes are no reason to join tasks."""
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    old = base.select("repo", F.col("path").alias("old_path"), F.col("text").alias("old_text"))
-    new = target.select("repo", "path", F.col("text").alias("new_text"))
-    return pairs.join(old, ["repo", "old_path"]).join(new, ["repo", "path"]).repartition(tasks, "repo", "old_path", "path")
-
-
 def frequency_bounds(pairs: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
-    """Pairs with the most bytes that units can share by their counts, and the score's ceiling from it.
+    """Pairs with the most bytes that units can share by their counts, the score's ceiling from it, and how many places have equal units.
 
-    Both texts meet in the pair's row, so no row is made for a unit.
+    From the profiles of distinct contents: no pair meets a text.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds = sequences.shared_bytes(*(batch.column(c).to_pylist() for c in ("old_text", "new_text", "unit_mode")))
-            yield batch.select(names).append_column("bound", pa.array(bounds, pa.int64()))
-
-    names = ["repo", "old_path", "path", "old_size", "size", "unit_mode"]
-    met = _with_texts(pairs, base, target)
-    # not a function over columns: a filter on its result would run it again, and before the pairs are dealt
-    schema = ", ".join(f"{n} {dict(met.dtypes)[n]}" for n in names) + ", bound long"
-    return met.select(*names, "old_text", "new_text").mapInArrow(run, schema).withColumn("ceiling", F.expr("(100 * bound) div greatest(old_size, size)"))
+    pairs = cut(_with_blobs(pairs, base, target, "old_size", "size", "unit_mode"))
+    asked = cut(pairs.select("old_blob", "new_blob", "unit_mode").distinct())
+    found = profiles.measures(asked, _texts(asked, "old_blob", base), _texts(asked, "new_blob", target))
+    # a content that is no text has no profile and shares nothing
+    met = pairs.join(found, ["old_blob", "new_blob", "unit_mode"], "left").fillna(0, ["bound", "matching_pairs"])
+    return met.select("repo", "old_path", "path", "old_size", "size", "unit_mode", "bound", F.expr("(100 * bound) div greatest(old_size, size)").alias("ceiling"), "matching_pairs")
 
 
 def content_scores(pairs: DataFrame, old_texts: DataFrame, new_texts: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
@@ -168,15 +156,20 @@ def similarity_scores(pairs: DataFrame, base: DataFrame, target: DataFrame, leas
     Equal contents are compared once, however many paths, repos and tasks have
     them: texts join distinct pairs of contents, and scores join the paths.
     """
-    if "old_blob" not in pairs.columns:
-        old = base.select("repo", F.col("path").alias("old_path"), F.col("blob_id").alias("old_blob"))
-        pairs = pairs.join(old, ["repo", "old_path"]).join(target.select("repo", "path", F.col("blob_id").alias("new_blob")), ["repo", "path"])
-    pairs = cut(pairs.select("repo", "old_path", "path", "old_blob", "new_blob"))
+    pairs = cut(_with_blobs(pairs, base, target))
     asked = cut(content_pairs(pairs))
     scores = content_scores(asked, _texts(asked, "old_blob", base), _texts(asked, "new_blob", target), least)
     return pairs.join(scores, ["old_blob", "new_blob"]).select("repo", "old_path", "path", "score")
 
 
+def _with_blobs(pairs: DataFrame, base: DataFrame, target: DataFrame, *kept: str) -> DataFrame:
+    """Pairs by paths with the contents of both sides."""
+    if "old_blob" not in pairs.columns:
+        old = base.select("repo", F.col("path").alias("old_path"), F.col("blob_id").alias("old_blob"))
+        pairs = pairs.join(old, ["repo", "old_path"]).join(target.select("repo", "path", F.col("blob_id").alias("new_blob")), ["repo", "path"])
+    return pairs.select("repo", "old_path", "path", "old_blob", "new_blob", *kept)
+
+
 def _texts(asked: DataFrame, blob: str, side: DataFrame) -> DataFrame:
     """(blob_id, text) of the contents that are asked for, each once."""
     return _named(asked, blob, side).select("blob_id", "text")
@@ -238,8 +231,12 @@ def events_of(status: DataFrame, old_texts: Callable[[DataFrame, str], DataFrame
     moved = moves.select("repo", name("moved").alias("status"), "old_path", "path", "language", score)
     if old_texts and new_texts:
         maybe = cut(eligible_pairs(old, new))
-        asked = cut(content_pairs(maybe))
-        scores = content_scores(asked, old_texts(asked, "old_blob").select("blob_id", "text"), new_texts(asked, "new_blob").select("blob_id", "text"))
+        asked = cut(maybe.groupBy("old_blob", "new_blob", "unit_mode").agg(F.first(F.greatest("old_size", "size")).alias("most")))
+        was, now = (cut(read(asked, blob).select("blob_id", "text")) for read, blob in ((old_texts, "old_blob"), (new_texts, "new_blob")))
+        # only pairs whose profiles leave a chance meet their texts
+        bounds = profiles.measures(asked.drop("most"), was, now)
+        likely = cut(asked.join(bounds, ["old_blob", "new_blob", "unit_mode"]).where(f"(100 * bound) div most >= {LEAST_SCORE}").select("old_blob", "new_blob"))
+        scores = content_scores(likely, was, now)
         found = cut(greedy_moves(maybe.join(scores, ["old_blob", "new_blob"]).select("repo", "old_path", "path", "score")))
         pairs = found.join(new.select("repo", "path", "language"), ["repo", "path"])
         moved = moved.unionAll(pairs.select("repo", name("moved").alias("status"), "old_path", "path", "language", "score"))
