@@ -733,3 +733,32 @@ def copied_scores(spark, sf_dir):
     number = F.explode(F.array(*(F.lit(str(i)) for i in range(3)))).alias("k")
     base, target = (cut(cut_off.select("repo", "language", s, number).select("repo", "language", F.concat_ws("/", "k", f"{s}.path").alias("path"), f"{s}.blob_id", f"{s}.size", f"{s}.text")) for s in ("o", "n"))
     return comparison.similarity_scores(comparison.eligible_pairs(*comparison.pairing(base, target)[2:]), base, target)
+
+
+# -- rows of a path tree -----------------------------------------------------------
+
+_FOLDED = f"translate(lower(part), '{trees._SIGNS}{trees._PLAIN[0]}', {' || '.join(f'chr({2 + i})' for i in range(len(trees._SIGNS)))} || '{trees._PLAIN[1]}')"
+_NATURAL = f"""{_NODES}, t AS (SELECT repo, node, bool_or(node = path) AS is_file, string_split(node, '/') AS names FROM nodes GROUP BY repo, node),
+parts AS (SELECT repo, node, is_file, i, names[i] AS part, i < len(names) OR NOT is_file AS folder FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM t)),
+named AS (SELECT repo, node, is_file, i, folder, part, list_transform(regexp_extract_all({_FOLDED}, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]')
+    THEN lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 5, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END) AS bits FROM parts),
+keyed AS (SELECT repo, node, any_value(is_file) AS is_file, list({{'file': NOT folder, 'name': encode(array_to_string(bits, '')), 'own': encode(part)}} ORDER BY i) AS k FROM named GROUP BY repo, node),
+numbered AS (SELECT repo, node, is_file, row_number() OVER (PARTITION BY repo ORDER BY k) - 1 AS row_no FROM keyed)"""
+
+
+def _numbered(spark, sf_dir) -> DataFrame:
+    return trees.natural_rows(trees.path_tree(_paths(spark, sf_dir), ["repo"]).select("repo", "node", "is_file"), ["repo"])
+
+
+@query(f"{_NATURAL} SELECT * FROM numbered")
+def natural_tree(spark, sf_dir):
+    return _numbered(spark, sf_dir)
+
+
+@query(
+    f"""{_NATURAL}, hints AS (SELECT repo, row_no + 2 AS hint FROM numbered WHERE row_no % 5 = 0), only_files AS (SELECT repo, row_no, node FROM numbered WHERE is_file)
+SELECT h.repo, h.hint, coalesce((SELECT arg_min(node, row_no) FROM only_files f WHERE f.repo = h.repo AND f.row_no >= h.hint), (SELECT arg_max(node, row_no) FROM only_files f WHERE f.repo = h.repo)) AS node FROM hints h"""
+)
+def nearest_files(spark, sf_dir):
+    rows = cut(_numbered(spark, sf_dir))
+    return trees.nearest_files(rows, ["repo"], rows.where("row_no % 5 = 0").select("repo", (F.col("row_no") + 2).alias("hint")))

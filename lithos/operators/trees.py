@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.operators import ordered
 from lithos.plans.lineage import cut
 
+#: Signs before digits, and letters without their marks (fixed values), for natural order.
+_SIGNS, _PLAIN = ":;<=>?@[\\]^_`{|}~", ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
 
 def prefixes(path: Column) -> Column:
     """The path and every directory above it, shortest first."""
@@ -126,3 +130,38 @@ def collapsed(nodes: DataFrame, scope: list[str], closed: DataFrame) -> DataFram
     above = nodes.select(*scope, "node", F.explode(prefixes(F.col("node"))).alias("up")).where("up <> node")
     hidden = above.join(closed.select(*scope, F.col("node").alias("up")), [*scope, "up"], "left_semi").select(*scope, "node").distinct()
     return nodes.join(hidden, [*scope, "node"], "left_anti")
+
+
+def natural_key(name: Column) -> Column:
+    """A string by whose bytes names sort as people sort them: runs of digits by their value, letters without case and common marks, other signs first; names that are alike in this by themselves."""
+    low = F.translate(F.lower(name), _SIGNS + _PLAIN[0], "".join(chr(2 + i) for i in range(len(_SIGNS))) + _PLAIN[1])
+    digits = lambda part: F.regexp_replace(part, "^0+(?=[0-9])", "")
+    # a number is its length in five digits, then itself
+    part = lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))).otherwise(p)
+    parts = F.transform(F.regexp_extract_all(low, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), part)
+    return F.concat(F.array_join(parts, ""), F.lit("\x01"), name)
+
+
+def natural_rows(nodes: DataFrame, scope: list[str]) -> DataFrame:
+    """Rows of a path tree (scope, node, is_file) with row_no, from 0: below each folder its folders first, then its files, both in natural order."""
+    names = F.split("node", "/")
+    last = F.size(names) - 1
+    kind = lambda i: F.when((i < last) | ~F.col("is_file"), "0").otherwise("1")
+    key = F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(kind(i), natural_key(F.get(names, i)))), "\x01")
+    rows = nodes.withColumn("_key", key).withColumn("_one", F.lit(1))
+    found = ordered.running_sum(rows, scope, ["_key"], "_one", "_n")
+    return found.withColumn("row_no", (F.col("_n") - 1).cast("long")).drop("_key", "_one", "_n")
+
+
+def nearest_files(rows: DataFrame, scope: list[str], hints: DataFrame) -> DataFrame:
+    """(scope, hint, node) for row numbers ``hints`` (scope, hint): the file at that row, else the next one below, else the scope's last; null where it has none.
+
+    Rows and hints are merged in one order from below, so a hint takes the last
+    file that came before it.
+    """
+    files = rows.where("is_file").select(*scope, "row_no", "node")
+    asked = hints.select(*scope, "hint").distinct()
+    merged = files.select(*scope, (-F.col("row_no")).alias("at"), F.lit(0).alias("turn"), "node").unionAll(asked.select(*scope, (-F.col("hint").cast("long")).alias("at"), F.lit(1).alias("turn"), F.lit(None).cast("string").alias("node")))
+    found = ordered.latest(merged, scope, ["at", "turn"], "node", "next").where("turn = 1").select(*scope, (-F.col("at")).alias("hint"), "next")
+    end = files.groupBy(*scope).agg(F.max_by("node", "row_no").alias("last"))
+    return found.join(end, scope, "left").select(*scope, "hint", F.coalesce("next", "last").alias("node"))

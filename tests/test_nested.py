@@ -110,3 +110,34 @@ def test_outline_rows_and_items_at_lines(spark):
     points = spark.createDataFrame([("f", i) for i in (0, 3, 5, 64, 65, 151, 201, 500, 5)], "path string, line_no int")
     found = {r.line_no: r.stable_key for r in nested.items_at(rows, points, ["path"]).collect()}
     assert found == {0: "a", 3: "b", 5: "c", 64: "d", 65: "c", 151: "a", 201: "e"}
+
+
+def test_natural_rows_and_nearest_files(spark):
+    import re
+
+    from lithos.operators import trees
+
+    names = ["a10", "a9", "A9", "a09", "b", "B2", "é1", "e1", "_x", "z.txt", "a.b", "10", "9", "Zoo", "zoo", "a-b", "a b", "2/x9", "2/x10", "2/sub/y", "10/z", "a10x", "a10", "x" * 40 + "9" * 30, "x" * 40 + "10" * 30]
+    files = spark.createDataFrame([("r", n + ("/f" if n in ("b", "Zoo") else "")) for n in dict.fromkeys(names)] + [("s", "only/dir/file")], "repo string, path string")
+    nodes = trees.path_tree(files, ["repo"]).select("repo", "node", "is_file")
+    rows = trees.natural_rows(nodes, ["repo"])
+    found = [r.node for r in rows.where("repo = 'r'").orderBy("row_no").collect()]
+    kinds = {r.node: r.is_file for r in nodes.where("repo = 'r'").collect()}
+    plain = str.maketrans("é", "e")
+
+    def key(node):
+        parts = node.split("/")
+        out = []
+        for i, p in enumerate(parts):
+            bits = [(1, int(b)) if b.isdigit() else (2 if b[0].isalpha() else 0, b) for b in re.findall("[0-9]+|[a-z]+|[^0-9a-z]+", p.lower().translate(plain))]
+            out.append((i == len(parts) - 1 and kinds[node], bits, p.encode()))
+        return out
+
+    assert found == sorted(kinds, key=key)
+    at = {n: i for i, n in enumerate(found)}
+    last = max((n for n in found if kinds[n]), key=at.__getitem__)
+    hints = spark.createDataFrame([("r", i) for i in range(len(found) + 3)] + [("s", 0), ("none", 1)], "repo string, hint long")
+    got = {(r.repo, r.hint): r.node for r in trees.nearest_files(rows, ["repo"], hints).collect()}
+    for i in range(len(found) + 3):
+        assert got["r", i] == next((n for n in found[i:] if kinds[n]), last)
+    assert got["s", 0] == "only/dir/file" and got["none", 1] is None
