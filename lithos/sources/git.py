@@ -317,24 +317,59 @@ def _dealt(spark: SparkSession, rows: list[Entry], schema: str) -> DataFrame:
     return df.repartition(max(1, -(-len(rows) // BATCH)))
 
 
-def entries(spark: SparkSession, root: str, spec: str) -> DataFrame:
-    """A snapshot's entries without contents; files on disk are hashed by the executors."""
-    rows = listing(root, spec, hashed=False)
-    if spec not in (":worktree", ":files"):
-        return spark.createDataFrame(rows, ENTRIES)
+#: In front of the path, what stands for the id of a file that was not read.
+UNREAD = "unread:"
+ON_DISK = (":worktree", ":files")
+
+
+def _hashed(rows: DataFrame, root: str, spec: str) -> DataFrame:
+    """Entries on disk with the ids of those whose ``_read`` is true, each read once by an executor; others get a stand-in that equals no id."""
     algorithm = algorithm_of(root, spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_hash_file(root, p, n, algorithm) for p, n in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True)]
-            yield batch.set_column(2, "blob_id", pa.array(ids, pa.string()))
+            told = zip(*(batch.column(c).to_pylist() for c in ("path", "size", "_read")), strict=True)
+            ids = [_hash_file(root, p, n, algorithm) if read else UNREAD + p.hex() for p, n, read in told]
+            yield batch.select(names).set_column(2, "blob_id", pa.array(ids, pa.string()))
+
+    names = [c.split(" ")[0] for c in ENTRIES.split(", ")]
+    return rows.select(*names, "_read").mapInArrow(run, ENTRIES)
+
+
+def entries(spark: SparkSession, root: str, spec: str, partners: DataFrame | None = None) -> DataFrame:
+    """A snapshot's entries without contents; files on disk are hashed by the executors.
 
-    return _dealt(spark, rows, ENTRIES).mapInArrow(run, ENTRIES)
+    With ``partners``, the other side's entries, only files on disk are read whose
+    language and size one of them has: any other file equals none of them, and
+    its id begins with ``UNREAD``.
+    """
+    rows = listing(root, spec, hashed=False)
+    if spec not in ON_DISK:
+        return spark.createDataFrame(rows, ENTRIES)
+    dealt = _dealt(spark, rows, ENTRIES)
+    if partners is None:
+        return _hashed(dealt.withColumn("_read", F.lit(True)), root, spec)
+    alike = partners.select("language", "size").distinct().withColumn("_read", F.lit(True))
+    return _hashed(dealt.join(alike, ["language", "size"], "left").withColumn("_read", F.coalesce("_read", F.lit(False))), root, spec)
+
+
+def listed(spark: SparkSession, root: str, spec: str) -> DataFrame:
+    """A snapshot's entries by their listing alone; files on disk have no id."""
+    return spark.createDataFrame(listing(root, spec, hashed=False), ENTRIES)
+
+
+def identified(rows: DataFrame, root: str, spec: str) -> DataFrame:
+    """Entries whose files were not read, with their ids; all others as they are."""
+    if spec not in ON_DISK:
+        return rows
+    names = [c.split(" ")[0] for c in ENTRIES.split(", ")]
+    unread = F.startswith("blob_id", F.lit(UNREAD))
+    return rows.where(~unread).select(*names).unionAll(_hashed(rows.where(unread).withColumn("_read", F.lit(True)), root, spec))
 
 
 def contents_of(wanted: DataFrame, root: str, spec: str) -> DataFrame:
     """``wanted`` entries with their content, read by the executors in batches; a blob that several of a batch share is read once."""
-    on_disk = spec in (":worktree", ":files")
+    on_disk = spec in ON_DISK
     names = [c.split(" ")[0] for c in ENTRIES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

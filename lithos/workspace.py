@@ -106,9 +106,12 @@ class Workspace:
             if not any(git.exists(self.root, spec, p) for spec in specs for p in group):
                 raise EngineError(f"nothing at {', '.join(group)} in {' or '.join(specs)}")
 
-    def _entries(self, spec: str) -> DataFrame:
-        """Entries without contents: repo, path as displayed and raw, language, blob_id, size."""
-        rows = git.entries(self.spark, self.root, spec)
+    def _entries(self, spec: str, other: str | None = None) -> DataFrame:
+        """Entries without contents: repo, path as displayed and raw, language, blob_id, size. Of files on disk, where another side is named, only those with a partner there are read."""
+        partners = git.listed(self.spark, self.root, other) if other and spec in git.ON_DISK else None
+        return self._shown(git.entries(self.spark, self.root, spec, partners))
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
         return rows.withColumnRenamed("path", "raw_path").select(F.lit(self.root).alias("repo"), display_path("raw_path").alias("path"), "raw_path", "language", "blob_id", "size", "executable")
 
     def _read(self, wanted: DataFrame, spec: str) -> DataFrame:
@@ -196,7 +199,7 @@ class Workspace:
         groups = self.scope(paths, areas)
         self._check_scope(groups, base, target)
         # ids and sizes decide what is read
-        old, new = cut(self._entries(base)), cut(self._entries(target))
+        old, new = cut(self._entries(base, target)), cut(self._entries(target, base))
         lazy = [comparison.Lazy(side, lambda wanted, spec=spec: self._read(wanted, spec)) for side, spec in ((old, base), (new, target))]
         events = cut(comparison.comparison_plan(*lazy))
         if groups:
@@ -204,7 +207,8 @@ class Workspace:
         named = lambda side, c: side.join(events.where(F.col(c).isNotNull()).select("repo", F.col(c).alias("path")).distinct(), ["repo", "path"], "left_semi")
         files, rows = [], []
         for side, c, spec in ((old, "old_path", base), (new, "path", target)):
-            files.append(cut(named(side, c)))
+            # a store knows contents by their ids, so what is named now and was not read has its id now
+            files.append(cut(self._shown(git.identified(named(side, c).withColumn("path", F.col("raw_path")).drop("raw_path"), self.root, spec))))
             self.store.fill(files[-1], lambda wanted, spec=spec: self._read(wanted, spec))
             rows.append(cut(self.store.items(files[-1], ["repo", "path"])))
         self._no_failures(*rows)

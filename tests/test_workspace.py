@@ -205,3 +205,29 @@ def test_project_source():
     assert [i.name for i in project_source("m.py", b"def f(): ...\n", "signatures")] == ["f"]
     with pytest.raises(UsageError):
         project_source("m.txt", b"", "types")
+
+
+def test_only_files_with_a_partner_are_hashed(spark, tmp_path):
+    """Of the files on disk those are read whose language and size the other side has; what changed is found all the same."""
+    run(tmp_path, "init", "-q")
+    for name, text in (("same.py", "def same(): ...\n"), ("grown.py", "def a(): ...\n"), ("old.py", "class Moved: ...\n"), ("edited.py", "def b(): ...\n")):
+        put(tmp_path, name, text)
+    run(tmp_path, "add", "-A")
+    run(tmp_path, "commit", "-qm", "one")
+    run(tmp_path, "mv", "old.py", "new.py")
+    put(tmp_path, "grown.py", "def a(x: int, y: int): ...\n")
+    put(tmp_path, "edited.py", "def c(): ...\n")
+    for i in range(30):
+        put(tmp_path, f"more/f{i}.py", "x = 1\n" * (40 + i))
+    w = Workspace(spark, str(tmp_path))
+    entries = git.entries(spark, str(tmp_path), ":worktree", git.listed(spark, str(tmp_path), "HEAD"))
+    read = {os.fsdecode(bytes(r.path)) for r in entries.where("not startswith(blob_id, 'unread:')").collect()}
+    assert read == {"same.py", "edited.py", "new.py"} and entries.count() == 34
+    plain = {(bytes(r.path), r.blob_id) for r in git.entries(spark, str(tmp_path), ":worktree").collect()}
+    assert {(bytes(r.path), r.blob_id) for r in git.identified(entries, str(tmp_path), ":worktree").collect()} == plain
+    events = {(r.status, r.old_path, r.path) for r in w.diff("HEAD", ":worktree", "signatures").collect()}
+    assert events >= {("modified", "grown.py", "grown.py"), ("modified", "edited.py", "edited.py"), ("moved", "old.py", "new.py")}
+    assert len(events) == 33 and not w.store.rows().where("startswith(blob_id, 'unread:')").count()
+    back = {(r.status, r.old_path, r.path) for r in w.diff(":worktree", "HEAD", "signatures").collect()}
+    assert ("moved", "new.py", "old.py") in back and len(back) == 33
+    assert w.diff(":worktree", ":worktree", "signatures").count() == 0
