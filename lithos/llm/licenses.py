@@ -11,6 +11,8 @@ is one projection over the scan: no shuffle, no join and no Python.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,15 +179,18 @@ def _places(words: Column, phrase: str) -> Column:
     return F.struct(count.cast("long").alias("n"), F.when(count > 0, first).alias("first"), F.when(count > 0, last).alias("last"))
 
 
+_TABLE = "array<struct<part:string,rules:array<struct<label:string,word:string,with:string,form:string,priority:int,strength:double,level:int>>>>"
+
+
 def _detections(words: Column, found: list[tuple[str, tuple[str, str], str, int, float]]) -> Column:
     """Array of ``_DETECTION``: character spans in the normalised text."""
     level = {p: n for n, p in enumerate(sorted({r[3] for r in found}))}
-    groups: dict[str, list[Column]] = {}
+    groups: dict[str, list[dict]] = {}
     for label, (word, other), form, priority, strength in found:
-        rule = F.struct(F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(other).alias("with"), F.lit(form).alias("form"), F.lit(priority).alias("priority"), F.lit(strength).alias("strength"), F.lit(level[priority]).alias("level"))
+        rule = {"label": label, "word": word, "with": other, "form": form, "priority": priority, "strength": strength, "level": level[priority]}
         groups.setdefault(next((g for g in (*GATE[1:], GATE[0]) if g in word), word), []).append(rule)  # licen, the commonest, last
-    # a string that many keywords hold is looked for once
-    table = F.array(*[F.struct(F.lit(g).alias("part"), F.array(*own).alias("rules")) for g, own in groups.items()])
+    # a string that many keywords hold is looked for once; the table is one constant of the plan
+    table = F.from_json(F.lit(json.dumps([{"part": g, "rules": own} for g, own in groups.items()])), _TABLE)
     near = F.filter(table, lambda g: F.contains(words, g["part"]))
     active = F.flatten(F.transform(near, lambda g: F.filter(g["rules"], lambda r: F.contains(words, r["word"]) & F.contains(words, r["with"]))))
 
