@@ -278,7 +278,7 @@ def restored(array: pa.Array, model: CharModel) -> pa.Array:
 
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of runs of ``ORDER`` classes in a task's words, boundaries around each word, ends of words once."""
-    code = np.zeros(256, np.int64)
+    code = np.zeros(256, np.int32)
     code[97:123] = np.arange(1, 27)
     code[65:91] = np.arange(1, 27)
     code[0xC0:] = 27  # a letter's first byte stands for it
