@@ -18,6 +18,13 @@ Items below ``SMALL`` shingles belong to the finest class, whose bins are so man
 that every shingle is its bin's minimum: with bins as for the others an item of
 two shingles would be missed in one case of five.
 
+Benchmarks share prompts. A shingle of more than ``FEW`` items is common; an item
+that must have some of its other shingles in a document to reach the share is
+searched by those alone, so a document that holds no more than a prompt is no
+candidate of all its items. Nothing is lost: if fewer than ``LEAST_HITS`` of the
+others are sure to be there, all of them are looked up, as for small items, and
+items that common shingles alone could fill are searched by these too.
+
 Documents are never shuffled. The items' signatures are sent to the executors in
 blocks of ``BLOCK_SHINGLES``, one after the other, so what the driver and a task
 hold has a bound that does not depend on the benchmark's size; documents are
@@ -26,6 +33,7 @@ read once for each block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +47,8 @@ from .shared import materialize
 WORDS, SHARE = 5, 0.8
 #: Items with fewer shingles are searched by all of them.
 SMALL = 32
+#: Items of a block that may hold a shingle before it is common, and shingles of an item that a document must hold for minima to find it.
+FEW, LEAST_HITS = 8, 26
 #: Shingles of items that are sent to the executors at once: 16 MB with their signatures.
 BLOCK_SHINGLES = 1 << 20
 
@@ -52,14 +62,23 @@ class Block:
     def __init__(self, ids: list, sets: list[np.ndarray], share: float):
         self.ids, self.sets, self.share = ids, sets, share
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, U64), return_counts=True)
+        #: What an item is searched by, and whether by all of it.
+        self.probes: list[np.ndarray] = []
+        self.small = np.zeros(len(sets), bool)
+        for i, own in enumerate(sets):
+            rare = own[count[np.searchsorted(known, own)] <= FEW]
+            sure = math.ceil(share * len(own) - 1e-9) - (len(own) - len(rare))
+            self.probes.append(rare if sure > 0 else own)
+            self.small[i] = len(own) < SMALL or 0 < sure < min(LEAST_HITS, math.ceil(share * SMALL))
 
     def of_class(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted probe values for documents of 2**bits bins, and the item of each."""
         if bits not in self.classes:
             values, owners = [], []
-            for i, s in enumerate(self.sets):
+            for i, s in enumerate(self.probes):
                 v = s >> U64(_ROW_BITS)
-                if len(s) >= SMALL:
+                if not self.small[i]:
                     bins = v >> U64(64 - _ROW_BITS - bits)
                     v = v[np.r_[True, bins[1:] != bins[:-1]]]  # sets are sorted: a bin's first is its minimum
                 values.append(v)
@@ -77,8 +96,8 @@ def size_class(n: int) -> int:
 
 
 def _search(block: Block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    small = any(len(s) < SMALL for s in block.sets)
-    probes = np.unique(np.concatenate([s for s in block.sets if len(s) < SMALL] or [np.zeros(0, U64)]) >> U64(_ROW_BITS))
+    small = bool(block.small.any())
+    probes = np.unique(np.concatenate([s for s, few in zip(block.probes, block.small, strict=True) if few] or [np.zeros(0, U64)]) >> U64(_ROW_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
@@ -97,7 +116,7 @@ def _search(block: Block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             if small:
                 hit = np.flatnonzero(_member(value, probes))
                 keep = [(v, o) for v, o in (block.of_class(4),)][0]
-                few = np.array([len(s) < SMALL for s in block.sets])[keep[1]]
+                few = block.small[keep[1]]
                 _collect(pairs, value[hit], doc_of[hit], keep[0][few], keep[1][few])
             doc, item, common, size = [], [], [], []
             for d, i in sorted(pairs):

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -983,3 +984,29 @@ def test_queries_match_their_sql(spark, small, name):
 def test_an_article_keeps_its_own_parts(page, text):
     """Anchors and names that may be topics decide nothing inside; containers that can only be noise go."""
     assert style_tree.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("prompt", [20, 60])
+def test_items_that_share_a_prompt(spark, prompt, monkeypatch):
+    """Documents with the prompt alone are no candidates of its thousands of items; those with an item are found."""
+    rng = np.random.default_rng(prompt)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    head = " ".join(word() for _ in range(prompt))
+    items = [(i, f"{head} " + " ".join(word() for _ in range(int(rng.integers(8, 60))))) for i in range(4000)]
+    items += [(4000 + i, head) for i in range(20)]  # nothing but the prompt
+    docs = [(i, " ".join(word() for _ in range(50)) + f" {head} " + " ".join(word() for _ in range(50))) for i in range(60)]
+    planted = {(100 + i, int(j)) for i, j in enumerate(rng.choice(4000, 40, replace=False))}
+    docs += [(d, f"so {word()} {items[i][1]} {word()}") for d, i in planted]
+    tried = []
+    collect = decontaminate._collect
+    monkeypatch.setattr(decontaminate, "_collect", lambda pairs, *rest: (collect(pairs, *rest), tried.append(len(pairs)))[0])
+    block = decontaminate.Block([i for i, _ in items], [np.unique(decontaminate.distinct(*decontaminate.shingles(pa.array([t]), 5))[0]) for _, t in items], decontaminate.SHARE)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])], names=["d", "t"])
+    found = [r for out in decontaminate._search(block, 5)(iter([batch])) for r in out.to_pylist()]
+    sets = {i: shingle_set(t, 5) for i, t in items}
+    want = set()
+    for d, t in docs:
+        own = shingle_set(t, 5)
+        want |= {(d, i) for i, s in sets.items() if len(own & s) >= 0.8 * len(s) - 1e-9}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and want >= planted
+    assert max(tried) < 2 * len(want) + 1000  # and not 400,000
