@@ -762,3 +762,17 @@ SELECT h.repo, h.hint, coalesce((SELECT arg_min(node, row_no) FROM only_files f
 def nearest_files(spark, sf_dir):
     rows = cut(_numbered(spark, sf_dir))
     return trees.nearest_files(rows, ["repo"], rows.where("row_no % 5 = 0").select("repo", (F.col("row_no") + 2).alias("hint")))
+
+
+_LINE_ONE = "trim(string_split({0}, chr(10))[1])"
+
+
+@query(
+    f"""WITH {sources.SQL} SELECT repo, path, stable_key, CASE WHEN {_RETAINED} THEN {_LINE_ONE.format("types")} ELSE kind || ' ' || name || ' \u2014 hidden in types  \u00b7  ' || {_LINE_ONE.format("signatures")} END AS closed_text,
+    '  \u22ef' || CASE WHEN end_line > start_line THEN ' ' || (end_line - start_line) || ' lines' ELSE '' END || CASE WHEN {_RETAINED} THEN '' ELSE ' hidden in types' END AS suffix FROM items_base"""
+)
+def closed_folds(spark, sf_dir):
+    """What every region of the types view shows when it is closed."""
+    files, rows = _projected(spark, sf_dir)
+    found = folds.fold_regions(projection.outline(rows, _FILE, "types"), files, _FILE)
+    return folds.closed_texts(found, rows, _FILE, "types")

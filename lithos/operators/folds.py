@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithos.operators import nested
 from lithos.plans.lineage import cut
 
 #: Kinds whose regions start open where they are retained.
@@ -248,3 +249,31 @@ def fold_levels(found: DataFrame, key: list[str]) -> DataFrame:
     by = list(dict.fromkeys([*key, "path"]))
     lines = found.select(*by, "level", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
     return lines.groupBy(*by, "line_no").agg((F.max("level") + 1).alias("fold_level"))
+
+
+def opened(found: DataFrame, key: list[str], given: DataFrame) -> DataFrame:
+    """Regions with ``default_open`` as ``given`` (stable_key, is_open) says for a region and all below it; the nearest region with a say decides, others keep their own."""
+    by = list(dict.fromkeys([*key, "path"]))
+    index = nested.nested_sets(found.select(*by, "stable_key", F.when(F.col("parent_key") != F.col("stable_key"), F.col("parent_key")).alias("parent_key"), "start_line"), by, ["start_line"])
+    index = cut(index)
+    said = nested.inherited(index, by, index.select(*by, "stable_key").join(given, "stable_key"), "is_open")
+    return found.join(said, [*by, "stable_key"], "left").withColumn("default_open", F.coalesce("is_open", "default_open")).drop("is_open")
+
+
+def closed_texts(found: DataFrame, rows: DataFrame, key: list[str], mode: str) -> DataFrame:
+    """What a closed region shows: the key, path, stable_key, closed_text, suffix.
+
+    ``found`` are regions of ``mode``, ``rows`` the item rows they come from. A region
+    that the mode has shows the first line of its text there; another one its
+    kind, name, the mode that hides it, and its signature's first line. The
+    suffix tells how many lines are folded away.
+    """
+    by = list(dict.fromkeys([*key, "path", "stable_key"]))
+    line = lambda c: F.trim(F.substring_index(c, "\n", 1))
+    whole = rows.where((F.col("mode") == "signatures") & F.col("error").isNull()).select(*by, "name", F.col("canonical_text").alias("_signature"))
+    own = rows.where((F.col("mode") == mode) & F.col("error").isNull()).select(*by, F.col("canonical_text").alias("_own"))
+    met = found.join(whole, by).join(own, by, "left")
+    hidden = F.concat_ws(" ", "kind", F.concat("name", F.lit(f" \u2014 hidden in {mode}  \u00b7 ")), line("_signature"))
+    lines = F.col("end_line") - F.col("start_line")
+    suffix = F.concat(F.lit("  \u22ef"), F.when(lines > 0, F.concat(F.lit(" "), lines.cast("string"), F.lit(" lines"))).otherwise(""), F.when(F.col("retained"), "").otherwise(f" hidden in {mode}"))
+    return met.select(*by, F.when(F.col("retained"), line(F.coalesce("_own", "_signature"))).otherwise(hidden).alias("closed_text"), suffix.alias("suffix"))

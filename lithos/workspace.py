@@ -165,11 +165,19 @@ class Workspace:
         rows, files = self._items(mode, revision, paths, areas, texts=True)
         return folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
 
-    def visible(self, mode: str, revision: str | None = None, overrides: dict[str, bool] | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
-        """The rows of the folded view of every file in scope."""
+    def visible(self, mode: str, revision: str | None = None, overrides: dict[str, bool] | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = (), recursive: dict[str, bool] | None = None) -> DataFrame:
+        """The rows of the folded view of every file in scope, folds with closed_text and suffix.
+
+        ``overrides`` open or close regions by key, ``recursive`` them and all below
+        them, where the nearest one decides.
+        """
         rows, files = self._items(mode, revision, paths, areas, texts=True)
-        found = folds.fold_regions(projection.outline(rows, ["repo", "path"], mode), files, ["repo", "path"])
-        return folds.visible(found, files, ["repo", "path"], mode, overrides)
+        key = ["repo", "path"]
+        found = cut(folds.fold_regions(projection.outline(rows, key, mode), files, key))
+        if recursive:
+            found = folds.opened(found, key, self.spark.createDataFrame(list(recursive.items()), "stable_key string, is_open boolean"))
+        shown = folds.visible(found, files, key, mode, overrides)
+        return shown.join(folds.closed_texts(found, rows, key, mode), [*key, "stable_key"], "left")
 
     def snapshot_id(self, spec: str) -> str:
         """The commit's id, or the name of a snapshot that is none."""

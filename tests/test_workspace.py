@@ -231,3 +231,18 @@ def test_only_files_with_a_partner_are_hashed(spark, tmp_path):
     back = {(r.status, r.old_path, r.path) for r in w.diff(":worktree", "HEAD", "signatures").collect()}
     assert ("moved", "new.py", "old.py") in back and len(back) == 33
     assert w.diff(":worktree", ":worktree", "signatures").count() == 0
+
+
+def test_regions_open_and_close_with_all_below(spark, tmp_path):
+    put(tmp_path, "a.py", "class A:\n    class B:\n        def m(self):\n            pass\n\n        x: int\n\n    def n(self):\n        pass\n\n\ndef f():\n    pass\n")
+    w = Workspace(spark, str(tmp_path))
+    rows = lambda **say: [(r.row, r.first_line, r.last_line, r.closed_text, r.suffix) for r in w.visible("signatures", **say).orderBy("row_no").collect()]
+    assert rows()[0] == ("fold", 0, 8, "class A:", "  \u22ef 8 lines")
+    a, b = "a.py::class::A", "a.py::class::A::class::B"
+    every = rows(recursive={a: True})
+    assert [r for r in every if r[0] == "fold"] == [("fold", 11, 12, "def f(): ...", "  \u22ef 1 lines")]
+    inner = rows(recursive={a: True, b: False})
+    assert [(r[1], r[2]) for r in inner if r[0] == "fold"] == [(1, 5), (11, 12)]
+    # a single region may still say otherwise
+    assert [(r[1], r[2]) for r in rows(recursive={a: True}, overrides={b: False}) if r[0] == "fold"] == [(1, 5), (11, 12)]
+    assert [(r[1], r[2]) for r in rows(recursive={a: False, b: True}) if r[0] == "fold"] == [(0, 8), (11, 12)]
