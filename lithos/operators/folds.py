@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -163,6 +163,37 @@ def visible_rows(found: list[Region], lines: int, mode: str, overrides: dict[str
     return out
 
 
+#: Rows of one Arrow batch, which holds those of many files.
+BATCH_ROWS = 8192
+
+
+def _by_file(by: list[str], listed: str, rows_of: Callable[[list[dict], str | None], list[tuple]], names: list[str], kinds: list[pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over files, each with a list and its ``_text``, that gives the rows ``rows_of`` makes of both behind the file's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            of: list[int] = []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                own = batch.select(by).take(pa.array(of, pa.int64()))
+                out = pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*by, *names])
+                rows.clear()
+                of.clear()
+                return out
+
+            for n, (items, source) in enumerate(zip(batch.column(listed).to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+                own = rows_of(items, source)
+                rows += own
+                of += [n] * len(own)
+                if len(rows) >= BATCH_ROWS:
+                    yield made()
+            if rows:
+                yield made()
+
+    return run
+
+
 _ROW = "row_no int, row string, first_line int, last_line int, stable_key string, text string"
 
 
@@ -178,21 +209,15 @@ def visible(found: DataFrame, sources: DataFrame, key: list[str], mode: str, ove
     listed = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start_line", "level", *(f for f in fields if f not in ("start_line", "level"))))).alias("regions"))
     joined = sources.select(*by, F.col("text").alias("_text")).join(listed, by, "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, (listed_, source) in enumerate(zip(batch.column("regions").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
-                own = [Region(r["stable_key"], r["parent_key"], r["kind"], r["retained"], r["start_line"], r["declaration_line"], r["end_line"], r["level"], r["default_open"]) for r in listed_ or ()]
-                lines = (source or "").split("\n")
-                if lines[-1] == "":
-                    lines.pop()
-                rows = visible_rows(own, len(lines), mode, overrides)
-                if rows:
-                    columns = list(zip(*((i, kind, a, b, k, lines[a]) for i, (kind, a, b, k) in enumerate(rows)), strict=True))
-                    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([*batch.select(by).take(pa.array([n] * len(rows), pa.int64())).columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[*by, *(c.split(" ")[0] for c in _ROW.split(", "))])
+    def rows_of(listed_: list[dict] | None, source: str | None) -> list[tuple]:
+        own = [Region(r["stable_key"], r["parent_key"], r["kind"], r["retained"], r["start_line"], r["declaration_line"], r["end_line"], r["level"], r["default_open"]) for r in listed_ or ()]
+        lines = (source or "").split("\n")
+        if lines[-1] == "":
+            lines.pop()
+        return [(i, kind, a, b, k, lines[a]) for i, (kind, a, b, k) in enumerate(visible_rows(own, len(lines), mode, overrides))]
 
     schema = ", ".join(f"`{c}` {dict(joined.dtypes)[c]}" for c in by) + ", " + _ROW
-    return joined.select(*by, "regions", "_text").mapInArrow(run, schema)
+    return joined.select(*by, "regions", "_text").mapInArrow(_by_file(by, "regions", rows_of, [c.split(" ")[0] for c in _ROW.split(", ")], [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]), schema)
 
 
 _REGION = "stable_key string, parent_key string, kind string, retained boolean, start_line int, declaration_line int, end_line int, level int, default_open boolean"
@@ -207,17 +232,12 @@ def fold_regions(outline: DataFrame, sources: DataFrame, key: list[str]) -> Data
     listed = outline.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ordinal", "stable_key", "parent_key", "kind", "start_line", "end_line", "retained"))).alias("items"))
     joined = listed.join(sources.select(*by, F.col("text").alias("_text")), by)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, (items, source) in enumerate(zip(batch.column("items").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
-                found = regions(items, source or "")
-                own = batch.select(by).take(pa.array([n] * len(found), pa.int64()))
-                columns = list(zip(*((r.key, r.parent, r.kind, r.retained, r.start, r.declaration, r.end, r.level, r.default_open) for r in found), strict=True))
-                kinds = [pa.string()] * 3 + [pa.bool_()] + [pa.int32()] * 4 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*by, *(c.split(" ")[0] for c in _REGION.split(", "))])
+    def rows_of(items: list[dict], source: str | None) -> list[tuple]:
+        return [(r.key, r.parent, r.kind, r.retained, r.start, r.declaration, r.end, r.level, r.default_open) for r in regions(items, source or "")]
 
     schema = ", ".join(f"`{c}` {dict(joined.dtypes)[c]}" for c in by) + ", " + _REGION
-    return joined.select(*by, "items", "_text").mapInArrow(run, schema)
+    kinds = [pa.string()] * 3 + [pa.bool_()] + [pa.int32()] * 4 + [pa.bool_()]
+    return joined.select(*by, "items", "_text").mapInArrow(_by_file(by, "items", rows_of, [c.split(" ")[0] for c in _REGION.split(", ")], kinds), schema)
 
 
 def subtree_keys(found: DataFrame, key: list[str], root: str) -> DataFrame:

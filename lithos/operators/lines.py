@@ -10,31 +10,42 @@ from pyspark.sql import functions as F
 
 from lithos.functions import sequences
 
+#: Rows of one Arrow batch, which holds those of many pairs.
+BATCH_ROWS = 8192
 _ROWS = "row_no int, kind string, old_no int, old_text string, new_no int, new_text string"
 
 
 def aligned_rows(pairs: DataFrame, key: list[str], old: str = "old_text", new: str = "new_text") -> DataFrame:
     """Rows of a patience line diff for each pair: the key, row_no from 0, kind, and number and text on either side.
 
-    Null texts are empty. A pair's rows come from one call; batches of pairs
-    keep one batch of rows in memory at a time.
+    Null texts are empty. A pair's rows come from one call; a task holds
+    one batch of rows at a time.
     """
     fields = [pairs.schema[k] for k in key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.select(key), [batch.column(c).to_pylist() for c in ("_old", "_new")]
-            for n, (a, b) in enumerate(zip(*texts, strict=True)):
-                rows = sequences.aligned_rows(a or "", b or "")
-                if not rows:
-                    continue
-                own = keys.take(pa.array([n] * len(rows)))
-                kind, old_no, old_text, new_no, new_text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(range(len(rows)), pa.int32()), pa.array(kind), pa.array(old_no, pa.int32()), pa.array(old_text, pa.string()), pa.array(new_no, pa.int32()), pa.array(new_text, pa.string())],
-                    names=[*key, "row_no", "kind", "old_no", "old_text", "new_no", "new_text"],
-                )
-
+            rows: list[tuple] = []
+            of: list[int] = []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                own = batch.select(key).take(pa.array(of, pa.int64()))
+                out = pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*key, *names])
+                rows.clear()
+                of.clear()
+                return out
+
+            for n, (a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_old", "_new")), strict=True)):
+                own = sequences.aligned_rows(a or "", b or "")
+                rows += [(i, *r) for i, r in enumerate(own)]
+                of += [n] * len(own)
+                if len(rows) >= BATCH_ROWS:
+                    yield made()
+            if rows:
+                yield made()
+
+    names = [c.split(" ")[0] for c in _ROWS.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + _ROWS
     return pairs.select(*key, F.col(old).alias("_old"), F.col(new).alias("_new")).mapInArrow(run, schema)
 
