@@ -421,7 +421,7 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: flo
     return Scorer(present, share, b + math.log(odds) - math.log(y.mean() / (1 - y.mean())))
 
 
-def calibrated(scorer: Scorer, parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: float, folds: int = 8) -> Scorer:
+def calibrated(scorer: Scorer, parts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: float, folds: int = 4, steps: int = 15) -> Scorer:
     """The scorer with its weights and bias scaled so that its scores are probabilities.
 
     Scale and bias come from what models of all folds but one say of that one,
@@ -434,7 +434,7 @@ def calibrated(scorer: Scorer, parts: list[tuple[np.ndarray, np.ndarray]], label
     z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
     for k in range(folds):
         rest = np.flatnonzero(fold != k)
-        other = fit([parts[i] for i in rest], y[rest].astype(int).tolist(), odds)
+        other = fit([parts[i] for i in rest], y[rest].astype(int).tolist(), odds, steps=steps)
         for i in np.flatnonzero(fold == k).tolist():
             f, v = parts[i]
             z[i] = np.clip(other.present[f].sum(dtype=float) + other.share[f].astype(float).dot(v) + other.bias, -35, 35)
