@@ -503,6 +503,20 @@ def test_forms_that_no_training_text_has(text, kind):
     assert kind in [k for k, _, _ in all_]
 
 
+_FORMS = {
+    0: ("Please write to jane.doe at example.com soon", "mail me: JANE AT EXAMPLE DOT COM", "contact bob (at) site (dot) org", "reach us at info[at]company.net", "e-mail anna_smith [at] uni [dot] edu today", "send it to max.muster(at)firma.de bitte", "my address is carl@firm dot io", "contact: lee at mail dot co.uk", "write sales[at]shop[dot]com for a quote", "mail to first.last at sub.domain.org", "jose.garcia (at) correo.es", "kontakt: petra at beispiel dot de"),
+    1: ("login from fe80::1a2b:3c4d today", "client 2001:0db8:85a3:0000:0000:8a2e:0370:7334.", "host 2001:db8::ff00:42:8329 answered", "from 2001:db8:1:2:3:4:5:6 at noon", "ip fe80::abcd:1234:5678:9abc", "server 2607:f8b0:4005:805::200e", "::ffff:c0a8:0101 connected", "peer 2a00:1450:4001:81b::200e"),
+    2: ("paid by card 4111.1111.1111.1111 yesterday", "visa 4111111111111111 on file", "amex 3782 822463 10005 expires", "card no 5500-0000-0000-0004", "mastercard 5555555555554444 charged", "my card 4012 8888 8888 1881 was lost", "credit card: 6011000990139424", "charged 378282246310005 today", "4111-1111-1111-1111"),
+    3: ("call 314.555.6532 now", "phone: 314-555-6532", "tel. 314 555 6532", "fax 0712 4455 667", "mobile 0049 171 2345678", "call (314) 555-6532 today", "reach me on +44 20 7946 0958", "tel +49 30 1234567", "phone 0171 2345678", "call 0033 612 345 678", "fax: (030) 1234-5678", "mobile: +1-202-555-0143", "telephone 020 7946 0958"),
+}
+
+
+@pytest.mark.parametrize("kind", range(4))
+def test_recall_of_forms_written_by_hand(kind):
+    found = [kind in [k for k, _, _ in pii.detect([text], *pii.model())[0][1]] for text in _FORMS[kind]]
+    assert sum(found) >= 0.9 * len(found)
+
+
 @pytest.mark.parametrize("text", ["order 314-555-6532", "invoice 0712 4455 667", "we met at noon. Then we left", "version 12:30:45:10", "it was 10:30:20 by then", "serial no. 4111111111111112"])
 def test_look_alikes_are_left_alone(text):
     assert pii.detect([text], *pii.model())[0][1] == []
