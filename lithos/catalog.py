@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions import labels
 from lithos.functions.blobs import content_id
 from lithos.functions.paths import within
 from lithos.operators import comparison, folds, history, lines, nested, projection, search, trees
@@ -776,3 +777,26 @@ def closed_folds(spark, sf_dir):
     files, rows = _projected(spark, sf_dir)
     found = folds.fold_regions(projection.outline(rows, _FILE, "types"), files, _FILE)
     return folds.closed_texts(found, rows, _FILE, "types")
+
+
+# -- labels -------------------------------------------------------------------------
+
+_MID = "CASE WHEN {w} <= 0 THEN '' WHEN length({t}) <= {w} THEN {t} WHEN {w} = 1 THEN '…' ELSE left({t}, ({w} - 1) // 2) || '…' || right({t}, {w} - 1 - ({w} - 1) // 2) END"
+
+
+@query(
+    f"""{_MOVES}, m AS (SELECT repo, old_path AS o, path AS p, split_part(old_path, '/', -1) AS a, split_part(path, '/', -1) AS b, 1 + (length(path) + ascii(right(split_part(path, '.', 1), 1)) * 7) % 34 AS w FROM moves),
+n AS (SELECT *, o || ' → ' || b AS whole, a || ' → ' || b AS names, w - length(b) - 3 AS rest FROM m)
+SELECT repo, p AS path, w::INT AS columns, CASE WHEN length(whole) <= w THEN whole WHEN length(names) <= w THEN names WHEN rest > 0 THEN ({_MID.format(t="a", w="rest")}) || ' → ' || b
+    WHEN rest >= -1 THEN '→ ' || b WHEN w >= 6 THEN '→ ' || ({_MID.format(t="b", w="(w - 2)")}) ELSE {_MID.format(t="b", w="w")} END AS label,
+    CASE WHEN length(p) <= w THEN p WHEN w <= length(b) THEN ({_MID.format(t="b", w="w")}) WHEN w - length(b) < 2 THEN b WHEN rtrim(left(p, greatest(w - length(b) - 3, 0)), '/') = '' THEN '…/' || b
+    ELSE rtrim(left(regexp_replace(p, '/[^/]*$', ''), w - length(b) - 3), '/') || '/…/' || b END AS short_path FROM n"""
+)
+def move_labels(spark, sf_dir):
+    """What a tree shows of every exact move, in 1 to 34 columns."""
+    moves = comparison.exact_moves(comparison.snapshot_status(*sides(spark, sf_dir)))
+    last = F.substring(F.substring_index("path", ".", 1), -1, 1)
+    columns = (1 + (F.length("path") + F.ascii(last) * 7) % 34).cast("int")
+    rows = moves.select("repo", "path", "old_path", columns.alias("columns"))
+    label = labels.fitted_move_label(F.col("old_path"), F.col("path"), F.col("columns"))
+    return rows.select("repo", "path", "columns", label.alias("label"), labels.elided_path(F.col("path"), F.col("columns")).alias("short_path"))

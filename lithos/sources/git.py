@@ -358,6 +358,16 @@ def listed(spark: SparkSession, root: str, spec: str) -> DataFrame:
     return spark.createDataFrame(listing(root, spec, hashed=False), ENTRIES)
 
 
+def single(spark: SparkSession, root: str, path: str) -> DataFrame | None:
+    """The entry of one file on disk, whatever its repository says of it; None unless it is regular, reached by no link, and of a known language."""
+    raw = os.fsencode(path)
+    lang, state = language_of(raw), _regular(root, raw)
+    if lang is None or state is None:
+        return None
+    row = spark.createDataFrame([(raw, lang, None, state.st_size, bool(state.st_mode & 0o111))], ENTRIES)
+    return _hashed(row.withColumn("_read", F.lit(True)), root, ":worktree" if discover(root)[1] else ":files")
+
+
 def identified(rows: DataFrame, root: str, spec: str) -> DataFrame:
     """Entries whose files were not read, with their ids; all others as they are."""
     if spec not in ON_DISK:

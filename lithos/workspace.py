@@ -157,6 +157,20 @@ class Workspace:
         rows, files = self._items(mode, revision, paths, areas)
         return documents.show_document(rows, files, mode, revision and self.snapshot_id(revision))
 
+    def show_file(self, mode: str, path: str) -> DataFrame:
+        """(repo, path, canonical_text) of one regular file on disk, tracked or not; links and files without a language are refused."""
+        self._mode(mode)
+        place = self.select(path)
+        found = git.single(self.spark, self.root, place)
+        if found is None:
+            raise EngineError(f"{path} is no regular file of a known language below the root")
+        spec = ":worktree" if self.is_git else ":files"
+        files = cut(self._shown(found))
+        self.store.fill(files, lambda wanted: self._read(wanted, spec))
+        rows = cut(self.store.items(files, ["repo", "path"]))
+        self._no_failures(rows)
+        return projection.canonical_files(rows, files, ["repo", "path"], mode)
+
     def outline(self, mode: str, revision: str | None = None, paths: tuple[str, ...] = (), areas: tuple[str, ...] = ()) -> DataFrame:
         rows, _ = self._items(mode, revision, paths, areas)
         return projection.outline(rows, ["repo", "path"], mode)

@@ -132,3 +132,26 @@ def test_blob_ids_are_gits(spark):
     found = rows.select(blobs.blob_id(F.col("c")).alias("a"), blobs.blob_id_sha256(F.col("c")).alias("b")).collect()
     assert [r.a for r in found] == [hashlib.sha1(b"blob %d\0" % len(c) + c).hexdigest() for c in (b"hello\n", b"")]
     assert found[1].b == hashlib.sha256(b"blob 0\0").hexdigest()
+
+
+def test_labels_fit_their_columns(spark):
+    from pyspark.sql import functions as F
+
+    from lithos.functions import labels
+
+    def of(make, *rows):
+        names = [f"c{i}" for i in range(len(rows[0]))]
+        df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, " + ", ".join(f"{c} {'int' if isinstance(v, int) else 'string'}" for c, v in zip(names, rows[0], strict=True)))
+        return [r.x for r in df.select("n", make(*map(F.col, names)).alias("x")).orderBy("n").collect()]
+
+    assert of(labels.clip, ("abcdef", 2, 3), ("abcdef", 0, 0), ("abcdef", 10, 3), ("a\tb", 0, 10), ("日本", 0, 3), ("日本", 1, 4)) == ["cde", "", "", "a    b", "日", "本"]
+    assert of(labels.shortened, ("abcdef", 6), ("abcdef", 5), ("abcdef", 4), ("abcdef", 1), ("abcdef", 0), ("日本語です", 5)) == ["abcdef", "ab…ef", "a…ef", "…", "", "日…す"]
+    assert of(labels.truncated, ("abcdef", 6), ("abcdef", 4), ("abcdef", 1), ("日本", 3)) == ["abcdef", "abc…", "…", "日…"]
+    deep = "src/very/deep/directories/old.rs"
+    assert of(labels.elided_path, (deep, 17), (deep, 8), ("old.rs", 5), ("src/old.rs", 10), ("src/old.rs", 0), ("src/old.rs", 7), ("日本語/old.rs", 10)) == ["src/very/…/old.rs", "…/old.rs", "ol…rs", "src/old.rs", "", "old.rs", "…/old.rs"]
+    assert of(labels.move_label, ("a/x.rs", "a/y.rs"), ("a/x.rs", "b/y.rs"), ("x.rs", "y.rs"), ("x.rs", "b/x.rs")) == ["x.rs → y.rs", "a/x.rs → y.rs", "x.rs → y.rs", "x.rs → x.rs"]
+    move = ("some/folder/old_name.rs", "other/new.rs")
+    found = of(labels.fitted_move_label, *((*move, n) for n in (40, 30, 20, 16, 12, 9, 8, 7, 6, 5, 1, 0)))
+    assert found == ["some/folder/old_name.rs → new.rs", "old_name.rs → new.rs", "old_name.rs → new.rs", "old….rs → new.rs", "o…s → new.rs", "→ new.rs", "→ new.rs", "→ ne….rs"[:2] + "ne…rs", "→ n…rs", "ne…rs", "…", ""]
+    assert of(labels.first_line, ("  a b \n c",), ("",), ("x",)) == ["a b", "", "x"]
+    assert of(labels.width, ("abc",), ("日本",), ("é",), ("",)) == [3, 4, 1, 0]

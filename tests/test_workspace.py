@@ -246,3 +246,12 @@ def test_regions_open_and_close_with_all_below(spark, tmp_path):
     # a single region may still say otherwise
     assert [(r[1], r[2]) for r in rows(recursive={a: True}, overrides={b: False}) if r[0] == "fold"] == [(1, 5), (11, 12)]
     assert [(r[1], r[2]) for r in rows(recursive={a: False, b: True}) if r[0] == "fold"] == [(0, 8), (11, 12)]
+
+
+def test_one_file_of_the_worktree(spark, repo):
+    w = Workspace(spark, str(repo), cwd=str(repo / "src"))
+    assert [(r.path, r.canonical_text) for r in w.show_file("signatures", "loose.py").collect()] == [("src/loose.py", "def loose(): ...\n")]
+    assert w.show_file("signatures", "../lib.rs").first().canonical_text == "pub fn f();\n"
+    for bad in ("../link.rs", "../notes.txt", "gone.py", ".", "../../x.py"):
+        with pytest.raises(EngineError):
+            w.show_file("signatures", bad)
