@@ -800,3 +800,27 @@ def move_labels(spark, sf_dir):
     rows = moves.select("repo", "path", "old_path", columns.alias("columns"))
     label = labels.fitted_move_label(F.col("old_path"), F.col("path"), F.col("columns"))
     return rows.select("repo", "path", "columns", label.alias("label"), labels.elided_path(F.col("path"), F.col("columns")).alias("short_path"))
+
+
+# -- declarations made of whole texts -------------------------------------------------
+
+_WORD_FUNCTIONS = """t AS (SELECT source AS repo, doc_id, 'src/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS path, regexp_extract_all(text, '[a-z]{2,}') AS w FROM documents),
+u AS (SELECT repo, path, doc_id % 2 = 0 AS is_python, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo, path, word ORDER BY i) - 1 AS again FROM u)"""
+
+
+@query(
+    f"""WITH {_WORD_FUNCTIONS} SELECT repo, path, i::INT AS ordinal, path || '::fn::w_' || word || CASE WHEN again > 0 THEN '~' || again ELSE '' END AS stable_key, i::INT AS start_line,
+    CASE WHEN is_python THEN 'def w_' || word || '(n: int) -> str: ...' ELSE 'pub fn w_' || word || '(n: u8) -> Option<u8>;' END AS canonical_text FROM n"""
+)
+def word_functions(spark, sf_dir):
+    """Every word of every text declares a function, repeated ones again: keys, places and texts of what a whole text says."""
+    even = F.col("doc_id") % 2 == 0
+    words = F.regexp_extract_all("text", F.lit("[a-z]{2,}"), F.lit(0))
+    line = lambda w: F.when(even, F.concat(F.lit("def w_"), w, F.lit("(n: int) -> str: return 'x'"))).otherwise(F.concat(F.lit("pub fn w_"), w, F.lit("(n: u8) -> Option<u8> { Some(n << 1) }")))
+    files = table(spark, sf_dir, "documents").where("text is not null").select(
+        F.col("source").alias("repo"), F.concat(F.lit("src/"), "doc_id", F.when(even, ".py").otherwise(".rs")).alias("path"), F.when(even, "python").otherwise("rust").alias("language"),
+        F.array_join(F.transform(words, line), "\n").alias("text"),
+    )
+    found = projection.checked(projection.items(files, _FILE))
+    return found.where("mode = 'signatures'").select("repo", "path", "ordinal", "stable_key", "start_line", "canonical_text")
