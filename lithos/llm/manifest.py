@@ -197,7 +197,8 @@ def with_paths(trees: Forest, above: DataFrame) -> DataFrame:
         if level:
             child = parents.select("g", F.posexplode(F.sequence(F.lit(0), F.expr("length(digests) div 32 - 1"))).alias("slot", "_s"), F.col("place").alias("parent"), "digests", "path", *extra)
             path = F.concat(F.array(_siblings(F.col("digests"), F.col("slot"))), F.col("path"))
-            parents = child.select("g", (F.col("parent") * ARITY + F.col("slot")).cast("long").alias("place"), path.alias("path"), *extra)
+            # a sixteenth of the nodes below at the most; written, as plans would grow with every level
+            parents = materialize(child.select("g", (F.col("parent") * ARITY + F.col("slot")).cast("long").alias("place"), path.alias("path"), *extra), "paths")
     none = F.lit(None).cast("binary").alias("digests")
     runs = parents.select("g", "place", "digests", "path", *extra) if levels else parents.select("g", "place", none, "path", *extra)
     runs = runs.unionAll(tops.where("n = 1").select("g", "place", none, "path", *extra)).withColumnRenamed("place", "parent")
