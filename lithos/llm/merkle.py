@@ -37,6 +37,8 @@ from .batches import mix, slices
 
 #: Characters of a piece; one of ``OFTEN`` places can end one.
 LEAST, MOST, OFTEN = 4, 255, 12
+#: Characters that are hashed at once.
+PORTION = 1 << 20
 _sections = re.compile(r"[^\n]*(?:\n[^\n]+)*\n*")
 _paragraphs = re.compile(r"[^\n]*\n+|[^\n]+")
 #: Odd factors of the characters of a window, and of its hash.
@@ -66,13 +68,18 @@ def _layout(text: str) -> list[list[tuple[int, int]]]:
 def _pieces(text: str, ends: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Ends and 64-bit hashes of the pieces, and how many there are up to each paragraph's end."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    h = codes * np.uint32(_WINDOW[0])
-    for back, factor in enumerate(_WINDOW[1:], 1):
-        h[back:] += codes[: len(codes) - back] * np.uint32(factor)
-    h ^= h >> np.uint32(15)
-    h *= _FACTOR
-    h ^= h >> np.uint32(13)
-    places = (np.flatnonzero(h < np.uint32((1 << 32) // OFTEN)) + 1).tolist()
+    found = []
+    for begin in range(0, len(codes), PORTION):
+        seen = codes[max(0, begin - 3) : begin + PORTION]  # with what a window reaches back to
+        h = seen * np.uint32(_WINDOW[0])
+        for back, factor in enumerate(_WINDOW[1:], 1):
+            h[back:] += seen[: len(seen) - back] * np.uint32(factor)
+        h ^= h >> np.uint32(15)
+        h *= _FACTOR
+        h ^= h >> np.uint32(13)
+        own = min(begin, 3)
+        found.append(np.flatnonzero(h[own:] < np.uint32((1 << 32) // OFTEN)) + begin + 1)
+    places = np.concatenate(found).tolist()
     cut: list[int] = []
     upto = []
     at = i = 0
@@ -93,8 +100,15 @@ def _pieces(text: str, ends: list[int]) -> tuple[np.ndarray, np.ndarray, list[in
         upto.append(len(cut))
     stop = np.array(cut, np.int64)
     start = np.r_[0, stop[:-1]]
-    inside = (np.arange(len(codes)) - np.repeat(start, stop - start)).astype(np.uint64)
-    return stop, np.add.reduceat(mix(codes.astype(np.uint64) + (inside << np.uint64(32)) + np.uint64(1)), start), upto
+    hashes = np.empty(len(stop), np.uint64)
+    first = 0
+    while first < len(stop):
+        last = max(first + 1, int(np.searchsorted(stop, start[first] + PORTION, "right")))
+        x, y, low = start[first:last], stop[first:last], start[first]
+        inside = (np.arange(y[-1] - low) - np.repeat(x - low, y - x)).astype(np.uint64)
+        hashes[first:last] = np.add.reduceat(mix(codes[low : y[-1]].astype(np.uint64) + (inside << np.uint64(32)) + np.uint64(1)), x - low)
+        first = last
+    return stop, hashes, upto
 
 
 def pieces(text: str) -> list[str]:

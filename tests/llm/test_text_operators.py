@@ -398,6 +398,14 @@ def test_a_word_put_in_changes_what_is_near_it(alphabet, stops):
         assert merkle.likeness(merkle.fingerprint(run), merkle.fingerprint("word " + run)) > 0.8 and max(map(len, merkle.pieces(run))) <= merkle.MOST
 
 
+def test_long_texts_are_hashed_in_portions(docs, monkeypatch):
+    texts = [t for _, t in docs[:40]] + ["", "ab", "x" * 3000]
+    whole = [merkle.fingerprint(t) for t in texts]
+    for portion in (3, 5, 300):
+        monkeypatch.setattr(merkle, "PORTION", portion)
+        assert [merkle.fingerprint(t) for t in texts] == whole
+
+
 def test_clashing_columns(spark, odd):
     """Columns named as those that operators use inside change nothing."""
     plain = odd.select("doc_id", "text").where("doc_id is not null")
