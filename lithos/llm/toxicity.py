@@ -38,6 +38,8 @@ from .batches import _LOWER, FIRST, loads, mix, padded, slices, span_hashes, spa
 U64 = np.uint64
 #: Labelled texts of each class that the fit may use.
 FIT_ROWS = 2000
+#: Texts of each class from which on scores are calibrated; fewer do not tell what a model says of texts it has not seen.
+CALIBRATED = 100
 #: log2 of the number of hashed features; bytes of the prefixes.
 FEATURE_BITS, PREFIXES = 18, (4, 6, 8)
 #: Least score that counts as toxic.
@@ -429,7 +431,7 @@ def calibrated(scorer: Scorer, parts: list[tuple[np.ndarray, np.ndarray]], label
     population; too few texts of a class leave the scorer as it is.
     """
     y = np.array(labels, float)
-    if len(y) < 2 * folds or min(y.sum(), len(y) - y.sum()) < 2 * folds:
+    if min(y.sum(), len(y) - y.sum()) < CALIBRATED:
         return scorer
     z, fold = np.zeros(len(y)), np.arange(len(y)) % folds
     for k in range(folds):
