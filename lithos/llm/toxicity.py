@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import _LOWER, FIRST, loads, mix, padded, slices, span_hashes, spans, text_bytes
+from .batches import _LOWER, FIRST, loads, mix, padded, slices, span_hashes, spans, text_bytes, trim
 
 U64 = np.uint64
 #: Labelled texts of each class that the fit may use.
@@ -70,7 +71,7 @@ ORDER, SMOOTH = 4, 5.0
 #: A run of signs that stands for itself: digits beside one or two letters, digits or a last ! at an edge of the token, other signs there, any within.
 KEEP_COUNT, KEEP_EDGE, KEEP_SIGN, KEEP_INNER = -3.0, 0.5, 5.0, 7.0
 #: Tokens whose reading a worker remembers before it starts afresh.
-READINGS = 1 << 16
+READINGS = 1 << 14
 
 # tokens with a sign or three equal letters in a row; plain words are passed over without a call
 _disguised = re.compile(r"(?<![a-z0-9@$|+])(?=[a-z]*+[0-9@$!|+*(]|[a-z]*?([a-z])\1\1)(?:[a-z0-9@$!|+]|(?<=[a-z0-9@$!|+])[*(](?=[a-z])){3,}(?![a-z0-9@$|+])", re.I | re.A)
@@ -96,7 +97,11 @@ class CharModel:
 
     def __post_init__(self):
         self.contexts = self.logs.size // 28
-        self.table: list[float] = []
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what a task makes of the model on its way; a worker that waits should not hold it."""
+        self.table = array("f")
         self.known: dict[str, str] = {}
 
     def __getstate__(self):
@@ -132,7 +137,7 @@ class CharModel:
 
     def read(self, options: list[list[tuple[str, float]]]) -> tuple[float, str]:
         """The likeliest reading and its logarithm: at each place one of (letters, a sign or a blank, cost), with a word's boundaries around."""
-        logs = self.table = self.table or self.logs.ravel().tolist()
+        logs = self.table = self.table or array("f", self.logs.tobytes())
         contexts = self.contexts
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
         for place in options:
@@ -258,23 +263,23 @@ def _suspicious(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def restored(array: pa.Array, model: CharModel) -> pa.Array:
+def restored(texts: pa.Array, model: CharModel) -> pa.Array:
     """The restored texts; nulls are empty."""
-    array = array.fill_null("") if array.null_count else array
-    data, off = text_bytes(array)
+    texts = texts.fill_null("") if texts.null_count else texts
+    data, off = text_bytes(texts)
     if not len(data):
-        return array
+        return texts
     flagged = np.flatnonzero(_suspicious(data, off))
     if not len(flagged):
-        return array
+        return texts
     parts, at = [], 0
     for i in flagged.tolist():
         if i > at:
-            parts.append(array.slice(at, i - at))
-        parts.append(pa.array([model.restore(array[i].as_py())], array.type))
+            parts.append(texts.slice(at, i - at))
+        parts.append(pa.array([model.restore(texts[i].as_py())], texts.type))
         at = i + 1
-    if at < len(array):
-        parts.append(array.slice(at))
+    if at < len(texts):
+        parts.append(texts.slice(at))
     return pa.concat_arrays(parts)
 
 
@@ -462,6 +467,8 @@ def _featured(model: CharModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             f, v, off = features(restored(batch.column("t"), model))
             ends = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("y"), pa.array([f[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([v[a:b].tobytes() for a, b in ends], pa.binary())], names=["d", "y", "f", "v"])
+        model.forget()
+        trim()
 
     return run
 
@@ -500,6 +507,8 @@ def _score(model: CharModel, scorer: Scorer) -> Callable[[Iterator[pa.RecordBatc
         for batch in slices(batches, "t"):
             text = restored(batch.column("t"), model)
             yield pa.RecordBatch.from_arrays([batch.column("d"), text, pa.array(scorer.scores(text))], names=["doc_id", "restored", "score"])
+        model.forget()
+        trim()
 
     return run
 
@@ -521,5 +530,7 @@ def without_toxic(docs: DataFrame, model: CharModel, scorer: Scorer, cut: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             yield batch.filter(pa.array(scorer.scores(restored(batch.column(text_col), model)) < cut))
+        model.forget()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
