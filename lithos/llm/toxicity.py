@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import _LOWER, FIRST, loads, mix, padded, slices, span_hashes, spans, text_bytes, trim
+from .tokens import Encoder
 
 U64 = np.uint64
 #: Labelled texts of each class that the fit may use.
@@ -289,6 +290,7 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code[97:123] = np.arange(1, 27)
     code[65:91] = np.arange(1, 27)
     code[0xC0:] = 27  # a letter's first byte stands for it
+    Encoder.release()  # what a worker remembers of tasks of other kinds
     total = np.zeros(28**ORDER, np.int64)
     for batch in slices(batches, "t"):
         data, off = text_bytes(batch.column("t"))
@@ -463,6 +465,7 @@ def _featured(model: CharModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """Labelled texts as the features of what they are restored to; equal rows have equal bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for batch in slices(batches, "t"):
             f, v, off = features(restored(batch.column("t"), model))
             ends = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
@@ -504,6 +507,7 @@ def held_out(id_: F.Column) -> F.Column:
 
 def _score(model: CharModel, scorer: Scorer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for batch in slices(batches, "t"):
             text = restored(batch.column("t"), model)
             yield pa.RecordBatch.from_arrays([batch.column("d"), text, pa.array(scorer.scores(text))], names=["doc_id", "restored", "score"])
@@ -528,6 +532,7 @@ def without_toxic(docs: DataFrame, model: CharModel, scorer: Scorer, cut: float
     """The rows of ``docs``, with all columns, whose restored text scores below ``cut``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()
         for batch in slices(batches, text_col):
             yield batch.filter(pa.array(scorer.scores(restored(batch.column(text_col), model)) < cut))
         model.forget()
