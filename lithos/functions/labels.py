@@ -89,16 +89,16 @@ def elided_path(path: Column, columns: int | Column) -> Column:
     return F.when(columns <= 0, "").when(width(path) <= columns, path).otherwise(cut)
 
 
-def move_label(old: Column, new: Column) -> Column:
-    """From where to where a file moved: names alone inside one folder, else the whole old path."""
-    inside = _folder(old).eqNullSafe(_folder(new))
+def move_label(old: Column, new: Column, whole: bool = False) -> Column:
+    """From where to where a file moved: names alone inside one folder, else the whole old path; with ``whole`` the whole old path always."""
+    inside = F.lit(False) if whole else _folder(old).eqNullSafe(_folder(new))
     return F.concat(F.when(inside, _name(old)).otherwise(old), F.lit(" → "), _name(new))
 
 
-def fitted_move_label(old: Column, new: Column, columns: int | Column) -> Column:
+def fitted_move_label(old: Column, new: Column, columns: int | Column, whole: bool = False) -> Column:
     """``move_label`` in so many columns: the old folder goes first, then the middle of the old name, the new name last."""
     columns = _int(columns)
-    full, names = move_label(old, new), F.concat(_name(old), F.lit(" → "), _name(new))
+    full, names = move_label(old, new, whole), F.concat(_name(old), F.lit(" → "), _name(new))
     rest = columns - width(_name(new)) - 3
     return (
         F.when(columns <= 0, "").when(width(full) <= columns, full).when(width(names) <= columns, names)
