@@ -1,14 +1,20 @@
 """Nested sets of forests: every node's places of entry and exit on a walk, so that what lies below, above and nearest is a matter of ranges.
 
 Nodes are (scope, stable_key, parent_key). The walk through a scope is a list of
-entries and exits, each of which knows the next; places come from ranking that
-list by doubling, in rounds that follow the logarithm of its length, with rows
-that are a few numbers each. A scope of any size and depth is spread over all
-tasks.
+entries and exits, each of which knows the next. Nodes are numbered in ranges of
+scope and order; each task follows the walk through its own ranges, and only the
+elements at which a walk enters a range from elsewhere are ranked over all. If
+they are many, as in a forest whose order says nothing of its shape, they are
+ranked by doubling, in rounds that follow the logarithm of the length. A scope
+of any size and depth is spread over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +23,10 @@ from lithos.plans.lineage import cut
 
 #: Lines of a bin by which spans meet points.
 BIN = 64
+#: So many elements at most are ranked in one task, and broadcast.
+FEW = 1 << 18
+#: Bits of a node's number that count nodes of one range: those of a row in ``monotonically_increasing_id`` and one more.
+_RANGE_BITS = 34
 
 
 def nested_sets(nodes: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -27,34 +37,120 @@ def nested_sets(nodes: DataFrame, scope: list[str], order: list[str]) -> DataFra
     key. A parent that the scope lacks counts as a level, as it would if it
     were there, and takes two numbers; nodes on cycles, or below one, are left out.
     """
-    own = nodes.select(*scope, "stable_key", "parent_key", F.struct(*order, "stable_key").alias("_o"), F.lit(True).alias("_real"))
-    known = own.select(*scope, F.col("stable_key").alias("parent_key"))
-    lost = own.where("parent_key is not null").join(known, [*scope, "parent_key"], "left_anti").groupBy(*scope, "parent_key").agg(F.min("_o").alias("_o"))
-    missing = lost.select(*scope, F.col("parent_key").alias("stable_key"), F.lit(None).cast(dict(nodes.dtypes)["parent_key"]).alias("parent_key"), "_o", F.lit(False).alias("_real"))
-    ids = cut(own.unionAll(missing).withColumn("_id", F.monotonically_increasing_id()))
-    linked = ids.join(ids.select(*scope, F.col("stable_key").alias("parent_key"), F.col("_id").alias("_up")), [*scope, "parent_key"], "left")
+    own = nodes.select(*scope, "stable_key", "parent_key", F.struct(*order, "stable_key").alias("_o"))
+    # numbers follow scope and order, so they tell the order of siblings
+    dealt = own.repartitionByRange(*scope, "_o").sortWithinPartitions(*scope, "_o")
+    ids = cut(dealt.select(*scope, "stable_key", "parent_key", (2 * F.monotonically_increasing_id() + 1).alias("_id")))
+    linked = cut(ids.join(ids.select(*scope, F.col("stable_key").alias("parent_key"), F.col("_id").alias("_up")), [*scope, "parent_key"], "left"))
+    rows = linked.select(*scope, "_id", "_up")
+    lost = linked.where("parent_key is not null and _up is null")
+    if not lost.isEmpty():
+        # a missing parent stands where its first child does
+        missing = cut(lost.groupBy(*scope, "parent_key").agg((F.min("_id") - 1).alias("_lost")))
+        met = linked.join(missing, [*scope, "parent_key"], "left").select(*scope, "_id", F.coalesce("_up", "_lost").alias("_up"))
+        rows = met.unionAll(missing.select(*scope, F.col("_lost").alias("_id"), F.lit(None).cast("long").alias("_up")))
     # siblings: the children of a node, or the roots of a scope
-    rows = linked.withColumn("_p", F.coalesce("_up", F.lit(-1))).withColumn("_root", F.col("_up").isNull())
-    rows = cut(ordered.neighbours(rows, [*scope, "_p"], ["_o", "_id"], F.struct("_id"), following="_after"))
-    first = rows.where("not _root").groupBy(F.col("_up").alias("_id")).agg(F.min_by(F.col("_id"), F.struct("_o", "_id")).alias("_first"))
-    # an entry is 2 * id, an exit 2 * id + 1
-    walk = rows.select("_id", "_up", F.col("_after._id").alias("_after")).join(first, "_id", "left")
-    entry = walk.select((F.col("_id") * 2).alias("e"), F.coalesce(F.col("_first") * 2, F.col("_id") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("steps"), F.lit(1).cast("long").alias("entries"))
-    leave = walk.select((F.col("_id") * 2 + 1).alias("e"), F.coalesce(F.col("_after") * 2, F.col("_up") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("steps"), F.lit(0).cast("long").alias("entries"))
-    ranks = _ranked(cut(entry.unionAll(leave)))
-    place = ranks.groupBy(F.expr("e div 2").alias("_id")).agg(
-        F.max(F.expr("if(e % 2 = 0, steps, null)")).alias("_in"), F.max(F.expr("if(e % 2 = 1, steps, null)")).alias("_out"), F.max(F.expr("if(e % 2 = 0, entries, null)")).alias("_entries"),
-    )
-    met = rows.join(place, "_id")
-    whole = met.groupBy(*scope).agg(F.max("_in").alias("_all"))
-    met = met.join(whole, scope).where("_real").withColumn("enter_no", F.col("_all") - F.col("_in")).withColumn("exit_no", F.col("_all") - F.col("_out"))
+    near = ordered.neighbours(rows.withColumn("_p", F.coalesce("_up", F.lit(-1))), [*scope, "_p"], ["_id"], F.struct("_id"), following="_after")
+    first = rows.where("_up is not null").groupBy(F.col("_up").alias("_id")).agg(F.min("_id").alias("_first"))
+    walk = near.select(*scope, "_id", "_up", F.col("_after._id").alias("_after")).join(first, "_id", "left")
+    placed = _ranked_nodes(walk.select(*scope, "_id", "_up", "_first", "_after"), scope)
+    whole = placed.groupBy(*scope).agg(F.max("_in").alias("_all"))
+    met = linked.drop("_up").join(placed.drop(*scope), "_id").join(whole, scope).withColumn("enter_no", F.col("_all") - F.col("_in")).withColumn("exit_no", F.col("_all") - F.col("_out"))
     # entries before the node, less the exits before it
     before = F.expr("_all div 2 - _entries")
     return met.select(*scope, "stable_key", "parent_key", "enter_no", "exit_no", (2 * before - F.col("enter_no")).cast("int").alias("depth"))
 
 
-def _ranked(steps: DataFrame) -> DataFrame:
-    """Of each list element, how many elements and entries there are from it to the end; elements of rings are left out."""
+def _follow(e: np.ndarray, next_: np.ndarray, steps: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Follows each element to the first one that is not in ``e``, or the end (-1), in place; which of them get there, as rings never do."""
+    order = np.argsort(e)
+    found = np.minimum(np.searchsorted(e, next_, sorter=order), max(len(e) - 1, 0))
+    at = np.where(e[order[found]] == next_, order[found], -1) if len(e) else found
+    for _ in range(len(e).bit_length() + 1):
+        going = np.flatnonzero(at >= 0)
+        if not going.size:
+            break
+        to = at[going]
+        for a in (steps, entries):
+            a[going] += a[to]
+        next_[going] = next_[to]
+        at[going] = at[to]
+    return at < 0
+
+
+def _table(batches: Iterator[pa.RecordBatch], schema: list[str]) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).select(schema) if held else None
+
+
+def _longs(column: pa.ChunkedArray, null: int = -1) -> np.ndarray:
+    return np.array(column.fill_null(null).to_numpy(), dtype=np.int64)
+
+
+def _to_column(values: np.ndarray) -> pa.Array:
+    """Numbers, -1 as null."""
+    return pa.array(values, pa.int64(), mask=values < 0)
+
+
+def _ranked_nodes(walk: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, _id, _in, _out, _entries): of each node (scope, _id, _up, _first child, _after it), how many elements of its walk there are from its entry and its exit on, and entries from its entry on.
+
+    An entry is element 2 * id, an exit 2 * id + 1. Nodes whose walk has no end are left out.
+    """
+    names = [*scope, "_id", "_up", "_first", "_after"]
+    made = ["_in_next", "_in", "_entries", "_out_next", "_out", "_out_entries"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches, names)
+        if rows is None:
+            return
+        id_, up, first, after = (_longs(rows.column(c)) for c in names[-4:])
+        n = len(id_)
+        next_ = np.concatenate([np.where(first >= 0, 2 * first, 2 * id_ + 1), np.where(after >= 0, 2 * after, np.where(up >= 0, 2 * up + 1, -1))])
+        steps, entries = np.ones(2 * n, np.int64), np.repeat(np.array([1, 0], np.int64), n)
+        ended = _follow(np.concatenate([2 * id_, 2 * id_ + 1]), next_, steps, entries)
+        columns = [c for i in (slice(0, n), slice(n, None)) for c in (_to_column(next_[i]), pa.array(steps[i]), pa.array(entries[i]))]
+        out = rows.select(names[: len(scope) + 1])
+        for name, c in zip(made, columns, strict=True):
+            out = out.append_column(name, c)
+        yield from out.filter(pa.array(ended[:n] & ended[n:])).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    types = dict(walk.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names[: len(scope) + 1]), *(f"{c} long" for c in made)])
+    # the nodes of a range are one task's
+    found = cut(walk.select(*names).repartition(F.shiftright("_id", _RANGE_BITS)).mapInArrow(run, schema))
+    asked = cut(found.select(F.explode(F.array("_in_next", "_out_next")).alias("e")).where("e is not null").distinct())
+    count = asked.count()
+    if count:
+        few = F.broadcast if count <= FEW else lambda df: df
+        element = lambda i, *c: F.struct((F.col("_id") * 2 + i).alias("e"), *(F.col(x).alias(y) for x, y in zip(c, ("next", "steps", "entries"), strict=True)))
+        all_ = found.select(F.inline(F.array(element(0, *made[:3]), element(1, *made[3:]))))
+        ranks = cut(_ranked(all_.join(few(asked), "e", "left_semi"), count))
+        for next_, *sums in (made[:3], made[3:]):
+            rest = few(ranks.select(F.col("e").alias(next_), F.col("steps").alias("_s"), F.col("entries").alias("_e"), F.lit(True).alias("_known")))
+            met = found.join(rest, next_, "left").where(f"{next_} is null or _known")
+            found = met.withColumns({c: F.col(c) + F.coalesce(d, F.lit(0)) for c, d in zip(sums, ("_s", "_e"), strict=True)}).drop("_s", "_e", "_known")
+    return found.select(*scope, "_id", "_in", "_out", "_entries")
+
+
+def _ranked(steps: DataFrame, count: int) -> DataFrame:
+    """Of each of ``count`` list elements (e, next, steps, entries), how many elements and entries there are from it to the end; elements of rings are left out."""
+    names = ["e", "next", "steps", "entries"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _table(batches, names)
+        if rows is not None:
+            e, next_, s, n = (_longs(rows.column(c)) for c in names)
+            ended = _follow(e, next_, s, n) & (next_ < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ended]) for a in (e, s, n)], names=["e", "steps", "entries"])
+
+    if count <= FEW:
+        return steps.select(*names).repartition(1).mapInArrow(run, "e long, steps long, entries long")
+    return _doubled(cut(steps.select(*names)))
+
+
+def _doubled(steps: DataFrame) -> DataFrame:
+    """``_ranked`` of a list of any length, each round twice as far."""
     most, reach = 2 * steps.count(), 1
     while reach < most:
         open_ = steps.where("next is not null")

@@ -141,3 +141,30 @@ def test_natural_rows_and_nearest_files(spark):
     for i in range(len(found) + 3):
         assert got["r", i] == next((n for n in found[i:] if kinds[n]), last)
     assert got["s", 0] == "only/dir/file" and got["none", 1] is None
+
+
+def counted(monkeypatch, *modules):
+    """How often a table is written down by these modules from now on, as a list that grows."""
+    calls = []
+    for m in modules:
+        monkeypatch.setattr(m, "cut", lambda df, own=m.cut: calls.append(1) or own(df))
+    return calls
+
+
+def test_a_long_walk_takes_no_more_rounds(spark, monkeypatch):
+    calls = counted(monkeypatch, nested, ordered)
+    chain = [(0, f"k{i:04}", f"k{i - 1:04}" if i else None) for i in range(600)]
+    df = spark.createDataFrame(chain, "g int, stable_key string, parent_key string").repartition(3)
+    found = {(r.g, r.stable_key): (r.enter_no, r.exit_no, r.depth) for r in nested.nested_sets(df, ["g"], ["stable_key"]).collect()}
+    assert found == walk(chain) and len(calls) <= 6
+
+
+def test_walks_that_enter_ranges_often_are_doubled(spark, ranges, monkeypatch):
+    monkeypatch.setattr(nested, "FEW", 0)
+    rng = random.Random(20 + ranges)
+    names = [f"k{i:03}" for i in range(150)]
+    rng.shuffle(names)
+    nodes = [(s, k, rng.choice(names[:i]) if i and rng.random() < 0.97 else None) for s in (0, 1) for i, k in enumerate(names)] + [(2, "a", "gone"), (3, "x", "y"), (3, "y", "x")]
+    df = spark.createDataFrame(nodes, "g int, stable_key string, parent_key string").repartition(4)
+    found = {(r.g, r.stable_key): (r.enter_no, r.exit_no, r.depth) for r in nested.nested_sets(df, ["g"], ["stable_key"]).collect()}
+    assert found == walk([n for n in nodes if n[0] != 3])
