@@ -11,18 +11,19 @@ of any size and depth is spread over all tasks.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithos.operators import ordered
 from lithos.plans.lineage import cut
 
 #: Lines of a bin by which spans meet points.
-BIN = 64
+BIN = 4096
 #: So many elements at most are ranked in one task, and broadcast.
 FEW = 1 << 18
 #: Bits of a node's number that count nodes of one range: those of a row in ``monotonically_increasing_id`` and one more.
@@ -205,10 +206,67 @@ def inherited(index: DataFrame, scope: list[str], given: DataFrame, value: str)
 def items_at(spans: DataFrame, points: DataFrame, key: list[str], first: str = "start_line", last: str = "end_line", line: str = "line_no") -> DataFrame:
     """(key, line, stable_key): the deepest of ``spans`` (key, stable_key, depth, first and last line) at each point (key, line); points in none are left out.
 
-    Of spans of one depth the later start wins, then the larger key. Spans and
-    points meet by bins of ``BIN`` lines.
+    Of spans of one depth the later start wins, then the larger key. Lines count
+    from 0 and lie in bins of ``BIN``. A span is a row in the bins of its two ends,
+    where a sweep meets the points; for the bins between, however many, only the best span of
+    each two bins counts, which is dealt to blocks of 1, 2, 4 and so on bins.
     """
-    binned = spans.select(*key, "stable_key", "depth", F.col(first).alias("_a"), F.col(last).alias("_b"), F.explode(F.sequence(F.expr(f"`{first}` div {BIN}"), F.expr(f"`{last}` div {BIN}"))).alias("_bin"))
-    asked = points.select(*key, F.col(line).alias("_at")).distinct().withColumn("_bin", F.expr(f"_at div {BIN}"))
-    met = asked.join(binned, [*key, "_bin"]).where("_at between _a and _b")
-    return met.groupBy(*key, F.col("_at").alias(line)).agg(F.max_by("stable_key", F.struct("depth", "_a", "stable_key")).alias("stable_key"))
+    bin_ = lambda c: F.expr(f"{c} div {BIN}")
+    own = spans.select(*key, "stable_key", F.col("depth").cast("long").alias("depth"), F.col(first).cast("long").alias("_a"), F.col(last).cast("long").alias("_b"))
+    own = own.where("_a <= _b").withColumn("_s", bin_("_a")).withColumn("_t", bin_("_b"))
+    asked = cut(points.select(*key, F.col(line).cast("long").alias("_at")).distinct().withColumn("_bin", bin_("_at")))
+    item = F.struct("depth", "_a", "stable_key").alias("_item")
+    # whole bins between the ends
+    pairs = own.where("_t - _s > 1").groupBy(*key, (F.col("_s") + 1).alias("_from"), F.col("_t").alias("_to")).agg(F.max(item).alias("_item"))
+    blocks = pairs.select(*key, "_item", F.explode(_blocks(F.col("_from"), F.col("_to"))).alias("_b")).groupBy(*key, "_b.level", "_b.no").agg(F.max("_item").alias("_item"))
+    levels = F.explode(F.expr("sequence(0, length(bin(_bin)) - 1)")).alias("level")
+    bins = asked.where("_bin > 0").select(*key, "_bin").distinct().select(*key, "_bin", levels).withColumn("no", F.expr("shiftright(_bin, level)"))
+    over = bins.join(blocks, [*key, "level", "no"]).groupBy(*key, "_bin").agg(F.max("_item").alias("_item"))
+    # pieces at the ends, the best of the spans over the whole bin, and points
+    start, end = F.col("_bin") * BIN, F.col("_bin") * BIN + (BIN - 1)
+    near = own.select(*key, F.explode(F.array_distinct(F.array("_s", "_t"))).alias("_bin"), "_a", "_b", item)
+    pieces = near.select(*key, "_bin", F.greatest("_a", start).alias("_at"), F.lit(0).alias("_turn"), F.least("_b", end).alias("_until"), "_item")
+    whole = over.select(*key, "_bin", start.alias("_at"), F.lit(0).alias("_turn"), end.alias("_until"), "_item")
+    nothing = F.lit(None).cast(dict(pieces.dtypes)["_item"])
+    points_ = asked.select(*key, "_bin", "_at", F.lit(1).alias("_turn"), F.lit(None).cast("long").alias("_until"), nothing.alias("_item"))
+    rows = pieces.unionAll(whole).unionAll(points_).select(*key, "_bin", "_at", "_turn", "_until", F.col("_item.depth").alias("depth"), F.col("_item._a").alias("_a"), F.col("_item.stable_key").alias("stable_key"))
+    by = [*key, "_bin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heap, turn = None, [], 0
+        for batch in batches:
+            hits, found = [], []
+            groups = zip(*(batch.column(c).to_pylist() for c in by), strict=True)
+            for i, (g, at, is_point, until, depth, a, name) in enumerate(zip(groups, *(batch.column(c).to_pylist() for c in ("_at", "_turn", "_until", "depth", "_a", "stable_key")), strict=True)):
+                if g != group:
+                    group, heap = g, []
+                if not is_point:
+                    turn -= 1  # of equals the later row has the larger key
+                    heapq.heappush(heap, (-depth, -a, turn, until, name))
+                    continue
+                while heap and heap[0][3] < at:
+                    heapq.heappop(heap)
+                if heap:
+                    hits.append(i)
+                    found.append(heap[0][4])
+            if hits:
+                own = batch.select([*key, "_at"]).take(pa.array(hits, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, batch.schema.field("stable_key").type)], names=[*key, "_at", "stable_key"])
+
+    types = dict(rows.dtypes)
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "_at", "_turn", "depth", "_a", "stable_key")
+    made = dealt.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in [*key, "_at", "stable_key"]))
+    return made.select(*key, F.col("_at").cast(dict(points.dtypes)[line]).alias(line), "stable_key")
+
+
+def _blocks(first: Column, end: Column) -> Column:
+    """[first, end) as an array of aligned blocks (level, no), each of 2 ** level numbers from no * 2 ** level on: two of a level at most."""
+
+    def of(k: Column) -> Column:
+        low, high = F.ceil(first / F.pow(F.lit(2.0), k)).cast("long"), F.floor(end / F.pow(F.lit(2.0), k)).cast("long")
+        open_ = low < high
+        left = F.when(open_ & (low % 2 == 1), F.struct(k.alias("level"), low.alias("no")))
+        right = F.when(open_ & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("no")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(end - first)) - 1), of))

@@ -168,3 +168,20 @@ def test_walks_that_enter_ranges_often_are_doubled(spark, ranges, monkeypatch):
     df = spark.createDataFrame(nodes, "g int, stable_key string, parent_key string").repartition(4)
     found = {(r.g, r.stable_key): (r.enter_no, r.exit_no, r.depth) for r in nested.nested_sets(df, ["g"], ["stable_key"]).collect()}
     assert found == walk([n for n in nodes if n[0] != 3])
+
+
+def test_long_spans_meet_points_without_a_row_for_each_bin(spark, ranges, monkeypatch):
+    far = 1 << 40
+    deep = [("long", f"s{i}", i, i, far - i) for i in range(40)]
+    points = spark.createDataFrame([("long", i) for i in (0, 5, 39, 1000, far // 2, far - 39, far - 38, far, far + 1)], "path string, line_no long")
+    schema = "path string, stable_key string, depth int, start_line long, end_line long"
+    found = {r.line_no: r.stable_key for r in nested.items_at(spark.createDataFrame(deep, schema), points, ["path"]).collect()}
+    assert found == {0: "s0", 5: "s5", 39: "s39", 1000: "s39", far // 2: "s39", far - 39: "s39", far - 38: "s38", far: "s0"}
+    # spans of any shape against all of them
+    monkeypatch.setattr(nested, "BIN", 4)
+    rng = random.Random(ranges)
+    spans = [(rng.choice("ab"), f"s{i:03}", rng.randrange(5), *sorted((rng.randrange(300), rng.randrange(300) if rng.random() < 0.4 else rng.randrange(20)))) for i in range(150)]
+    asked = [(p, i) for p in "abc" for i in range(0, 310, 3)]
+    got = {(r.path, r.line_no): r.stable_key for r in nested.items_at(spark.createDataFrame(spans, schema), spark.createDataFrame(asked, "path string, line_no long"), ["path"]).collect()}
+    best = {(p, i): max(((d, a, k) for q, k, d, a, b in spans if q == p and a <= i <= b), default=None) for p, i in asked}
+    assert got == {at: b[2] for at, b in best.items() if b}
