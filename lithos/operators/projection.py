@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ PROJECTORS: dict[str, Projector] = {"elm": elm.project, "haskell": haskell.proje
 
 _COLUMNS = ["stable_key", "parent_key", "kind", "name", "start_byte", "end_byte", "start_line", "start_column", "end_line", "end_column", "canonical_text"]
 SCHEMA = "mode string, ordinal int, stable_key string, parent_key string, kind string, name string, start_byte int, end_byte int, start_line int, start_column int, end_line int, end_column int, canonical_text string, error string"
+_NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 _TYPES = [pa.string(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 6, pa.string(), pa.string()]
 
 
@@ -36,12 +39,16 @@ def project_source(path: str, content: bytes | str, language: str, mode: str | N
 
 #: Rows of one Arrow batch of items.
 BATCH_ROWS = 4096
+#: Files that are looked at together, and letters of those that go together as columns.
+_FILES, _LETTERS = 64, 1 << 23
 
 
-def items(files: DataFrame, key: list[str], path: str = "path", language: str = "language", content: str = "text", marked: bool = False) -> DataFrame:
+def items(files: DataFrame, key: list[str], path: str = "path", language: str = "language", content: str = "text", marked: bool = False, modes: Sequence[str] = MODES, columns: Sequence[str] | None = None, dealt: bool = False) -> DataFrame:
     """One row per item and mode: the key, path, language and the item; a file that fails has one row with only ``error``.
 
-    ``marked`` gives a file without items a row that says nothing else.
+    ``marked`` gives a file without items a row that says nothing else. Only
+    ``modes`` and, of the item, only ``columns`` and the error are given.
+    ``dealt`` says that the files are dealt to all tasks already.
 
     Equal (path, content) should be given once, as ``store`` does; the parse is
     the cost, so files are dealt to all tasks before it, however they lie. Files
@@ -53,34 +60,60 @@ def items(files: DataFrame, key: list[str], path: str = "path", language: str =
         for batch in batches:
             rows: list[tuple] = []
             of: list[int] = []
+            waiting: dict[str, list[tuple[int, str, str]]] = {}
+            letters: Counter[str] = Counter()
 
-            def made(batch=batch) -> pa.RecordBatch:
-                own = batch.select(own_names).take(pa.array(of, pa.int64()))
-                out = pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True))], names=[*own_names, *names])
+            def table(of, own, batch=batch) -> pa.RecordBatch:
+                kept = batch.select(own_names).take(pa.array(of, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, *own], names=[*own_names, *names])
+
+            def made() -> pa.RecordBatch:
+                out = table(of, [pa.array(c, t) for c, (name, t) in zip(zip(*rows, strict=True), zip(_NAMES, _TYPES, strict=True), strict=True) if name in names])
                 rows.clear()
                 of.clear()
                 return out
 
-            for n, (p, lang, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_path", "_language", "_content")), strict=True)):
+            def one(n: int, p: str, lang: str, source: str | bytes | None) -> Iterator[pa.RecordBatch]:
                 try:
                     found = project_source(p, "" if source is None else source, lang)
-                    mine = [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for mode, own in found.items() for i, item in enumerate(own)]
+                    mine = [(mode, i, *(getattr(item, c) for c in _COLUMNS), None) for mode, own in found.items() if mode in modes for i, item in enumerate(own)]
                 except (ProjectionError, RecursionError) as e:
-                    mine = [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
-                if marked and not mine:
+                    found, mine = {}, [(None,) * (len(_COLUMNS) + 2) + (str(e) or "too deeply nested",)]
+                if marked and not mine and not any(found.values()):
                     mine = [(None,) * (len(_COLUMNS) + 3)]
-                rows += mine
-                of += [n] * len(mine)
+                rows.extend(mine)
+                of.extend([n] * len(mine))
                 if len(rows) >= BATCH_ROWS:
                     yield made()
+
+            def together(lang: str) -> Iterator[pa.RecordBatch]:
+                numbers, paths, sources = (list(x) for x in zip(*waiting.pop(lang), strict=True))
+                del letters[lang]
+                rest, portions = repeated.by_columns(PROJECTORS[lang], lang, paths, sources, modes, names)
+                for own, found in portions:
+                    yield table(np.array(numbers)[own], found)
+                for n in rest:
+                    yield from one(numbers[n], paths[n], lang, sources[n])
+
+            for start in range(0, batch.num_rows, _FILES):
+                for n, (p, lang, source) in enumerate(zip(*(batch.column(c).slice(start, _FILES).to_pylist() for c in ("_path", "_language", "_content")), strict=True), start):
+                    if not isinstance(source, str) or not repeated.may_be(lang, source):
+                        yield from one(n, p, lang, source)
+                        continue
+                    waiting.setdefault(lang, []).append((n, p, source))
+                    letters[lang] += len(source)
+                    if letters[lang] >= _LETTERS:
+                        yield from together(lang)
+            for lang in list(waiting):
+                yield from together(lang)
             if rows:
                 yield made()
 
-    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    names = [name for name in _NAMES if columns is None or name in columns or name == "error"]
     own_names = [*key, "_path", "_language"]
     chosen = files.where(F.col(language).isin(list(PROJECTORS))).select(*key, F.col(path).alias("_path"), F.col(language).alias("_language"), F.col(content).alias("_content"))
-    schema = ", ".join(f"`{n}` {dict(chosen.dtypes)[n]}" for n in own_names) + ", " + SCHEMA
-    found = chosen.repartition(tasks, *(F.col(c) for c in key), "_path").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{n}` {dict(chosen.dtypes)[n]}" for n in own_names), *(c for c in SCHEMA.split(", ") if c.split(" ")[0] in names)])
+    found = (chosen if dealt else chosen.repartition(tasks, *(F.col(c) for c in key), "_path")).mapInArrow(run, schema)
     return found.withColumnRenamed("_path", "path").withColumnRenamed("_language", "language") if "path" not in key else found.drop("_path").withColumnRenamed("_language", "language")
 
 

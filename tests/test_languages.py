@@ -406,3 +406,65 @@ def test_equal_lines_are_parsed_once_and_as_in_their_file(monkeypatch):
         for line in odd[language]:
             for source in (line, "\n".join([lines[0], line, *lines[1:]]), "\n".join([*lines, line])):
                 assert outcome(lambda source=source: projection.project_source("d/x", source, language)) == outcome(lambda source=source: whole("d/x", source))
+
+
+def test_lines_that_differ_in_a_name_are_parsed_once_as_columns():
+    from lithos.lang import repeated
+    from lithos.operators import projection
+
+    names = ["a", "q", "qq", "zq", "w_word", "_", "__init__", "test_", "test_a", "testa", "match", "type", "union", "default", "where", "self", "r", "b", "f", "x" * 40, "y" * 75, "y" * 79, "z" * 90, "w" * 470]
+    rests = {
+        "python": ["(n: int) -> str: return 'x'", "(): ...", "[T](x: T, q: int = 1, *, qq: list[int] = [1, 2], **k) -> dict[str, int]: yield '''q'''", "(q, w_word): pass", " (x): pass"],
+        "rust": ["(n: u8) -> Option<u8> { Some(n << 1) }", "();", "<T: Ord>(x: &[T], q: T) -> Vec<T> where T: Clone { x.to_vec() }", "(a: A, qq: B) {}", " (x: u8) {}"],
+    }
+    odd = {
+        "python": ["def f(): (", "def f(): '''", "def f(): x = 1; y: int = 2", "@d", "", "class A: pass", "def if(): pass", "def é(): pass", "def g(): pass # c", "def h(x,", "def  two(): pass", "def w" + "w" * 500 + "(): pass"],
+        "rust": ["fn a() {} fn b() {}", "fn f() {", "#[test]", "/// d", "", "}", "struct A {}", "fn f() {} }", "fn x(&self);", "fn r#x() {}", "pub  fn two() {}", "fn w" + "w" * 500 + "() {}"],
+    }
+    columns = ["mode", "ordinal", *projection._COLUMNS, "error"]
+    for language, whole in (("python", python.project), ("rust", rust.project)):
+        begins = ["def "] if language == "python" else ["fn ", "pub fn "]
+        lines = [b + name + rest for name in names for b in begins for rest in rests[language]]
+        files = {"one": lines[0], "end": lines[0] + "\n", "all": "\n".join([*lines, *reversed(lines)]), **{f"o{i}": "\n".join([lines[1], x, lines[1]]) for i, x in enumerate(odd[language])}, **{f"f{i}": x for i, x in enumerate(lines)}, "blank": lines[0] + "\n\n"}
+        expected = {}
+        for path, source in files.items():
+            try:
+                expected[path] = {(mode, i, *(getattr(item, c) for c in projection._COLUMNS), None) for mode, own in whole(path, source).items() for i, item in enumerate(own)}
+            except ProjectionError:
+                expected[path] = None
+        rest, portions = repeated.by_columns(whole, language, list(files), list(files.values()), ("types", "signatures", "tests"), columns)
+        found = {path: set() for path in files}
+        for owner, arrays in portions:
+            for n, *row in zip(owner.tolist(), *(a.to_pylist() for a in arrays), strict=True):
+                found[list(files)[n]].add(tuple(row))
+        left = [list(files)[n] for n in rest]
+        assert all(not found[path] for path in left)
+        assert all(found[path] == expected[path] for path in files if path not in left)
+        fine = [p for p, s in files.items() if p[0] == "f" and len(s) <= 500 and expected[p] is not None]
+        assert len(fine) > 100 and not set(left) & {"one", "end", *fine}
+
+    calls = []
+    text = "\n".join(f"def w_{i:06d}(n: int) -> str: return 'x'" for i in range(5000))
+    rest, portions = repeated.by_columns(lambda p, s: calls.append(s) or python.project(p, s), "python", ["p"], [text], ["signatures"], ["name"])
+    assert not rest and [x for _, (a,) in portions for x in a.to_pylist()] == [f"w_{i:06d}" for i in range(5000)] and len(calls) == 1
+
+
+def test_items_of_line_made_and_other_files(spark):
+    from lithos.operators import projection
+
+    made = {"a.py": "def a(n: int) -> str: ...\ndef test_b(): pass\ndef a(): ...", "b.rs": "pub fn a() {}\nfn a();", "c.py": "class A:\n    x: int\n", "d.py": "", "e.py": "def a(): ...\n\n\nx = 1\n", "f.rs": "fn f() {}\nmod m { fn f() {} }", "g.elm": "module G exposing (..)\n", "h.py": None}
+    language = {"py": "python", "rs": "rust", "elm": "elm"}
+    files = spark.createDataFrame([(k, language[k.split(".")[1]], v) for k, v in made.items()], "path string, language string, text string")
+    expected = {(k, mode, i, item.stable_key, item.canonical_text) for k, v in made.items() for mode, own in projection.project_source(k, v or "", language[k.split(".")[1]]).items() for i, item in enumerate(own)}
+    rows = projection.items(files, ["path"])
+    assert rows.columns == ["path", "language", *(c.split(" ")[0] for c in projection.SCHEMA.split(", "))]
+    shown = ["path", "mode", "ordinal", "stable_key", "canonical_text"]
+    assert sorted(map(tuple, rows.select(shown).collect())) == sorted(expected)
+    some = projection.items(files.coalesce(1), ["path"], modes=["signatures", "tests"], columns=shown, dealt=True)
+    assert some.columns == ["path", "language", "mode", "ordinal", "stable_key", "canonical_text", "error"]
+    assert {tuple(r) for r in some.select(shown).collect()} == {e for e in expected if e[1] != "types"}
+    marks = projection.items(files, ["path"], marked=True).where("mode is null")
+    assert {r.path for r in marks.collect()} == {"d.py", "h.py"}
+    bad = files.unionAll(spark.createDataFrame([("z.py", "python", "def a(): ...\ndef b(:")], files.schema))
+    with pytest.raises(Exception, match="not Python"):
+        projection.checked(projection.items(bad, ["path"], modes=["signatures"], columns=["ordinal"])).where("error is null").select("path", "ordinal").collect()
